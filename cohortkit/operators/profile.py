@@ -121,7 +121,8 @@ def crosstab_margins(df: DataFrame, variable: str, label: str) -> DataFrame:
     """
     v, y = qcol(variable), qcol(label)
     return (df.filter(v.isNotNull() & y.isNotNull())
-            .cube(v.alias("value"), y.alias("label"))
+            .select(v.alias("value"), y.alias("label"))
+            .cube("value", "label")
             .agg(F.count(F.lit(1)).cast("bigint").alias("n"),
                  F.grouping("value").cast("boolean").alias("value_total"),
                  F.grouping("label").cast("boolean").alias("label_total")))
@@ -152,34 +153,37 @@ def within_group_distribution(df: DataFrame, variable: str, spec: CohortSpec) ->
             .orderBy("label", F.desc("n"), "value"))
 
 
-def distinct_count(df: DataFrame, variables, screen_max: int = 2 * CATEGORICAL_MAX_DISTINCT) -> DataFrame:
-    """Distinct non-null values per variable, exact where it matters.
+def distinct_count(df: DataFrame, variables, limit: int = 2 * CATEGORICAL_MAX_DISTINCT) -> DataFrame:
+    """Distinct non-null values per variable, exact up to ``limit``.
 
-    A HyperLogLog pass screens every variable; only variables whose estimate is
-    at most ``screen_max`` are counted exactly, through a grouped count of
-    their (few) values. Others report the estimate with ``exact = false``.
-    Schema: variable string, n_distinct bigint, exact boolean.
+    A HyperLogLog pass screens every variable (fixed-size state per column);
+    only variables whose estimate is at most twice ``limit`` have their few
+    values grouped and counted exactly. Variables above the limit report
+    ``n_distinct = NULL`` and ``above_limit = true``; the categorical rule only
+    needs to know whether a variable has at most 10 values.
+    Schema: variable string, n_distinct bigint, above_limit boolean.
     """
     variables = list(variables)
     spark = df.sparkSession
+    schema = "variable string, n_distinct bigint, above_limit boolean"
     if not variables:
-        return spark.createDataFrame([], "variable string, n_distinct bigint, exact boolean")
+        return spark.createDataFrame([], schema)
     approx_row = df.agg(*[F.approx_count_distinct(qcol(c), 0.01).alias(f"d{i}")
                           for i, c in enumerate(variables)]).first()  # one row of p numbers
     approx = {c: int(approx_row[f"d{i}"]) for i, c in enumerate(variables)}
-    candidates = [c for c in variables if approx[c] <= screen_max]
-    rows = [(c, approx[c], False) for c in variables if c not in candidates]
-    est = spark.createDataFrame(rows, "variable string, n_distinct bigint, exact boolean")
-    if not candidates:
-        return est
-    exact = (long_values(df, candidates).select("variable", "value").distinct()
-             .groupBy("variable").agg(F.count(F.lit(1)).cast("bigint").alias("n_distinct"))
-             .withColumn("exact", F.lit(True)))
-    found = exact.select("variable")
-    missing = spark.createDataFrame([(c,) for c in candidates], "variable string") \
-        .join(found, "variable", "left_anti").select("variable", F.lit(0).cast("bigint").alias("n_distinct"),
-                                                      F.lit(True).alias("exact"))
-    return exact.unionByName(missing).unionByName(est)
+    candidates = [c for c in variables if approx[c] <= 2 * limit]
+    rows = [(c, None, True) for c in variables if c not in candidates]
+    out = spark.createDataFrame(rows, schema)
+    if candidates:
+        exact = (long_values(df, candidates).select("variable", "value").distinct()
+                 .groupBy("variable").agg(F.count(F.lit(1)).cast("bigint").alias("k")))
+        cand = spark.createDataFrame([(c,) for c in candidates], "variable string")
+        exact = cand.join(exact, "variable", "left").select(
+            "variable", F.coalesce("k", F.lit(0)).cast("bigint").alias("k"))
+        out = out.unionByName(exact.select(
+            "variable", F.when(F.col("k") <= limit, F.col("k")).alias("n_distinct"),
+            (F.col("k") > limit).alias("above_limit")))
+    return out
 
 
 def long_values(df: DataFrame, variables, extra=()) -> DataFrame:
@@ -201,7 +205,7 @@ def variable_kind(df: DataFrame, spec: CohortSpec, variables=None) -> DataFrame:
     return dc.select(
         "variable", "n_distinct",
         F.when(F.col("variable").isin(forced) if forced else F.lit(False), "categorical")
-         .when((F.col("n_distinct") >= 2) & (F.col("n_distinct") <= kmax), "categorical")
+         .when(~F.col("above_limit") & (F.col("n_distinct") >= 2) & (F.col("n_distinct") <= kmax), "categorical")
          .when(F.col("variable").isin(num) if num else F.lit(False), "numeric")
          .otherwise("other").alias("kind"))
 

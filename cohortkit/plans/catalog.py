@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType, FloatType
 from cohortkit.operators import association as assoc
 from cohortkit.operators import clean, profile
 from cohortkit.plans import oracle as O
+from cohortkit.functions.hashing import uniform, uniform_sql
 from cohortkit.plans.cohort import cohort_summary
 from cohortkit.spec import LINEITEM_COHORT as LI
 
@@ -125,3 +126,291 @@ def q_cohort_summary(spark, sf_dir):
     prof = profile.describe_by_group(df, LI)
     screen = assoc.association_screen(df, LI, profile=prof)
     return rounded(cohort_summary(prof, screen, LI))
+
+
+# --- ingest -------------------------------------------------------------------
+
+def _na_sql(col: str) -> str:
+    from cohortkit.spec import DEFAULT_NA_TOKENS, SHEET_NA_TOKENS
+    toks = ", ".join(O.lit(t) for t in dict.fromkeys(SHEET_NA_TOKENS + DEFAULT_NA_TOKENS))
+    return f"CASE WHEN {col} IN ({toks}) THEN NULL ELSE {col} END"
+
+
+@register("read_na_tokens", f"""SELECT doc_id, {_na_sql('text')} AS text, {_na_sql('lang')} AS lang,
+    {_na_sql('source')} AS source, n_chars FROM documents""")
+def q_read_na_tokens(spark, sf_dir):
+    return clean.read_na_tokens(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+
+
+@register("drop_columns_if_present", "SELECT * EXCLUDE (l_shipdate) FROM lineitem")
+def q_drop_columns(spark, sf_dir):
+    return clean.drop_columns_if_present(table(spark, sf_dir, "lineitem"), LI.drop)
+
+
+@register("select_structured_columns", O.rounded(
+    f"SELECT {', '.join(LI_VARS)} FROM ({LI_CLEAN_SQL})", LI_NUMERIC))
+def q_select_structured(spark, sf_dir):
+    df = lineitem_cohort(spark, sf_dir)
+    keep = [c for c in df.columns if c in LI_VARS]
+    return rounded(df.select(*keep))
+
+
+def _coerce_sql(expr: str) -> str:
+    from cohortkit.functions.columns import NUMBER_PATTERN
+    s = f"trim(CAST({expr} AS VARCHAR))"
+    return (f"CASE WHEN regexp_full_match({s}, '{NUMBER_PATTERN[1:-1]}') "
+            f"THEN TRY_CAST({s} AS DOUBLE) END")
+
+
+@register("coerce_numeric", O.rounded(f"""SELECT event_id, {_coerce_sql('props')} AS props,
+    {_coerce_sql('event_type')} AS event_type, {_coerce_sql('CAST(value AS VARCHAR)')} AS value_text,
+    {_coerce_sql('CAST(user_id AS VARCHAR)')} AS user_text FROM events""",
+    ["props", "event_type", "value_text", "user_text"]))
+def q_coerce_numeric(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select(
+        "event_id", "props", "event_type", F.col("value").cast("string").alias("value_text"),
+        F.col("user_id").cast("string").alias("user_text"))
+    return rounded(clean.coerce_numeric(ev, ["props", "event_type", "value_text", "user_text"]))
+
+
+@register("zero_invalid", O.rounded(
+    "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax <> 0.0 THEN l_tax END AS l_tax FROM lineitem", ["l_tax"]))
+def q_zero_invalid(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_tax")
+    return rounded(clean.zero_invalid(df, ["l_tax"]))
+
+
+def _audit_sql() -> str:
+    parts = []
+    for i, c in enumerate(list(LI.ranges) + [z for z in LI.zero_invalid if z not in LI.ranges]):
+        conds = []
+        if c in LI.ranges:
+            lo, hi = LI.ranges[c]
+            conds += [f"{c} >= {float(lo)!r}", f"{c} <= {float(hi)!r}"]
+        if c in LI.zero_invalid:
+            conds.append(f"{c} <> 0.0")
+        keep = " AND ".join(conds)
+        parts.append(f"""SELECT {O.lit(c)} AS variable, count(*) FILTER (WHERE {c} IS NULL)::BIGINT AS n_missing,
+            count(*) FILTER (WHERE {c} IS NOT NULL AND NOT ({keep}))::BIGINT AS n_removed,
+            count(*) FILTER (WHERE {c} IS NULL OR NOT ({keep}))::BIGINT AS n_missing_after FROM lineitem""")
+    return " UNION ALL ".join(parts)
+
+
+@register("cleaning_audit", _audit_sql())
+def q_cleaning_audit(spark, sf_dir):
+    raw = table(spark, sf_dir, "lineitem").select(*LI_KEEP)
+    return clean.cleaning_audit(clean.coerce_numeric(raw, LI_NUMERIC), LI)
+
+
+@register("audit_totals", f"""SELECT sum(n_missing)::BIGINT AS total_missing, sum(n_removed)::BIGINT AS total_removed,
+    sum(n_missing_after)::BIGINT AS total_missing_after,
+    sum(n_missing) + sum(n_removed) = sum(n_missing_after) AS identity_holds FROM ({_audit_sql()})""")
+def q_audit_totals(spark, sf_dir):
+    return clean.audit_totals(q_cleaning_audit(spark, sf_dir))
+
+
+# --- filters and formatting ---------------------------------------------------
+
+@register("filter_by_label", O.rounded(f"SELECT * FROM ({LI_CLEAN_SQL}) WHERE l_linestatus = 'F'", LI_NUMERIC))
+def q_filter_by_label(spark, sf_dir):
+    return rounded(lineitem_cohort(spark, sf_dir).filter(F.col(LI.label) == LI.positive))
+
+
+@register("drop_missing", f"""SELECT 'l_quantity' AS variable, l_linestatus AS label, count(l_quantity)::BIGINT AS n_present
+    FROM ({LI_CLEAN_SQL}) WHERE l_quantity IS NOT NULL GROUP BY ALL""")
+def q_drop_missing(spark, sf_dir):
+    df = lineitem_cohort(spark, sf_dir).filter(F.col("l_quantity").isNotNull())
+    return df.groupBy(F.lit("l_quantity").alias("variable"), F.col(LI.label).alias("label")) \
+        .agg(F.count(F.lit(1)).cast("bigint").alias("n_present"))
+
+
+@register("null_guard", f"""WITH li AS ({LI_CLEAN_SQL}), p AS ({O.profile_sql(LI, 'li', LI_NUMERIC, LI_VARS)})
+    SELECT variable FROM p WHERE grp = 'all' AND count > 0""")
+def q_null_guard(spark, sf_dir):
+    prof = profile.describe_by_group(lineitem_cohort(spark, sf_dir), LI)
+    return prof.filter((F.col("grp") == profile.ALL_GROUP) & (F.col("count") > 0)).select("variable")
+
+
+_SCREEN_SQL = f"WITH li AS ({LI_CLEAN_SQL}), {O.screen_ctes(LI, 'li', LI_VARS, LI_NUMERIC)}"
+
+
+@register("filter_significant", O.rounded(f"{_SCREEN_SQL} SELECT * FROM screen WHERE significant", ["p_value"]))
+def q_filter_significant(spark, sf_dir):
+    return rounded(assoc.association_screen(lineitem_cohort(spark, sf_dir), LI).filter("significant"))
+
+
+@register("significant_variables", O.rounded(
+    f"{_SCREEN_SQL} SELECT variable, p_value, significance_level, test_type FROM screen WHERE significant", ["p_value"]))
+def q_significant_variables(spark, sf_dir):
+    return rounded(assoc.significant_variables(assoc.association_screen(lineitem_cohort(spark, sf_dir), LI)))
+
+
+@register("format_p_value", f"""{_SCREEN_SQL} SELECT variable,
+    CASE WHEN p_value IS NULL OR isnan(p_value) THEN 'N/A' WHEN p_value < 0.001 THEN '<0.001'
+         ELSE printf('%.3f', p_value) END AS p_text, significance_level FROM screen""")
+def q_format_p_value(spark, sf_dir):
+    from cohortkit.functions.formatting import format_p_value
+    s = assoc.association_screen(lineitem_cohort(spark, sf_dir), LI)
+    return s.select("variable", format_p_value(F.col("p_value")).alias("p_text"), "significance_level")
+
+
+@register("significance_stars", O.rounded(f"""SELECT o_orderkey, p,
+    CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars
+    FROM (SELECT o_orderkey, {uniform_sql(42, 'o_orderkey')} * 0.1 AS p FROM orders)""", ["p"]))
+def q_significance_stars(spark, sf_dir):
+    from cohortkit.functions.formatting import significance_stars
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (uniform(42, F.col("o_orderkey")) * 0.1).alias("p"))
+    return rounded(o.select("o_orderkey", "p", significance_stars(F.col("p")).alias("stars")))
+
+
+@register("format_mean_sd", """SELECT o_orderpriority, printf('%.2f (%.2f)', avg(o_totalprice), stddev_samp(o_totalprice)) AS mean_sd
+    FROM orders GROUP BY ALL""")
+def q_format_mean_sd(spark, sf_dir):
+    from cohortkit.functions.formatting import format_mean_sd
+    o = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
+        F.avg("o_totalprice").alias("m"), F.stddev_samp("o_totalprice").alias("s"))
+    return o.select("o_orderpriority", format_mean_sd(F.col("m"), F.col("s")).alias("mean_sd"))
+
+
+@register("pct_ratio", O.rounded("""SELECT o_orderstatus, count(*)::BIGINT AS n,
+    round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS pct FROM orders GROUP BY ALL""", ["pct"]))
+def q_pct_ratio(spark, sf_dir):
+    from cohortkit.functions.formatting import pct
+    o = table(spark, sf_dir, "orders")
+    counts = o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    total = o.agg(F.count(F.lit(1)).alias("total"))  # one row: a bounded broadcast
+    return rounded(counts.crossJoin(F.broadcast(total)).select("o_orderstatus", "n", pct(F.col("n"), F.col("total")).alias("pct")))
+
+
+# --- profiling ----------------------------------------------------------------
+
+@register("describe_numeric", O.rounded(f"""WITH li AS ({LI_CLEAN_SQL})
+    SELECT * FROM ({O.profile_sql(LI, 'li', LI_NUMERIC, LI_VARS)}) WHERE grp = 'all'""",
+    ["min", "max", "mean", "std", "missing_ratio"]))
+def q_describe_numeric(spark, sf_dir):
+    return rounded(profile.describe_numeric(lineitem_cohort(spark, sf_dir), LI_VARS))
+
+
+@register("cohort_basic_info", O.rounded(f"""SELECT count(*)::BIGINT AS total_samples,
+    count(*) FILTER (WHERE l_linestatus = 'F')::BIGINT AS n_case, count(*) FILTER (WHERE l_linestatus = 'O')::BIGINT AS n_control,
+    array_to_string(list_sort(list_distinct(list(l_linestatus))), ',') AS labels,
+    round(count(*) FILTER (WHERE l_linestatus = 'F') * 100.0 / count(*), 2) AS case_pct,
+    round(count(*) FILTER (WHERE l_linestatus = 'O') * 1.0 / count(*) FILTER (WHERE l_linestatus = 'F'), 2) AS ratio_control_case
+    FROM ({LI_CLEAN_SQL})""", ["case_pct", "ratio_control_case"]))
+def q_cohort_basic_info(spark, sf_dir):
+    info = profile.cohort_basic_info(lineitem_cohort(spark, sf_dir), LI)
+    return rounded(info.withColumn("labels", F.concat_ws(",", "labels")))
+
+
+@register("value_counts", "SELECT o_orderpriority AS value, count(*)::BIGINT AS n FROM orders GROUP BY ALL")
+def q_value_counts(spark, sf_dir):
+    return profile.value_counts(table(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+@register("class_balance", "SELECT toxic AS label, count(*)::BIGINT AS n FROM labels GROUP BY ALL")
+def q_class_balance(spark, sf_dir):
+    return profile.class_balance(table(spark, sf_dir, "labels"), "toxic")
+
+
+@register("crosstab", "SELECT l_returnflag AS value, l_linestatus AS label, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL")
+def q_crosstab(spark, sf_dir):
+    return profile.crosstab(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@register("crosstab_margins", """SELECT l_returnflag AS value, l_linestatus AS label, count(*)::BIGINT AS n,
+    grouping(l_returnflag) = 1 AS value_total, grouping(l_linestatus) = 1 AS label_total
+    FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
+def q_crosstab_margins(spark, sf_dir):
+    return profile.crosstab_margins(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@register("crosstab_row_pct", O.rounded("""SELECT l_returnflag AS value, l_linestatus AS label, count(*)::BIGINT AS n,
+    count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY l_returnflag) AS pct FROM lineitem
+    GROUP BY l_returnflag, l_linestatus""", ["pct"]))
+def q_crosstab_row_pct(spark, sf_dir):
+    return rounded(profile.crosstab_row_pct(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus"))
+
+
+@register("within_group_distribution", O.rounded(f"""WITH li AS ({LI_CLEAN_SQL}),
+    t AS (SELECT l_linestatus AS label, count(*) AS group_n FROM li WHERE l_linestatus IN ('F', 'O') GROUP BY ALL)
+    SELECT c.label, c.value, c.n, t.group_n, c.n * 100.0 / t.group_n AS pct
+    FROM (SELECT l_linestatus AS label, l_discount AS value, count(*)::BIGINT AS n FROM li
+          WHERE l_linestatus IN ('F', 'O') AND l_discount IS NOT NULL GROUP BY ALL) c JOIN t USING (label)""",
+    ["value", "pct"]))
+def q_within_group(spark, sf_dir):
+    return rounded(profile.within_group_distribution(lineitem_cohort(spark, sf_dir), "l_discount", LI))
+
+
+@register("distinct_count", f"""SELECT variable, CASE WHEN k <= 20 THEN k END::BIGINT AS n_distinct, k > 20 AS above_limit
+    FROM ({' UNION ALL '.join(f"SELECT '{v}' AS variable, count(DISTINCT {v}) AS k FROM ({LI_CLEAN_SQL})" for v in LI_VARS)})""")
+def q_distinct_count(spark, sf_dir):
+    return profile.distinct_count(lineitem_cohort(spark, sf_dir), LI_VARS)
+
+
+@register("variable_kind", f"""WITH li AS ({LI_CLEAN_SQL}), {O.kinds_ctes(LI, 'li', LI_VARS, LI_NUMERIC)}
+    SELECT variable, CASE WHEN nd <= 20 THEN nd END::BIGINT AS n_distinct, kind FROM kinds""")
+def q_variable_kind(spark, sf_dir):
+    return profile.variable_kind(lineitem_cohort(spark, sf_dir), LI)
+
+
+@register("median_iqr", O.rounded(f"""SELECT * FROM ({' UNION ALL '.join(
+    f"SELECT '{v}' AS variable, quantile_cont({v}, 0.25) AS q1, quantile_cont({v}, 0.5) AS median, quantile_cont({v}, 0.75) AS q3, quantile_cont({v}, 0.75) - quantile_cont({v}, 0.25) AS iqr FROM ({LI_CLEAN_SQL})"
+    for v in LI_NUMERIC)})""", ["q1", "median", "q3", "iqr"]))
+def q_median_iqr(spark, sf_dir):
+    return rounded(profile.median_iqr(lineitem_cohort(spark, sf_dir), LI_NUMERIC))
+
+
+# --- tests of association -----------------------------------------------------
+
+from cohortkit.spec import CohortSpec  # noqa: E402
+
+LABELS_COHORT = CohortSpec(label="toxic_label", positive="Y", negative="N", categorical=("quality",), id_col="doc_id")
+
+
+def labels_cohort(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select(
+        "doc_id", "quality", F.when(F.col("toxic") == 1, "Y").otherwise("N").alias("toxic_label"))
+
+
+_LABELS_SQL = "SELECT doc_id, quality, CASE WHEN toxic = 1 THEN 'Y' ELSE 'N' END AS toxic_label FROM labels"
+
+
+@register("fisher_exact_test", O.rounded(f"""WITH lb AS ({_LABELS_SQL}), {O.contingency_ctes(LABELS_COHORT, 'lb', ['quality'])}
+    SELECT s.variable, s.a::BIGINT AS a, s.b::BIGINT AS b, s.c_::BIGINT AS c, s.d::BIGINT AS d, fp.p AS p_value
+    FROM shape s JOIN fp USING (variable)""", ["p_value"]))
+def q_fisher(spark, sf_dir):
+    cont = assoc.contingency(labels_cohort(spark, sf_dir), LABELS_COHORT, ["quality"])
+    return rounded(assoc.fisher_exact_test(cont))
+
+
+@register("association_test", O.rounded(f"""WITH lb AS ({_LABELS_SQL}), {O.screen_ctes(LABELS_COHORT, 'lb', ['quality'], [])}
+    SELECT variable, p_value, test_type FROM screen""", ["p_value"]))
+def q_association_test(spark, sf_dir):
+    s = assoc.association_screen(labels_cohort(spark, sf_dir), LABELS_COHORT, variables=["quality"])
+    return rounded(s.select("variable", "p_value", "test_type"))
+
+
+@register("sex_crosstab_report", O.rounded(f"""WITH li AS ({LI_CLEAN_SQL}), {O.screen_ctes(LI, 'li', ['l_returnflag'], [])},
+    xt AS (SELECT l_returnflag AS value, l_linestatus AS label, count(*)::BIGINT AS n,
+                  count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY l_returnflag) AS pct
+           FROM li WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY l_returnflag, l_linestatus)
+    SELECT xt.*, screen.p_value, screen.test_type, screen.significance_level FROM xt, screen""", ["pct", "p_value"]))
+def q_sex_crosstab_report(spark, sf_dir):
+    from cohortkit.plans.cohort import categorical_report
+    return rounded(categorical_report(lineitem_cohort(spark, sf_dir), LI, "l_returnflag"))
+
+
+@register("cohens_d", O.rounded(f"""WITH li AS ({LI_CLEAN_SQL}), gs AS ({O.group_stats_sql(LI, 'li', LI_NUMERIC)})
+    SELECT variable, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS cohens_d FROM gs""", ["cohens_d"]))
+def q_cohens_d(spark, sf_dir):
+    prof = profile.describe_by_group(lineitem_cohort(spark, sf_dir), LI, LI_NUMERIC)
+    return rounded(assoc.cohens_d(prof, LI))
+
+
+@register("p_adjust", O.rounded(f"""{_SCREEN_SQL},
+    r AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p_value, variable) AS rk FROM screen WHERE p_value IS NOT NULL)
+    SELECT variable, p_value, test_type, significant, significance_level, least(p_value * m, 1.0) AS p_bonferroni,
+           least(min(p_value * m / rk) OVER (ORDER BY rk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0) AS p_bh
+    FROM r UNION ALL SELECT *, NULL, NULL FROM screen WHERE p_value IS NULL""", ["p_value", "p_bonferroni", "p_bh"]))
+def q_p_adjust(spark, sf_dir):
+    return rounded(assoc.p_adjust(assoc.association_screen(lineitem_cohort(spark, sf_dir), LI)))

@@ -71,3 +71,13 @@ def cohort_report(df: DataFrame, spec: CohortSpec, alpha: float = 0.05) -> dict:
         "significant": screen.filter("significant").select(
             "variable", format_p_value(F.col("p_value")).alias("p_value"), "significance_level", "test_type"),
     }
+
+
+def categorical_report(df: DataFrame, spec: CohortSpec, variable: str, alpha: float = 0.05) -> DataFrame:
+    """Cross-tab of one categorical variable by outcome with row percentages,
+    the association test and its significance marker, as one table."""
+    from cohortkit.operators.profile import crosstab_row_pct
+    ct = crosstab_row_pct(df, variable, spec.label)
+    screen = association_screen(df, spec, alpha, variables=[variable])
+    # the screen has exactly one row: a bounded broadcast
+    return ct.crossJoin(F.broadcast(screen.select("p_value", "test_type", "significance_level")))

@@ -73,6 +73,9 @@ def group_stats_sql(spec: CohortSpec, rel: str, variables) -> str:
         var_samp({q(v)}) FILTER (WHERE {y} = {pos}) AS v1,
         count({q(v)}) FILTER (WHERE {y} = {neg}) AS n2, avg({q(v)}) FILTER (WHERE {y} = {neg}) AS m2,
         var_samp({q(v)}) FILTER (WHERE {y} = {neg}) AS v2 FROM {rel}""" for v in variables]
+    if not parts:
+        return ("SELECT NULL::VARCHAR AS variable, 0::BIGINT AS n1, 0.0 AS m1, 0.0 AS v1, "
+                "0::BIGINT AS n2, 0.0 AS m2, 0.0 AS v2 WHERE false")
     return " UNION ALL ".join(parts)
 
 
