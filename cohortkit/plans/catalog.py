@@ -414,3 +414,89 @@ def q_cohens_d(spark, sf_dir):
     FROM r UNION ALL SELECT *, NULL, NULL FROM screen WHERE p_value IS NULL""", ["p_value", "p_bonferroni", "p_bh"]))
 def q_p_adjust(spark, sf_dir):
     return rounded(assoc.p_adjust(assoc.association_screen(lineitem_cohort(spark, sf_dir), LI)))
+
+
+# --- split, folds, encoding ---------------------------------------------------
+
+from cohortkit.functions.hashing import hash_hex_sql  # noqa: E402
+from cohortkit.operators import split as S  # noqa: E402
+
+
+def _split_sql(table_: str, label: str, key: str, seed: int = 42, test_size_num: int = 1, test_size_den: int = 3) -> str:
+    return f"""(WITH c AS (SELECT {label} AS lab, count(*)::BIGINT AS n FROM {table_} GROUP BY ALL),
+      t AS (SELECT sum(n)::BIGINT AS total,
+                   sum(n)::BIGINT - ceil(sum(n)::DOUBLE * ({test_size_num}::DOUBLE / {test_size_den}::DOUBLE))::BIGINT AS n_train FROM c),
+      a AS (SELECT c.lab, c.n, (c.n * t.n_train) // t.total AS base, (c.n * t.n_train) % t.total AS rem, t.n_train FROM c, t),
+      b AS (SELECT lab, n, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, lab) <= n_train - sum(base) OVER () THEN 1 ELSE 0 END AS k_train FROM a),
+      r AS (SELECT src.*, row_number() OVER (PARTITION BY {label} ORDER BY {hash_hex_sql(seed, key)}, {key}) AS rk FROM {table_} AS src)
+    SELECT r.* EXCLUDE (rk), CASE WHEN r.rk <= b.n - b.k_train THEN 'test' ELSE 'train' END AS split
+    FROM r JOIN b ON r.{label} = b.lab)"""
+
+
+def _kfold_sql(rel: str, label: str, key: str, k: int = 10, seed: int = 42) -> str:
+    return f"""(WITH c AS (SELECT {label} AS lab, count(*) AS n FROM {rel} GROUP BY ALL),
+      o AS (SELECT lab, coalesce(sum(n) OVER (ORDER BY lab ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM c),
+      r AS (SELECT x.*, row_number() OVER (PARTITION BY {label} ORDER BY {hash_hex_sql(seed, "'fold'", key)}, {key}) AS rk FROM {rel} x)
+    SELECT r.* EXCLUDE (rk), ((o.off + r.rk - 1) % {k})::INTEGER AS fold FROM r JOIN o ON r.{label} = o.lab)"""
+
+
+def orders_split(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return S.stratified_split(o, "o_orderstatus", "o_orderkey", 1 / 3, 42)
+
+
+_ORDERS_SPLIT_SQL = _split_sql("(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders)", "o_orderstatus", "o_orderkey")
+
+
+@register("stratified_split", O.rounded(f"SELECT * FROM {_ORDERS_SPLIT_SQL}", ["o_totalprice"]))
+def q_stratified_split(spark, sf_dir):
+    return rounded(orders_split(spark, sf_dir))
+
+
+@register("stratified_kfold", f"""SELECT o_orderkey, o_orderstatus, fold FROM
+    {_kfold_sql(f"(SELECT * FROM {_ORDERS_SPLIT_SQL} WHERE split = 'train')", 'o_orderstatus', 'o_orderkey')}""")
+def q_stratified_kfold(spark, sf_dir):
+    train = orders_split(spark, sf_dir).filter(F.col("split") == "train")
+    return S.stratified_kfold(train, "o_orderstatus", "o_orderkey", 10, 42).select("o_orderkey", "o_orderstatus", "fold")
+
+
+@register("fold_sizes", f"""SELECT fold, o_orderstatus, count(*)::BIGINT AS n FROM
+    {_kfold_sql(f"(SELECT * FROM {_ORDERS_SPLIT_SQL} WHERE split = 'train')", 'o_orderstatus', 'o_orderkey')} GROUP BY ALL""")
+def q_fold_sizes(spark, sf_dir):
+    folds = q_stratified_kfold(spark, sf_dir)
+    return folds.groupBy("fold", "o_orderstatus").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+@register("label_encode", """SELECT o_orderkey, o_orderstatus, (dense_rank() OVER (ORDER BY o_orderstatus) - 1)::INTEGER AS label_code FROM orders""")
+def q_label_encode(spark, sf_dir):
+    sp = orders_split(spark, sf_dir)
+    model = S.label_encoder(sp.filter("split = 'train'"), sp.filter("split = 'test'"), "o_orderstatus")
+    return S.label_encode(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), model)
+
+
+@register("label_map", "SELECT o_orderstatus AS label, (row_number() OVER (ORDER BY o_orderstatus) - 1)::INTEGER AS code FROM (SELECT DISTINCT o_orderstatus FROM orders)")
+def q_label_map(spark, sf_dir):
+    sp = orders_split(spark, sf_dir)
+    model = S.label_encoder(sp.filter("split = 'train'"), sp.filter("split = 'test'"), "o_orderstatus")
+    return S.label_map(model)
+
+
+@register("union_distinct_labels", "SELECT DISTINCT o_orderstatus AS label FROM orders")
+def q_union_distinct_labels(spark, sf_dir):
+    sp = orders_split(spark, sf_dir)
+    return S.union_distinct_labels(sp.filter("split = 'train'"), sp.filter("split = 'test'"), "o_orderstatus")
+
+
+@register("separate_target", "SELECT o_orderkey, o_custkey, o_totalprice, split FROM " + _ORDERS_SPLIT_SQL)
+def q_separate_target(spark, sf_dir):
+    features, _ = S.separate_target(orders_split(spark, sf_dir), "o_orderstatus")
+    return features
+
+
+@register("temporal_split", """WITH n AS (SELECT count(*) AS n FROM events),
+    o AS (SELECT ts, row_number() OVER (ORDER BY ts) AS rn FROM events),
+    cut AS (SELECT o.ts FROM o, n WHERE o.rn = n.n - ceil(n.n::DOUBLE * (1::DOUBLE / 3::DOUBLE))::BIGINT + 1)
+    SELECT e.event_id, CASE WHEN e.ts < cut.ts THEN 'train' ELSE 'test' END AS split FROM events e, cut""")
+def q_temporal_split(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", "ts")
+    return S.temporal_split(ev, "ts", 1 / 3).select("event_id", "split")
