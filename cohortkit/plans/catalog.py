@@ -500,3 +500,71 @@ def q_separate_target(spark, sf_dir):
 def q_temporal_split(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("event_id", "ts")
     return S.temporal_split(ev, "ts", 1 / 3).select("event_id", "split")
+
+
+# --- numeric features ----------------------------------------------------------
+
+from cohortkit.operators import features as FE  # noqa: E402
+
+ORDERS_RANGES = {"o_totalprice": (10000, 400000)}
+_ORDERS_CLEAN_SPLIT_SQL = f"""(SELECT o_orderkey, o_custkey::DOUBLE AS o_custkey, o_orderstatus, split,
+    CASE WHEN o_totalprice >= 10000.0 AND o_totalprice <= 400000.0 THEN o_totalprice END AS o_totalprice
+    FROM {_ORDERS_SPLIT_SQL})"""
+
+
+def orders_clean_split(spark, sf_dir):
+    sp = orders_split(spark, sf_dir).withColumn("o_custkey", F.col("o_custkey").cast("double"))
+    return clean.range_clean(sp, ORDERS_RANGES)
+
+
+@register("zscore_fit_transform", O.rounded(f"""WITH d AS {_ORDERS_CLEAN_SPLIT_SQL},
+    st AS (SELECT avg(o_totalprice) AS m1, stddev_pop(o_totalprice) AS s1, avg(o_custkey) AS m2, stddev_pop(o_custkey) AS s2
+           FROM d WHERE split = 'train')
+    SELECT o_orderkey, split, (o_totalprice - m1) / CASE WHEN s1 > 0 THEN s1 ELSE 1.0 END AS o_totalprice,
+           (o_custkey - m2) / CASE WHEN s2 > 0 THEN s2 ELSE 1.0 END AS o_custkey FROM d, st""", ["o_totalprice", "o_custkey"]))
+def q_zscore(spark, sf_dir):
+    d = orders_clean_split(spark, sf_dir).select("o_orderkey", "split", "o_totalprice", "o_custkey")
+    scaler = FE.fit_zscore(d.filter("split = 'train'"), ["o_totalprice", "o_custkey"])
+    return rounded(scaler.transform(d))
+
+
+@register("median_impute", O.rounded(f"""WITH d AS {_ORDERS_CLEAN_SPLIT_SQL},
+    st AS (SELECT quantile_cont(o_totalprice, 0.5) AS med FROM d WHERE split = 'train')
+    SELECT o_orderkey, split, coalesce(o_totalprice, med) AS o_totalprice FROM d, st""", ["o_totalprice"]))
+def q_median_impute(spark, sf_dir):
+    d = orders_clean_split(spark, sf_dir).select("o_orderkey", "split", "o_totalprice")
+    imp, _ = FE.fit_median_imputer(d.filter("split = 'train'"), ["o_totalprice"])
+    return rounded(imp.transform(d))
+
+
+@register("has_missing", f"""SELECT split, bool_or(o_totalprice IS NULL) AS has_missing FROM {_ORDERS_CLEAN_SPLIT_SQL} GROUP BY ALL""")
+def q_has_missing(spark, sf_dir):
+    d = orders_clean_split(spark, sf_dir)
+    return d.groupBy("split").agg(F.max(F.col("o_totalprice").isNull()).alias("has_missing"))
+
+
+@register("assemble_features", O.rounded("""SELECT doc_id, pos, value FROM (
+    SELECT l.doc_id, unnest([l.quality::DOUBLE, l.toxic::DOUBLE, d.n_chars::DOUBLE]) AS value,
+           unnest([0, 1, 2]) AS pos FROM labels l JOIN documents d USING (doc_id))""", ["value"]))
+def q_assemble(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double"), F.col("toxic").cast("double"))
+    doc = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double"))
+    out = FE.assemble_features({"labels": lab, "documents": doc}, "doc_id", "features", ["quality", "toxic", "n_chars"])
+    return rounded(out.select("doc_id", F.posexplode(vector_to_array("features")).alias("pos", "value")))
+
+
+@register("left_join_with_default", O.rounded(f"""WITH li AS ({LI_CLEAN_SQL}), {O.screen_ctes(LI, 'li', LI_VARS, LI_NUMERIC)},
+    prof AS ({O.profile_sql(LI, 'li', LI_NUMERIC, LI_VARS)})
+    SELECT p.variable, coalesce(s.p_value, 1.0) AS p_value, coalesce(s.test_type, 'untested') AS test_type
+    FROM (SELECT DISTINCT variable FROM prof) p LEFT JOIN (SELECT * FROM screen WHERE test_type <> 'fisher-exact') s USING (variable)""",
+    ["p_value"]))
+def q_left_join_default(spark, sf_dir):
+    df = lineitem_cohort(spark, sf_dir)
+    prof = profile.describe_by_group(df, LI)
+    screen = assoc.association_screen(df, LI, profile=prof).filter(F.col("test_type") != assoc.TEST_FISHER)
+    names = prof.select("variable").distinct()
+    # the screen is one row per variable: bounded broadcast
+    j = names.join(F.broadcast(screen), "variable", "left")
+    return rounded(j.select("variable", F.coalesce("p_value", F.lit(1.0)).alias("p_value"),
+                            F.coalesce("test_type", F.lit("untested")).alias("test_type")))
