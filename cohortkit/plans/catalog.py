@@ -568,3 +568,167 @@ def q_left_join_default(spark, sf_dir):
     j = names.join(F.broadcast(screen), "variable", "left")
     return rounded(j.select("variable", F.coalesce("p_value", F.lit(1.0)).alias("p_value"),
                             F.coalesce("test_type", F.lit("untested")).alias("test_type")))
+
+
+# --- evaluation on a study-shaped predictions table ----------------------------
+# Every train row of orders is scored once per (feature set, model) in its CV
+# fold, every test row once in the hold-out; scores are md5-derived so both
+# engines build the same table. Label: o_orderstatus = 'F'.
+
+from cohortkit.operators import evaluate as EV  # noqa: E402
+from cohortkit.operators.features import FEATURE_SETS  # noqa: E402
+
+_SETS = list(FEATURE_SETS)
+_MODELS = list(EV.MODEL_ORDER)
+
+
+def study_predictions(spark, sf_dir, seed: int = 42):
+    sp = orders_split(spark, sf_dir)
+    train = S.stratified_kfold(sp.filter(F.col("split") == "train"), "o_orderstatus", "o_orderkey", 10, 42)
+    test = sp.filter(F.col("split") == "test").withColumn("fold", F.lit(-1))
+    rows = train.unionByName(test)
+    cfg = F.array(*[F.struct(F.lit(fs).alias("feature_set"), F.lit(m).alias("model"), F.lit(mi).alias("mi"))
+                    for fs in _SETS for mi, m in enumerate(_MODELS)])
+    x = rows.select(F.col("o_orderkey").alias("row_id"), "split", "fold",
+                    (F.col("o_orderstatus") == "F").cast("int").alias("label"), F.inline(cfg))
+    u = uniform(seed, F.col("feature_set"), F.col("model"), F.col("row_id"))
+    raw = F.lit(0.7) * u + F.lit(0.3) * F.col("label").cast("double") * (F.col("mi") + 1).cast("double") / F.lit(7.0)
+    score = F.floor(raw * F.lit(1000.0)).cast("double") / F.lit(1000.0)
+    return x.withColumn("score", score).withColumn("pred", (F.col("score") >= 0.5).cast("int")).drop("mi")
+
+
+def _pred_sql(seed: int = 42) -> str:
+    sets = ", ".join(f"({O.lit(fs)})" for fs in _SETS)
+    models = ", ".join(f"({O.lit(m)}, {i})" for i, m in enumerate(_MODELS))
+    rows = f"""(SELECT o_orderkey, o_orderstatus, split, fold FROM
+        {_kfold_sql(f"(SELECT * FROM {_ORDERS_SPLIT_SQL} WHERE split = 'train')", 'o_orderstatus', 'o_orderkey')}
+        UNION ALL SELECT o_orderkey, o_orderstatus, split, -1 AS fold FROM {_ORDERS_SPLIT_SQL} WHERE split = 'test')"""
+    u = uniform_sql(seed, "fs.feature_set", "ms.model", "r.o_orderkey")
+    raw = (f"0.7::DOUBLE * {u} + 0.3::DOUBLE * (r.o_orderstatus = 'F')::INTEGER::DOUBLE * "
+           f"(ms.mi + 1)::DOUBLE / 7.0::DOUBLE")
+    return f"""(SELECT fs.feature_set, ms.model, r.split, r.fold, r.o_orderkey AS row_id,
+                  (r.o_orderstatus = 'F')::INTEGER AS label,
+                  floor(({raw}) * 1000.0::DOUBLE) / 1000.0::DOUBLE AS score
+           FROM {rows} r, (VALUES {sets}) fs(feature_set), (VALUES {models}) ms(model, mi))"""
+
+
+def _pred_full_sql(seed: int = 42) -> str:
+    return f"(SELECT *, (score >= 0.5)::INTEGER AS pred FROM {_pred_sql(seed)})"
+
+
+_G = "feature_set, model, split, fold"
+
+
+def _auc_sql(pred: str) -> str:
+    return f"""(WITH dist AS (SELECT {_G}, score, count(*) FILTER (WHERE label = 1) AS pos,
+                               count(*) FILTER (WHERE label = 0) AS neg FROM {pred} GROUP BY ALL),
+         c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY {_G} ORDER BY score
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM dist)
+    SELECT {_G}, CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+                      THEN sum(pos * (nb + 0.5 * neg)) / (sum(pos) * sum(neg))::DOUBLE END AS AUC
+    FROM c GROUP BY ALL)"""
+
+
+def _prf_sql(pred: str) -> str:
+    return f"""(WITH c AS (SELECT {_G}, count(*) FILTER (WHERE pred = 1 AND label = 1) AS tp,
+                    count(*) FILTER (WHERE pred = 1 AND label = 0) AS fp, count(*) FILTER (WHERE pred = 0 AND label = 1) AS fn,
+                    count(*) FILTER (WHERE pred = 0 AND label = 0) AS tn FROM {pred} GROUP BY ALL)
+    SELECT {_G}, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0.0) AS precision,
+           coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0.0) AS recall,
+           coalesce(2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 0.0) AS f1,
+           (tp + tn)::DOUBLE / nullif(tp + tn + fp + fn, 0) AS accuracy FROM c)"""
+
+
+def _fold_metrics_sql(seed: int = 42) -> str:
+    p = _pred_full_sql(seed)
+    return f"(SELECT * FROM {_auc_sql(p)} JOIN {_prf_sql(p)} USING (feature_set, model, split, fold))"
+
+
+@register("predict_score", O.rounded(f"SELECT * FROM {_pred_full_sql()}", ["score"]))
+def q_predict_score(spark, sf_dir):
+    return rounded(study_predictions(spark, sf_dir))
+
+
+@register("metric_auc", O.rounded(f"SELECT * FROM {_auc_sql(_pred_full_sql())}", ["AUC"]))
+def q_metric_auc(spark, sf_dir):
+    return rounded(EV.roc_auc(study_predictions(spark, sf_dir)))
+
+
+@register("metric_precision_recall_f1", O.rounded(f"SELECT * FROM {_prf_sql(_pred_full_sql())}",
+                                                  ["precision", "recall", "f1", "accuracy"]))
+def q_metric_prf(spark, sf_dir):
+    return rounded(EV.classification_metrics(study_predictions(spark, sf_dir)))
+
+
+def _cv_sql(seed=42) -> str:
+    aggs = ", ".join(f"avg({m}) AS {m}_mean, stddev_pop({m}) AS {m}_std" for m in EV.METRICS)
+    return f"(SELECT feature_set, model, {aggs} FROM {_fold_metrics_sql(seed)} WHERE split = 'train' GROUP BY ALL)"
+
+
+_CV_COLS = [f"{m}_{s}" for m in EV.METRICS for s in ("mean", "std")]
+
+
+def study_fold_metrics(spark, sf_dir, seed=42):
+    return EV.evaluate(study_predictions(spark, sf_dir, seed))
+
+
+def study_cv(spark, sf_dir, seed=42):
+    return EV.cv_aggregate(study_fold_metrics(spark, sf_dir, seed).filter(F.col("split") == "train"))
+
+
+def study_test(spark, sf_dir, seed=42):
+    return EV.evaluate(study_predictions(spark, sf_dir, seed).filter(F.col("split") == "test"),
+                       ["feature_set", "model"])
+
+
+def _test_sql(seed=42) -> str:
+    p = f"(SELECT * FROM {_pred_full_sql(seed)} WHERE split = 'test')"
+    return f"""(SELECT feature_set, model, AUC, precision, recall, f1, accuracy FROM {_auc_sql(p)}
+               JOIN {_prf_sql(p)} USING (feature_set, model, split, fold))"""
+
+
+@register("cv_aggregate", O.rounded(f"SELECT * FROM {_cv_sql()}", _CV_COLS))
+def q_cv_aggregate(spark, sf_dir):
+    return rounded(study_cv(spark, sf_dir))
+
+
+@register("holdout_evaluate", O.rounded(f"SELECT * FROM {_test_sql()}", ["AUC", "precision", "recall", "f1", "accuracy"]))
+def q_holdout(spark, sf_dir):
+    return rounded(study_test(spark, sf_dir))
+
+
+@register("best_model", O.rounded(f"""SELECT feature_set, model, AUC_mean FROM (
+    SELECT *, row_number() OVER (PARTITION BY feature_set ORDER BY AUC_mean DESC NULLS LAST,
+        list_position({[m for m in _MODELS]}, model)) AS rn FROM {_cv_sql()}) WHERE rn = 1""", ["AUC_mean"]))
+def q_best_model(spark, sf_dir):
+    return rounded(EV.best_model(study_cv(spark, sf_dir), "AUC_mean").select("feature_set", "model", "AUC_mean"))
+
+
+@register("cv_summary_table", f"""SELECT feature_set, model, {', '.join(
+    f"printf('%.3f ± %.3f', {m}_mean, {m}_std) AS {m}" for m in EV.METRICS)} FROM {_cv_sql()}""")
+def q_cv_summary(spark, sf_dir):
+    return EV.cv_summary_table(study_cv(spark, sf_dir))
+
+
+@register("round_metrics", O.rounded(f"""SELECT feature_set, model, {', '.join(
+    f"round({m}, 4) AS {m}" for m in EV.METRICS)} FROM {_test_sql()}""", list(EV.METRICS)))
+def q_round_metrics(spark, sf_dir):
+    return rounded(EV.test_summary_table(study_test(spark, sf_dir)))
+
+
+@register("ablation_cross_join", O.rounded(f"""WITH g AS (SELECT * FROM (VALUES {', '.join(f"({O.lit(fs)}, {i})" for i, fs in enumerate(_SETS + ['unknown-set']))}) s(feature_set, set_order),
+    (VALUES {', '.join(f"({O.lit(m)}, {j})" for j, m in enumerate(_MODELS))}) m(model, model_order))
+    SELECT g.*, t.AUC, t.precision, t.recall, t.f1, t.accuracy,
+           CASE WHEN t.AUC IS NOT NULL THEN 'ok' ELSE 'failed' END AS status
+    FROM g LEFT JOIN {_test_sql()} t USING (feature_set, model)""", ["AUC", "precision", "recall", "f1", "accuracy"]))
+def q_ablation(spark, sf_dir):
+    grid = EV.run_grid(_SETS + ["unknown-set"], _MODELS)
+    return rounded(EV.with_status(grid, study_test(spark, sf_dir)))
+
+
+@register("compare_studies", O.rounded(f"""SELECT feature_set, model, {', '.join(
+    f"b.{m} AS {m}_base, o.{m} AS {m}_opt, o.{m} - b.{m} AS {m}_delta" for m in EV.METRICS)}
+    FROM {_test_sql(42)} b FULL OUTER JOIN {_test_sql(43)} o USING (feature_set, model)""",
+    [f"{m}_{s}" for m in EV.METRICS for s in ("base", "opt", "delta")]))
+def q_compare_studies(spark, sf_dir):
+    return rounded(EV.compare_studies(study_test(spark, sf_dir, 42), study_test(spark, sf_dir, 43)))
