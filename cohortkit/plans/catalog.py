@@ -7,7 +7,7 @@ summation order does not decide the comparison.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
@@ -278,8 +278,8 @@ def q_pct_ratio(spark, sf_dir):
     from cohortkit.functions.formatting import pct
     o = table(spark, sf_dir, "orders")
     counts = o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    total = o.agg(F.count(F.lit(1)).alias("total"))  # one row: a bounded broadcast
-    return rounded(counts.crossJoin(F.broadcast(total)).select("o_orderstatus", "n", pct(F.col("n"), F.col("total")).alias("pct")))
+    total = F.sum("n").over(Window.partitionBy())  # over the per-class table (one row per class)
+    return rounded(counts.select("o_orderstatus", "n", pct(F.col("n"), total).alias("pct")))
 
 
 # --- profiling ----------------------------------------------------------------
@@ -732,3 +732,71 @@ def q_ablation(spark, sf_dir):
     [f"{m}_{s}" for m in EV.METRICS for s in ("base", "opt", "delta")]))
 def q_compare_studies(spark, sf_dir):
     return rounded(EV.compare_studies(study_test(spark, sf_dir, 42), study_test(spark, sf_dir, 43)))
+
+
+# --- rebalancing on embeddings (label 0 = minority class 1) ---------------------
+
+from cohortkit.operators import balance as BA  # noqa: E402
+
+_EMB_SQL = "(SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, (label = 0)::INTEGER AS y FROM embeddings)"
+
+
+def embeddings_binary(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"),
+                    (F.col("label") == 0).cast("int").alias("y"))
+
+
+def _knn_sql(rel: str, k: int) -> str:
+    return f"""(SELECT id, nn_id, dist, nn_rank FROM (
+        SELECT a.id, b.id AS nn_id, list_distance(a.v, b.v) AS dist,
+               row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS nn_rank
+        FROM {rel} a JOIN {rel} b ON a.id <> b.id) WHERE nn_rank <= {k})"""
+
+
+@register("knn_exact", "SELECT id, nn_id, nn_rank FROM " + _knn_sql(f"(SELECT * FROM {_EMB_SQL} WHERE y = 1)", BA.SMOTE_K))
+def q_knn(spark, sf_dir):
+    m = embeddings_binary(spark, sf_dir).filter("y = 1")
+    return BA.knn(m, "id", "v", BA.SMOTE_K).select("id", "nn_id", "nn_rank")
+
+
+@register("tomek_links", f"""WITH nn AS {_knn_sql(_EMB_SQL, 1)}, e AS {_EMB_SQL}
+    SELECT a.id AS a_id, b.id AS b_id FROM nn a JOIN nn b ON a.nn_id = b.id AND b.nn_id = a.id
+    JOIN e ea ON ea.id = a.id JOIN e eb ON eb.id = b.id WHERE ea.y <> eb.y AND a.id < b.id""")
+def q_tomek(spark, sf_dir):
+    return BA.tomek_links(embeddings_binary(spark, sf_dir), "id", "v", "y")
+
+
+def _smote_sql(seed: int = 42, k: int = BA.SMOTE_K) -> str:
+    return f"""WITH e AS {_EMB_SQL}, m AS (SELECT * FROM e WHERE y = 1),
+    c AS (SELECT count(*) FILTER (WHERE y = 1) AS n_min, count(*) FILTER (WHERE y = 0) - count(*) FILTER (WHERE y = 1) AS n_syn FROM e),
+    nn AS {_knn_sql('m', k)},
+    rk AS (SELECT id AS base_id, v AS x, row_number() OVER (ORDER BY {hash_hex_sql(seed, 'id')}, id) AS base_rank FROM m),
+    s AS (SELECT g.i, (g.i % c.n_min) + 1 AS base_rank,
+                 (('0x' || substr({hash_hex_sql(seed, "'nn'", 'g.i')}, 1, 8))::BIGINT % {k}) + 1 AS nn_rank,
+                 {uniform_sql(seed, "'u'", 'g.i')} AS u
+          FROM c, generate_series(0, c.n_syn - 1) AS g(i)),
+    j AS (SELECT s.i, s.u, rk.base_id, rk.x, nn.nn_id, mm.v AS yv FROM s JOIN rk USING (base_rank)
+          JOIN nn ON nn.id = rk.base_id AND nn.nn_rank = s.nn_rank JOIN m mm ON mm.id = nn.nn_id)"""
+
+
+@register("smote_oversample", O.rounded(f"""{_smote_sql()}
+    SELECT -(j.i + 1) AS id, j.base_id, j.nn_id, j.u, p.pos - 1 AS pos, j.x[p.pos] + j.u * (j.yv[p.pos] - j.x[p.pos]) AS value
+    FROM j, generate_series(1, len(j.x)) AS p(pos)""", ["u", "value"]))
+def q_smote(spark, sf_dir):
+    syn = BA.smote_oversample(embeddings_binary(spark, sf_dir), "id", "v", "y", minority=1)
+    return rounded(syn.select("id", "base_id", "nn_id", "u", F.posexplode("v").alias("pos", "value")))
+
+
+@register("class_balance_after_smote", f"""{_smote_sql()}
+    SELECT y AS label, count(*)::BIGINT AS n FROM (SELECT y FROM e UNION ALL SELECT 1 AS y FROM j) GROUP BY ALL""")
+def q_class_balance_after(spark, sf_dir):
+    res = BA.smote_resample(embeddings_binary(spark, sf_dir), "id", "v", "y", minority=1)
+    return profile.class_balance(res, "y")
+
+
+@register("class_weight_balanced", O.rounded("""SELECT doc_id, toxic, count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY toxic)) AS weight
+    FROM labels""", ["weight"]))
+def q_class_weight(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return rounded(BA.class_weight_balanced(lab, "toxic"))

@@ -80,4 +80,6 @@ def categorical_report(df: DataFrame, spec: CohortSpec, variable: str, alpha: fl
     ct = crosstab_row_pct(df, variable, spec.label)
     screen = association_screen(df, spec, alpha, variables=[variable])
     # the screen has exactly one row: a bounded broadcast
-    return ct.crossJoin(F.broadcast(screen.select("p_value", "test_type", "significance_level")))
+    return (ct.withColumn("variable", F.lit(variable))
+            .join(F.broadcast(screen.select("variable", "p_value", "test_type", "significance_level")), "variable")
+            .drop("variable"))
