@@ -800,3 +800,82 @@ def q_class_balance_after(spark, sf_dir):
 def q_class_weight(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return rounded(BA.class_weight_balanced(lab, "toxic"))
+
+
+# --- feature importance on the lineitem cohort --------------------------------
+
+from cohortkit.functions.special import t_two_sided_sql  # noqa: E402
+from cohortkit.operators import importance as IM  # noqa: E402
+
+
+def _mi_sql() -> str:
+    parts = " UNION ALL ".join(f"""SELECT '{v}' AS variable, l_linestatus AS y,
+        CASE WHEN r.hi{i} = r.lo{i} THEN 0 ELSE least(floor(({v} - r.lo{i}) / (r.hi{i} - r.lo{i}) * 10), 9) END AS bin
+        FROM li, r WHERE {v} IS NOT NULL""" for i, v in enumerate(LI_NUMERIC))
+    ranges = ", ".join(f"min({v}) AS lo{i}, max({v}) AS hi{i}" for i, v in enumerate(LI_NUMERIC))
+    return f"""WITH li AS (SELECT * FROM ({LI_CLEAN_SQL}) WHERE l_linestatus IN ('F', 'O')),
+      r AS (SELECT {ranges} FROM li),
+      cells AS (SELECT variable, bin, y, count(*) AS n FROM ({parts}) GROUP BY ALL),
+      c AS (SELECT *, sum(n) OVER (PARTITION BY variable) AS nn, sum(n) OVER (PARTITION BY variable, bin) AS nb,
+                   sum(n) OVER (PARTITION BY variable, y) AS ny FROM cells)
+    SELECT variable, sum((n / nn) * ln((n * nn) / (nb * ny))) AS mutual_information FROM c GROUP BY variable"""
+
+
+@register("importance_mutual_information", O.rounded(_mi_sql(), ["mutual_information"]))
+def q_mi(spark, sf_dir):
+    return rounded(IM.mutual_information(lineitem_cohort(spark, sf_dir), LI, LI_NUMERIC))
+
+
+def _f_sql() -> str:
+    return f"""WITH li AS ({LI_CLEAN_SQL}), gs AS ({O.group_stats_sql(LI, 'li', LI_NUMERIC)}),
+      f AS (SELECT variable, n1 + n2 AS n,
+              (n1 * power(m1 - (n1 * m1 + n2 * m2) / (n1 + n2), 2) + n2 * power(m2 - (n1 * m1 + n2 * m2) / (n1 + n2), 2))
+              / ((n1 - 1) * v1 + (n2 - 1) * v2) * (n1 + n2 - 2) AS f_statistic FROM gs),
+      ft AS (SELECT variable, sqrt(f_statistic) AS t, (n - 2)::DOUBLE AS dof FROM f),
+      fp AS {t_two_sided_sql('ft', 'variable', 't', 'dof')}
+    SELECT f.variable, f.f_statistic, fp.p AS f_p_value FROM f JOIN fp USING (variable)"""
+
+
+@register("importance_f_statistic", O.rounded(_f_sql(), ["f_statistic", "f_p_value"]))
+def q_f_stat(spark, sf_dir):
+    prof = profile.describe_by_group(lineitem_cohort(spark, sf_dir), LI, LI_NUMERIC)
+    return rounded(IM.f_statistic(prof, LI))
+
+
+def _corr_sql() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{v}' AS variable, corr({v}, y) AS r, count({v}) AS n FROM li" for v in LI_NUMERIC)
+    return f"""WITH li AS (SELECT *, CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END AS y FROM ({LI_CLEAN_SQL})
+                        WHERE l_linestatus IN ('F', 'O')),
+      c AS ({parts}),
+      ct AS (SELECT variable, r * sqrt((n - 2.0) / (1.0 - r * r)) AS t, (n - 2)::DOUBLE AS dof FROM c),
+      cp AS {t_two_sided_sql('ct', 'variable', 't', 'dof')}
+    SELECT c.variable, c.r AS correlation, cp.p AS corr_p_value FROM c JOIN cp USING (variable)"""
+
+
+@register("importance_correlation", O.rounded(_corr_sql(), ["correlation", "corr_p_value"]))
+def q_corr(spark, sf_dir):
+    return rounded(IM.correlation(lineitem_cohort(spark, sf_dir), LI, LI_NUMERIC))
+
+
+@register("importance_comparison", O.rounded(f"""WITH mi AS ({_mi_sql()}), fs AS ({_f_sql()}), co AS ({_corr_sql()})
+    SELECT variable, 0.0::DOUBLE AS rf_importance, coalesce(mutual_information, 0.0) AS mutual_information,
+           coalesce(f_statistic, 0.0) AS f_statistic, coalesce(correlation, 0.0) AS correlation,
+           coalesce(f_p_value, 1.0) AS f_p_value, coalesce(corr_p_value, 1.0) AS corr_p_value
+    FROM mi LEFT JOIN fs USING (variable) LEFT JOIN co USING (variable)""",
+    ["rf_importance", "mutual_information", "f_statistic", "correlation", "f_p_value", "corr_p_value"]))
+def q_importance_comparison(spark, sf_dir):
+    return rounded(IM.importance_table(lineitem_cohort(spark, sf_dir), LI, LI_NUMERIC))
+
+
+@register("rank_features", O.rounded(f"""SELECT variable, mutual_information,
+    row_number() OVER (ORDER BY mutual_information DESC, variable) AS rank FROM ({_mi_sql()})""", ["mutual_information"]))
+def q_rank_features(spark, sf_dir):
+    return rounded(IM.rank_features(IM.mutual_information(lineitem_cohort(spark, sf_dir), LI, LI_NUMERIC),
+                                    "mutual_information"))
+
+
+@register("importance_dataset_info", f"""SELECT count(*)::BIGINT AS n_rows, count(*) FILTER (WHERE l_linestatus = 'F')::BIGINT AS n_positive,
+    round(count(*) FILTER (WHERE l_linestatus = 'F') * 100.0 / count(*), 2) AS positive_pct, {len(LI_NUMERIC)} AS n_features FROM lineitem""")
+def q_dataset_info(spark, sf_dir):
+    return IM.dataset_info(lineitem_cohort(spark, sf_dir), LI, len(LI_NUMERIC))
