@@ -879,3 +879,123 @@ def q_rank_features(spark, sf_dir):
     round(count(*) FILTER (WHERE l_linestatus = 'F') * 100.0 / count(*), 2) AS positive_pct, {len(LI_NUMERIC)} AS n_features FROM lineitem""")
 def q_dataset_info(spark, sf_dir):
     return IM.dataset_info(lineitem_cohort(spark, sf_dir), LI, len(LI_NUMERIC))
+
+
+# --- models, study, persistence (invariant checks only: no SQL oracle) --------
+
+from cohortkit.operators import reduce as RD  # noqa: E402
+from cohortkit.operators import text as TX  # noqa: E402
+
+
+def _study(spark, sf_dir, variant="optimised"):
+    from cohortkit.plans import study as ST
+    cfg = ST.StudyConfig(variant=variant)
+    tab = ST.document_study_table(spark, sf_dir)
+    feats, _, _ = ST.prepare_features(tab, cfg)
+    return ST, cfg, feats.cache()
+
+
+def _model_query(name):
+    def q(spark, sf_dir):
+        ST, cfg, feats = _study(spark, sf_dir)
+        counts = ST.fold_class_counts(feats)
+        m = ST.fit_pipeline(feats.filter("split = 'train'"), "a-y", name, cfg, counts.get(-1))
+        return ST._predict(m, feats.filter("split = 'test'"), "a-y", name, "test", -1)
+    q.__name__ = f"q_model_{name.lower()}"
+    return q
+
+
+for _m in EV.MODEL_ORDER:
+    register(f"model_{_m.lower()}")(_model_query(_m))
+
+
+@register("cross_validate_fold")
+def q_cross_validate_fold(spark, sf_dir):
+    """10 fold fits + refit of LR on the structured set; fold metrics."""
+    ST, cfg, feats = _study(spark, sf_dir)
+    cfg.feature_sets, cfg.models = ["a-x"], ["LR"]
+    import uuid
+    from cohortkit.session import stage_path
+    out_dir = stage_path(spark, "queries", "cv", uuid.uuid4().hex[:8])
+    cfg.out_dir = out_dir
+    counts = ST.fold_class_counts(feats)
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=cfg.threads) as pool:
+        list(pool.map(lambda f: ST.run_fit(spark, feats, "a-x", "LR", f, cfg, out_dir, False, counts),
+                      [*range(cfg.n_folds), -1]))
+    preds = spark.read.parquet(f"{out_dir}/predictions")
+    return EV.evaluate(preds.withColumn("feature_set", F.lit("a-x")).withColumn("fold", F.col("fold").cast("int")))
+
+
+@register("batch_score")
+def q_batch_score(spark, sf_dir):
+    """Fit, save, load and score: the loaded pipeline must reproduce the scores."""
+    from cohortkit.session import stage_path
+    import uuid
+    ST, cfg, feats = _study(spark, sf_dir)
+    counts = ST.fold_class_counts(feats)
+    m = ST.fit_pipeline(feats.filter("split = 'train'"), "a-x,z", "LR", cfg, counts.get(-1))
+    path = stage_path(spark, "queries", "models", uuid.uuid4().hex[:8], "a_x_z_LR")
+    m.write().overwrite().save(path)
+    test = feats.filter("split = 'test'")
+    return ST.batch_score(spark, path, test).select("row_id", "label", "pred", "score")
+
+
+@register("importance_random_forest")
+def q_rf_importance(spark, sf_dir):
+    from pyspark.ml.classification import RandomForestClassifier
+    df = lineitem_cohort(spark, sf_dir)
+    imp, kept = FE.fit_median_imputer(df, LI_NUMERIC)
+    x = FE.assembler(kept).transform(imp.transform(df)).withColumn(
+        "label", (F.col(LI.label) == LI.positive).cast("double"))
+    rf = RandomForestClassifier(numTrees=50, maxDepth=10, featureSubsetStrategy="sqrt", seed=42).fit(x)
+    return IM.random_forest_importance(rf, kept)
+
+
+@register("pca_reduce")
+def q_pca_reduce(spark, sf_dir):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    e = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    model, _ = RD.fit_pca(e, "v", "pca", RD.PCA_COMPONENTS)
+    return model.transform(e).select("vec_id", F.posexplode(vector_to_array("pca")).alias("component", "value"))
+
+
+@register("explained_variance")
+def q_explained_variance(spark, sf_dir):
+    from pyspark.ml.functions import array_to_vector
+    e = table(spark, sf_dir, "embeddings").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    _, var = RD.fit_pca(e, "v", "pca", RD.PCA_COMPONENTS)
+    n = e.count()
+    return spark.createDataFrame([("embedding", RD.PCA_COMPONENTS, var, n)],
+                                 "feature string, n_components int, variance_ratio double, n_rows bigint")
+
+
+@register("pca_report")
+def q_pca_report(spark, sf_dir):
+    """PCA of both text columns of the study (fit on train, applied to both splits)."""
+    from cohortkit.plans import study as ST
+    tab = ST.document_study_table(spark, sf_dir)
+    train, test = tab.filter("split = 'train'"), tab.filter("split = 'test'")
+    cfgs = []
+    for col in ST.TEXT_COLUMNS:
+        enc = TX.fit_text_encoder(train, col, f"{col}_vec")
+        cfgs.append({"name": col, "train": enc.transform(train), "test": enc.transform(test),
+                     "input_col": f"{col}_vec", "k": RD.PCA_COMPONENTS})
+    return RD.pca_report(RD.pca_batch(cfgs))
+
+
+@register("embed_text")
+def q_embed_text(spark, sf_dir):
+    """Whole-text hashing/IDF vectors of documents: width and non-zero count per row."""
+    from pyspark.ml.functions import vector_to_array
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = TX.embed_text(d, "text", "vec")
+    arr = vector_to_array("vec")
+    return out.select("doc_id", F.size(arr).alias("width"),
+                      F.size(F.filter(arr, lambda x: x != 0)).alias("non_zero"))
+
+
+@register("smote_tomek")
+def q_smote_tomek(spark, sf_dir):
+    res = BA.smote_tomek(embeddings_binary(spark, sf_dir), "id", "v", "y", minority=1)
+    return profile.class_balance(res, "y")
