@@ -8,8 +8,10 @@ of 2,156 small ones.
 ROC AUC is the exact rank statistic with ties counted one half:
 AUC = sum over positives of (#negatives scored lower + 0.5 * #negatives tied)
 / (P * N). The running count of negatives is a prefix sum; to avoid one task
-per group, scores are cut into ~256 quantile buckets per group, bucket totals
-are prefix-summed on a small table, and the window runs inside a bucket only.
+per very large group, its distinct scores are cut into order-preserving
+buckets (global approximate quantiles; the cut points only balance work,
+exactness does not depend on them), bucket totals are prefix-summed on a
+small table, and the window runs inside a (group, bucket) only.
 """
 
 from __future__ import annotations
@@ -51,23 +53,40 @@ def classification_metrics(pred: DataFrame, group_cols=GROUP, label: str = "labe
 
 
 def roc_auc(pred: DataFrame, group_cols=GROUP, label: str = "label", score: str = "score",
-            n_buckets: int = 256) -> DataFrame:
-    """Exact ROC AUC per group (NULL when a group has a single class)."""
+            max_group_scores: int | None = None, bucket_rows: int = 100_000) -> DataFrame:
+    """Exact ROC AUC per group (NULL when a group has a single class).
+
+    ``max_group_scores``: largest number of distinct scores in one group, when
+    known (otherwise one aggregate job measures it). Groups up to
+    ``bucket_rows`` distinct scores use one window partition each; larger ones
+    are split into order-preserving buckets.
+    """
     g = list(group_cols)
-    dist = pred.groupBy(*g, F.col(score).alias("__s")).agg(
+    dist = pred.groupBy(*g, F.col(score).cast("double").alias("__s")).agg(
         F.count_if(F.col(label) == 1).alias("__pos"), F.count_if(F.col(label) == 0).alias("__neg"))
-    qs = [i / n_buckets for i in range(1, n_buckets)]
-    # one array of n_buckets-1 cut points per group: groups are a config grid
-    bounds = dist.groupBy(*g).agg(F.percentile_approx("__s", qs, 10000).alias("__b"))
-    d2 = dist.join(F.broadcast(bounds), g).withColumn(
-        "__bk", F.size(F.filter(F.col("__b"), lambda b: b < F.col("__s")))).drop("__b")
-    per = d2.groupBy(*g, "__bk").agg(F.sum("__neg").alias("__bn"))
-    wb = Window.partitionBy(*g).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = per.withColumn("__before", F.coalesce(F.sum("__bn").over(wb), F.lit(0))).drop("__bn")
-    d3 = d2.join(F.broadcast(prefix), [*g, "__bk"])
-    wi = Window.partitionBy(*g, "__bk").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.col("__before") + F.coalesce(F.sum("__neg").over(wi), F.lit(0))
-    d4 = d3.withColumn("__contrib", F.col("__pos") * (below + 0.5 * F.col("__neg")))
+    if max_group_scores is None:
+        sizes = dist.groupBy(*g).count().agg(F.max("count")).first()[0]  # one row per group, reduced to one
+        max_group_scores = int(sizes or 0)
+    n_buckets = int(min(4096, max(1, -(-max_group_scores // bucket_rows))))
+    if n_buckets == 1:
+        w = Window.partitionBy(*g).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+        d4 = dist.withColumn("__contrib", F.col("__pos") * (F.coalesce(F.sum("__neg").over(w), F.lit(0))
+                                                             + 0.5 * F.col("__neg")))
+    else:
+        from pyspark.ml.feature import Bucketizer
+        # order-preserving buckets from global quantiles of the distinct scores:
+        # at most n_buckets - 1 cut points reach the driver
+        cuts = dist.approxQuantile("__s", [i / n_buckets for i in range(1, n_buckets)], 1.0 / n_buckets)
+        splits = [float("-inf"), *sorted(set(c for c in cuts if c == c)), float("inf")]
+        d2 = Bucketizer(splits=splits, inputCol="__s", outputCol="__bk", handleInvalid="keep").transform(dist)
+        per = d2.groupBy(*g, "__bk").agg(F.sum("__neg").alias("__bn"))
+        wb = Window.partitionBy(*g).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
+        prefix = per.withColumn("__before", F.coalesce(F.sum("__bn").over(wb), F.lit(0))).drop("__bn")
+        # prefix: groups x n_buckets rows, and n_buckets only grows with group size
+        d3 = d2.join(F.broadcast(prefix), [*g, "__bk"])
+        wi = Window.partitionBy(*g, "__bk").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+        below = F.col("__before") + F.coalesce(F.sum("__neg").over(wi), F.lit(0))
+        d4 = d3.withColumn("__contrib", F.col("__pos") * (below + 0.5 * F.col("__neg")))
     res = d4.groupBy(*g).agg(F.sum("__contrib").alias("__c"), F.sum("__pos").alias("__p"), F.sum("__neg").alias("__n"))
     ok = (F.col("__p") > 0) & (F.col("__n") > 0)
     return res.select(*g, F.when(ok, F.col("__c") / (F.col("__p") * F.col("__n")).cast("double")).alias("AUC"))

@@ -168,7 +168,7 @@ def distinct_count(df: DataFrame, variables, limit: int = 2 * CATEGORICAL_MAX_DI
     schema = "variable string, n_distinct bigint, above_limit boolean"
     if not variables:
         return spark.createDataFrame([], schema)
-    approx_row = df.agg(*[F.approx_count_distinct(qcol(c), 0.01).alias(f"d{i}")
+    approx_row = df.agg(*[F.approx_count_distinct(qcol(c), 0.05).alias(f"d{i}")
                           for i, c in enumerate(variables)]).first()  # one row of p numbers
     approx = {c: int(approx_row[f"d{i}"]) for i, c in enumerate(variables)}
     candidates = [c for c in variables if approx[c] <= 2 * limit]
