@@ -999,3 +999,22 @@ def q_embed_text(spark, sf_dir):
 def q_smote_tomek(spark, sf_dir):
     res = BA.smote_tomek(embeddings_binary(spark, sf_dir), "id", "v", "y", minority=1)
     return profile.class_balance(res, "y")
+
+
+# --- stage hand-off ------------------------------------------------------------
+
+@register("read_feature_table", O.rounded(f"""WITH d AS {_ORDERS_CLEAN_SPLIT_SQL},
+    st AS (SELECT avg(o_totalprice) AS m1, stddev_pop(o_totalprice) AS s1 FROM d WHERE split = 'train')
+    SELECT o_orderkey, split, (o_totalprice - m1) / CASE WHEN s1 > 0 THEN s1 ELSE 1.0 END AS o_totalprice FROM d, st""",
+    ["o_totalprice"]))
+def q_feature_table_roundtrip(spark, sf_dir):
+    """Scaled features written partitioned by split to the stage folder, then read back."""
+    import uuid
+    from cohortkit.session import stage_path
+    from cohortkit.sources import read_feature_table, write_feature_table
+    d = orders_clean_split(spark, sf_dir).select("o_orderkey", "split", "o_totalprice")
+    scaled = FE.fit_zscore(d.filter("split = 'train'"), ["o_totalprice"]).transform(d)
+    path = stage_path(spark, "queries", "features", uuid.uuid4().hex[:8])
+    write_feature_table(scaled, path, key="o_orderkey")
+    return rounded(read_feature_table(spark, path, required=["o_orderkey", "o_totalprice"])
+                   .select("o_orderkey", "split", "o_totalprice"))

@@ -60,3 +60,20 @@ def test_dash_names(spark):
     df = spark.createDataFrame([(1, "0.05")], "id int, `T-Bil` string")
     out = clean.clean_cohort(df, CohortSpec(label="y", numeric=("T-Bil",), ranges={"T-Bil": (0.1, 50)}, id_col="id"))
     assert out.select(F.col("`T-Bil`")).first()[0] is None
+
+
+def test_read_sheet_csv_tokens(spark, tmp_path):
+    p = tmp_path / "sheet.csv"
+    p.write_text("AGE,SEX,chief\n,1,NA\nN/A,0,fever\n 42,1,n/a\n")
+    from cohortkit.sources import read_sheet
+    rows = read_sheet(spark, str(p), columns=["AGE", "SEX", "chief"]).collect()
+    assert rows[0].AGE is None and rows[0].chief is None
+    assert rows[1].AGE is None and rows[1].chief == "fever"
+    assert rows[2].AGE == " 42" and rows[2].chief is None
+
+
+def test_missing_stage_table_is_clear(spark, tmp_path):
+    import pytest
+    from cohortkit.sources import read_feature_table
+    with pytest.raises(FileNotFoundError):
+        read_feature_table(spark, str(tmp_path / "absent"))

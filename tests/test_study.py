@@ -30,3 +30,16 @@ def test_tiny_study_end_to_end(spark):
     saved = preds.filter("feature_set = 'a-x' AND model = 'LR' AND split = 'test'")
     j = scored.select("row_id", F.col("score").alias("s1")).join(saved.select("row_id", F.col("score").alias("s2")), "row_id")
     assert j.filter(F.abs(F.col("s1") - F.col("s2")) > 1e-9).count() == 0 and j.count() == n_test
+
+
+def test_retrain_drivers_write_stage_tables(spark):
+    import os
+    from cohortkit.plans.retrain import pipeline_balanced_retrain
+    out = tempfile.mkdtemp(prefix="cohortkit-retrain-")
+    res = pipeline_balanced_retrain(spark, SF001, out, threads=4, feature_sets=["z"], models=["SGD"])
+    assert res["test_results"].first().status == "ok"
+    for name in ("labels/labels", "labels/encoder", "results/cv_results", "results/test_results",
+                 "results/class_ratio", "results/pca_report"):
+        assert os.path.exists(os.path.join(out, name)), name
+    codes = {r.y: r.label_code for r in spark.read.parquet(os.path.join(out, "labels/labels")).select("y", "label_code").distinct().collect()}
+    assert codes == {"N": 0, "Y": 1}
