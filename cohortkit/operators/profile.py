@@ -68,14 +68,54 @@ def describe_by_group(df: DataFrame, spec: CohortSpec, variables=None) -> DataFr
     """The profile for all rows and for each outcome group, in one scan.
 
     Groups: 'all', spec.positive, spec.negative (absent groups yield no rows).
+    The scan is a plain GROUP BY label (no Expand of the input); the 'all' row
+    is merged from the per-label sufficient statistics (count, mean, M2 with
+    the parallel-variance formula) on the tiny grouped table.
     """
     variables = list(variables or spec.variables)
-    label = qcol(spec.label)
-    wide = (df.withColumn("__label", label).rollup("__label")
-            .agg(F.grouping("__label").alias("__g"), *_stat_aggs(df, variables))
-            .filter((F.col("__g") == 1) | F.col("__label").isin(spec.positive, spec.negative)))
-    grp = F.when(F.col("__g") == 1, F.lit(ALL_GROUP)).otherwise(F.col("__label"))
-    out = _unpivot_stats(wide, variables, grp)
+    numeric = [_is_numeric(df, c) for c in variables]
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    for i, c in enumerate(variables):
+        x = qcol(c).cast("double") if numeric[i] else qcol(c)
+        aggs.append(F.count(x).alias(f"ct{i}"))
+        if numeric[i]:
+            aggs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"), F.avg(x).alias(f"av{i}"),
+                     (F.var_pop(x) * F.count(x)).alias(f"m2{i}")]
+    per_label = df.groupBy(qcol(spec.label).alias("__label")).agg(*aggs)
+    # per_label has one row per label value (a binary outcome plus NULL): the
+    # windows below run on that tiny table, in the same pipeline as the scan
+    everything = Window.partitionBy()
+    t = per_label.withColumn("__rn", F.row_number().over(Window.orderBy(F.col("__label").asc_nulls_first())))
+    t = t.withColumn("__tn", F.sum("__n").over(everything))
+    for i, _ in enumerate(variables):
+        t = t.withColumn(f"tct{i}", F.sum(f"ct{i}").over(everything))
+        if numeric[i]:
+            t = t.withColumn(f"tav{i}", F.sum(F.col(f"ct{i}") * F.col(f"av{i}")).over(everything) / F.col(f"tct{i}"))
+            t = (t.withColumn(f"tmn{i}", F.min(f"mn{i}").over(everything))
+                  .withColumn(f"tmx{i}", F.max(f"mx{i}").over(everything))
+                  .withColumn(f"tm2{i}", F.sum(F.col(f"m2{i}") + F.coalesce(
+                      F.col(f"ct{i}") * F.pow(F.col(f"av{i}") - F.col(f"tav{i}"), 2), F.lit(0.0))).over(everything)))
+
+    def row(kind, i, c, p):
+        n, ct = F.col("__tn" if p == "t" else "__n"), F.col(f"{p}ct{i}")
+        if numeric[i]:
+            mn, mx, av = F.col(f"{p}mn{i}"), F.col(f"{p}mx{i}"), F.col(f"{p}av{i}")
+            sd = F.when(ct > 1, F.sqrt(F.try_divide(F.col(f"{p}m2{i}"), (ct - 1).cast("double"))))
+        else:
+            mn = mx = av = sd = F.lit(None).cast("double")
+        return F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("ord"), F.lit(c).alias("variable"),
+                        mn.alias("min"), mx.alias("max"), av.alias("mean"), sd.alias("std"),
+                        ct.cast("bigint").alias("count"), (n - ct).cast("bigint").alias("missing"),
+                        F.try_divide((n - ct) * 100.0, n.cast("double")).alias("missing_ratio"))
+
+    own = [row(0, i, c, "") for i, c in enumerate(variables)]
+    tot = [row(1, i, c, "t") for i, c in enumerate(variables)]
+    out = (t.select("__label", "__rn", F.inline(F.array(*own, *tot)))
+           .filter(((F.col("kind") == 0) & F.col("__label").isin(spec.positive, spec.negative))
+                   | ((F.col("kind") == 1) & (F.col("__rn") == 1))))
+    grp = F.when(F.col("kind") == 1, F.lit(ALL_GROUP)).otherwise(F.col("__label"))
+    out = out.select(grp.alias("grp"), "ord", "variable", "min", "max", "mean", "std", "count", "missing",
+                     "missing_ratio")
     order = F.when(F.col("grp") == ALL_GROUP, 0).when(F.col("grp") == spec.positive, 1).otherwise(2)
     return out.orderBy(order, "ord").drop("ord")
 
