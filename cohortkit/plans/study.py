@@ -221,7 +221,7 @@ def run_study(spark: SparkSession, study: DataFrame, cfg: StudyConfig, save_mode
     """Run every (feature set, model) job; return result tables."""
     out_dir = cfg.out_dir or stage_path(spark, "study", f"{cfg.variant}-{uuid.uuid4().hex[:8]}")
     feats, stages, report = prepare_features(study, cfg)
-    feats = feats.checkpoint() if cfg.variant == "optimised" else feats.cache()
+    feats = feats.checkpoint()  # cut the encoder/PCA lineage into the shared checkpoint folder
     counts = fold_class_counts(feats)
     jobs = [(fs, m, f) for fs in cfg.feature_sets for m in cfg.models for f in [*range(cfg.n_folds), -1]]
     with ThreadPoolExecutor(max_workers=max(1, cfg.threads)) as pool:
