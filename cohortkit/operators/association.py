@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from cohortkit.functions.formatting import significance_stars
 from cohortkit.functions.special import chi2_sf_udf, fisher_udf, t_two_sided_udf
-from cohortkit.operators.profile import ALL_GROUP, describe_by_group, long_values, variable_kind
-from cohortkit.spec import CohortSpec
+from cohortkit.operators.profile import ALL_GROUP, describe_by_group, long_values  # noqa: F401
+from cohortkit.spec import CATEGORICAL_MAX_DISTINCT, CohortSpec
 
 TEST_T = "t-test"
 TEST_FISHER = "fisher-exact"
@@ -131,23 +131,47 @@ def association_screen(df: DataFrame, spec: CohortSpec, alpha: float = 0.05, var
     (Fisher when the table is 2 x 2 and some observed cell < 5, else
     chi-square); other numeric columns -> Welch t-test; remaining columns ->
     chi-square. Variables without any value are skipped.
+
+    Scans: one aggregate (HyperLogLog screen + non-null counts), one grouped
+    (variable, value, label) count for the low-cardinality / non-numeric
+    candidates, which also yields their exact distinct counts, and the grouped
+    profile for the t-tests. Only per-variable numbers reach the driver.
     Schema: variable, p_value, test_type, significant, significance_level.
     """
+    from pyspark.sql.types import NumericType
     variables = list(variables or spec.variables)
-    prof = profile if profile is not None else describe_by_group(df, spec, variables)
-    present = prof.filter((F.col("grp") == ALL_GROUP) & (F.col("count") > 0)).select("variable")
-    kinds = variable_kind(df, spec, variables).join(present, "variable")
-    kind_rows = {r["variable"]: r["kind"] for r in kinds.collect()}  # <= one row per variable
-    t_vars = [v for v in variables if kind_rows.get(v) == "numeric"]
-    c_vars = [v for v in variables if kind_rows.get(v) in ("categorical", "other")]
+    limit = 2 * CATEGORICAL_MAX_DISTINCT
+    screen = df.agg(*[F.approx_count_distinct(F.col(f"`{v}`"), 0.05).alias(f"d{i}") for i, v in enumerate(variables)],
+                    *[F.count(F.col(f"`{v}`")).alias(f"n{i}") for i, v in enumerate(variables)]).first()
+    present = [v for i, v in enumerate(variables) if screen[f"n{i}"] > 0]
+    numeric = {v for v in variables if isinstance(df.schema[v].dataType, NumericType)}
+    forced = set(spec.categorical)
+    candidates = [v for i, v in enumerate(variables) if v in present and
+                  (v in forced or v not in numeric or screen[f"d{i}"] <= 2 * limit)]
+    kinds = {v: "numeric" for v in present if v not in candidates}
+    cont = None
+    if candidates:
+        lv = long_values(df, candidates, extra=(spec.label,))
+        cont_all = lv.groupBy("variable", "value", F.col(spec.label).alias("label")) \
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n")).cache()  # bounded by candidate values x labels
+        nd = {r["variable"]: r["k"] for r in cont_all.groupBy("variable")
+              .agg(F.count_distinct("value").alias("k")).collect()}  # one row per candidate
+        for v in candidates:
+            k = nd.get(v, 0)
+            if v in forced or 2 <= k <= CATEGORICAL_MAX_DISTINCT:
+                kinds[v] = "categorical"
+            else:
+                kinds[v] = "numeric" if v in numeric else "other"
+        cont = cont_all.filter(F.col("label").isin(spec.positive, spec.negative))
+    t_vars = [v for v in variables if kinds.get(v) == "numeric"]
+    c_vars = [v for v in variables if kinds.get(v) in ("categorical", "other")]
     parts = []
     if t_vars:
+        prof = profile if profile is not None else describe_by_group(df, spec, t_vars)
         w = welch_from_profile(prof.filter(F.col("variable").isin(t_vars)), spec)
         parts.append(w.select("variable", "p_value", F.lit(TEST_T).alias("test_type")))
     if c_vars:
-        cont = contingency(df.filter(F.col(spec.label).isin(spec.positive, spec.negative)), spec, c_vars)
-        cont = cont.cache()
-        shape = _table_shape(cont)
+        shape = _table_shape(cont.filter(F.col("variable").isin(c_vars)))
         use_fisher = (F.col("min_cell") < FISHER_MIN_CELL) & (F.col("r") == 2) & (F.col("c") == 2)
         tested = shape.select(
             "variable",

@@ -92,10 +92,10 @@ def roc_auc(pred: DataFrame, group_cols=GROUP, label: str = "label", score: str
     return res.select(*g, F.when(ok, F.col("__c") / (F.col("__p") * F.col("__n")).cast("double")).alias("AUC"))
 
 
-def evaluate(pred: DataFrame, group_cols=GROUP) -> DataFrame:
+def evaluate(pred: DataFrame, group_cols=GROUP, max_group_scores: int | None = None) -> DataFrame:
     """AUC, precision, recall, f1, accuracy per group."""
     g = list(group_cols)
-    return roc_auc(pred, g).join(classification_metrics(pred, g), g)
+    return roc_auc(pred, g, max_group_scores=max_group_scores).join(classification_metrics(pred, g), g)
 
 
 def cv_aggregate(fold_metrics: DataFrame, by=("feature_set", "model"), metrics=METRICS) -> DataFrame:

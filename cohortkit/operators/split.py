@@ -74,18 +74,25 @@ def class_counts(df: DataFrame, label: str) -> dict:
     return {r[0]: int(r[1]) for r in df.groupBy(qcol(label)).count().collect()}
 
 
+def split_sizes(counts: dict, test_size: float = 1 / 3) -> tuple[dict, dict]:
+    """(train counts, test counts) per class for an exact stratified split."""
+    n = sum(counts.values())
+    n_test = int(math.ceil(n * test_size))
+    train = _largest_remainder(counts, n - n_test)
+    return train, {c: counts[c] - train[c] for c in counts}
+
+
 def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 1 / 3, seed: int = 42,
-                     split_col: str = "split") -> DataFrame:
+                     split_col: str = "split", counts: dict | None = None) -> DataFrame:
     """Label-stratified train/test split with exact sizes.
 
     test = ceil(n * test_size); per-class train counts by largest remainder;
-    within a class the lowest md5(seed|key) rows go to test.
+    within a class the lowest md5(seed|key) rows go to test. ``counts``: class
+    counts when already known (saves a job).
     """
-    counts = class_counts(df, label)
+    counts = counts if counts is not None else class_counts(df, label)
     n = sum(counts.values())
-    n_test = int(math.ceil(n * test_size))
-    train = _largest_remainder(counts, n - n_test)
-    k_test = {c: counts[c] - train[c] for c in counts}
+    _, k_test = split_sizes(counts, test_size)
     hexed = df.withColumn("__h", hash_hex(seed, qcol(key)))
     ranked = hashed_rank(hexed, [label], "__h", key, n_rows=n, n_groups=len(counts), rank_col="__rk")
     quota = F.create_map(*[x for c, k in k_test.items() if c is not None for x in (F.lit(c), F.lit(k))])
@@ -94,14 +101,15 @@ def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 1 /
 
 
 def stratified_kfold(df: DataFrame, label: str, key: str, k: int = 10, seed: int = 42,
-                     fold_col: str = "fold") -> DataFrame:
+                     fold_col: str = "fold", counts: dict | None = None) -> DataFrame:
     """k folds, balanced by class and size.
 
     Class c occupies positions [offset_c, offset_c + n_c) of the label-sorted
     order and position i belongs to fold i mod k; members of a class are
-    shuffled by md5(seed|fold|key) before taking their positions.
+    shuffled by md5(seed|fold|key) before taking their positions. ``counts``:
+    class counts of ``df`` when already known (saves a job).
     """
-    counts = class_counts(df, label)
+    counts = counts if counts is not None else class_counts(df, label)
     classes = sorted([c for c in counts if c is not None])
     offset, acc = {}, 0
     for c in classes:
