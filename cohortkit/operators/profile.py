@@ -85,16 +85,19 @@ def describe_by_group(df: DataFrame, spec: CohortSpec, variables=None) -> DataFr
     # per_label has one row per label value (a binary outcome plus NULL): the
     # windows below run on that tiny table, in the same pipeline as the scan
     everything = Window.partitionBy()
-    t = per_label.withColumn("__rn", F.row_number().over(Window.orderBy(F.col("__label").asc_nulls_first())))
-    t = t.withColumn("__tn", F.sum("__n").over(everything))
+    first = [F.row_number().over(Window.orderBy(F.col("__label").asc_nulls_first())).alias("__rn"),
+             F.sum("__n").over(everything).alias("__tn")]
     for i, _ in enumerate(variables):
-        t = t.withColumn(f"tct{i}", F.sum(f"ct{i}").over(everything))
+        first.append(F.sum(f"ct{i}").over(everything).alias(f"tct{i}"))
         if numeric[i]:
-            t = t.withColumn(f"tav{i}", F.sum(F.col(f"ct{i}") * F.col(f"av{i}")).over(everything) / F.col(f"tct{i}"))
-            t = (t.withColumn(f"tmn{i}", F.min(f"mn{i}").over(everything))
-                  .withColumn(f"tmx{i}", F.max(f"mx{i}").over(everything))
-                  .withColumn(f"tm2{i}", F.sum(F.col(f"m2{i}") + F.coalesce(
-                      F.col(f"ct{i}") * F.pow(F.col(f"av{i}") - F.col(f"tav{i}"), 2), F.lit(0.0))).over(everything)))
+            first += [(F.sum(F.col(f"ct{i}") * F.col(f"av{i}")).over(everything)
+                       / F.sum(f"ct{i}").over(everything)).alias(f"tav{i}"),
+                      F.min(f"mn{i}").over(everything).alias(f"tmn{i}"),
+                      F.max(f"mx{i}").over(everything).alias(f"tmx{i}")]
+    t = per_label.select("*", *first)
+    t = t.select("*", *[F.sum(F.col(f"m2{i}") + F.coalesce(F.col(f"ct{i}") * F.pow(F.col(f"av{i}") - F.col(f"tav{i}"), 2),
+                                                          F.lit(0.0))).over(everything).alias(f"tm2{i}")
+                        for i, _ in enumerate(variables) if numeric[i]])
 
     def row(kind, i, c, p):
         n, ct = F.col("__tn" if p == "t" else "__n"), F.col(f"{p}ct{i}")
