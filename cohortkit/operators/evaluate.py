@@ -52,18 +52,14 @@ def classification_metrics(pred: DataFrame, group_cols=GROUP, label: str = "labe
                     F.try_divide((tp + tn).cast("double"), (tp + tn + fp + fn).cast("double")).alias("accuracy"))
 
 
-def roc_auc(pred: DataFrame, group_cols=GROUP, label: str = "label", score: str = "score",
-            max_group_scores: int | None = None, bucket_rows: int = 100_000) -> DataFrame:
-    """Exact ROC AUC per group (NULL when a group has a single class).
-
-    ``max_group_scores``: largest number of distinct scores in one group, when
-    known (otherwise one aggregate job measures it). Groups up to
-    ``bucket_rows`` distinct scores use one window partition each; larger ones
-    are split into order-preserving buckets.
-    """
-    g = list(group_cols)
-    dist = pred.groupBy(*g, F.col(score).cast("double").alias("__s")).agg(
+def _score_counts(pred: DataFrame, g: list, label: str, score: str, extra=()) -> DataFrame:
+    """Positives / negatives per (group, distinct score[, extra]): the only
+    pass over the predictions; combined map-side."""
+    return pred.groupBy(*g, F.col(score).cast("double").alias("__s"), *extra).agg(
         F.count_if(F.col(label) == 1).alias("__pos"), F.count_if(F.col(label) == 0).alias("__neg"))
+
+
+def _auc_from_counts(dist: DataFrame, g: list, max_group_scores: int | None, bucket_rows: int) -> DataFrame:
     if max_group_scores is None:
         sizes = dist.groupBy(*g).count().agg(F.max("count")).first()[0]  # one row per group, reduced to one
         max_group_scores = int(sizes or 0)
@@ -92,10 +88,39 @@ def roc_auc(pred: DataFrame, group_cols=GROUP, label: str = "label", score: str
     return res.select(*g, F.when(ok, F.col("__c") / (F.col("__p") * F.col("__n")).cast("double")).alias("AUC"))
 
 
-def evaluate(pred: DataFrame, group_cols=GROUP, max_group_scores: int | None = None) -> DataFrame:
-    """AUC, precision, recall, f1, accuracy per group."""
+def roc_auc(pred: DataFrame, group_cols=GROUP, label: str = "label", score: str = "score",
+            max_group_scores: int | None = None, bucket_rows: int = 100_000) -> DataFrame:
+    """Exact ROC AUC per group (NULL when a group has a single class).
+
+    ``max_group_scores``: largest number of distinct scores in one group, when
+    known (otherwise one aggregate job measures it). Groups up to
+    ``bucket_rows`` distinct scores use one window partition each; larger ones
+    are split into order-preserving buckets.
+    """
+    g = list(group_cols)
+    return _auc_from_counts(_score_counts(pred, g, label, score), g, max_group_scores, bucket_rows)
+
+
+def evaluate(pred: DataFrame, group_cols=GROUP, max_group_scores: int | None = None, label: str = "label",
+             score: str = "score", pred_col: str = "pred", bucket_rows: int = 100_000) -> DataFrame:
+    """AUC, precision, recall, f1, accuracy per group from one pass over the
+    predictions: counts per (group, score, predicted class) feed both the
+    confusion matrix and the rank statistic."""
     g = list(group_cols)
-    return roc_auc(pred, g, max_group_scores=max_group_scores).join(classification_metrics(pred, g), g)
+    sp = _score_counts(pred, g, label, score, extra=(F.col(pred_col).alias("__pred"),))
+    dist = sp.groupBy(*g, "__s").agg(F.sum("__pos").alias("__pos"), F.sum("__neg").alias("__neg"))
+    auc = _auc_from_counts(dist, g, max_group_scores, bucket_rows)
+    yes, no = F.col("__pred") == 1, F.col("__pred") == 0
+    conf = sp.groupBy(*g).agg(
+        F.sum(F.when(yes, F.col("__pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(yes, F.col("__neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(no, F.col("__pos")).otherwise(0)).alias("fn"),
+        F.sum(F.when(no, F.col("__neg")).otherwise(0)).alias("tn"))
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    metrics = conf.select(*g, _zero_div(tp, tp + fp).alias("precision"), _zero_div(tp, tp + fn).alias("recall"),
+                          _zero_div(2 * tp, 2 * tp + fp + fn).alias("f1"),
+                          F.try_divide((tp + tn).cast("double"), (tp + tn + fp + fn).cast("double")).alias("accuracy"))
+    return auc.join(metrics, g)
 
 
 def cv_aggregate(fold_metrics: DataFrame, by=("feature_set", "model"), metrics=METRICS) -> DataFrame:
