@@ -55,6 +55,8 @@ class StudyConfig:
     use_smote: bool = False            # optimised study: SMOTE+Tomek on text-only sets
     threads: int = 8
     out_dir: str | None = None         # predictions / models folder (default: checkpoint dir)
+    fit_scope: str = "train"           # 'train': encoders/PCA/scaler fitted once on the training split
+                                       # (the reference); 'fold': refitted on each fold's training rows
 
 
 def document_study_table(spark: SparkSession, sf_dir: str, seed: int = 42, k: int = 10) -> DataFrame:
@@ -192,15 +194,31 @@ def fold_class_counts(feats: DataFrame) -> dict:
     return res
 
 
+def fold_features(study: DataFrame, fold: int, cfg: StudyConfig) -> DataFrame:
+    """Features for one fold with every fitted stage fitted on that fold's
+    training rows only: the held-out fold is relabelled so that
+    ``prepare_features`` never sees it while fitting."""
+    if fold < 0:
+        feats, _, _ = prepare_features(study, cfg)
+        return feats
+    relabel = study.withColumn("split", F.when((F.col("split") == "train") & (F.col("fold") == fold), "val")
+                               .otherwise(F.col("split")))
+    feats, _, _ = prepare_features(relabel, cfg)
+    return feats.withColumn("split", F.when(F.col("split") == "val", "train").otherwise(F.col("split")))
+
+
 def run_fit(spark: SparkSession, feats: DataFrame, feature_set: str, model: str, fold: int, cfg: StudyConfig,
-            out_dir: str, save_models: bool = True, counts: dict | None = None) -> str:
+            out_dir: str, save_models: bool = True, counts: dict | None = None,
+            study: DataFrame | None = None) -> str:
     """One fit: fold f (train on the other folds, predict fold f) or the refit
     (fold = -1: train on the whole training split, predict the test split)."""
     counts = counts or {}
-    train = feats.filter("split = 'train'")
     path = f"{out_dir}/predictions/feature_set={_safe(feature_set)}/model={model}/fold={fold}"
     if _done(spark, path):
         return "ok"
+    if cfg.fit_scope == "fold" and study is not None:
+        feats = fold_features(study, fold, cfg)
+    train = feats.filter("split = 'train'")
     try:
         if fold >= 0:
             m = fit_pipeline(train.filter(F.col("fold") != fold), feature_set, model, cfg, counts.get(fold))
@@ -222,11 +240,13 @@ def run_study(spark: SparkSession, study: DataFrame, cfg: StudyConfig, save_mode
     out_dir = cfg.out_dir or stage_path(spark, "study", f"{cfg.variant}-{uuid.uuid4().hex[:8]}")
     feats, stages, report = prepare_features(study, cfg)
     feats = feats.checkpoint()  # cut the encoder/PCA lineage into the shared checkpoint folder
+    if cfg.fit_scope == "fold":
+        study = study.checkpoint()
     counts = fold_class_counts(feats)
     jobs = [(fs, m, f) for fs in cfg.feature_sets for m in cfg.models for f in [*range(cfg.n_folds), -1]]
     with ThreadPoolExecutor(max_workers=max(1, cfg.threads)) as pool:
         fits = list(pool.map(lambda j: (j[0], j[1], run_fit(spark, feats, j[0], j[1], j[2], cfg, out_dir,
-                                                                    save_models, counts)), jobs))
+                                                                    save_models, counts, study)), jobs))
     worst: dict = {}
     for fs, m, st_ in fits:
         if worst.get((fs, m), "ok") == "ok":

@@ -43,3 +43,21 @@ def test_retrain_drivers_write_stage_tables(spark):
         assert os.path.exists(os.path.join(out, name)), name
     codes = {r.y: r.label_code for r in spark.read.parquet(os.path.join(out, "labels/labels")).select("y", "label_code").distinct().collect()}
     assert codes == {"N": 0, "Y": 1}
+
+
+def test_fold_scope_fits_without_the_held_out_fold(spark):
+    tab = ST.document_study_table(spark, SF001, k=3).cache()
+    cfg = ST.StudyConfig(variant="optimised", pca_k=4, fit_scope="fold", text_width=64)
+    f0 = ST.fold_features(tab, 0, cfg)
+    full = ST.fold_features(tab, -1, cfg)
+    # same rows, same splits; the scaler was fitted without fold 0, so values differ
+    assert f0.count() == full.count()
+    assert f0.filter("split = 'test'").count() == full.filter("split = 'test'").count()
+    a = {r.row_id: r.n_chars for r in f0.select("row_id", "n_chars").collect()}
+    b = {r.row_id: r.n_chars for r in full.select("row_id", "n_chars").collect()}
+    assert any(abs(a[k] - b[k]) > 1e-12 for k in a)
+    out = tempfile.mkdtemp(prefix="cohortkit-fold-")
+    cfg2 = ST.StudyConfig(variant="optimised", feature_sets=["a-y"], models=["SGD"], n_folds=3, pca_k=4,
+                          fit_scope="fold", text_width=64, threads=4, out_dir=out)
+    res = ST.run_study(spark, tab, cfg2)
+    assert res["cv_results"].first().status == "ok"
