@@ -37,16 +37,20 @@ def _as_double_array(df: DataFrame, vec_col: str) -> DataFrame:
 
 
 def knn(df: DataFrame, id_col: str, vec_col: str, k: int, reference: DataFrame | None = None,
-        block_rows: int = 2048, exclude_self: bool = True) -> DataFrame:
+        block_rows: int | None = None, exclude_self: bool = True) -> DataFrame:
     """Exact k nearest neighbours (squared Euclidean) of every row of ``df``
     among ``reference`` (default: ``df`` itself).
 
+    ``block_rows`` defaults to max(2048, 32 * sqrt(n)): every row is replicated
+    once per block, so the shuffle grows as n * B = n^1.5 / 32 instead of n^2,
+    while a task holds two blocks of vectors and a chunk of distances.
     Schema: id, nn_id, dist, nn_rank (1..k; ties by neighbour id).
     """
     ref = reference if reference is not None else df
     q = _as_double_array(df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), "v")
     r = _as_double_array(ref.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), "v")
     n = max(q.count(), r.count())
+    block_rows = block_rows or max(2048, int(32 * math.sqrt(max(n, 1))))
     nb = max(1, int(math.ceil(n / block_rows)))
     blocks = F.sequence(F.lit(0), F.lit(nb - 1))
     qx = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nb))).withColumn("rb", F.explode(blocks))
