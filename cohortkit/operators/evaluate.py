@@ -64,9 +64,10 @@ def roc_auc(pred: DataFrame, group_cols=GROUP, label: str = "label", score: str
     g = list(group_cols)
     dist = pred.groupBy(*g, F.col(score).cast("double").alias("__s")).agg(
         F.count_if(F.col(label) == 1).alias("__pos"), F.count_if(F.col(label) == 0).alias("__neg"))
+    n_groups = None
     if max_group_scores is None:
-        sizes = dist.groupBy(*g).count().agg(F.max("count")).first()[0]  # one row per group, reduced to one
-        max_group_scores = int(sizes or 0)
+        sizes = dist.groupBy(*g).count().agg(F.max("count"), F.count(F.lit(1))).first()  # reduced to one row
+        max_group_scores, n_groups = int(sizes[0] or 0), int(sizes[1] or 0)
     n_buckets = int(min(4096, max(1, -(-max_group_scores // bucket_rows))))
     if n_buckets == 1:
         w = Window.partitionBy(*g).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
@@ -82,8 +83,10 @@ def roc_auc(pred: DataFrame, group_cols=GROUP, label: str = "label", score: str
         per = d2.groupBy(*g, "__bk").agg(F.sum("__neg").alias("__bn"))
         wb = Window.partitionBy(*g).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
         prefix = per.withColumn("__before", F.coalesce(F.sum("__bn").over(wb), F.lit(0))).drop("__bn")
-        # prefix: groups x n_buckets rows, and n_buckets only grows with group size
-        d3 = d2.join(F.broadcast(prefix), [*g, "__bk"])
+        # prefix: groups x n_buckets rows; broadcast only when that bound is known and small
+        if n_groups is not None and n_groups * n_buckets <= 2_000_000:
+            prefix = F.broadcast(prefix)
+        d3 = d2.join(prefix, [*g, "__bk"])
         wi = Window.partitionBy(*g, "__bk").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
         below = F.col("__before") + F.coalesce(F.sum("__neg").over(wi), F.lit(0))
         d4 = d3.withColumn("__contrib", F.col("__pos") * (below + 0.5 * F.col("__neg")))

@@ -28,6 +28,10 @@ def get_spark(app: str = "cohortkit", master: str | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # ~128 MB input splits and ~64 MB post-shuffle partitions keep tasks in
+        # executor memory at any scale; AQE coalesces the small ones
+        .config("spark.sql.files.maxPartitionBytes", "134217728")
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "67108864")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("COHORTKIT_DRIVER_MEMORY", "16g"))
