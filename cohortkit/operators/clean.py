@@ -102,7 +102,7 @@ def clean_cohort(raw: DataFrame, spec: CohortSpec, tokens=None) -> DataFrame:
     df = read_na_tokens(raw, tokens)
     df = drop_columns_if_present(df, spec.drop)
     numeric = [c for c in df.columns if c not in spec.text and c != spec.label
-               and c != spec.id_col and (c in spec.numeric or c in spec.ranges or c in spec.zero_invalid)]
+               and c != spec.id_col and c not in spec.passthrough]
     df = coerce_numeric(df, numeric)
     return range_clean(df, spec.ranges, spec.zero_invalid)
 

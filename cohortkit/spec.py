@@ -20,6 +20,9 @@ class CohortSpec:
     zero_invalid   columns where 0 is not a plausible value
     drop           columns removed on load when present
     id_col         stable row key (Spark has no row order)
+    passthrough    columns kept as they are on load (keys, string-valued
+                   categoricals); every other non-text column is coerced to
+                   double, as the reference loader does
     """
 
     label: str
@@ -32,6 +35,7 @@ class CohortSpec:
     zero_invalid: tuple = ()
     drop: tuple = ()
     id_col: str | None = "row_id"
+    passthrough: tuple = ()
 
     @property
     def variables(self) -> list[str]:
@@ -107,4 +111,5 @@ LINEITEM_COHORT = CohortSpec(
     zero_invalid=("l_tax",),
     drop=("l_comment", "l_shipdate"),
     id_col=None,
+    passthrough=("l_orderkey", "l_linenumber", "l_returnflag"),
 )

@@ -43,6 +43,7 @@ def test_sheet_to_report(spark, tmp_path):
     cleaned = clean.clean_cohort(raw, SEPSIS_SHEET)
     assert "PCT" not in cleaned.columns and "Hs-CRP" not in cleaned.columns
     assert dict(cleaned.dtypes)["T-Bil"] == "double" and dict(cleaned.dtypes)["chief"] == "string"
+    assert dict(cleaned.dtypes)["SEX"] == "double"  # every non-text column is coerced, as the reference does
     # audit: missing before + removed = missing after, per row and in total
     coerced = clean.coerce_numeric(clean.drop_columns_if_present(raw, SEPSIS_SHEET.drop),
                                    list(SEPSIS_SHEET.numeric) + list(SEPSIS_SHEET.categorical))
@@ -58,4 +59,6 @@ def test_sheet_to_report(spark, tmp_path):
     info = rep["basic_info"].first()
     assert info.total_samples == 240 and info.n_case == 48 and list(info.labels) == ["N", "Y"]
     assert rep["overall_stats"].filter(F.col("variable") == "T-Bil").count() == 1
+    sex = [r for r in summary if r.variable == "SEX"][0]
+    assert sex.total_mean_sd != "no data"
     assert (tmp_path / "out" / "summary").exists()
