@@ -770,7 +770,7 @@ def _knn_sql(rel: str, k: int) -> str:
         FROM {rel} a JOIN {rel} b ON a.id <> b.id) WHERE nn_rank <= {k})"""
 
 
-@register("knn_exact", "SELECT id, nn_id, nn_rank FROM " + _knn_sql(f"(SELECT * FROM {_EMB_SQL} WHERE y = 1)", BA.SMOTE_K))
+@register("knn_exact", "SELECT id, nn_id, nn_rank::INTEGER AS nn_rank FROM " + _knn_sql(f"(SELECT * FROM {_EMB_SQL} WHERE y = 1)", BA.SMOTE_K))
 def q_knn(spark, sf_dir):
     m = embeddings_binary(spark, sf_dir).filter("y = 1")
     return BA.knn(m, "id", "v", BA.SMOTE_K).select("id", "nn_id", "nn_rank")
@@ -797,7 +797,7 @@ def _smote_sql(seed: int = 42, k: int = BA.SMOTE_K) -> str:
 
 
 @register("smote_oversample", O.rounded(f"""{_smote_sql()}
-    SELECT -(j.i + 1) AS id, j.base_id, j.nn_id, j.u, p.pos - 1 AS pos, j.x[p.pos] + j.u * (j.yv[p.pos] - j.x[p.pos]) AS value
+    SELECT -(j.i + 1) AS id, j.base_id, j.nn_id, j.u, (p.pos - 1)::INTEGER AS pos, j.x[p.pos] + j.u * (j.yv[p.pos] - j.x[p.pos]) AS value
     FROM j, generate_series(1, len(j.x)) AS p(pos)""", ["u", "value"]))
 def q_smote(spark, sf_dir):
     syn = BA.smote_oversample(embeddings_binary(spark, sf_dir), "id", "v", "y", minority=1)
@@ -885,7 +885,7 @@ def q_importance_comparison(spark, sf_dir):
 
 
 @register("rank_features", O.rounded(f"""SELECT variable, mutual_information,
-    row_number() OVER (ORDER BY mutual_information DESC, variable) AS rank FROM ({_mi_sql()})""", ["mutual_information"]))
+    (row_number() OVER (ORDER BY mutual_information DESC, variable))::INTEGER AS rank FROM ({_mi_sql()})""", ["mutual_information"]))
 def q_rank_features(spark, sf_dir):
     return rounded(IM.rank_features(IM.mutual_information(lineitem_cohort(spark, sf_dir), LI, LI_NUMERIC),
                                     "mutual_information"))
