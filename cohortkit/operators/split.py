@@ -166,10 +166,20 @@ def temporal_split(df: DataFrame, ts: str, test_size: float = 1 / 3, split_col:
 
 
 def _orderable(df: DataFrame, col: str) -> Column:
-    """Numeric image of a column that preserves order (timestamps as micros)."""
-    if str(df.schema[col].dataType).startswith("Timestamp"):
-        return F.unix_micros(qcol(col).cast("timestamp")).cast("double")
-    return qcol(col).cast("double")
+    """Numeric image of a column that preserves order (timestamps as micros).
+
+    Wall-clock timestamps (NTZ) are rebuilt as UTC instants from their fields,
+    so the session time zone (and its DST gaps) cannot reorder them.
+    """
+    dt = df.schema[col].dataType.typeName()
+    c = qcol(col)
+    if dt == "timestamp_ntz":
+        utc = F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
+                               F.date_part(F.lit("SECOND"), c), F.lit("UTC"))
+        return F.unix_micros(utc).cast("double")
+    if dt == "timestamp":
+        return F.unix_micros(c).cast("double")
+    return c.cast("double")
 
 
 def kth_smallest(df: DataFrame, col: str, k: int, bins: int = 4096, small: int = 10_000):

@@ -53,3 +53,19 @@ def test_label_encoder_sorted(spark):
 def test_kth_smallest_exact(spark):
     df = spark.createDataFrame([(float(v),) for v in [5, 1, 3, 3, 9, 7, 2]], "x double")
     assert [S.kth_smallest(df, "x", k, bins=2, small=2) for k in range(1, 8)] == [1, 2, 3, 3, 5, 7, 9]
+
+
+def test_temporal_split_ntz_independent_of_session_zone(spark):
+    import datetime as dt
+    rows = [(i, dt.datetime(2024, 3, 10, 1, 30) + dt.timedelta(minutes=20 * i)) for i in range(9)]
+    df = spark.createDataFrame(rows, "id int, ts timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        out = {}
+        for tz in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            out[tz] = {r.id: r.split for r in S.temporal_split(df, "ts", 1 / 3).collect()}
+        assert out["UTC"] == out["America/New_York"]
+        assert [out["UTC"][i] for i in range(9)] == ["train"] * 6 + ["test"] * 3
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
