@@ -11,12 +11,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from cohortkit.functions.hashing import hash_hex_sql, uniform, uniform_sql
+from cohortkit.functions.special import t_two_sided_sql
 from cohortkit.operators import association as assoc
+from cohortkit.operators import balance as BA
 from cohortkit.operators import clean, profile
+from cohortkit.operators import evaluate as EV
+from cohortkit.operators import features as FE
+from cohortkit.operators import importance as IM
+from cohortkit.operators import reduce as RD
+from cohortkit.operators import split as S
+from cohortkit.operators import text as TX
+from cohortkit.operators.features import FEATURE_SETS
 from cohortkit.plans import oracle as O
-from cohortkit.functions.hashing import uniform, uniform_sql
 from cohortkit.plans.cohort import cohort_summary
 from cohortkit.spec import LINEITEM_COHORT as LI
+from cohortkit.spec import CohortSpec
 
 DIGITS = 6
 QUERIES: dict = {}
@@ -362,7 +372,6 @@ def q_median_iqr(spark, sf_dir):
 
 # --- tests of association -----------------------------------------------------
 
-from cohortkit.spec import CohortSpec  # noqa: E402
 
 LABELS_COHORT = CohortSpec(label="toxic_label", positive="Y", negative="N", categorical=("quality",), id_col="doc_id")
 
@@ -418,9 +427,6 @@ def q_p_adjust(spark, sf_dir):
 
 # --- split, folds, encoding ---------------------------------------------------
 
-from cohortkit.functions.hashing import hash_hex_sql  # noqa: E402
-from cohortkit.operators import split as S  # noqa: E402
-
 
 def _split_sql(table_: str, label: str, key: str, seed: int = 42, test_size_num: int = 1, test_size_den: int = 3) -> str:
     return f"""(WITH c AS (SELECT {label} AS lab, count(*)::BIGINT AS n FROM {table_} GROUP BY ALL),
@@ -514,7 +520,6 @@ def q_temporal_split(spark, sf_dir):
 
 # --- numeric features ----------------------------------------------------------
 
-from cohortkit.operators import features as FE  # noqa: E402
 
 ORDERS_RANGES = {"o_totalprice": (10000, 400000)}
 _ORDERS_CLEAN_SPLIT_SQL = f"""(SELECT o_orderkey, o_custkey::DOUBLE AS o_custkey, o_orderstatus, split,
@@ -585,8 +590,6 @@ def q_left_join_default(spark, sf_dir):
 # fold, every test row once in the hold-out; scores are md5-derived so both
 # engines build the same table. Label: o_orderstatus = 'F'.
 
-from cohortkit.operators import evaluate as EV  # noqa: E402
-from cohortkit.operators.features import FEATURE_SETS  # noqa: E402
 
 _SETS = list(FEATURE_SETS)
 _MODELS = list(EV.MODEL_ORDER)
@@ -752,7 +755,6 @@ def q_compare_studies(spark, sf_dir):
 
 # --- rebalancing on embeddings (label 0 = minority class 1) ---------------------
 
-from cohortkit.operators import balance as BA  # noqa: E402
 
 _EMB_SQL = "(SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, (label = 0)::INTEGER AS y FROM embeddings)"
 
@@ -820,9 +822,6 @@ def q_class_weight(spark, sf_dir):
 
 # --- feature importance on the lineitem cohort --------------------------------
 
-from cohortkit.functions.special import t_two_sided_sql  # noqa: E402
-from cohortkit.operators import importance as IM  # noqa: E402
-
 
 def _mi_sql() -> str:
     parts = " UNION ALL ".join(f"""SELECT '{v}' AS variable, l_linestatus AS y,
@@ -899,9 +898,6 @@ def q_dataset_info(spark, sf_dir):
 
 # --- models, study, persistence (invariant checks only: no SQL oracle) --------
 
-from cohortkit.operators import reduce as RD  # noqa: E402
-from cohortkit.operators import text as TX  # noqa: E402
-
 
 def _study(spark, sf_dir, variant="optimised"):
     from cohortkit.plans import study as ST
