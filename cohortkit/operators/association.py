@@ -39,25 +39,25 @@ def _table_shape(cont: DataFrame) -> DataFrame:
     and chi-square (with Yates' correction when dof = 1)."""
     rt = cont.groupBy("variable", "value").agg(F.sum("n").alias("row_n"))
     ct = cont.groupBy("variable", "label").agg(F.sum("n").alias("col_n"))
-    # all three inputs are tiny (cells of low-cardinality variables)
+    # cell, row and column totals meet in equi-joins (distributed by key, no single task)
     cells = cont.join(rt, ["variable", "value"]).join(ct, ["variable", "label"])
     tot = cont.groupBy("variable").agg(
         F.sum("n").cast("double").alias("nn"),
         F.count_distinct("value").alias("r"), F.count_distinct("label").alias("c"),
-        F.count(F.lit(1)).alias("cells"), F.min("n").alias("min_nonzero"))
+        F.count(F.lit(1)).alias("cells"), F.min("n").alias("min_nonzero"),
+        F.min("value").alias("vmin"), F.min("label").alias("lmin"))
     cells = cells.join(tot, "variable").withColumn("E", F.col("row_n") * F.col("col_n") / F.col("nn"))
-    # 2x2: the four cells in canonical order (lowest value/label first)
-    w = Window.partitionBy("variable")
-    cells = (cells.withColumn("vi", F.dense_rank().over(w.orderBy("value")))
-                  .withColumn("li", F.dense_rank().over(w.orderBy("label"))))
+    # 2x2 cells in canonical order (lowest value / label first) from plain
+    # aggregates: no window, so no task ever holds all cells of a variable
+    v1, l1 = F.col("value") == F.col("vmin"), F.col("label") == F.col("lmin")
     agg = cells.groupBy("variable").agg(
         F.first("nn").alias("nn"), F.first("r").alias("r"), F.first("c").alias("c"),
         F.first("cells").alias("cells"), F.first("min_nonzero").alias("min_nonzero"),
         F.sum(F.col("n") * F.col("n") / F.col("E")).alias("sum_o2_e"),
-        F.sum(F.when((F.col("vi") == 1) & (F.col("li") == 1), F.col("n")).otherwise(0)).alias("a"),
-        F.sum(F.when((F.col("vi") == 1) & (F.col("li") == 2), F.col("n")).otherwise(0)).alias("b"),
-        F.sum(F.when((F.col("vi") == 2) & (F.col("li") == 1), F.col("n")).otherwise(0)).alias("c2"),
-        F.sum(F.when((F.col("vi") == 2) & (F.col("li") == 2), F.col("n")).otherwise(0)).alias("d"),
+        F.sum(F.when(v1 & l1, F.col("n")).otherwise(0)).alias("a"),
+        F.sum(F.when(v1 & ~l1, F.col("n")).otherwise(0)).alias("b"),
+        F.sum(F.when(~v1 & l1, F.col("n")).otherwise(0)).alias("c2"),
+        F.sum(F.when(~v1 & ~l1, F.col("n")).otherwise(0)).alias("d"),
     )
     dof = (F.col("r") - 1) * (F.col("c") - 1)
     min_cell = F.when(F.col("cells") < F.col("r") * F.col("c"), F.lit(0)).otherwise(F.col("min_nonzero"))
