@@ -80,3 +80,17 @@ def test_failed_runs_stay_visible(spark):
     assert out == {"DT": (0.7, "ok"), "SVM": (None, "failed")}
     zero = {r.model: r.AUC for r in EV.with_status(grid, res, zero_fill=True).collect()}
     assert zero["SVM"] == 0.0
+
+
+def test_has_missing_scalar_and_array(spark):
+    df = spark.createDataFrame([(1.0, [1.0, 2.0]), (2.0, [None, 1.0])], "a double, v array<double>")
+    assert FE.has_missing(df, ["v"]) and not FE.has_missing(df, ["a"])
+
+
+def test_csv_report_single_file(spark, tmp_path):
+    import glob
+    from cohortkit.sources import write_csv_report
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "variable string, score double").repartition(3)
+    write_csv_report(df, str(tmp_path / "rep"))
+    files = glob.glob(str(tmp_path / "rep" / "part-*.csv"))
+    assert len(files) == 1 and open(files[0]).readline().strip() == "variable,score"
