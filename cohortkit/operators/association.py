@@ -123,8 +123,23 @@ def welch_t_test(df: DataFrame, spec: CohortSpec, variables=None) -> DataFrame:
     return welch_from_profile(describe_by_group(df, spec, variables), spec)
 
 
+PROFILE_SCHEMA = ("grp string, variable string, min double, max double, mean double, std double, "
+                  "count bigint, missing bigint, missing_ratio double")
+
+
+def profile_and_distinct(df: DataFrame, spec: CohortSpec, variables=None):
+    """One scan: the grouped profile (as a small local table) and the
+    approximate distinct count of every variable. Only the profile's
+    3 x p rows reach the driver."""
+    from cohortkit.operators.profile import describe_with_distinct
+    rows = describe_with_distinct(df, spec, variables).collect()
+    approx = {r["variable"]: r["approx_distinct"] for r in rows if r["grp"] == ALL_GROUP}
+    prof = df.sparkSession.createDataFrame([tuple(r)[:-1] for r in rows], PROFILE_SCHEMA)
+    return prof, approx
+
+
 def association_screen(df: DataFrame, spec: CohortSpec, alpha: float = 0.05, variables=None,
-                       profile: DataFrame | None = None) -> DataFrame:
+                       profile: DataFrame | None = None, approx_distinct: dict | None = None) -> DataFrame:
     """Test every structured variable and rank by p (NULLs last, then name).
 
     Dispatch: forced-categorical or 2..10 distinct values -> contingency test
@@ -132,22 +147,27 @@ def association_screen(df: DataFrame, spec: CohortSpec, alpha: float = 0.05, var
     chi-square); other numeric columns -> Welch t-test; remaining columns ->
     chi-square. Variables without any value are skipped.
 
-    Scans: one aggregate (HyperLogLog screen + non-null counts), one grouped
-    (variable, value, label) count for the low-cardinality / non-numeric
-    candidates, which also yields their exact distinct counts, and the grouped
-    profile for the t-tests. Only per-variable numbers reach the driver.
+    Scans: the grouped profile, which also carries mergeable HyperLogLog
+    sketches (skipped when ``profile`` and ``approx_distinct`` are given), and
+    one grouped (variable, value, label) count for the low-cardinality /
+    non-numeric candidates, which also yields their exact distinct counts.
+    Only per-variable numbers reach the driver.
     Schema: variable, p_value, test_type, significant, significance_level.
     """
     from pyspark.sql.types import NumericType
     variables = list(variables or spec.variables)
     limit = 2 * CATEGORICAL_MAX_DISTINCT
-    screen = df.agg(*[F.approx_count_distinct(F.col(f"`{v}`"), 0.05).alias(f"d{i}") for i, v in enumerate(variables)],
-                    *[F.count(F.col(f"`{v}`")).alias(f"n{i}") for i, v in enumerate(variables)]).first()
-    present = [v for i, v in enumerate(variables) if screen[f"n{i}"] > 0]
+    if profile is None or approx_distinct is None:
+        prof_local, approx = profile_and_distinct(df, spec, variables)
+        profile = profile if profile is not None else prof_local
+    else:
+        approx = approx_distinct
+    present_rows = profile.filter((F.col("grp") == ALL_GROUP) & (F.col("count") > 0)).select("variable").collect()
+    present = {r["variable"] for r in present_rows}  # one row per variable
     numeric = {v for v in variables if isinstance(df.schema[v].dataType, NumericType)}
     forced = set(spec.categorical)
-    candidates = [v for i, v in enumerate(variables) if v in present and
-                  (v in forced or v not in numeric or screen[f"d{i}"] <= 2 * limit)]
+    candidates = [v for v in variables if v in present and
+                  (v in forced or v not in numeric or (approx.get(v) or 0) <= 2 * limit)]
     kinds = {v: "numeric" for v in present if v not in candidates}
     cont = None
     if candidates:
@@ -167,8 +187,7 @@ def association_screen(df: DataFrame, spec: CohortSpec, alpha: float = 0.05, var
     c_vars = [v for v in variables if kinds.get(v) in ("categorical", "other")]
     parts = []
     if t_vars:
-        prof = profile if profile is not None else describe_by_group(df, spec, t_vars)
-        w = welch_from_profile(prof.filter(F.col("variable").isin(t_vars)), spec)
+        w = welch_from_profile(profile.filter(F.col("variable").isin(t_vars)), spec)
         parts.append(w.select("variable", "p_value", F.lit(TEST_T).alias("test_type")))
     if c_vars:
         shape = _table_shape(cont.filter(F.col("variable").isin(c_vars)))

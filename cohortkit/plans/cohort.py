@@ -47,8 +47,9 @@ def cohort_summary(profile: DataFrame, screen: DataFrame, spec: CohortSpec) -> D
 
 def cohort_summary_for(df: DataFrame, spec: CohortSpec, alpha: float = 0.05) -> DataFrame:
     """Convenience: profile + screen + summary from the cleaned cohort table."""
-    prof = describe_by_group(df, spec)
-    screen = association_screen(df, spec, alpha, profile=prof)
+    from cohortkit.operators.association import profile_and_distinct
+    prof, approx = profile_and_distinct(df, spec)
+    screen = association_screen(df, spec, alpha, profile=prof, approx_distinct=approx)
     return cohort_summary(prof, screen, spec)
 
 
@@ -58,9 +59,10 @@ def cohort_report(df: DataFrame, spec: CohortSpec, alpha: float = 0.05) -> dict:
     Keys: basic_info, overall_stats, case_stats, control_stats, screen, summary,
     significant (formatted p for display).
     """
+    from cohortkit.operators.association import profile_and_distinct
     df = df.cache()
-    prof = describe_by_group(df, spec).cache()
-    screen = association_screen(df, spec, alpha, profile=prof).cache()
+    prof, approx = profile_and_distinct(df, spec)  # one scan; 3 x p rows to the driver
+    screen = association_screen(df, spec, alpha, profile=prof, approx_distinct=approx).cache()
     return {
         "basic_info": cohort_basic_info(df, spec),
         "overall_stats": prof.filter(F.col("grp") == ALL_GROUP),
