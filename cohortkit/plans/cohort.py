@@ -54,13 +54,16 @@ def cohort_summary_for(df: DataFrame, spec: CohortSpec, alpha: float = 0.05) ->
 
 
 def cohort_report(df: DataFrame, spec: CohortSpec, alpha: float = 0.05) -> dict:
-    """Everything the cohort description produces, sharing one cached input.
+    """Everything the cohort description produces.
+
+    The cleaned cohort is not cached (at scale it is the whole table); each
+    product is a column-pruned scan, and the profile travels as a small local
+    table so the summary and the tests do not rescan for it.
 
     Keys: basic_info, overall_stats, case_stats, control_stats, screen, summary,
     significant (formatted p for display).
     """
     from cohortkit.operators.association import profile_and_distinct
-    df = df.cache()
     prof, approx = profile_and_distinct(df, spec)  # one scan; 3 x p rows to the driver
     screen = association_screen(df, spec, alpha, profile=prof, approx_distinct=approx).cache()
     return {
