@@ -68,9 +68,10 @@ def f_statistic(profile: DataFrame, spec: CohortSpec) -> DataFrame:
         F.sum(F.col("count") * F.col("mean")).alias("sx"),
         F.sum(F.col("count") * F.col("mean") * F.col("mean")).alias("sxx_between"),
         F.sum(F.coalesce((F.col("count") - 1) * F.col("std") * F.col("std"), F.lit(0.0))).alias("ss_within"))
-    grand = F.col("sx") / F.col("n")
+    grand = F.try_divide(F.col("sx"), F.col("n").cast("double"))
     ss_between = F.col("sxx_between") - F.col("n") * grand * grand
-    fstat = F.try_divide(ss_between / (F.col("k") - 1), F.col("ss_within") / (F.col("n") - F.col("k")))
+    fstat = F.try_divide(F.try_divide(ss_between, (F.col("k") - 1).cast("double")),
+                         F.try_divide(F.col("ss_within"), (F.col("n") - F.col("k")).cast("double")))
     out = per.select("variable", F.when(F.col("k") >= 2, fstat).alias("f_statistic"),
                      (F.col("k") - 1).cast("double").alias("d1"), (F.col("n") - F.col("k")).cast("double").alias("d2"))
     return out.select("variable", "f_statistic",
@@ -130,7 +131,7 @@ def dataset_info(df: DataFrame, spec: CohortSpec, n_features: int) -> DataFrame:
     """Rows, positives, positive share (%), feature count."""
     return df.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
                   F.count_if(qcol(spec.label) == spec.positive).cast("bigint").alias("n_positive")) \
-        .withColumn("positive_pct", F.round(F.col("n_positive") * 100.0 / F.col("n_rows"), 2)) \
+        .withColumn("positive_pct", F.round(F.try_divide(F.col("n_positive") * 100.0, F.col("n_rows").cast("double")), 2)) \
         .withColumn("n_features", F.lit(n_features))
 
 

@@ -105,8 +105,8 @@ def _grouped_profile(df: DataFrame, spec: CohortSpec, variables=None, sketches:
         if sketches:
             first.append(F.hll_sketch_estimate(F.hll_union_agg(f"hs{i}").over(everything)).alias(f"thd{i}"))
         if numeric[i]:
-            first += [(F.sum(F.col(f"ct{i}") * F.col(f"av{i}")).over(everything)
-                       / F.sum(f"ct{i}").over(everything)).alias(f"tav{i}"),
+            first += [F.try_divide(F.sum(F.col(f"ct{i}") * F.col(f"av{i}")).over(everything),
+                                   F.sum(f"ct{i}").over(everything).cast("double")).alias(f"tav{i}"),
                       F.min(f"mn{i}").over(everything).alias(f"tmn{i}"),
                       F.max(f"mx{i}").over(everything).alias(f"tmx{i}")]
     t = per_label.select("*", *first)

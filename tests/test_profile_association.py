@@ -77,3 +77,16 @@ def test_stars_and_p_text(spark):
     out = df.select(significance_stars(F.col("p")).alias("s"), format_p_value(F.col("p")).alias("t")).collect()
     assert [r.s for r in out] == ["***", "**", "*", "ns", "ns"]
     assert [r.t for r in out] == ["<0.001", "0.001", "0.010", "0.050", "N/A"]
+
+
+def test_ansi_safe_edge_groups(spark):
+    from cohortkit.operators import importance as IM
+    # all-null variable, one row per group, empty input: no division-by-zero errors under ANSI
+    df = spark.createDataFrame([("Y", None, 1.0), ("N", None, 2.0)], "y string, z double, x double")
+    spec = CohortSpec(label="y", numeric=("z", "x"), id_col=None)
+    prof = P.describe_by_group(df, spec)
+    assert prof.filter("grp = 'all' AND variable = 'z'").first().mean is None
+    f = IM.f_statistic(prof, spec).filter("variable = 'x'").first()
+    assert f.f_statistic is None
+    empty = df.limit(0)
+    assert IM.dataset_info(empty, spec, 2).first().positive_pct is None
