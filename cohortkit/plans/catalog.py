@@ -7,10 +7,17 @@ summation order does not decide the comparison.
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from cohortkit.functions.columns import NUMBER_PATTERN
+from cohortkit.functions.formatting import format_mean_sd, format_p_value, pct, significance_stars
 from cohortkit.functions.hashing import hash_hex_sql, uniform, uniform_sql
 from cohortkit.functions.special import t_two_sided_sql
 from cohortkit.operators import association as assoc
@@ -24,9 +31,11 @@ from cohortkit.operators import split as S
 from cohortkit.operators import text as TX
 from cohortkit.operators.features import FEATURE_SETS
 from cohortkit.plans import oracle as O
-from cohortkit.plans.cohort import cohort_summary
+from cohortkit.plans.cohort import categorical_report, cohort_summary
+from cohortkit.session import stage_path
+from cohortkit.sources import read_feature_table, write_feature_table
+from cohortkit.spec import DEFAULT_NA_TOKENS, SHEET_NA_TOKENS, CohortSpec
 from cohortkit.spec import LINEITEM_COHORT as LI
-from cohortkit.spec import CohortSpec
 
 DIGITS = 6
 QUERIES: dict = {}
@@ -141,7 +150,6 @@ def q_cohort_summary(spark, sf_dir):
 # --- ingest -------------------------------------------------------------------
 
 def _na_sql(col: str) -> str:
-    from cohortkit.spec import DEFAULT_NA_TOKENS, SHEET_NA_TOKENS
     toks = ", ".join(O.lit(t) for t in dict.fromkeys(SHEET_NA_TOKENS + DEFAULT_NA_TOKENS))
     return f"CASE WHEN {col} IN ({toks}) THEN NULL ELSE {col} END"
 
@@ -166,7 +174,6 @@ def q_select_structured(spark, sf_dir):
 
 
 def _coerce_sql(expr: str) -> str:
-    from cohortkit.functions.columns import NUMBER_PATTERN
     s = f"trim(CAST({expr} AS VARCHAR))"
     return (f"CASE WHEN regexp_full_match({s}, '{NUMBER_PATTERN[1:-1]}') "
             f"THEN TRY_CAST({s} AS DOUBLE) END")
@@ -259,7 +266,6 @@ def q_significant_variables(spark, sf_dir):
     CASE WHEN p_value IS NULL OR isnan(p_value) THEN 'N/A' WHEN p_value < 0.001 THEN '<0.001'
          ELSE printf('%.3f', p_value) END AS p_text, significance_level FROM screen""")
 def q_format_p_value(spark, sf_dir):
-    from cohortkit.functions.formatting import format_p_value
     s = assoc.association_screen(lineitem_cohort(spark, sf_dir), LI)
     return s.select("variable", format_p_value(F.col("p_value")).alias("p_text"), "significance_level")
 
@@ -268,7 +274,6 @@ def q_format_p_value(spark, sf_dir):
     CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars
     FROM (SELECT o_orderkey, {uniform_sql(42, 'o_orderkey')} * 0.1 AS p FROM orders)""", ["p"]))
 def q_significance_stars(spark, sf_dir):
-    from cohortkit.functions.formatting import significance_stars
     o = table(spark, sf_dir, "orders").select("o_orderkey", (uniform(42, F.col("o_orderkey")) * 0.1).alias("p"))
     return rounded(o.select("o_orderkey", "p", significance_stars(F.col("p")).alias("stars")))
 
@@ -276,7 +281,6 @@ def q_significance_stars(spark, sf_dir):
 @register("format_mean_sd", """SELECT o_orderpriority, printf('%.2f (%.2f)', avg(o_totalprice), stddev_samp(o_totalprice)) AS mean_sd
     FROM orders GROUP BY ALL""")
 def q_format_mean_sd(spark, sf_dir):
-    from cohortkit.functions.formatting import format_mean_sd
     o = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
         F.avg("o_totalprice").alias("m"), F.stddev_samp("o_totalprice").alias("s"))
     return o.select("o_orderpriority", format_mean_sd(F.col("m"), F.col("s")).alias("mean_sd"))
@@ -285,7 +289,6 @@ def q_format_mean_sd(spark, sf_dir):
 @register("pct_ratio", O.rounded("""SELECT o_orderstatus, count(*)::BIGINT AS n,
     round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS pct FROM orders GROUP BY ALL""", ["pct"]))
 def q_pct_ratio(spark, sf_dir):
-    from cohortkit.functions.formatting import pct
     o = table(spark, sf_dir, "orders")
     counts = o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     total = F.sum("n").over(Window.partitionBy())  # over the per-class table (one row per class)
@@ -405,7 +408,6 @@ def q_association_test(spark, sf_dir):
            FROM li WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY l_returnflag, l_linestatus)
     SELECT xt.*, screen.p_value, screen.test_type, screen.significance_level FROM xt, screen""", ["pct", "p_value"]))
 def q_sex_crosstab_report(spark, sf_dir):
-    from cohortkit.plans.cohort import categorical_report
     return rounded(categorical_report(lineitem_cohort(spark, sf_dir), LI, "l_returnflag"))
 
 
@@ -562,7 +564,6 @@ def q_has_missing(spark, sf_dir):
     SELECT l.doc_id, unnest([l.quality::DOUBLE, l.toxic::DOUBLE, d.n_chars::DOUBLE]) AS value,
            unnest([0, 1, 2]) AS pos FROM labels l JOIN documents d USING (doc_id))""", ["value"]))
 def q_assemble(spark, sf_dir):
-    from pyspark.ml.functions import vector_to_array
     lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double"), F.col("toxic").cast("double"))
     doc = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double"))
     out = FE.assemble_features({"labels": lab, "documents": doc}, "doc_id", "features", ["quality", "toxic", "n_chars"])
@@ -926,12 +927,9 @@ def q_cross_validate_fold(spark, sf_dir):
     """10 fold fits + refit of LR on the structured set; fold metrics."""
     ST, cfg, feats = _study(spark, sf_dir)
     cfg.feature_sets, cfg.models = ["a-x"], ["LR"]
-    import uuid
-    from cohortkit.session import stage_path
     out_dir = stage_path(spark, "queries", "cv", uuid.uuid4().hex[:8])
     cfg.out_dir = out_dir
     counts = ST.fold_class_counts(feats)
-    from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=cfg.threads) as pool:
         list(pool.map(lambda f: ST.run_fit(spark, feats, "a-x", "LR", f, cfg, out_dir, False, counts),
                       [*range(cfg.n_folds), -1]))
@@ -942,8 +940,6 @@ def q_cross_validate_fold(spark, sf_dir):
 @register("batch_score")
 def q_batch_score(spark, sf_dir):
     """Fit, save, load and score: the loaded pipeline must reproduce the scores."""
-    from cohortkit.session import stage_path
-    import uuid
     ST, cfg, feats = _study(spark, sf_dir)
     counts = ST.fold_class_counts(feats)
     m = ST.fit_pipeline(feats.filter("split = 'train'"), "a-x,z", "LR", cfg, counts.get(-1))
@@ -955,7 +951,6 @@ def q_batch_score(spark, sf_dir):
 
 @register("importance_random_forest")
 def q_rf_importance(spark, sf_dir):
-    from pyspark.ml.classification import RandomForestClassifier
     df = lineitem_cohort(spark, sf_dir)
     imp, kept = FE.fit_median_imputer(df, LI_NUMERIC)
     x = FE.assembler(kept).transform(imp.transform(df)).withColumn(
@@ -966,7 +961,6 @@ def q_rf_importance(spark, sf_dir):
 
 @register("pca_reduce")
 def q_pca_reduce(spark, sf_dir):
-    from pyspark.ml.functions import array_to_vector, vector_to_array
     e = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     model, _ = RD.fit_pca(e, "v", "pca", RD.PCA_COMPONENTS)
     return model.transform(e).select("vec_id", F.posexplode(vector_to_array("pca")).alias("component", "value"))
@@ -974,7 +968,6 @@ def q_pca_reduce(spark, sf_dir):
 
 @register("explained_variance")
 def q_explained_variance(spark, sf_dir):
-    from pyspark.ml.functions import array_to_vector
     e = table(spark, sf_dir, "embeddings").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     _, var = RD.fit_pca(e, "v", "pca", RD.PCA_COMPONENTS)
     n = e.count()
@@ -999,7 +992,6 @@ def q_pca_report(spark, sf_dir):
 @register("embed_text")
 def q_embed_text(spark, sf_dir):
     """Whole-text hashing/IDF vectors of documents: width and non-zero count per row."""
-    from pyspark.ml.functions import vector_to_array
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = TX.embed_text(d, "text", "vec")
     arr = vector_to_array("vec")
@@ -1021,9 +1013,6 @@ def q_smote_tomek(spark, sf_dir):
     ["o_totalprice"]))
 def q_feature_table_roundtrip(spark, sf_dir):
     """Scaled features written partitioned by split to the stage folder, then read back."""
-    import uuid
-    from cohortkit.session import stage_path
-    from cohortkit.sources import read_feature_table, write_feature_table
     d = orders_clean_split(spark, sf_dir).select("o_orderkey", "split", "o_totalprice")
     scaled = FE.fit_zscore(d.filter("split = 'train'"), ["o_totalprice"]).transform(d)
     path = stage_path(spark, "queries", "features", uuid.uuid4().hex[:8])
