@@ -238,7 +238,10 @@ def run_study(spark: SparkSession, study: DataFrame, cfg: StudyConfig, save_mode
     """Run every (feature set, model) job; return result tables."""
     out_dir = cfg.out_dir or stage_path(spark, "study", f"{cfg.variant}-{uuid.uuid4().hex[:8]}")
     feats, stages, report = prepare_features(study, cfg)
-    feats = feats.checkpoint()  # cut the encoder/PCA lineage into the shared checkpoint folder
+    # partitions sized by volume (~100k rows each): every fit rescans this table
+    n_rows = study.count()
+    parts = max(1, min(spark.sparkContext.defaultParallelism * 4, int(math.ceil(n_rows / 100_000))))
+    feats = feats.repartition(parts, "row_id").checkpoint()  # cut the encoder/PCA lineage into the shared folder
     if cfg.fit_scope == "fold":
         study = study.checkpoint()
     counts = fold_class_counts(feats)
