@@ -905,7 +905,8 @@ def _study(spark, sf_dir, variant="optimised"):
     cfg = ST.StudyConfig(variant=variant)
     tab = ST.document_study_table(spark, sf_dir)
     feats, _, _ = ST.prepare_features(tab, cfg)
-    return ST, cfg, feats.cache()
+    parts = max(1, min(spark.sparkContext.defaultParallelism * 4, -(-tab.count() // 100_000)))
+    return ST, cfg, feats.repartition(parts, "row_id").cache()
 
 
 def _model_query(name):
