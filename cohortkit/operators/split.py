@@ -218,3 +218,35 @@ def kth_smallest(df: DataFrame, col: str, k: int, bins: int = 4096, small: int =
                 break
             acc += row["count"]
     return value
+
+
+def split_and_folds(df: DataFrame, label: str, key: str, test_size: float = 1 / 3, k: int = 10, seed: int = 42,
+                    split_col: str = "split", fold_col: str = "fold", counts: dict | None = None) -> DataFrame:
+    """Stratified split and stratified k folds of the training rows from ONE
+    distributed rank (one shuffle of the table instead of two).
+
+    Within a class, md5(seed|key) ranks 1..k_test are test (fold -1); the
+    training members keep their md5 order, which is a uniform random
+    permutation, and take fold (offset_c + rank - k_test - 1) mod k, so the
+    split sizes and the per-class / per-fold sizes equal those of
+    ``stratified_split`` followed by ``stratified_kfold``.
+    """
+    counts = counts if counts is not None else class_counts(df, label)
+    train_n, test_n = split_sizes(counts, test_size)
+    classes = sorted(c for c in counts if c is not None)
+    offset, acc = {}, 0
+    for c in classes:
+        offset[c] = acc
+        acc += train_n[c]
+    hexed = df.withColumn("__h", hash_hex(seed, qcol(key)))
+    ranked = hashed_rank(hexed, [label], "__h", key, n_rows=sum(counts.values()), n_groups=len(counts),
+                         rank_col="__rk")
+    quota = F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(test_n[c]))])
+    off = F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(offset[c]))])
+    kt = F.coalesce(quota[qcol(label)], F.lit(0))
+    is_test = F.col("__rk") <= kt
+    return ranked.select(
+        *[c for c in ranked.columns if c not in ("__h", "__rk")],
+        F.when(is_test, "test").otherwise("train").alias(split_col),
+        F.when(is_test, F.lit(-1)).otherwise(
+            F.pmod(off[qcol(label)] + F.col("__rk") - kt - 1, F.lit(k))).cast("int").alias(fold_col))

@@ -71,10 +71,8 @@ def document_study_table(spark: SparkSession, sf_dir: str, seed: int = 42, k: in
         F.col("text").alias("chief"),
         F.concat_ws(" ", "lang", "source").alias("diagnosis"),
         F.col("toxic").cast("int").alias("label"))
-    sp = S.stratified_split(df, "label", "row_id", 1 / 3, seed)
-    train = S.stratified_kfold(sp.filter("split = 'train'"), "label", "row_id", k, seed)
-    test = sp.filter("split = 'test'").withColumn("fold", F.lit(-1))
-    return train.unionByName(test)
+    # one distributed rank gives both the split and the folds (one shuffle)
+    return S.split_and_folds(df, "label", "row_id", 1 / 3, k, seed)
 
 
 def prepare_features(study: DataFrame, cfg: StudyConfig):

@@ -69,3 +69,18 @@ def test_temporal_split_ntz_independent_of_session_zone(spark):
         assert [out["UTC"][i] for i in range(9)] == ["train"] * 6 + ["test"] * 3
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_split_and_folds_sizes_match_separate_ops(spark):
+    df = _cohort(spark, 318, 1568)
+    out = S.split_and_folds(df, "y", "row_id", 1 / 3, 10).collect()
+    by = Counter((r.split, r.y) for r in out)
+    assert by == {("test", "N"): 523, ("test", "Y"): 106, ("train", "N"): 1045, ("train", "Y"): 212}
+    assert all(r.fold == -1 for r in out if r.split == "test")
+    size = Counter(r.fold for r in out if r.split == "train")
+    assert sorted(size.values()) == [125] * 3 + [126] * 7
+    ny = Counter(r.fold for r in out if r.split == "train" and r.y == "Y")
+    assert sorted(ny.values()) == [21] * 8 + [22] * 2
+    # partition independent
+    again = {r.row_id: (r.split, r.fold) for r in S.split_and_folds(df.repartition(5), "y", "row_id").collect()}
+    assert again == {r.row_id: (r.split, r.fold) for r in out}
