@@ -1020,3 +1020,24 @@ def q_feature_table_roundtrip(spark, sf_dir):
     write_feature_table(scaled, path, key="o_orderkey")
     return rounded(read_feature_table(spark, path, required=["o_orderkey", "o_totalprice"])
                    .select("o_orderkey", "split", "o_totalprice"))
+
+
+def _split_folds_sql(rel: str, label: str, key: str, k: int = 10, seed: int = 42) -> str:
+    return f"""(WITH c AS (SELECT {label} AS lab, count(*)::BIGINT AS n FROM {rel} GROUP BY ALL),
+      t AS (SELECT sum(n)::BIGINT AS total,
+                   sum(n)::BIGINT - ceil(sum(n)::DOUBLE * (1::DOUBLE / 3::DOUBLE))::BIGINT AS n_train FROM c),
+      a AS (SELECT c.lab, c.n, (c.n * t.n_train) // t.total AS base, (c.n * t.n_train) % t.total AS rem, t.n_train FROM c, t),
+      b AS (SELECT lab, n, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, lab) <= n_train - sum(base) OVER () THEN 1 ELSE 0 END AS k_train FROM a),
+      o AS (SELECT lab, n - k_train AS k_test,
+                   coalesce(sum(k_train) OVER (ORDER BY lab ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM b),
+      r AS (SELECT src.*, row_number() OVER (PARTITION BY {label} ORDER BY {hash_hex_sql(seed, key)}, {key}) AS rk FROM {rel} AS src)
+    SELECT r.* EXCLUDE (rk), CASE WHEN r.rk <= o.k_test THEN 'test' ELSE 'train' END AS split,
+           (CASE WHEN r.rk <= o.k_test THEN -1 ELSE (o.off + r.rk - o.k_test - 1) % {k} END)::INTEGER AS fold
+    FROM r JOIN o ON r.{label} = o.lab)"""
+
+
+@register("split_and_folds", "SELECT * FROM " + _split_folds_sql(
+    "(SELECT o_orderkey, o_orderstatus FROM orders)", "o_orderstatus", "o_orderkey"))
+def q_split_and_folds(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return S.split_and_folds(o, "o_orderstatus", "o_orderkey", 1 / 3, 10, 42)
