@@ -43,15 +43,37 @@ def fit_zscore(train: DataFrame, columns) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT * EXCEPT ({excl}), {', '.join(exprs)} FROM __THIS__")
 
 
-def fit_median_imputer(train: DataFrame, columns, approx: bool = False, accuracy: int = 100000):
+# Above this many distinct values a column's median switches to the sketch:
+# the exact aggregate merges one counter per distinct value in a single task.
+EXACT_MEDIAN_MAX_DISTINCT = 1_000_000
+
+
+def approx_median_columns(df: DataFrame, columns, limit: int = EXACT_MEDIAN_MAX_DISTINCT) -> set:
+    """Columns whose distinct count (HyperLogLog estimate, one job) exceeds ``limit``."""
+    columns = list(columns)
+    if not columns:
+        return set()
+    row = df.agg(*[F.approx_count_distinct(qcol(c), 0.05).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    return {c for i, c in enumerate(columns) if row[f"d{i}"] > limit}
+
+
+def fit_median_imputer(train: DataFrame, columns, approx=False, accuracy: int = 100000):
     """Fill NULLs with the training median (exact, interpolated between the two
-    middle values); a column with no training value is dropped.
+    middle values); a column with no training value is dropped. Returns
+    (transformer, kept columns).
 
-    Exact medians keep one counter per distinct value; ``approx=True`` uses a
-    fixed-size sketch for continuous high-cardinality columns.
+    Exact medians keep one counter per distinct value (bounded by measurement
+    precision for lab-style columns). ``approx``: True, or a set of column
+    names, uses a fixed-size sketch; None decides per column with one HLL job.
     """
     columns = list(columns)
-    agg = [(F.percentile_approx(qcol(c).cast("double"), 0.5, accuracy) if approx
+    if approx is None:
+        approx = approx_median_columns(train, columns)
+    if isinstance(approx, (set, frozenset, list, tuple)):
+        sketch = set(approx)
+    else:
+        sketch = set(columns) if approx else set()
+    agg = [(F.percentile_approx(qcol(c).cast("double"), 0.5, accuracy) if c in sketch
             else F.percentile(qcol(c).cast("double"), 0.5)).alias(f"q{i}") for i, c in enumerate(columns)]
     row = train.agg(*agg).first()
     keep, exprs = [], []

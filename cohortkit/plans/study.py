@@ -54,6 +54,7 @@ class StudyConfig:
     use_smote: bool = False            # optimised study: SMOTE+Tomek on text-only sets
     threads: int = 8
     out_dir: str | None = None         # predictions / models folder (default: checkpoint dir)
+    approx_median: frozenset = frozenset()  # structured columns imputed with a median sketch (set by run_study)
     fit_scope: str = "train"           # 'train': encoders/PCA/scaler fitted once on the training split
                                        # (the reference); 'fold': refitted on each fold's training rows
 
@@ -134,7 +135,7 @@ def fit_pipeline(train: DataFrame, feature_set: str, model: str, cfg: StudyConfi
     struct = [c for c in cols if c in STRUCTURED]
     kept = []
     if struct:
-        imp, kept = FE.fit_median_imputer(train, struct)
+        imp, kept = FE.fit_median_imputer(train, struct, approx=set(cfg.approx_median))
         stages.append(imp)
         cols = [c for c in cols if c not in STRUCTURED or c in kept]
     asm = FE.assembler(cols, "features")
@@ -243,6 +244,8 @@ def run_study(spark: SparkSession, study: DataFrame, cfg: StudyConfig, save_mode
     if cfg.fit_scope == "fold":
         study = study.checkpoint()
     counts = fold_class_counts(feats)
+    # decided once per study: exact medians unless a column has very many distinct values
+    cfg.approx_median = frozenset(FE.approx_median_columns(feats.filter("split = 'train'"), STRUCTURED))
     jobs = [(fs, m, f) for fs in cfg.feature_sets for m in cfg.models for f in [*range(cfg.n_folds), -1]]
     with ThreadPoolExecutor(max_workers=max(1, cfg.threads)) as pool:
         fits = list(pool.map(lambda j: (j[0], j[1], run_fit(spark, feats, j[0], j[1], j[2], cfg, out_dir,

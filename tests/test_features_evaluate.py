@@ -94,3 +94,12 @@ def test_csv_report_single_file(spark, tmp_path):
     write_csv_report(df, str(tmp_path / "rep"))
     files = glob.glob(str(tmp_path / "rep" / "part-*.csv"))
     assert len(files) == 1 and open(files[0]).readline().strip() == "variable,score"
+
+
+def test_median_switches_to_sketch_only_above_limit(spark):
+    df = spark.range(3000).select((F.col("id") % 7).cast("double").alias("few"), F.col("id").cast("double").alias("many"))
+    assert FE.approx_median_columns(df, ["few", "many"], limit=100) == {"many"}
+    imp, kept = FE.fit_median_imputer(df, ["few", "many"], approx=None)
+    assert kept == ["few", "many"]
+    imp2, _ = FE.fit_median_imputer(df, ["few"], approx={"many"})
+    assert "3.0" in imp2.getStatement()  # exact median of 0..6 repeated
