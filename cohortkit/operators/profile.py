@@ -271,7 +271,7 @@ def variable_kind(df: DataFrame, spec: CohortSpec, variables=None) -> DataFrame:
          .otherwise("other").alias("kind"))
 
 
-def median_iqr(df: DataFrame, variables, approx: bool = False, accuracy: int = 100000) -> DataFrame:
+def median_iqr(df: DataFrame, variables, approx=False, accuracy: int = 100000) -> DataFrame:
     """First quartile, median and third quartile per variable, one scan.
 
     Exact mode keeps one counter per distinct value per variable (bounded by
@@ -279,8 +279,13 @@ def median_iqr(df: DataFrame, variables, approx: bool = False, accuracy: int = 1
     a fixed-size quantile sketch for continuous high-cardinality columns.
     """
     variables = list(variables)
+    if approx is None:  # per column: sketch only above 1M distinct values (one HLL job)
+        from cohortkit.operators.features import approx_median_columns
+        sketch = approx_median_columns(df, variables)
+    else:
+        sketch = set(variables) if approx else set()
     qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    aggs = [(F.percentile_approx(qcol(c).cast("double"), qs, accuracy) if approx
+    aggs = [(F.percentile_approx(qcol(c).cast("double"), qs, accuracy) if c in sketch
              else F.percentile(qcol(c).cast("double"), qs)).alias(f"q{i}") for i, c in enumerate(variables)]
     wide = df.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("variable"),

@@ -90,3 +90,8 @@ def test_ansi_safe_edge_groups(spark):
     assert f.f_statistic is None
     empty = df.limit(0)
     assert IM.dataset_info(empty, spec, 2).first().positive_pct is None
+
+
+def test_median_iqr_auto_mode_matches_exact_on_small_cardinality(spark):
+    df = spark.createDataFrame([(float(v),) for v in (1, 2, 4, 10)], "x double")
+    assert P.median_iqr(df, ["x"], approx=None).first().median == 3.0
