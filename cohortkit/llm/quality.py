@@ -31,6 +31,8 @@ from cohortkit.llm.linear import fit_logistic, predict
 
 MAX_TRAIN = 10_000
 ROUNDS, PER_ROUND, SURE = 5, 400, 0.95
+#: One view's log-odds count up to this, so that an odd layout alone rejects nothing.
+MOST_ODDS = 6.0
 TEXT_FEATURES, LANG_SLOTS, SOURCE_SLOTS = 13, 8, 16
 META_FEATURES = 6 + LANG_SLOTS + SOURCE_SLOTS
 _UPPER, _DIGIT, _SYMBOL = re.compile(r"[A-ZÀ-Þ]"), re.compile(r"\d"), re.compile(r"[^\w\s.,;:'\"()-]")
@@ -86,13 +88,14 @@ class CoTrained:
         w = weights[:-1] / self.scale[part]
         b = float(weights[-1] - (w * self.mean[part]).sum())
         terms = F.zip_with(F.slice(views, first + 1, len(w)), F.array(*[F.lit(float(v)) for v in w]), lambda x, y: x * y)
-        return F.aggregate(terms, F.lit(b), lambda acc, t: acc + t)
+        z = F.aggregate(terms, F.lit(b), lambda acc, t: acc + t)
+        return F.greatest(F.lit(-MOST_ODDS), F.least(F.lit(MOST_ODDS), z))
 
     def score(self, views: Column) -> Column:
         """struct<p_text, p_meta, score>: calibrated probabilities of good quality of either view and of both."""
         z_text = self._dot(views, self.text, 0)
         z_meta = self._dot(views, self.meta, TEXT_FEATURES)
-        odds = lambda z: 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), z))))
+        odds = lambda z: 1 / (1 + F.exp(-z))
         both = F.lit(float(self.both[0])) * z_text + F.lit(float(self.both[1])) * z_meta + F.lit(float(self.both[2]))
         return F.struct(odds(z_text).alias("p_text"), odds(z_meta).alias("p_meta"), odds(both).alias("score"))
 
@@ -118,7 +121,7 @@ def fit_cotraining(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
     good = (y >= 0.5).astype(float)
     if len(set(good[given])) < 2:
         always = np.zeros(TEXT_FEATURES + 1), np.zeros(META_FEATURES + 1)
-        return CoTrained(np.zeros(width), np.ones(width), *always, np.array([0.0, 0.0, 35.0]))
+        return CoTrained(np.zeros(width), np.ones(width), *always, np.array([0.0, 0.0, MOST_ODDS]))
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     x = (x - mean) / scale
     turn = np.cumsum(given)
@@ -147,7 +150,7 @@ def fit_cotraining(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
         z = parts[v][calibrate] @ models[v][:-1] + models[v][-1]
         a, b = fit_logistic(z[:, None], good[calibrate], ridge=0.01)
         scaled.append(np.append(models[v][:-1] * a, models[v][-1] * a + b))
-    z = np.column_stack([parts[v][calibrate] @ scaled[v][:-1] + scaled[v][-1] for v in (0, 1)])
+    z = np.column_stack([parts[v][calibrate] @ scaled[v][:-1] + scaled[v][-1] for v in (0, 1)]).clip(-MOST_ODDS, MOST_ODDS)
     return CoTrained(mean, scale, *scaled, fit_logistic(z, good[calibrate], ridge=0.01))
 
 

@@ -35,6 +35,7 @@ TERMS_PER_CATEGORY = 200
 MIN_SCORE = 4.5
 MIN_DOCS = 5
 FOLDS = 3
+RIDGE = 0.1
 #: A worker forgets what it knows of words beyond this many.
 MEMO = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -116,8 +117,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
         held = np.zeros(n)
         for f in range(FOLDS):
             if (fold == f).any() and (fold != f).any():
-                held[fold == f] = predict(x[fold == f], fit_logistic(x[fold != f], y[fold != f, k]))
-        weights.append(fit_logistic(x, y[:, k]))
+                held[fold == f] = predict(x[fold == f], fit_logistic(x[fold != f], y[fold != f, k], RIDGE))
+        weights.append(fit_logistic(x, y[:, k], RIDGE))
         x = np.column_stack([x, held])
     return Chain(names, columns, tuple(weights))
 
