@@ -42,7 +42,16 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z; every other character stays."""
-    return F.translate(c, UPPER, LOWER)
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
+
+
+def pieces(text: Column, separator: str) -> Column:
+    """The non-empty texts between separators; a null has none.
+
+    One pass: extracting all matches of the opposite pattern copies the rest of
+    the text for every match.
+    """
+    return F.coalesce(F.array_remove(F.split(text, separator, -1), ""), F.array().cast("array<string>"))
 
 
 def occurrences(text: Column, pattern: str) -> Column:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.llm.common import BROADCAST_ROWS, occurrences, sha256_of, sized, stage
+from cohortkit.llm.common import BROADCAST_ROWS, occurrences, pieces, sha256_of, sized, stage
 
 #: Kinds in the order of the digest. Possessive quantifiers and look-behinds keep
 #: the leftmost matches and avoid re-reading a long run from each of its characters.
@@ -107,8 +107,8 @@ def find_personal_data(docs: DataFrame, disclosure: float = 0.9, min_docs: int =
     entities = (scanned.select("_id", F.explode("contexts").alias("c")).select("_id", "c.entity").distinct()
                 .groupBy("entity").agg(F.count("*").alias("n_c")))
     asked = stage(together.select("term").distinct(), "pii-asked")
-    words = texts.select("_id", F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    words = texts.select("_id", F.explode(F.array_distinct(pieces(F.lower("_text"), r"[^\p{L}]+"))).alias("term"))
+    words = words.filter(F.length("term") >= 4)
     if asked.count() <= BROADCAST_ROWS:
         words = words.join(F.broadcast(asked), "term", "left_semi")
     # beyond the bound every term is counted; map-side sums keep that to one row per term and task
