@@ -20,14 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortkit.llm.common import ascii_lower, sized, stage
+from cohortkit.llm.common import ascii_lower, pieces, sized, stage
 
-#: Letters and digits of ASCII, and every other character from U+0080.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words are letters and digits of ASCII and every character from U+0080; this is what stands between them.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return pieces(ascii_lower(text), BETWEEN)
 
 
 def item_windows(items: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
