@@ -9,9 +9,9 @@
 3. Leaders: in every bucket each member is compared with the smallest member
    only, which is linear in the bucket. Links found are joined into components.
 4. Rest: where a bucket still holds several components, its members are dealt
-   into blocks and the block pairs are compared in tasks of fixed size; pairs
+   into blocks and the block pairs are compared in tasks of bounded size; pairs
    inside one component need no comparison, since they change no component.
-   Nothing is capped and no pair is written out before it survives.
+   Nothing is capped, and no pair is written out before it is confirmed.
 5. Verification of a candidate compares the signatures batch by batch and drops
    the pair once the posterior probability (uniform prior) that its similarity
    reaches the threshold falls below `miss`. Survivors are checked exactly on
@@ -39,8 +39,8 @@ from cohortkit.llm.common import sized, stage
 
 N_HASHES, ROWS = 160, 5
 BATCH = 32
-#: Members of one block of a bucket; a task compares two blocks at a time.
-BLOCK = 512
+#: Members, and shingles in all, of one block of a bucket; a task compares two blocks at a time.
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -142,32 +142,42 @@ def _survivors(pairs: DataFrame, needs: list[tuple[int, int]]) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def _block_survivors(tiles: DataFrame, needs: list[tuple[int, int]]) -> DataFrame:
-    """Inside each tile (one block, or two), pairs of different components whose signatures pass."""
-    def run(pdf):
-        import pandas as pd
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), -1)
-        ids, comp = pdf["id"].to_numpy(), pdf["comp"].to_numpy()
-        side, one = pdf["block"].to_numpy(), bool((pdf["lo"] == pdf["hi"]).iloc[0])
-        left = np.arange(len(pdf)) if one else np.flatnonzero(side == pdf["lo"].iloc[0])
-        right = left if one else np.flatnonzero(side == pdf["hi"].iloc[0])
-        found = []
-        for i in left:
-            j = right[(comp[right] != comp[i]) & ((right > i) if one else True)]
-            if len(j):
-                got = j[_alive(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], needs)]
-                found.append(np.column_stack([np.full(len(got), ids[i]), ids[got]]))
-        pairs = np.concatenate(found) if found else np.empty((0, 2), ids.dtype)
-        return pd.DataFrame({"a": pairs.min(axis=1) if len(pairs) else pairs[:, 0],
-                             "b": pairs.max(axis=1) if len(pairs) else pairs[:, 1]})
-
-    return tiles.groupBy("band", "key", "lo", "hi").applyInPandas(run, "a long, b long")
+def _settle_tile(pdf, needs: list[tuple[int, int]], percent: int):
+    """Links between the components of one tile (one block of a bucket, or two).
 
-
-def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets have 100 |a and b| >= percent |a or b|."""
-    pairs = stage(pairs.distinct(), "near-pairs")
-    ids = stage(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "near-ids")
+    A pair is looked at in the first band it shares, only while its components
+    are apart, and is confirmed here on its full sets; so a tile returns fewer
+    links than it has components.
+    """
+    import pandas as pd
+    n = len(pdf)
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(n, -1)
+    bands = np.stack(pdf["bands"].to_numpy())[:, :int(pdf["band"].iloc[0])]
+    sets = pdf["set"].to_numpy()
+    sizes = np.array([len(x) for x in sets])
+    ids, comp = pdf["id"].to_numpy(), pdf["comp"].to_numpy().copy()
+    side, lo, hi = pdf["block"].to_numpy(), pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+    left = np.arange(n) if lo == hi else np.flatnonzero(side == lo)
+    right = left if lo == hi else np.flatnonzero(side == hi)
+    found = []
+    for i in left:
+        j = right[right > i] if lo == hi else right
+        j = j[(comp[j] != comp[i])
+              & (100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i]))]
+        j = j[~(bands[j] == bands[i]).any(axis=1)]
+        j = j[_alive(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], needs)]
+        for m in j:
+            if comp[m] != comp[i]:
+                shared = len(np.intersect1d(sets[i], sets[m], assume_unique=True))
+                if 100 * shared >= percent * (sizes[i] + sizes[m] - shared):
+                    found.append((min(ids[i], ids[m]), max(ids[i], ids[m])))
+                    comp[comp == comp[m]] = comp[i]
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+
+def _sets(ids: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, set) of the given ids, staged."""
+    ids = stage(ids.distinct(), "near-ids")
 
     def run(batches):
         for batch in batches:
@@ -175,7 +185,13 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).join(sized(ids), "id", "left_semi")
-    sets = stage(texts.mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"]), "near-sets")
+    return stage(texts.mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"]), "near-sets")
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets have 100 |a and b| >= percent |a or b|."""
+    pairs = stage(pairs.distinct(), "near-pairs")
+    sets = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), docs, k, id_col, text_col)
     both = (pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
             .join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
@@ -239,19 +255,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     links = stage(links, "near-links")
     comp = sized(stage(components(links), "near-comp"))
 
-    # buckets that still hold several components, dealt into blocks
-    placed = shared.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    mixed = (placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                               F.count("*").alias("n"))
-             .filter("lo != hi and n > 2")  # a bucket of two was settled by its leader
-             .select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    # buckets that still hold several components; of buckets with the same members, the one of the first band
+    placed = stage(shared.join(comp, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("comp")),
+                   "near-placed")
+    mixed = (placed.groupBy("band", "key")
+             .agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n"),
+                  F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark"), F.bit_xor(F.hash("id")).alias("mark2"))
+             .filter("least != most and n > 2")  # a bucket of two was settled by its leader
+             .groupBy("mark", "mark2", "n").agg(F.min(F.struct("band", "key")).alias("of")).select("of.*"))
     mixed = sized(stage(mixed, "near-mixed"))
-    rest = placed.join(mixed, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rest = stage(placed.join(mixed, ["band", "key"]), "near-rest")
+    facts = stage(rest.select("id").distinct().join(first.select("id", "sig", "bands", "n_shingles"), "id"), "near-facts")
+    weight = (rest.join(facts.select("id", "n_shingles"), "id").groupBy("band", "key")
+              .agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+                   .cast("int").alias("blocks")))
+    weight = sized(stage(weight, "near-blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiles = (rest.select("band", "key", "id", "comp", "block", other)
+    tiles = (rest.join(weight, ["band", "key"])
+             .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+             .select("band", "key", "id", "comp", "block", other)
              .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other"))
-    tiles = tiles.join(slim, "id")
-    more = _confirm(_block_survivors(tiles, needs), docs, k, percent, id_col, text_col)
+    sets = _sets(rest.select("id"), docs, k, id_col, text_col)
+    tiles = tiles.join(facts.drop("n_shingles").join(sets, "id"), "id")
+    more = stage(tiles.groupBy("band", "key", "lo", "hi").applyInPandas(
+        lambda pdf: _settle_tile(pdf, needs, percent), "a long, b long").distinct(), "near-more")
 
     merged = links.union(more)
     final = components(merged).select(F.col("id").alias("rep"), "component")
