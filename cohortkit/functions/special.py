@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_EPS = 1e-16
+_EPS = 3e-16
 _TINY = 1e-300
 _MAX_ITER = 100000
 
@@ -46,6 +46,14 @@ def _betacf(a: float, b: float, x: float) -> float:
     return h
 
 
+def _log_gamma_ratio(a: float, b: float) -> float:
+    """log(gamma(a + b) / gamma(a)); for a large a by Stirling's series, whose leading terms cancel here."""
+    if a < 1e4:
+        return math.lgamma(a + b) - math.lgamma(a)
+    rest = lambda x: 1 / (12 * x) - 1 / (360 * x**3)
+    return (a - 0.5) * math.log1p(b / a) + b * math.log(a + b) - b + rest(a + b) - rest(a)
+
+
 def betainc(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta I_x(a, b)."""
     if x is None or a is None or b is None or any(map(math.isnan, (a, b, x))):
@@ -54,7 +62,7 @@ def betainc(a: float, b: float, x: float) -> float:
         return 0.0
     if x >= 1.0:
         return 1.0
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    lbeta = _log_gamma_ratio(max(a, b), min(a, b)) - math.lgamma(min(a, b))
     front = math.exp(lbeta + a * math.log(x) + b * math.log1p(-x))
     if x < (a + 1.0) / (a + b + 2.0):
         return front * _betacf(a, b, x) / a

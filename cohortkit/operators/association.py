@@ -40,7 +40,10 @@ def _table_shape(cont: DataFrame) -> DataFrame:
     rt = cont.groupBy("variable", "value").agg(F.sum("n").alias("row_n"))
     ct = cont.groupBy("variable", "label").agg(F.sum("n").alias("col_n"))
     # cell, row and column totals meet in equi-joins (distributed by key, no single task)
-    cells = cont.join(rt, ["variable", "value"]).join(ct, ["variable", "label"])
+    # products of counts are taken in double: four totals overflow a bigint from about 10^5 rows
+    cells = (cont.withColumn("n", F.col("n").cast("double"))
+             .join(rt.withColumn("row_n", F.col("row_n").cast("double")), ["variable", "value"])
+             .join(ct.withColumn("col_n", F.col("col_n").cast("double")), ["variable", "label"]))
     tot = cont.groupBy("variable").agg(
         F.sum("n").cast("double").alias("nn"),
         F.count_distinct("value").alias("r"), F.count_distinct("label").alias("c"),
@@ -65,7 +68,7 @@ def _table_shape(cont: DataFrame) -> DataFrame:
     r2, c2 = F.col("c2") + F.col("d"), F.col("b") + F.col("d")
     dev = F.abs(F.col("a") - r1 * c1 / F.col("nn"))
     yates = (F.pow(F.greatest(dev - 0.5, F.lit(0.0)), 2) * F.pow(F.col("nn"), 3)
-             / (r1 * r2 * c1 * c2).cast("double"))
+             / (r1 * r2 * c1 * c2))
     chi2 = F.when(dof == 0, F.lit(0.0)).when(dof == 1, yates).otherwise(F.col("sum_o2_e") - F.col("nn"))
     return agg.select("variable", F.col("nn").cast("bigint").alias("n"), "r", "c",
                       dof.cast("int").alias("dof"), min_cell.cast("bigint").alias("min_cell"),

@@ -184,4 +184,5 @@ def class_weight_balanced(df: DataFrame, label_col: str, weight_col: str = "weig
     wt = counts.select(label_col, (F.sum("__nc").over(everything)
                                    / (F.count(F.lit(1)).over(everything) * F.col("__nc"))).alias(weight_col))
     # one row per class: a bounded broadcast
-    return df.join(F.broadcast(wt), label_col)
+    wt = wt.withColumnRenamed(label_col, "__of")
+    return df.join(F.broadcast(wt), df[f"`{label_col}`"].eqNullSafe(wt["__of"])).drop("__of")  # NULL is a class

@@ -89,10 +89,10 @@ def roc_auc(pred: DataFrame, group_cols=GROUP, label: str = "label", score: str
         d3 = d2.join(prefix, [*g, "__bk"])
         wi = Window.partitionBy(*g, "__bk").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
         below = F.col("__before") + F.coalesce(F.sum("__neg").over(wi), F.lit(0))
-        d4 = d3.withColumn("__contrib", F.col("__pos") * (below + 0.5 * F.col("__neg")))
+        d4 = d3.withColumn("__contrib", F.col("__pos").cast("double") * (below + 0.5 * F.col("__neg")))
     res = d4.groupBy(*g).agg(F.sum("__contrib").alias("__c"), F.sum("__pos").alias("__p"), F.sum("__neg").alias("__n"))
     ok = (F.col("__p") > 0) & (F.col("__n") > 0)
-    return res.select(*g, F.when(ok, F.col("__c") / (F.col("__p") * F.col("__n")).cast("double")).alias("AUC"))
+    return res.select(*g, F.when(ok, F.col("__c") / (F.col("__p").cast("double") * F.col("__n"))).alias("AUC"))
 
 
 def evaluate(pred: DataFrame, group_cols=GROUP, max_group_scores: int | None = None) -> DataFrame:

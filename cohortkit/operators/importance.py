@@ -53,7 +53,7 @@ def mutual_information(df: DataFrame, spec: CohortSpec, variables, bins: int = M
     c = (cells.withColumn("tot", F.sum("n").over(wv))
          .withColumn("nb", F.sum("n").over(Window.partitionBy("variable", "bin")))
          .withColumn("ny", F.sum("n").over(Window.partitionBy("variable", "y"))))
-    term = (F.col("n") / F.col("tot")) * F.log((F.col("n") * F.col("tot")) / (F.col("nb") * F.col("ny")))
+    term = (F.col("n") / F.col("tot")) * F.log((F.col("n").cast("double") * F.col("tot")) / (F.col("nb").cast("double") * F.col("ny")))
     out = c.groupBy("variable").agg(F.sum(term).alias("mutual_information"))
     names = df.sparkSession.createDataFrame([(v,) for v in variables], "variable string")
     return names.join(out, "variable", "left").select(

@@ -8,8 +8,8 @@ Scale notes
 * Cross-tabs aggregate (variable, value, label) with map-side combine; their
   output is bounded by the number of distinct values, so windows over it
   (row percentages) run on a tiny table.
-* ``distinct_count`` screens with HyperLogLog and counts exactly only the
-  low-cardinality candidates, so no Expand of p columns of distinct values.
+* ``distinct_count`` is exact at any number: (variable, value) groups, combined
+  before the shuffle, then counted.
 """
 
 from __future__ import annotations
@@ -215,36 +215,23 @@ def within_group_distribution(df: DataFrame, variable: str, spec: CohortSpec) ->
 
 
 def distinct_count(df: DataFrame, variables, limit: int = 2 * CATEGORICAL_MAX_DISTINCT) -> DataFrame:
-    """Distinct non-null values per variable, exact up to ``limit``.
+    """Distinct non-null values per variable, exact at any number.
 
-    A HyperLogLog pass screens every variable (fixed-size state per column);
-    only variables whose estimate is at most twice ``limit`` have their few
-    values grouped and counted exactly. Variables above the limit report
-    ``n_distinct = NULL`` and ``above_limit = true``; the categorical rule only
-    needs to know whether a variable has at most 10 values.
+    One scan groups (variable, value), combined before the shuffle, and counts
+    the groups; no task holds all values of a variable. ``above_limit`` flags
+    variables with more than ``limit`` values.
     Schema: variable string, n_distinct bigint, above_limit boolean.
     """
     variables = list(variables)
     spark = df.sparkSession
-    schema = "variable string, n_distinct bigint, above_limit boolean"
     if not variables:
-        return spark.createDataFrame([], schema)
-    approx_row = df.agg(*[F.approx_count_distinct(qcol(c), 0.05).alias(f"d{i}")
-                          for i, c in enumerate(variables)]).first()  # one row of p numbers
-    approx = {c: int(approx_row[f"d{i}"]) for i, c in enumerate(variables)}
-    candidates = [c for c in variables if approx[c] <= 2 * limit]
-    rows = [(c, None, True) for c in variables if c not in candidates]
-    out = spark.createDataFrame(rows, schema)
-    if candidates:
-        exact = (long_values(df, candidates).select("variable", "value").distinct()
-                 .groupBy("variable").agg(F.count(F.lit(1)).cast("bigint").alias("k")))
-        cand = spark.createDataFrame([(c,) for c in candidates], "variable string")
-        exact = cand.join(exact, "variable", "left").select(
-            "variable", F.coalesce("k", F.lit(0)).cast("bigint").alias("k"))
-        out = out.unionByName(exact.select(
-            "variable", F.when(F.col("k") <= limit, F.col("k")).alias("n_distinct"),
-            (F.col("k") > limit).alias("above_limit")))
-    return out
+        return spark.createDataFrame([], "variable string, n_distinct bigint, above_limit boolean")
+    values = long_values(df, variables).groupBy("variable", "value").agg(F.lit(1).alias("one"))
+    exact = values.groupBy("variable").agg(F.count(F.lit(1)).cast("bigint").alias("k"))
+    names = spark.createDataFrame([(c,) for c in variables], "variable string")
+    n = F.coalesce("k", F.lit(0)).cast("bigint")
+    return names.join(exact, "variable", "left").select(
+        "variable", n.alias("n_distinct"), (n > limit).alias("above_limit"))
 
 
 def long_values(df: DataFrame, variables, extra=()) -> DataFrame:

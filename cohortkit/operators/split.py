@@ -47,9 +47,15 @@ def hashed_rank(df: DataFrame, by: list, hex_col: str, tiebreak: str, n_rows: in
     w = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     prefix = counts.withColumn("__before", F.coalesce(F.sum("__cnt").over(w), F.lit(0))).drop("__cnt")
     groups = n_groups if n_groups is not None else 1
-    if groups * 16 ** d <= BROADCAST_PREFIX_ROWS:
+    prefix = prefix.select(*[F.col(f"`{c}`").alias(f"__by{i}") for i, c in enumerate(by)],
+                           F.col("__bucket").alias("__of"), "__before")
+    if n_groups is not None and groups * 16 ** d <= BROADCAST_PREFIX_ROWS:
         prefix = F.broadcast(prefix)
-    joined = dfb.join(prefix, [*by, "__bucket"])
+    # null-safe: a NULL group is a group like any other
+    on = dfb["__bucket"] == prefix["__of"]
+    for i, c in enumerate(by):
+        on = on & dfb[f"`{c}`"].eqNullSafe(prefix[f"__by{i}"])
+    joined = dfb.join(prefix, on).drop("__of", *[f"__by{i}" for i in range(len(by))])
     inner = Window.partitionBy(*by, "__bucket").orderBy(hex_col, tiebreak)
     return (joined.withColumn(rank_col, F.col("__before") + F.row_number().over(inner))
             .drop("__bucket", "__before"))
@@ -69,6 +75,13 @@ def _largest_remainder(counts: dict, total_take: int) -> dict:
     return base
 
 
+def _per_class(values: dict, label: str) -> Column:
+    """values[label] as a column; a NULL label is a class of its own."""
+    known = [x for c, v in values.items() if c is not None for x in (F.lit(c), F.lit(v))]
+    of = F.create_map(*known)[qcol(label)] if known else F.lit(None)
+    return F.when(qcol(label).isNull(), F.lit(values.get(None, 0))).otherwise(F.coalesce(of, F.lit(0))).cast("long")
+
+
 def class_counts(df: DataFrame, label: str) -> dict:
     """Rows per class (a label-cardinality sized dict)."""
     return {r[0]: int(r[1]) for r in df.groupBy(qcol(label)).count().collect()}
@@ -95,8 +108,7 @@ def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 1 /
     _, k_test = split_sizes(counts, test_size)
     hexed = df.withColumn("__h", hash_hex(seed, qcol(key)))
     ranked = hashed_rank(hexed, [label], "__h", key, n_rows=n, n_groups=len(counts), rank_col="__rk")
-    quota = F.create_map(*[x for c, k in k_test.items() if c is not None for x in (F.lit(c), F.lit(k))])
-    is_test = F.col("__rk") <= F.coalesce(quota[qcol(label)], F.lit(0))
+    is_test = F.col("__rk") <= _per_class(k_test, label)
     return ranked.withColumn(split_col, F.when(is_test, "test").otherwise("train")).drop("__h", "__rk")
 
 
@@ -110,15 +122,14 @@ def stratified_kfold(df: DataFrame, label: str, key: str, k: int = 10, seed: int
     class counts of ``df`` when already known (saves a job).
     """
     counts = counts if counts is not None else class_counts(df, label)
-    classes = sorted([c for c in counts if c is not None])
+    classes = sorted(counts, key=lambda c: (c is None, c))  # NULL labels last
     offset, acc = {}, 0
     for c in classes:
         offset[c] = acc
         acc += counts[c]
     hexed = df.withColumn("__h", hash_hex(seed, F.lit("fold"), qcol(key)))
     ranked = hashed_rank(hexed, [label], "__h", key, n_rows=acc, n_groups=len(classes), rank_col="__rk")
-    off = F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(offset[c]))])
-    return (ranked.withColumn(fold_col, F.pmod(off[qcol(label)] + F.col("__rk") - 1, F.lit(k)).cast("int"))
+    return (ranked.withColumn(fold_col, F.pmod(_per_class(offset, label) + F.col("__rk") - 1, F.lit(k)).cast("int"))
             .drop("__h", "__rk"))
 
 
@@ -155,14 +166,15 @@ def temporal_split(df: DataFrame, ts: str, test_size: float = 1 / 3, split_col:
 
     The cut is the exact order statistic of ``ts`` (histogram refinement, no
     global sort): rows strictly before the cut are train, the rest test, so
-    ties at the cut all go to test.
+    ties at the cut all go to test. Sizes count rows with a time; rows without
+    one are train (nothing says that they are late).
     """
-    n = df.count()
+    n = df.filter(qcol(ts).isNotNull()).count()
     n_test = int(math.ceil(n * test_size))
     if n_test <= 0:
         return df.withColumn(split_col, F.lit("train"))
     cut = kth_smallest(df, ts, n - n_test + 1)
-    return df.withColumn(split_col, F.when(_orderable(df, ts) < F.lit(cut), "train").otherwise("test"))
+    return df.withColumn(split_col, F.when(_orderable(df, ts) >= F.lit(cut), "test").otherwise("train"))
 
 
 def _orderable(df: DataFrame, col: str) -> Column:
@@ -209,9 +221,9 @@ def kth_smallest(df: DataFrame, col: str, k: int, bins: int = 4096, small: int =
         for row in hist:
             if acc + row["count"] >= k:
                 k -= acc
-                nlo, nhi = lo + row["b"] * width, (lo + (row["b"] + 1) * width if row["b"] < bins - 1 else hi)
                 cnt = row["count"]
-                sub = cur.filter((F.col("__x") >= nlo) & ((F.col("__x") < nhi) if row["b"] < bins - 1 else (F.col("__x") <= nhi)))
+                # keep by the expression that counted; bin edges recomputed from it may round otherwise
+                sub = cur.filter((F.col("__x") >= lo) & (F.col("__x") <= hi) & (b == row["b"]))
                 mm = sub.agg(F.min("__x"), F.max("__x")).first()
                 lo, hi = mm[0], mm[1]
                 cur = sub
@@ -233,7 +245,7 @@ def split_and_folds(df: DataFrame, label: str, key: str, test_size: float = 1 /
     """
     counts = counts if counts is not None else class_counts(df, label)
     train_n, test_n = split_sizes(counts, test_size)
-    classes = sorted(c for c in counts if c is not None)
+    classes = sorted(counts, key=lambda c: (c is None, c))  # NULL labels last
     offset, acc = {}, 0
     for c in classes:
         offset[c] = acc
@@ -241,12 +253,10 @@ def split_and_folds(df: DataFrame, label: str, key: str, test_size: float = 1 /
     hexed = df.withColumn("__h", hash_hex(seed, qcol(key)))
     ranked = hashed_rank(hexed, [label], "__h", key, n_rows=sum(counts.values()), n_groups=len(counts),
                          rank_col="__rk")
-    quota = F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(test_n[c]))])
-    off = F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(offset[c]))])
-    kt = F.coalesce(quota[qcol(label)], F.lit(0))
+    kt = _per_class(test_n, label)
     is_test = F.col("__rk") <= kt
     return ranked.select(
         *[c for c in ranked.columns if c not in ("__h", "__rk")],
         F.when(is_test, "test").otherwise("train").alias(split_col),
         F.when(is_test, F.lit(-1)).otherwise(
-            F.pmod(off[qcol(label)] + F.col("__rk") - kt - 1, F.lit(k))).cast("int").alias(fold_col))
+            F.pmod(_per_class(offset, label) + F.col("__rk") - kt - 1, F.lit(k))).cast("int").alias(fold_col))

@@ -102,6 +102,19 @@ def q_welch(spark, sf_dir):
     return rounded(assoc.welch_t_test(lineitem_cohort(spark, sf_dir), LI, LI_NUMERIC))
 
 
+@register("chi_square_large_2x2", O.rounded("""WITH t AS (SELECT
+        count(*) FILTER (l_quantity > 25 AND l_linestatus = 'F')::DOUBLE AS a,
+        count(*) FILTER (l_quantity > 25 AND l_linestatus = 'O')::DOUBLE AS b,
+        count(*) FILTER (l_quantity <= 25 AND l_linestatus = 'F')::DOUBLE AS c,
+        count(*) FILTER (l_quantity <= 25 AND l_linestatus = 'O')::DOUBLE AS d FROM lineitem)
+    SELECT 'heavy' AS variable, (a + b + c + d) * pow(greatest(abs(a * d - b * c) - (a + b + c + d) / 2, 0), 2)
+           / ((a + b) * (c + d) * (a + c) * (b + d)) AS statistic, 1::INT AS dof FROM t""", ["statistic"]))
+def q_chi2_large(spark, sf_dir):
+    """A balanced 2 x 2 table over all rows: the totals' product exceeds a bigint."""
+    df = table(spark, sf_dir, "lineitem").select("l_linestatus", (F.col("l_quantity") > 25).cast("string").alias("heavy"))
+    return rounded(assoc.chi_square_test(assoc.contingency(df, LI, ["heavy"])).drop("p_value"))
+
+
 @register("chi_square_test", O.rounded(
     f"""WITH li AS ({LI_CLEAN_SQL}), {O.contingency_ctes(LI, 'li', ['l_discount', 'l_tax', 'l_returnflag'])}
     SELECT s.variable, s.statistic, s.dof, chip.p AS p_value FROM shape s JOIN chip USING (variable)""",
@@ -354,14 +367,14 @@ def q_within_group(spark, sf_dir):
     return rounded(profile.within_group_distribution(lineitem_cohort(spark, sf_dir), "l_discount", LI))
 
 
-@register("distinct_count", f"""SELECT variable, CASE WHEN k <= 20 THEN k END::BIGINT AS n_distinct, k > 20 AS above_limit
+@register("distinct_count", f"""SELECT variable, k::BIGINT AS n_distinct, k > 20 AS above_limit
     FROM ({' UNION ALL '.join(f"SELECT '{v}' AS variable, count(DISTINCT {v}) AS k FROM ({LI_CLEAN_SQL})" for v in LI_VARS)})""")
 def q_distinct_count(spark, sf_dir):
     return profile.distinct_count(lineitem_cohort(spark, sf_dir), LI_VARS)
 
 
 @register("variable_kind", f"""WITH li AS ({LI_CLEAN_SQL}), {O.kinds_ctes(LI, 'li', LI_VARS, LI_NUMERIC)}
-    SELECT variable, CASE WHEN nd <= 20 THEN nd END::BIGINT AS n_distinct, kind FROM kinds""")
+    SELECT variable, nd::BIGINT AS n_distinct, kind FROM kinds""")
 def q_variable_kind(spark, sf_dir):
     return profile.variable_kind(lineitem_cohort(spark, sf_dir), LI)
 
@@ -511,6 +524,16 @@ def q_separate_target(spark, sf_dir):
     return features
 
 
+@register("temporal_split_null_times", """WITH e AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN ts END AS ts FROM events),
+    n AS (SELECT count(ts) AS n FROM e),
+    o AS (SELECT ts, row_number() OVER (ORDER BY ts) AS rn FROM e WHERE ts IS NOT NULL),
+    cut AS (SELECT o.ts FROM o, n WHERE o.rn = n.n - ceil(n.n::DOUBLE * (1::DOUBLE / 3::DOUBLE))::BIGINT + 1)
+    SELECT e.event_id, CASE WHEN e.ts >= cut.ts THEN 'test' ELSE 'train' END AS split FROM e, cut""")
+def q_temporal_split_nulls(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("ts"))
+    return S.temporal_split(ev, "ts", 1 / 3).select("event_id", "split")
+
+
 @register("temporal_split", """WITH n AS (SELECT count(*) AS n FROM events),
     o AS (SELECT ts, row_number() OVER (ORDER BY ts) AS rn FROM events),
     cut AS (SELECT o.ts FROM o, n WHERE o.rn = n.n - ceil(n.n::DOUBLE * (1::DOUBLE / 3::DOUBLE))::BIGINT + 1)

@@ -14,7 +14,7 @@ from cohortkit.operators.clean import read_na_tokens
 
 
 def read_sheet(spark: SparkSession, path: str, columns=None, fmt: str = "csv", header: bool = True,
-               tokens=None) -> DataFrame:
+               tokens=None, multi_line: bool = True) -> DataFrame:
     """Read a raw sheet with every column as a string and map missing tokens to NULL.
 
     Excel workbooks are re-aimed as CSV/Parquet exports (no Excel source in
@@ -25,6 +25,9 @@ def read_sheet(spark: SparkSession, path: str, columns=None, fmt: str = "csv", h
         reader = reader.option("header", header).option("mode", "PERMISSIVE")
         # keep empty fields as empty strings so the token rule decides (like the sheet reader)
         reader = reader.option("nullValue", "\u0000").option("emptyValue", "")
+        # a quoted cell may hold line breaks; such files cannot be split, so many
+        # files (or multi_line=False for sheets without line breaks) give the parallelism
+        reader = reader.option("multiLine", multi_line).option("escape", '"')
         if columns is not None:
             reader = reader.schema(StructType([StructField(c, StringType(), True) for c in columns]))
         df = reader.csv(path)

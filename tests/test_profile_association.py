@@ -44,7 +44,7 @@ def test_distinct_and_kind(spark):
     spec = CohortSpec(label="y", numeric=("a", "b", "c", "d"), id_col=None)
     kinds = {r.variable: (r.n_distinct, r.kind) for r in P.variable_kind(df, spec).collect()}
     assert kinds["a"] == (2, "categorical") and kinds["b"] == (10, "categorical")
-    assert kinds["c"] == (11, "numeric") and kinds["d"] == (None, "numeric")
+    assert kinds["c"] == (11, "numeric") and kinds["d"] == (200, "numeric")
 
 
 def test_chi_square_yates_and_uncorrected(spark):
