@@ -32,7 +32,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
         v = np.maximum(p * (1 - p), 1e-6)
         move = np.linalg.solve((xb * v[:, None]).T @ xb + np.diag(penalty), xb.T @ (p - y) + penalty * w)
         w -= move
-        if np.abs(move).max() < 1e-6:
+        if np.abs(move).max() < 1e-4:
             break
     return w
 

@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from cohortkit.llm.linear import fit_logistic, predict
 
-MAX_TRAIN = 20_000
+MAX_TRAIN = 12_000
 BUCKETS = 1 << 20
-TERMS_PER_CATEGORY = 200
+TERMS_PER_CATEGORY = 100
 MIN_SCORE = 4.5
 MIN_DOCS = 5
 FOLDS = 3
