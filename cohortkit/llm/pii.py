@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.llm.common import BROADCAST_ROWS, occurrences, pieces, sha256_of, sized, stage
+from cohortkit.llm.common import occurrences, pieces, sha256_of, sized, stage
 
 #: Kinds in the order of the digest. Possessive quantifiers and look-behinds keep
 #: the leftmost matches and avoid re-reading a long run from each of its characters.
@@ -109,10 +109,8 @@ def find_personal_data(docs: DataFrame, disclosure: float = 0.9, min_docs: int =
     asked = stage(together.select("term").distinct(), "pii-asked")
     words = texts.select("_id", F.explode(F.array_distinct(pieces(F.lower("_text"), r"[^\p{L}]+"))).alias("term"))
     words = words.filter(F.length("term") >= 4)
-    if asked.count() <= BROADCAST_ROWS:
-        words = words.join(F.broadcast(asked), "term", "left_semi")
-    # beyond the bound every term is counted; map-side sums keep that to one row per term and task
-    seen = words.groupBy("term").agg(F.count("*").alias("n_t"))
+    # every term is counted: map-side sums leave one row per term and task, whatever is asked
+    seen = words.groupBy("term").agg(F.count("*").alias("n_t")).join(asked, "term", "left_semi")
     rated = (together.join(entities, "entity").join(seen, "term")
              .withColumn("n_t", F.greatest("n_t", "n_ct"))
              .withColumn("risk", F.try_divide(F.log(F.lit(float(total)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))),
