@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 
 from cohortkit.functions.hashing import hash_hex, uniform
 from cohortkit.operators.split import hashed_rank
+from cohortkit.session import checkpoint_dir
 
 # Fixed value: neighbours used by SMOTE.
 SMOTE_K = 5
+#: Bytes of one k-NN block of vectors, and numbers held at a time while its distances are computed.
+BLOCK_BYTES, CHUNK = 16_000_000, 4_000_000
 
 
 def _as_double_array(df: DataFrame, vec_col: str) -> DataFrame:
@@ -41,16 +44,21 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int, reference: DataFrame |
     """Exact k nearest neighbours (squared Euclidean) of every row of ``df``
     among ``reference`` (default: ``df`` itself).
 
-    ``block_rows`` defaults to max(2048, 32 * sqrt(n)): every row is replicated
-    once per block, so the shuffle grows as n * B = n^1.5 / 32 instead of n^2,
-    while a task holds two blocks of vectors and a chunk of distances.
+    ``block_rows`` defaults to what fits ``BLOCK_BYTES`` at the vectors' width
+    (a quarter of a small input, so that it too is dealt to several tasks): a
+    task holds two such blocks and a chunk of distances, whatever the row count.
+    Inside a task a matrix product finds the rows that can be among the k
+    nearest; only their distances are computed term by term, so the result does
+    not depend on the blocks.
     Schema: id, nn_id, dist, nn_rank (1..k; ties by neighbour id).
     """
     ref = reference if reference is not None else df
     q = _as_double_array(df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), "v")
     r = _as_double_array(ref.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), "v")
-    n = max(q.count(), r.count())
-    block_rows = block_rows or max(2048, int(32 * math.sqrt(max(n, 1))))
+    n, width = r.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    n = max(n, n if reference is None else q.count())
+    if not block_rows:
+        block_rows = max(1, min(BLOCK_BYTES // (8 * max(1, width or 1)), max(256, -(-n // 4))))
     nb = max(1, int(math.ceil(n / block_rows)))
     blocks = F.sequence(F.lit(0), F.lit(nb - 1))
     qx = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nb))).withColumn("rb", F.explode(blocks))
@@ -64,22 +72,33 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int, reference: DataFrame |
         rv = np.stack(rpdf["v"].to_numpy()).astype(np.float64)
         qid = qpdf["id"].to_numpy()
         rid = rpdf["id"].to_numpy()
-        kk = min(k + (1 if exclude_self else 0), len(rid))
+        whole_q, whole_r = np.isfinite(qv).all(axis=1), np.isfinite(rv).all(axis=1)  # others have no distance
+        qv, qid, rv, rid = qv[whole_q], qid[whole_q], rv[whole_r], rid[whole_r]
+        if not len(qid) or not len(rid):
+            return block_knn(qpdf[:0], rpdf[:0])
+        kk =min(k + (1 if exclude_self else 0), len(rid))
         out_id, out_nn, out_d = [], [], []
-        step = max(1, 4_000_000 // max(1, rv.size))
+        q2, r2 = np.einsum("ij,ij->i", qv, qv), np.einsum("ij,ij->i", rv, rv)
+        step = max(1, CHUNK // len(rid))
+        piece = max(1, CHUNK // max(1, rv.shape[1]))
         for s in range(0, len(qid), step):
-            diff = qv[s:s + step, None, :] - rv[None, :, :]
-            d = np.einsum("ijk,ijk->ij", diff, diff)
+            near = q2[s:s + step, None] + r2[None, :] - 2 * (qv[s:s + step] @ rv.T)
+            # the product rounds: everything within its error of the kk-th stays a candidate
+            slack = 1e-9 * (q2[s:s + step] + r2.max())
+            bound = np.partition(near, kk - 1, axis=1)[:, kk - 1] + slack
+            qi, ri = np.nonzero(near <= bound[:, None])
+            d = np.concatenate([np.einsum("ij,ij->i", x, x) for x in (
+                qv[s + qi[a:a + piece]] - rv[ri[a:a + piece]] for a in range(0, len(qi), piece))])
             if exclude_self:
-                d[qid[s:s + step, None] == rid[None, :]] = np.inf
-            # order by (distance, neighbour id) and keep the first kk
-            order = np.lexsort((np.broadcast_to(rid, d.shape), d), axis=1)[:, :kk]
-            rows = np.arange(d.shape[0])[:, None]
-            dd = d[rows, order]
-            keep = np.isfinite(dd)
-            out_id.append(np.repeat(qid[s:s + step], kk).reshape(-1, kk)[keep])
-            out_nn.append(rid[order][keep])
-            out_d.append(dd[keep])
+                other = qid[s + qi] != rid[ri]
+                qi, ri, d = qi[other], ri[other], d[other]
+            # order by (row, distance, neighbour id) and keep the first kk of each row
+            order = np.lexsort((rid[ri], d, qi))
+            qi, ri, d = qi[order], ri[order], d[order]
+            keep = (np.arange(len(qi)) - np.searchsorted(qi, qi)) < kk
+            out_id.append(qid[s + qi[keep]])
+            out_nn.append(rid[ri[keep]])
+            out_d.append(d[keep])
         return pd.DataFrame({"id": np.concatenate(out_id).astype("int64"),
                              "nn_id": np.concatenate(out_nn).astype("int64"),
                              "dist": np.concatenate(out_d)})
@@ -124,7 +143,8 @@ def smote_oversample(df: DataFrame, id_col: str, vec_col: str, label_col: str, m
     if n_min <= k:
         raise ValueError(f"SMOTE needs more than k={k} minority rows, got {n_min}")
     mino = _as_double_array(df.filter(F.col(label_col) == minority).select(id_col, vec_col), vec_col)
-    mino = mino.cache()
+    checkpoint_dir(df.sparkSession)
+    mino = mino.checkpoint()
     nn = knn(mino, id_col, vec_col, k).select(F.col("id").alias("base_id"), "nn_id", "nn_rank")
     ranked = hashed_rank(mino.withColumn("__h", hash_hex(seed, F.col(id_col))).withColumn("__g", F.lit(0)),
                          ["__g"], "__h", id_col, n_rows=n_min, n_groups=1, rank_col="__rk")
@@ -173,7 +193,8 @@ def remove_tomek_links(df: DataFrame, id_col: str, vec_col: str, label_col: str)
 def smote_tomek(df: DataFrame, id_col: str, vec_col: str, label_col: str, minority=1,
                 k: int = SMOTE_K, seed: int = 42) -> DataFrame:
     """SMOTE to parity, then remove Tomek links from the resampled set."""
-    res = smote_resample(df, id_col, vec_col, label_col, minority, k, seed).cache()
+    checkpoint_dir(df.sparkSession)
+    res = smote_resample(df, id_col, vec_col, label_col, minority, k, seed).checkpoint()
     return remove_tomek_links(res, id_col, vec_col, label_col)
 
 

@@ -45,11 +45,14 @@ def classification_metrics(pred: DataFrame, group_cols=GROUP, label: str = "labe
     """precision, recall, f1 for class 1 (0 when undefined) and accuracy."""
     c = confusion(pred, group_cols, label, pred_col)
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
-    return c.select(*group_cols,
-                    _zero_div(tp, tp + fp).alias("precision"),
-                    _zero_div(tp, tp + fn).alias("recall"),
-                    _zero_div(2 * tp, 2 * tp + fp + fn).alias("f1"),
-                    F.try_divide((tp + tn).cast("double"), (tp + tn + fp + fn).cast("double")).alias("accuracy"))
+    return c.select(*group_cols, *_rates(tp, fp, fn, tn))
+
+
+def _rates(tp: Column, fp: Column, fn: Column, tn: Column) -> list:
+    return [_zero_div(tp, tp + fp).alias("precision"),
+            _zero_div(tp, tp + fn).alias("recall"),
+            _zero_div(2 * tp, 2 * tp + fp + fn).alias("f1"),
+            F.try_divide((tp + tn).cast("double"), (tp + tn + fp + fn).cast("double")).alias("accuracy")]
 
 
 def roc_auc(pred: DataFrame, group_cols=GROUP, label: str = "label", score: str = "score",
@@ -64,11 +67,17 @@ def roc_auc(pred: DataFrame, group_cols=GROUP, label: str = "label", score: str
     g = list(group_cols)
     dist = pred.groupBy(*g, F.col(score).cast("double").alias("__s")).agg(
         F.count_if(F.col(label) == 1).alias("__pos"), F.count_if(F.col(label) == 0).alias("__neg"))
+    return _auc_of_scores(dist, g, max_group_scores, bucket_rows).select(*g, "AUC")
+
+
+def _auc_of_scores(dist: DataFrame, g: list, max_group_scores: int | None, bucket_rows: int = 100_000,
+                   sums=()) -> DataFrame:
+    """AUC per group, and the totals of ``sums``, from one row per (group, score) with __s, __pos, __neg."""
     n_groups = None
     if max_group_scores is None:
         sizes = dist.groupBy(*g).count().agg(F.max("count"), F.count(F.lit(1))).first()  # reduced to one row
         max_group_scores, n_groups = int(sizes[0] or 0), int(sizes[1] or 0)
-    n_buckets = int(min(4096, max(1, -(-max_group_scores // bucket_rows))))
+    n_buckets = int(max(1, -(-max_group_scores // bucket_rows)))
     if n_buckets == 1:
         w = Window.partitionBy(*g).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
         d4 = dist.withColumn("__contrib", F.col("__pos") * (F.coalesce(F.sum("__neg").over(w), F.lit(0))
@@ -90,15 +99,25 @@ def roc_auc(pred: DataFrame, group_cols=GROUP, label: str = "label", score: str
         wi = Window.partitionBy(*g, "__bk").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
         below = F.col("__before") + F.coalesce(F.sum("__neg").over(wi), F.lit(0))
         d4 = d3.withColumn("__contrib", F.col("__pos").cast("double") * (below + 0.5 * F.col("__neg")))
-    res = d4.groupBy(*g).agg(F.sum("__contrib").alias("__c"), F.sum("__pos").alias("__p"), F.sum("__neg").alias("__n"))
+    res = d4.groupBy(*g).agg(F.sum("__contrib").alias("__c"), F.sum("__pos").alias("__p"), F.sum("__neg").alias("__n"),
+                             *[F.sum(c).alias(c) for c in sums])
     ok = (F.col("__p") > 0) & (F.col("__n") > 0)
-    return res.select(*g, F.when(ok, F.col("__c") / (F.col("__p").cast("double") * F.col("__n"))).alias("AUC"))
+    return res.select(*g, *sums, F.when(ok, F.col("__c") / (F.col("__p").cast("double") * F.col("__n"))).alias("AUC"))
 
 
 def evaluate(pred: DataFrame, group_cols=GROUP, max_group_scores: int | None = None) -> DataFrame:
-    """AUC, precision, recall, f1, accuracy per group."""
+    """AUC, precision, recall, f1, accuracy per group.
+
+    One pass: the (group, score) counts carry the confusion counts too.
+    """
     g = list(group_cols)
-    return roc_auc(pred, g, max_group_scores=max_group_scores).join(classification_metrics(pred, g), g)
+    y, p = F.col("label"), F.col("pred")
+    cells = {"tp": (p == 1) & (y == 1), "fp": (p == 1) & (y == 0), "fn": (p == 0) & (y == 1), "tn": (p == 0) & (y == 0)}
+    dist = pred.groupBy(*g, F.col("score").cast("double").alias("__s")).agg(
+        F.count_if(y == 1).alias("__pos"), F.count_if(y == 0).alias("__neg"),
+        *[F.count_if(c).alias(n) for n, c in cells.items()])
+    out = _auc_of_scores(dist, g, max_group_scores, sums=tuple(cells))
+    return out.select(*g, "AUC", *_rates(*[F.col(c) for c in cells]))
 
 
 def cv_aggregate(fold_metrics: DataFrame, by=("feature_set", "model"), metrics=METRICS) -> DataFrame:

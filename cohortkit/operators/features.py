@@ -9,12 +9,15 @@ so it can sit in a ``PipelineModel`` next to the classifiers.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from cohortkit.functions.columns import qcol
+from cohortkit.session import checkpoint_dir
 
 
 def _bq(name: str) -> str:
@@ -43,12 +46,51 @@ def fit_zscore(train: DataFrame, columns) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT * EXCEPT ({excl}), {', '.join(exprs)} FROM __THIS__")
 
 
-# Above this many distinct values a column's median switches to the sketch:
-# the exact aggregate merges one counter per distinct value in a single task.
-EXACT_MEDIAN_MAX_DISTINCT = 1_000_000
+# Above this many distinct values (estimated) the quantiles of a column are read
+# off a range-sorted table of its values; below, one aggregate merges a counter
+# per value. Both are exact and give the same numbers.
+SORTED_QUANTILES_FROM = 1_000_000
+
 
+def sorted_quantiles(df: DataFrame, columns, probs) -> dict:
+    """{column: exact quantiles, interpolated between neighbours; None without a value}.
 
-def approx_median_columns(df: DataFrame, columns, limit: int = EXACT_MEDIAN_MAX_DISTINCT) -> set:
+    (column, value) counts, combined before the shuffle, are range-sorted;
+    prefix sums of the partitions' totals tell which partition holds a wanted
+    position, and only those partitions are ranked. No task holds all values.
+    """
+    columns = list(columns)
+    pairs = F.array(*[F.struct(F.lit(i).alias("col"), qcol(c).cast("double").alias("value"))
+                      for i, c in enumerate(columns)])
+    counts = (df.select(F.inline(pairs)).filter("value IS NOT NULL")
+              .groupBy("col", "value").agg(F.count(F.lit(1)).alias("n")))
+    checkpoint_dir(df.sparkSession)
+    counts = counts.repartitionByRange("col", "value").withColumn("part", F.spark_partition_id()).checkpoint()
+    # one row per (column, partition)
+    parts = counts.groupBy("col", "part").agg(F.sum("n").alias("held"))
+    parts = parts.select("col", "part", "held", F.sum("held").over(Window.partitionBy("col")).alias("total"),
+                         (F.sum("held").over(Window.partitionBy("col").orderBy("part")) - F.col("held")).alias("before"))
+    place = [(F.col("total") - 1) * F.lit(float(p)) for p in probs]
+    places = F.array_distinct(F.array(*[f(x).cast("long") for x in place for f in (F.floor, F.ceil)]))
+    parts = parts.withColumn("places", F.filter(places, lambda k: (k >= F.col("before"))
+                                                & (k < F.col("before") + F.col("held")))).filter(F.size("places") > 0)
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("col", "part").orderBy("value"))
+    ranked = counts.join(parts, ["col", "part"]).withColumn("upto", upto)
+    hits = F.filter("places", lambda k: (k >= F.col("upto") - F.col("n")) & (k < F.col("upto")))
+    found = ranked.select("col", "total", "value", F.explode(hits).alias("at")).collect()  # two rows a quantile at most
+    value = {(r["col"], r["at"]): r["value"] for r in found}
+    total = {r["col"]: r["total"] for r in found}
+
+    def quantile(i: int, p: float) -> float:
+        x = (total[i] - 1) * p
+        lo, hi = math.floor(x), math.ceil(x)
+        a, b = value[i, lo], value[i, hi]
+        return a if a == b else (hi - x) * a + (x - lo) * b
+
+    return {c: [quantile(i, p) for p in probs] if i in total else None for i, c in enumerate(columns)}
+
+
+def wide_columns(df: DataFrame, columns, limit: int = SORTED_QUANTILES_FROM) -> set:
     """Columns whose distinct count (HyperLogLog estimate, one job) exceeds ``limit``."""
     columns = list(columns)
     if not columns:
@@ -57,30 +99,35 @@ def approx_median_columns(df: DataFrame, columns, limit: int = EXACT_MEDIAN_MAX_
     return {c for i, c in enumerate(columns) if row[f"d{i}"] > limit}
 
 
-def fit_median_imputer(train: DataFrame, columns, approx=False, accuracy: int = 100000):
+def exact_quantiles(df: DataFrame, columns, probs, wide=None) -> dict:
+    """{column: exact interpolated quantiles, None without a value}.
+
+    ``wide``: the columns to take from a range-sorted table; None asks
+    ``wide_columns``. It changes the plan, never the result.
+    """
+    columns = list(columns)
+    wide = wide_columns(df, columns) if wide is None else set(wide)
+    narrow = [c for c in columns if c not in wide]
+    out = sorted_quantiles(df, [c for c in columns if c in wide], probs) if len(narrow) < len(columns) else {}
+    if narrow:
+        ps = F.array(*[F.lit(float(p)) for p in probs])
+        out |= dict(zip(narrow, df.agg(*[F.percentile(qcol(c).cast("double"), ps).alias(f"q{i}")
+                                         for i, c in enumerate(narrow)]).first()))
+    return out
+
+
+def fit_median_imputer(train: DataFrame, columns, wide=None):
     """Fill NULLs with the training median (exact, interpolated between the two
     middle values); a column with no training value is dropped. Returns
-    (transformer, kept columns).
-
-    Exact medians keep one counter per distinct value (bounded by measurement
-    precision for lab-style columns). ``approx``: True, or a set of column
-    names, uses a fixed-size sketch; None decides per column with one HLL job.
+    (transformer, kept columns). ``wide``: see ``exact_quantiles``.
     """
     columns = list(columns)
-    if approx is None:
-        approx = approx_median_columns(train, columns)
-    if isinstance(approx, (set, frozenset, list, tuple)):
-        sketch = set(approx)
-    else:
-        sketch = set(columns) if approx else set()
-    agg = [(F.percentile_approx(qcol(c).cast("double"), 0.5, accuracy) if c in sketch
-            else F.percentile(qcol(c).cast("double"), 0.5)).alias(f"q{i}") for i, c in enumerate(columns)]
-    row = train.agg(*agg).first()
+    medians = exact_quantiles(train, columns, [0.5], wide)
     keep, exprs = [], []
-    for i, c in enumerate(columns):
-        med = row[f"q{i}"]
-        if med is None:
+    for c in columns:
+        if medians[c] is None:
             continue
+        med = medians[c][0]
         keep.append(c)
         exprs.append(f"coalesce(CAST({_bq(c)} AS DOUBLE), {_num(med)}) AS {_bq(c)}")
     excl = ", ".join(_bq(c) for c in columns)

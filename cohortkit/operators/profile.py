@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from cohortkit.functions.columns import qcol
+from cohortkit.operators.features import exact_quantiles
 from cohortkit.spec import CATEGORICAL_MAX_DISTINCT, CohortSpec
 
 ALL_GROUP = "all"
@@ -258,24 +259,11 @@ def variable_kind(df: DataFrame, spec: CohortSpec, variables=None) -> DataFrame:
          .otherwise("other").alias("kind"))
 
 
-def median_iqr(df: DataFrame, variables, approx=False, accuracy: int = 100000) -> DataFrame:
-    """First quartile, median and third quartile per variable, one scan.
-
-    Exact mode keeps one counter per distinct value per variable (bounded by
-    the measurement precision, not the row count); ``approx=True`` switches to
-    a fixed-size quantile sketch for continuous high-cardinality columns.
-    """
+def median_iqr(df: DataFrame, variables, wide=None) -> DataFrame:
+    """First quartile, median and third quartile per variable, exact at any
+    number of values; ``wide``: see ``features.exact_quantiles``."""
     variables = list(variables)
-    if approx is None:  # per column: sketch only above 1M distinct values (one HLL job)
-        from cohortkit.operators.features import approx_median_columns
-        sketch = approx_median_columns(df, variables)
-    else:
-        sketch = set(variables) if approx else set()
-    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    aggs = [(F.percentile_approx(qcol(c).cast("double"), qs, accuracy) if c in sketch
-             else F.percentile(qcol(c).cast("double"), qs)).alias(f"q{i}") for i, c in enumerate(variables)]
-    wide = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("variable"),
-                              F.col(f"q{i}")[0].alias("q1"), F.col(f"q{i}")[1].alias("median"),
-                              F.col(f"q{i}")[2].alias("q3")) for i, c in enumerate(variables)])
-    return wide.select(F.inline(rows)).withColumn("iqr", F.col("q3") - F.col("q1")).orderBy("ord").drop("ord")
+    found = exact_quantiles(df, variables, [0.25, 0.5, 0.75], wide)
+    rows = [(i, c, *(found[c] or [None] * 3)) for i, c in enumerate(variables)]
+    out = df.sparkSession.createDataFrame(rows, "ord int, variable string, q1 double, median double, q3 double")
+    return out.withColumn("iqr", F.col("q3") - F.col("q1")).orderBy("ord").drop("ord")

@@ -802,7 +802,10 @@ def q_knn(spark, sf_dir):
     return BA.knn(m, "id", "v", BA.SMOTE_K).select("id", "nn_id", "nn_rank")
 
 
-@register("tomek_links", f"""WITH nn AS {_knn_sql(_EMB_SQL, 1)}, e AS {_EMB_SQL}
+@register("tomek_links", f"""WITH e AS MATERIALIZED {_EMB_SQL},
+    d AS MATERIALIZED (SELECT a.id, b.id AS other, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.id <> b.id),
+    least AS MATERIALIZED (SELECT id, min(dist) AS dist FROM d GROUP BY id),
+    nn AS MATERIALIZED (SELECT d.id, min(d.other) AS nn_id FROM d JOIN least USING (id, dist) GROUP BY d.id)
     SELECT a.id AS a_id, b.id AS b_id FROM nn a JOIN nn b ON a.nn_id = b.id AND b.nn_id = a.id
     JOIN e ea ON ea.id = a.id JOIN e eb ON eb.id = b.id WHERE ea.y <> eb.y AND a.id < b.id""")
 def q_tomek(spark, sf_dir):
@@ -928,7 +931,7 @@ def _study(spark, sf_dir, variant="optimised"):
     cfg = ST.StudyConfig(variant=variant)
     tab = ST.document_study_table(spark, sf_dir)
     feats, _, _ = ST.prepare_features(tab, cfg)
-    parts = max(1, min(spark.sparkContext.defaultParallelism * 4, -(-tab.count() // 100_000)))
+    parts = max(1, -(-tab.count() // 100_000))
     return ST, cfg, feats.repartition(parts, "row_id").cache()
 
 

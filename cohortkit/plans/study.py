@@ -54,7 +54,7 @@ class StudyConfig:
     use_smote: bool = False            # optimised study: SMOTE+Tomek on text-only sets
     threads: int = 8
     out_dir: str | None = None         # predictions / models folder (default: checkpoint dir)
-    approx_median: frozenset = frozenset()  # structured columns imputed with a median sketch (set by run_study)
+    wide: frozenset = frozenset()      # columns whose median comes from a sorted table (set by run_study)
     fit_scope: str = "train"           # 'train': encoders/PCA/scaler fitted once on the training split
                                        # (the reference); 'fold': refitted on each fold's training rows
 
@@ -135,7 +135,7 @@ def fit_pipeline(train: DataFrame, feature_set: str, model: str, cfg: StudyConfi
     struct = [c for c in cols if c in STRUCTURED]
     kept = []
     if struct:
-        imp, kept = FE.fit_median_imputer(train, struct, approx=set(cfg.approx_median))
+        imp, kept = FE.fit_median_imputer(train, struct, wide=cfg.wide)
         stages.append(imp)
         cols = [c for c in cols if c not in STRUCTURED or c in kept]
     asm = FE.assembler(cols, "features")
@@ -150,8 +150,7 @@ def fit_pipeline(train: DataFrame, feature_set: str, model: str, cfg: StudyConfi
     n_rows = float(sum(counts.values()))
     # iterative solvers rescan the training rows every step: persist them in
     # partitions sized by volume (~100k rows each), not one per core
-    spark = train.sparkSession
-    parts = max(1, min(spark.sparkContext.defaultParallelism, int(math.ceil(n_rows / 100_000))))
+    parts = max(1, math.ceil(n_rows / 100_000))
     counted = _weights(prepared, counts).repartition(parts).persist()
     try:
         est = make_model(model, _width(feature_set, len(kept), cfg), n_rows, cfg.variant, cfg.seed)
@@ -239,13 +238,13 @@ def run_study(spark: SparkSession, study: DataFrame, cfg: StudyConfig, save_mode
     feats, stages, report = prepare_features(study, cfg)
     # partitions sized by volume (~100k rows each): every fit rescans this table
     n_rows = study.count()
-    parts = max(1, min(spark.sparkContext.defaultParallelism * 4, int(math.ceil(n_rows / 100_000))))
+    parts = max(1, math.ceil(n_rows / 100_000))
     feats = feats.repartition(parts, "row_id").checkpoint()  # cut the encoder/PCA lineage into the shared folder
     if cfg.fit_scope == "fold":
         study = study.checkpoint()
     counts = fold_class_counts(feats)
-    # decided once per study: exact medians unless a column has very many distinct values
-    cfg.approx_median = frozenset(FE.approx_median_columns(feats.filter("split = 'train'"), STRUCTURED))
+    # decided once per study; the medians are exact either way
+    cfg.wide = frozenset(FE.wide_columns(feats.filter("split = 'train'"), STRUCTURED))
     jobs = [(fs, m, f) for fs in cfg.feature_sets for m in cfg.models for f in [*range(cfg.n_folds), -1]]
     with ThreadPoolExecutor(max_workers=max(1, cfg.threads)) as pool:
         fits = list(pool.map(lambda j: (j[0], j[1], run_fit(spark, feats, j[0], j[1], j[2], cfg, out_dir,

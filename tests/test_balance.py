@@ -22,6 +22,20 @@ def test_knn_matches_brute_force(spark):
         assert [got[(i, k + 1)] for k in range(3)] == order.tolist()
 
 
+def test_knn_does_not_depend_on_blocks_with_copies_and_bad_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(90, 3)) * 8) / 8 + 1000.0  # many exact ties, far from the origin
+    x[40:60] = x[7]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(90, [float("nan"), 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    found = [sorted(map(tuple, BA.knn(df, "id", "v", 4, block_rows=b).collect())) for b in (8, 64, 4096, None)]
+    assert found[0] == found[1] == found[2] == found[3] and len(found[0]) == 90 * 4
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    assert {(r[0], r[3]): r[1] for r in found[0]} == {
+        (i, k + 1): j for i in range(90) for k, j in enumerate(np.lexsort((np.arange(90), d[i]))[:4])}
+
+
 def test_smote_levels_classes_and_interpolates(spark):
     df, x, y = _points(spark)
     syn = BA.smote_oversample(df, "id", "v", "y", minority=1, k=5).collect()

@@ -96,10 +96,23 @@ def test_csv_report_single_file(spark, tmp_path):
     assert len(files) == 1 and open(files[0]).readline().strip() == "variable,score"
 
 
-def test_median_switches_to_sketch_only_above_limit(spark):
-    df = spark.range(3000).select((F.col("id") % 7).cast("double").alias("few"), F.col("id").cast("double").alias("many"))
-    assert FE.approx_median_columns(df, ["few", "many"], limit=100) == {"many"}
-    imp, kept = FE.fit_median_imputer(df, ["few", "many"], approx=None)
-    assert kept == ["few", "many"]
-    imp2, _ = FE.fit_median_imputer(df, ["few"], approx={"many"})
-    assert "3.0" in imp2.getStatement()  # exact median of 0..6 repeated
+def test_median_is_exact_by_both_plans(spark):
+    df = spark.range(3000).select((F.col("id") % 7).cast("double").alias("few"), F.col("id").cast("double").alias("many"),
+                                  F.when(F.col("id") % 3 == 0, F.col("id") * 0.1).alias("gaps"),
+                                  F.when(F.col("id") == 5, 2.5).alias("one"), F.lit(None).cast("double").alias("none"))
+    assert FE.wide_columns(df, ["few", "many"], limit=100) == {"many"}
+    imp, kept = FE.fit_median_imputer(df, ["few", "many"])
+    assert kept == ["few", "many"] and "3.0" in imp.getStatement() and "1499.5" in imp.getStatement()
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    by_count = FE.exact_quantiles(df, df.columns, probs, wide=())
+    assert by_count["none"] is None
+    assert FE.exact_quantiles(df.repartition(5), df.columns, probs, wide=df.columns) == by_count
+
+
+def test_evaluate_in_one_pass_equals_its_parts(spark):
+    rng = np.random.default_rng(3)
+    labels, scores = rng.integers(0, 2, 200).tolist(), np.round(rng.random(200), 2).tolist()
+    df = _pred(spark, labels, scores)
+    both, rates = EV.evaluate(df).first(), EV.classification_metrics(df).first()
+    assert both.AUC == EV.roc_auc(df).first().AUC
+    assert [both[c] for c in ("precision", "recall", "f1", "accuracy")] == [rates[c] for c in ("precision", "recall", "f1", "accuracy")]

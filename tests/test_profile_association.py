@@ -94,4 +94,5 @@ def test_ansi_safe_edge_groups(spark):
 
 def test_median_iqr_auto_mode_matches_exact_on_small_cardinality(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 2, 4, 10)], "x double")
-    assert P.median_iqr(df, ["x"], approx=None).first().median == 3.0
+    assert P.median_iqr(df, ["x"], wide=None).first().median == 3.0
+    assert P.median_iqr(df, ["x"], wide={"x"}).collect() == P.median_iqr(df, ["x"], wide=()).collect()
