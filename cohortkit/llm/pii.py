@@ -106,11 +106,11 @@ def find_personal_data(docs: DataFrame, disclosure: float = 0.9, min_docs: int =
     together = stage(together.filter(F.col("n_ct") >= min_docs), "pii-pairs")
     entities = (scanned.select("_id", F.explode("contexts").alias("c")).select("_id", "c.entity").distinct()
                 .groupBy("entity").agg(F.count("*").alias("n_c")))
-    asked = stage(together.select("term").distinct(), "pii-asked")
     words = texts.select("_id", F.explode(F.array_distinct(pieces(F.lower("_text"), r"[^\p{L}]+"))).alias("term"))
     words = words.filter(F.length("term") >= 4)
-    # every term is counted: map-side sums leave one row per term and task, whatever is asked
-    seen = words.groupBy("term").agg(F.count("*").alias("n_t")).join(asked, "term", "left_semi")
+    # every term is counted: map-side sums leave one row per term and task. A semi-join with the
+    # terms of the pairs would be moved ahead of the count, onto every word of the corpus.
+    seen = words.groupBy("term").agg(F.count("*").alias("n_t"))
     rated = (together.join(entities, "entity").join(seen, "term")
              .withColumn("n_t", F.greatest("n_t", "n_ct"))
              .withColumn("risk", F.try_divide(F.log(F.lit(float(total)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))),
