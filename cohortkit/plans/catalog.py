@@ -32,7 +32,7 @@ from cohortkit.operators import text as TX
 from cohortkit.operators.features import FEATURE_SETS
 from cohortkit.plans import oracle as O
 from cohortkit.plans.cohort import categorical_report, cohort_summary
-from cohortkit.session import stage_path
+from cohortkit.session import checkpoint_dir, stage_path
 from cohortkit.sources import read_feature_table, write_feature_table
 from cohortkit.spec import DEFAULT_NA_TOKENS, SHEET_NA_TOKENS, CohortSpec
 from cohortkit.spec import LINEITEM_COHORT as LI
@@ -557,13 +557,19 @@ def orders_clean_split(spark, sf_dir):
     return clean.range_clean(sp, ORDERS_RANGES)
 
 
+def _once(df):
+    """df written to the shared folder, so that fitting and transforming split the rows once."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 @register("zscore_fit_transform", O.rounded(f"""WITH d AS {_ORDERS_CLEAN_SPLIT_SQL},
     st AS (SELECT avg(o_totalprice) AS m1, stddev_pop(o_totalprice) AS s1, avg(o_custkey) AS m2, stddev_pop(o_custkey) AS s2
            FROM d WHERE split = 'train')
     SELECT o_orderkey, split, (o_totalprice - m1) / CASE WHEN s1 > 0 THEN s1 ELSE 1.0 END AS o_totalprice,
            (o_custkey - m2) / CASE WHEN s2 > 0 THEN s2 ELSE 1.0 END AS o_custkey FROM d, st""", ["o_totalprice", "o_custkey"]))
 def q_zscore(spark, sf_dir):
-    d = orders_clean_split(spark, sf_dir).select("o_orderkey", "split", "o_totalprice", "o_custkey")
+    d = _once(orders_clean_split(spark, sf_dir).select("o_orderkey", "split", "o_totalprice", "o_custkey"))
     scaler = FE.fit_zscore(d.filter("split = 'train'"), ["o_totalprice", "o_custkey"])
     return rounded(scaler.transform(d))
 
@@ -572,15 +578,16 @@ def q_zscore(spark, sf_dir):
     st AS (SELECT quantile_cont(o_totalprice, 0.5) AS med FROM d WHERE split = 'train')
     SELECT o_orderkey, split, coalesce(o_totalprice, med) AS o_totalprice FROM d, st""", ["o_totalprice"]))
 def q_median_impute(spark, sf_dir):
-    d = orders_clean_split(spark, sf_dir).select("o_orderkey", "split", "o_totalprice")
+    d = _once(orders_clean_split(spark, sf_dir).select("o_orderkey", "split", "o_totalprice"))
     imp, _ = FE.fit_median_imputer(d.filter("split = 'train'"), ["o_totalprice"])
     return rounded(imp.transform(d))
 
 
 @register("has_missing", f"""SELECT split, bool_or(o_totalprice IS NULL) AS has_missing FROM {_ORDERS_CLEAN_SPLIT_SQL} GROUP BY ALL""")
 def q_has_missing(spark, sf_dir):
-    d = orders_clean_split(spark, sf_dir)
-    return d.groupBy("split").agg(F.max(F.col("o_totalprice").isNull()).alias("has_missing"))
+    d = _once(orders_clean_split(spark, sf_dir).select("split", "o_totalprice"))
+    rows = [(s, FE.has_missing(d.filter(F.col("split") == s), ["o_totalprice"])) for s in ("train", "test")]
+    return spark.createDataFrame(rows, "split string, has_missing boolean")
 
 
 @register("assemble_features", O.rounded("""SELECT doc_id, pos, value FROM (
@@ -802,12 +809,17 @@ def q_knn(spark, sf_dir):
     return BA.knn(m, "id", "v", BA.SMOTE_K).select("id", "nn_id", "nn_rank")
 
 
-@register("tomek_links", f"""WITH e AS MATERIALIZED {_EMB_SQL},
-    d AS MATERIALIZED (SELECT a.id, b.id AS other, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.id <> b.id),
-    least AS MATERIALIZED (SELECT id, min(dist) AS dist FROM d GROUP BY id),
-    nn AS MATERIALIZED (SELECT d.id, min(d.other) AS nn_id FROM d JOIN least USING (id, dist) GROUP BY d.id)
-    SELECT a.id AS a_id, b.id AS b_id FROM nn a JOIN nn b ON a.nn_id = b.id AND b.nn_id = a.id
-    JOIN e ea ON ea.id = a.id JOIN e eb ON eb.id = b.id WHERE ea.y <> eb.y AND a.id < b.id""")
+def _tomek_ctes(rel: str) -> str:
+    """Every distance is computed once; ties of the nearest go to the smallest id."""
+    return f"""d AS MATERIALIZED (SELECT a.id, b.id AS other, list_distance(a.v, b.v) AS dist
+                                  FROM {rel} a JOIN {rel} b ON a.id <> b.id),
+    shortest AS MATERIALIZED (SELECT id, min(dist) AS dist FROM d GROUP BY id),
+    nearest AS MATERIALIZED (SELECT d.id, min(d.other) AS nn_id FROM d JOIN shortest USING (id, dist) GROUP BY d.id),
+    links AS (SELECT a.id AS a_id, b.id AS b_id FROM nearest a JOIN nearest b ON a.nn_id = b.id AND b.nn_id = a.id
+              JOIN {rel} ea ON ea.id = a.id JOIN {rel} eb ON eb.id = b.id WHERE ea.y <> eb.y AND a.id < b.id)"""
+
+
+@register("tomek_links", f"WITH e AS MATERIALIZED {_EMB_SQL}, {_tomek_ctes('e')} SELECT * FROM links")
 def q_tomek(spark, sf_dir):
     return BA.tomek_links(embeddings_binary(spark, sf_dir), "id", "v", "y")
 
@@ -1026,7 +1038,12 @@ def q_embed_text(spark, sf_dir):
                       F.size(F.filter(arr, lambda x: x != 0)).alias("non_zero"))
 
 
-@register("smote_tomek")
+@register("smote_tomek", f"""{_smote_sql()},
+    r AS MATERIALIZED (SELECT id, v, y FROM e UNION ALL
+        SELECT -(j.i + 1) AS id, [j.x[p] + j.u * (j.yv[p] - j.x[p]) FOR p IN generate_series(1, len(j.x))] AS v, 1 AS y FROM j),
+    {_tomek_ctes('r')}
+    SELECT y AS label, count(*)::BIGINT AS n FROM r
+    WHERE id NOT IN (SELECT a_id FROM links UNION ALL SELECT b_id FROM links) GROUP BY ALL""")
 def q_smote_tomek(spark, sf_dir):
     res = BA.smote_tomek(embeddings_binary(spark, sf_dir), "id", "v", "y", minority=1)
     return profile.class_balance(res, "y")
