@@ -2,9 +2,9 @@
 
 Scale notes
 -----------
-* ``describe_by_group`` is one scan: a wide aggregate over ROLLUP(label)
-  (grouping sets ((label), ())) with partial aggregation map-side; the result
-  (<= 3 rows) is unpivoted afterwards, never the input.
+* ``describe_by_group`` is one scan: a wide aggregate grouped by label with
+  partial aggregation map-side, merged into the 'all' row; the result (one row
+  a label) is unpivoted afterwards, never the input.
 * Cross-tabs aggregate (variable, value, label) with map-side combine; their
   output is bounded by the number of distinct values, so windows over it
   (row percentages) run on a tiny table.
