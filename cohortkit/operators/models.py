@@ -18,12 +18,15 @@ SGD  LogisticRegression(regParam = alpha): the same objective as log-loss SGD,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LinearSVCModel, LogisticRegression,
+                                       LogisticRegressionModel, MultilayerPerceptronClassifier,
+                                       RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -54,6 +57,7 @@ OPTIMISED = {
     "SGD": {"alpha": 0.001, "max_iter": 2000, "balanced": True},
 }
 RFF_COMPONENTS = 512
+SVM_MAX_ITER = 200
 # Stopping tolerances of the reference's library defaults
 # (logistic regression and MLP 1e-4, SGD and SVC 1e-3).
 TOL = {"LR": 1e-4, "ANN": 1e-4, "NN": 1e-4, "SGD": 1e-3, "SVM": 1e-3}
@@ -87,11 +91,11 @@ class RandomFourierFeaturesModel(Model, _RFFParams, DefaultParamsReadable, Defau
         seed, gamma = self.getOrDefault("seed"), self.getOrDefault("gamma")
 
         @F.pandas_udf(ArrayType(DoubleType()))
-        def rff(col: pd.Series) -> pd.Series:
+        def rff(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             W, b = _rff_matrix(seed, d, D, gamma)
-            X = np.stack(col.to_numpy()) if len(col) else np.zeros((0, d))
-            Z = np.sqrt(2.0 / D) * np.cos(X @ W + b)
-            return pd.Series(list(Z))
+            for col in batches:
+                X = np.stack(col.to_numpy()) if len(col) else np.zeros((0, d))
+                yield pd.Series(list(np.sqrt(2.0 / D) * np.cos(X @ W + b)))
 
         return df.withColumn(self.getOutputCol(),
                              array_to_vector(rff(vector_to_array(F.col(self.getInputCol())))))
@@ -122,9 +126,11 @@ class RandomFourierFeatures(Estimator, _RFFParams, DefaultParamsReadable, Defaul
 
 
 def make_model(name: str, n_features: int, n_rows: float, variant: str = "base", seed: int = 42,
-               features: str = "features", label: str = "label", weight: str | None = "weight"):
+               features: str = "features", label: str = "label", weight: str | None = "weight",
+               tol: float | None = None, svm_max_iter: int = SVM_MAX_ITER, rff_components: int = RFF_COMPONENTS):
     """Estimator for one family; ``weight`` is used only where the optimised
-    study asks for balanced class weights (and the estimator supports it)."""
+    study asks for balanced class weights (and the estimator supports it).
+    ``tol`` replaces the family's stopping tolerance."""
     if name not in MODEL_ORDER:
         raise ValueError(f"unknown model {name!r}")
     hp = (OPTIMISED if variant == "optimised" else BASE)[name]
@@ -143,28 +149,39 @@ def make_model(name: str, n_features: int, n_rows: float, variant: str = "base",
         return est
     if name in ("ANN", "NN"):
         layers = [n_features, *hp["hidden"], 2]
-        return MultilayerPerceptronClassifier(layers=layers, maxIter=hp["max_iter"], tol=TOL[name], seed=seed, **common)
+        return MultilayerPerceptronClassifier(layers=layers, maxIter=hp["max_iter"], tol=tol or TOL[name], seed=seed, **common)
     if name == "LR":
         est = LogisticRegression(maxIter=hp["max_iter"], regParam=1.0 / (hp["C"] * max(n_rows, 1.0)),
-                                 elasticNetParam=0.0, standardization=False, tol=TOL["LR"], **common)
+                                 elasticNetParam=0.0, standardization=False, tol=tol or TOL["LR"], **common)
         if wcol:
             est.setWeightCol(wcol)
         return est
     if name == "SGD":
         est = LogisticRegression(maxIter=hp["max_iter"], regParam=hp["alpha"], elasticNetParam=0.0,
-                                 standardization=False, tol=TOL["SGD"], **common)
+                                 standardization=False, tol=tol or TOL["SGD"], **common)
         if wcol:
             est.setWeightCol(wcol)
         return est
     # SVM: kernel approximation + linear SVM on the random features
-    rff = RandomFourierFeatures(inputCol=features, outputCol="__rff", seed=seed)
+    rff = RandomFourierFeatures(inputCol=features, outputCol="__rff", seed=seed, nComponents=rff_components)
     svc = LinearSVC(featuresCol="__rff", labelCol=label, regParam=1.0 / (hp["C"] * max(n_rows, 1.0)),
-                    maxIter=200, tol=TOL["SVM"])
+                    maxIter=svm_max_iter, tol=tol or TOL["SVM"])
     if wcol:
         svc.setWeightCol(wcol)
     return Pipeline(stages=[rff, svc])
 
 
+def unconverged(fitted) -> list[str]:
+    """A note for every linear solver that stopped at its iteration limit."""
+    out = []
+    for m in getattr(fitted, "stages", [fitted]):
+        if isinstance(m, (LinearSVCModel, LogisticRegressionModel)) and m.hasSummary:
+            summary = m.summary() if callable(m.summary) else m.summary
+            if summary.totalIterations >= m.getMaxIter():
+                out.append(f"{type(m).__name__} stopped at {m.getMaxIter()} iterations")
+    return out
+
+
 def score_column(predictions: DataFrame) -> DataFrame:
     """P(class 1) when the model gives probabilities, else the decision value."""
     if "probability" in predictions.columns:

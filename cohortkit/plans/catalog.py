@@ -8,7 +8,6 @@ summation order does not decide the comparison.
 from __future__ import annotations
 
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -616,10 +615,12 @@ def q_left_join_default(spark, sf_dir):
                             F.coalesce("test_type", F.lit("untested")).alias("test_type")))
 
 
-# --- evaluation on a study-shaped predictions table ----------------------------
-# Every train row of orders is scored once per (feature set, model) in its CV
-# fold, every test row once in the hold-out; scores are md5-derived so both
-# engines build the same table. Label: o_orderstatus = 'F'.
+# --- metrics on a score table of the study's shape ------------------------------
+# A load fixture for the metric operators, not predictions of a model: every
+# train row of orders has one score per (feature set, model) in its CV fold,
+# every test row one in the hold-out; scores are md5-derived so both engines
+# build the same table. Label: o_orderstatus = 'F'. The queries on predictions
+# of fitted models are below (predict_score to run_study).
 
 
 _SETS = list(FEATURE_SETS)
@@ -686,11 +687,6 @@ def _fold_metrics_sql(seed: int = 42) -> str:
     return f"(SELECT * FROM {_auc_sql(p)} JOIN {_prf_sql(p)} USING (feature_set, model, split, fold))"
 
 
-@register("predict_score", O.rounded(f"SELECT * FROM {_pred_full_sql()}", ["score"]))
-def q_predict_score(spark, sf_dir):
-    return rounded(study_predictions(spark, sf_dir))
-
-
 def max_group_rows(spark, sf_dir) -> int:
     """Upper bound of rows (hence distinct scores) in one predictions group:
     the hold-out split, or the largest class-balanced fold."""
@@ -742,11 +738,6 @@ def q_cv_aggregate(spark, sf_dir):
     return rounded(study_cv(spark, sf_dir))
 
 
-@register("holdout_evaluate", O.rounded(f"SELECT * FROM {_test_sql()}", ["AUC", "precision", "recall", "f1", "accuracy"]))
-def q_holdout(spark, sf_dir):
-    return rounded(study_test(spark, sf_dir))
-
-
 @register("best_model", O.rounded(f"""SELECT feature_set, model, AUC_mean FROM (
     SELECT *, row_number() OVER (PARTITION BY feature_set ORDER BY AUC_mean DESC NULLS LAST,
         list_position({[m for m in _MODELS]}, model)) AS rn FROM {_cv_sql()}) WHERE rn = 1""", ["AUC_mean"]))
@@ -935,6 +926,77 @@ def q_dataset_info(spark, sf_dir):
     return IM.dataset_info(lineitem_cohort(spark, sf_dir), LI, len(LI_NUMERIC))
 
 
+def _split_folds_sql(rel: str, label: str, key: str, k: int = 10, seed: int = 42) -> str:
+    return f"""(WITH c AS (SELECT {label} AS lab, count(*)::BIGINT AS n FROM {rel} GROUP BY ALL),
+      t AS (SELECT sum(n)::BIGINT AS total,
+                   sum(n)::BIGINT - ceil(sum(n)::DOUBLE * (1::DOUBLE / 3::DOUBLE))::BIGINT AS n_train FROM c),
+      a AS (SELECT c.lab, c.n, (c.n * t.n_train) // t.total AS base, (c.n * t.n_train) % t.total AS rem, t.n_train FROM c, t),
+      b AS (SELECT lab, n, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, lab) <= n_train - sum(base) OVER () THEN 1 ELSE 0 END AS k_train FROM a),
+      o AS (SELECT lab, n - k_train AS k_test,
+                   coalesce(sum(k_train) OVER (ORDER BY lab ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM b),
+      r AS (SELECT src.*, row_number() OVER (PARTITION BY {label} ORDER BY {hash_hex_sql(seed, key)}, {key}) AS rk FROM {rel} AS src)
+    SELECT r.* EXCLUDE (rk), CASE WHEN r.rk <= o.k_test THEN 'test' ELSE 'train' END AS split,
+           (CASE WHEN r.rk <= o.k_test THEN -1 ELSE (o.off + r.rk - o.k_test - 1) % {k} END)::INTEGER AS fold
+    FROM r JOIN o ON r.{label} = o.lab)"""
+
+
+# --- a fitted study: logistic regression on the structured set ------------------
+# run_study fits ten folds and the refit (scaler, imputer and classifier on each
+# fold's own training rows) and writes their predictions; the oracle fits the
+# same models by Newton steps. The solver runs to 1e-12, so that both agree.
+
+
+_FITTED_SETS, _FITTED_MODELS = ["a-x"], ["LR"]
+
+
+def fitted_study(spark, sf_dir):
+    from cohortkit.plans import study as ST
+    cfg = ST.StudyConfig(variant="optimised", feature_sets=_FITTED_SETS, models=_FITTED_MODELS, tol=1e-12)
+    return ST.run_study(spark, ST.document_study_table(spark, sf_dir), cfg)
+
+
+def _fitted_sql() -> str:
+    rel = r"""(SELECT doc_id AS row_id, n_chars::DOUBLE AS n_chars,
+        len(string_split_regex(trim(text), '[ \t\n\x0B\f\r]+'))::DOUBLE AS n_words,
+        len(string_split(text, chr(10)))::DOUBLE AS n_lines, quality::DOUBLE AS quality, toxic::INTEGER AS label
+        FROM documents JOIN labels USING (doc_id))"""
+    ctes = O.logistic_ctes(_split_folds_sql(rel, "label", "row_id"), ["n_chars", "n_words", "n_lines", "quality"], 10)
+    return f"""(WITH {ctes}
+    SELECT 'a-x' AS feature_set, 'LR' AS model, split, fold, row_id, label, score, (score > 0.5)::INTEGER AS pred FROM scored)"""
+
+
+def _fitted_metrics_sql() -> str:
+    return f"(WITH pr AS MATERIALIZED {_fitted_sql()} SELECT * FROM {_auc_sql('pr')} JOIN {_prf_sql('pr')} USING ({_G}))"
+
+
+@register("predict_score", O.rounded(f"SELECT * FROM {_fitted_sql()}", ["score"], 4))
+def q_predict_score(spark, sf_dir):
+    """Scores of fitted models: every train row by the model that did not see its fold, test rows by the refit."""
+    return rounded(fitted_study(spark, sf_dir)["predictions"], 4)
+
+
+_METRIC_COLS = ["AUC", "precision", "recall", "f1", "accuracy"]
+
+
+@register("cross_validate_fold", O.rounded(f"SELECT * FROM {_fitted_metrics_sql()}", _METRIC_COLS))
+def q_cross_validate_fold(spark, sf_dir):
+    """10 fold fits + refit of LR on the structured set; fold metrics."""
+    return rounded(fitted_study(spark, sf_dir)["fold_metrics"])
+
+
+@register("holdout_evaluate", O.rounded(
+    f"SELECT feature_set, model, {', '.join(_METRIC_COLS)} FROM {_fitted_metrics_sql()} WHERE split = 'test'", _METRIC_COLS))
+def q_holdout(spark, sf_dir):
+    return rounded(fitted_study(spark, sf_dir)["test_results"].select("feature_set", "model", *_METRIC_COLS))
+
+
+@register("run_study", O.rounded(f"""SELECT feature_set, model, {', '.join(
+    f"avg({m}) AS {m}_mean, stddev_pop({m}) AS {m}_std" for m in EV.METRICS)}, 'ok' AS status
+    FROM {_fitted_metrics_sql()} WHERE split = 'train' GROUP BY ALL""", _CV_COLS))
+def q_run_study(spark, sf_dir):
+    return rounded(fitted_study(spark, sf_dir)["cv_results"].select("feature_set", "model", *_CV_COLS, "status"))
+
+
 # --- models, study, persistence (invariant checks only: no SQL oracle) --------
 
 
@@ -961,21 +1023,6 @@ for _m in EV.MODEL_ORDER:
     register(f"model_{_m.lower()}")(_model_query(_m))
 
 
-@register("cross_validate_fold")
-def q_cross_validate_fold(spark, sf_dir):
-    """10 fold fits + refit of LR on the structured set; fold metrics."""
-    ST, cfg, feats = _study(spark, sf_dir)
-    cfg.feature_sets, cfg.models = ["a-x"], ["LR"]
-    out_dir = stage_path(spark, "queries", "cv", uuid.uuid4().hex[:8])
-    cfg.out_dir = out_dir
-    counts = ST.fold_class_counts(feats)
-    with ThreadPoolExecutor(max_workers=cfg.threads) as pool:
-        list(pool.map(lambda f: ST.run_fit(spark, feats, "a-x", "LR", f, cfg, out_dir, False, counts),
-                      [*range(cfg.n_folds), -1]))
-    preds = spark.read.parquet(f"{out_dir}/predictions")
-    return EV.evaluate(preds.withColumn("feature_set", F.lit("a-x")).withColumn("fold", F.col("fold").cast("int")))
-
-
 @register("batch_score")
 def q_batch_score(spark, sf_dir):
     """Fit, save, load and score: the loaded pipeline must reproduce the scores."""
@@ -1065,20 +1112,6 @@ def q_feature_table_roundtrip(spark, sf_dir):
                    .select("o_orderkey", "split", "o_totalprice"))
 
 
-def _split_folds_sql(rel: str, label: str, key: str, k: int = 10, seed: int = 42) -> str:
-    return f"""(WITH c AS (SELECT {label} AS lab, count(*)::BIGINT AS n FROM {rel} GROUP BY ALL),
-      t AS (SELECT sum(n)::BIGINT AS total,
-                   sum(n)::BIGINT - ceil(sum(n)::DOUBLE * (1::DOUBLE / 3::DOUBLE))::BIGINT AS n_train FROM c),
-      a AS (SELECT c.lab, c.n, (c.n * t.n_train) // t.total AS base, (c.n * t.n_train) % t.total AS rem, t.n_train FROM c, t),
-      b AS (SELECT lab, n, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, lab) <= n_train - sum(base) OVER () THEN 1 ELSE 0 END AS k_train FROM a),
-      o AS (SELECT lab, n - k_train AS k_test,
-                   coalesce(sum(k_train) OVER (ORDER BY lab ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM b),
-      r AS (SELECT src.*, row_number() OVER (PARTITION BY {label} ORDER BY {hash_hex_sql(seed, key)}, {key}) AS rk FROM {rel} AS src)
-    SELECT r.* EXCLUDE (rk), CASE WHEN r.rk <= o.k_test THEN 'test' ELSE 'train' END AS split,
-           (CASE WHEN r.rk <= o.k_test THEN -1 ELSE (o.off + r.rk - o.k_test - 1) % {k} END)::INTEGER AS fold
-    FROM r JOIN o ON r.{label} = o.lab)"""
-
-
 @register("split_and_folds", "SELECT * FROM " + _split_folds_sql(
     "(SELECT o_orderkey, o_orderstatus FROM orders)", "o_orderstatus", "o_orderkey"))
 def q_split_and_folds(spark, sf_dir):

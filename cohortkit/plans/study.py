@@ -6,8 +6,10 @@ Data flow
    measurements, two text columns, binary label), exact stratified split and
    folds (deterministic, partition-independent).
 2. ``prepare_features``: text encoder (and PCA in the optimised study) and the
-   z-score scaler fitted on the training split (``fit_scope='train'``, the
-   reference's choice) -> one cached feature table.
+   z-score scaler. With ``fit_scope='fold'`` (default) every fold has a feature
+   table of its own, fitted without the held-out rows; with ``'train'`` (the
+   reference's choice) one table is fitted on the whole training split. Each
+   table is written once and read by all (feature set, model) jobs.
 3. Each (feature set, model) job fits k fold models plus a refit; the fold
    pipeline holds the median imputer fitted on the fold's training rows only.
    Jobs run concurrently from a small driver thread pool; every fit writes its
@@ -35,7 +37,7 @@ from cohortkit.operators import features as FE
 from cohortkit.operators import reduce as RD
 from cohortkit.operators import split as S
 from cohortkit.operators import text as TX
-from cohortkit.operators.models import make_model, score_column
+from cohortkit.operators.models import RFF_COMPONENTS, SVM_MAX_ITER, make_model, score_column, unconverged
 from cohortkit.session import stage_path
 
 STRUCTURED = ["n_chars", "n_words", "n_lines", "quality"]
@@ -55,8 +57,11 @@ class StudyConfig:
     threads: int = 8
     out_dir: str | None = None         # predictions / models folder (default: checkpoint dir)
     wide: frozenset = frozenset()      # columns whose median comes from a sorted table (set by run_study)
-    fit_scope: str = "train"           # 'train': encoders/PCA/scaler fitted once on the training split
-                                       # (the reference); 'fold': refitted on each fold's training rows
+    fit_scope: str = "fold"            # 'fold': encoders/PCA/scaler fitted on each fold's training rows;
+                                       # 'train': fitted once on the training split (the reference)
+    tol: float | None = None           # solver tolerance; None: the default of each family
+    svm_max_iter: int = SVM_MAX_ITER
+    rff_components: int = RFF_COMPONENTS
 
 
 def document_study_table(spark: SparkSession, sf_dir: str, seed: int = 42, k: int = 10) -> DataFrame:
@@ -77,12 +82,14 @@ def document_study_table(spark: SparkSession, sf_dir: str, seed: int = 42, k: in
 
 
 def prepare_features(study: DataFrame, cfg: StudyConfig):
-    """Fit text encoders (+ PCA) and the scaler on the training split; return
-    (feature table, fitted stage models, PCA report rows)."""
+    """Fit the text encoders (+ PCA) that the feature sets use, and the scaler, on the
+    training split; return (feature table, fitted stage models, PCA report rows)."""
     train = study.filter("split = 'train'")
     stages, report = [], []
     df = study
-    for col, out in TEXT_COLUMNS.items():
+    used = {p for fs in cfg.feature_sets for p in FE.feature_set_columns(fs, [], TEXT_COLUMNS)}
+    texts = {col: out for col, out in TEXT_COLUMNS.items() if out in used}
+    for col, out in texts.items():
         enc = TX.fit_text_encoder(train, col, f"{col}_vec", cfg.text_width)
         df = enc.transform(df)
         stages.append(enc)
@@ -97,7 +104,7 @@ def prepare_features(study: DataFrame, cfg: StudyConfig):
     scaler = FE.fit_zscore(df.filter("split = 'train'"), STRUCTURED)
     df = scaler.transform(df)
     stages.append(scaler)
-    keep = ["row_id", "split", "fold", "label", *STRUCTURED, *TEXT_COLUMNS.values()]
+    keep = ["row_id", "split", "fold", "label", *STRUCTURED, *texts.values()]
     return df.select(*keep), stages, report
 
 
@@ -114,22 +121,26 @@ def _width(feature_set: str, kept_structured: int, cfg: StudyConfig) -> int:
     return sum(kept_structured if p == "structured" else text_w for p in parts)
 
 
-def _rebalance(df: DataFrame, cfg: StudyConfig) -> DataFrame:
-    """SMOTE + Tomek on assembled training rows; on failure keep them as they are."""
+def _rebalance(df: DataFrame, cfg: StudyConfig, notes: list) -> DataFrame:
+    """SMOTE + Tomek on assembled training rows; on failure keep them as they are and note why."""
     try:
         arr = df.select("row_id", vector_to_array("features").alias("v"), "label")
         res = BA.smote_tomek(arr, "row_id", "v", "label", minority=1, seed=cfg.seed)
         return res.select("row_id", array_to_vector("v").alias("features"), "label")
-    except ValueError:
+    except ValueError as e:
+        notes.append(f"not rebalanced: {str(e)[:200]}")
         return df
 
 
 def fit_pipeline(train: DataFrame, feature_set: str, model: str, cfg: StudyConfig,
-                 counts: dict | None = None) -> PipelineModel:
+                 counts: dict | None = None, notes: list | None = None) -> PipelineModel:
     """Imputer (fitted here) -> assembler -> classifier, as one PipelineModel.
 
     ``counts``: class counts of ``train`` when already known (saves a job).
+    ``notes`` collects what did not go as asked: rows left unbalanced, a solver
+    that stopped at its iteration limit.
     """
+    notes = [] if notes is None else notes
     cols = FE.feature_set_columns(feature_set, STRUCTURED, TEXT_COLUMNS)
     stages = []
     struct = [c for c in cols if c in STRUCTURED]
@@ -143,7 +154,7 @@ def fit_pipeline(train: DataFrame, feature_set: str, model: str, cfg: StudyConfi
     prepared = PipelineModel(stages=stages).transform(train).select(
         "row_id", "features", F.col("label").cast("double").alias("label"))
     if cfg.use_smote and cfg.variant == "optimised" and feature_set in FE.TEXT_ONLY_SETS:
-        prepared = _rebalance(prepared, cfg).withColumn("label", F.col("label").cast("double"))
+        prepared = _rebalance(prepared, cfg, notes).withColumn("label", F.col("label").cast("double"))
         counts = None
     if counts is None:
         counts = {float(r[0]): int(r[1]) for r in prepared.groupBy("label").count().collect()}
@@ -153,8 +164,10 @@ def fit_pipeline(train: DataFrame, feature_set: str, model: str, cfg: StudyConfi
     parts = max(1, math.ceil(n_rows / 100_000))
     counted = _weights(prepared, counts).repartition(parts).persist()
     try:
-        est = make_model(model, _width(feature_set, len(kept), cfg), n_rows, cfg.variant, cfg.seed)
+        est = make_model(model, _width(feature_set, len(kept), cfg), n_rows, cfg.variant, cfg.seed, tol=cfg.tol,
+                         svm_max_iter=cfg.svm_max_iter, rff_components=cfg.rff_components)
         fitted = est.fit(counted)
+        notes.extend(unconverged(fitted))
     finally:
         counted.unpersist()
     return PipelineModel(stages=[*stages, fitted])
@@ -191,69 +204,77 @@ def fold_class_counts(feats: DataFrame) -> dict:
     return res
 
 
+def _held_out(study: DataFrame, fold: int) -> DataFrame:
+    """study with the fold's training rows relabelled 'val', so that no stage is fitted on them."""
+    return study.withColumn("split", F.when((F.col("split") == "train") & (F.col("fold") == fold), "val")
+                            .otherwise(F.col("split")))
+
+
 def fold_features(study: DataFrame, fold: int, cfg: StudyConfig) -> DataFrame:
     """Features for one fold with every fitted stage fitted on that fold's
-    training rows only: the held-out fold is relabelled so that
-    ``prepare_features`` never sees it while fitting."""
-    if fold < 0:
-        feats, _, _ = prepare_features(study, cfg)
-        return feats
-    relabel = study.withColumn("split", F.when((F.col("split") == "train") & (F.col("fold") == fold), "val")
-                               .otherwise(F.col("split")))
-    feats, _, _ = prepare_features(relabel, cfg)
+    training rows only; fold -1 is the refit on the whole training split."""
+    feats, _, _ = prepare_features(study if fold < 0 else _held_out(study, fold), cfg)
     return feats.withColumn("split", F.when(F.col("split") == "val", "train").otherwise(F.col("split")))
 
 
+def _stored(study: DataFrame, n_rows: int, cfg: StudyConfig):
+    """(feature table in the shared folder, PCA report rows); ~100k rows a partition, as every fit rescans it."""
+    feats, _, report = prepare_features(study, cfg)
+    return feats.repartition(max(1, math.ceil(n_rows / 100_000)), "row_id").checkpoint(), report
+
+
 def run_fit(spark: SparkSession, feats: DataFrame, feature_set: str, model: str, fold: int, cfg: StudyConfig,
-            out_dir: str, save_models: bool = True, counts: dict | None = None,
-            study: DataFrame | None = None) -> str:
+            out_dir: str, save_models: bool = True, counts: dict | None = None) -> tuple[str, str]:
     """One fit: fold f (train on the other folds, predict fold f) or the refit
-    (fold = -1: train on the whole training split, predict the test split)."""
+    (fold = -1: train on the whole training split, predict the test split).
+
+    Returns the status ('ok' or 'failed: <reason>') and the notes of fit_pipeline
+    (none for a fit that an earlier run finished)."""
     counts = counts or {}
     path = f"{out_dir}/predictions/feature_set={_safe(feature_set)}/model={model}/fold={fold}"
     if _done(spark, path):
-        return "ok"
-    if cfg.fit_scope == "fold" and study is not None:
-        feats = fold_features(study, fold, cfg)
+        return "ok", ""
     train = feats.filter("split = 'train'")
+    notes: list = []
     try:
         if fold >= 0:
-            m = fit_pipeline(train.filter(F.col("fold") != fold), feature_set, model, cfg, counts.get(fold))
+            m = fit_pipeline(train.filter(F.col("fold") != fold), feature_set, model, cfg, counts.get(fold), notes)
             rows, split = train.filter(F.col("fold") == fold), "train"
         else:
-            m = fit_pipeline(train, feature_set, model, cfg, counts.get(-1))
+            m = fit_pipeline(train, feature_set, model, cfg, counts.get(-1), notes)
             rows, split = feats.filter("split = 'test'"), "test"
         _predict(m, rows, feature_set, model, split, fold).drop("feature_set", "model", "fold") \
             .write.mode("overwrite").parquet(path)
         if fold < 0 and save_models:
             m.write().overwrite().save(f"{out_dir}/models/{_safe(feature_set)}_{model}")
-        return "ok"
+        return "ok", "; ".join(notes)
     except Exception as e:  # noqa: BLE001  a failing run keeps a row with status 'failed'
-        return f"failed: {type(e).__name__}: {str(e)[:200]}"
+        return f"failed: {type(e).__name__}: {str(e)[:200]}", "; ".join(notes)
 
 
 def run_study(spark: SparkSession, study: DataFrame, cfg: StudyConfig, save_models: bool = True) -> dict:
     """Run every (feature set, model) job; return result tables."""
     out_dir = cfg.out_dir or stage_path(spark, "study", f"{cfg.variant}-{uuid.uuid4().hex[:8]}")
-    feats, stages, report = prepare_features(study, cfg)
-    # partitions sized by volume (~100k rows each): every fit rescans this table
     n_rows = study.count()
-    parts = max(1, math.ceil(n_rows / 100_000))
-    feats = feats.repartition(parts, "row_id").checkpoint()  # cut the encoder/PCA lineage into the shared folder
     if cfg.fit_scope == "fold":
         study = study.checkpoint()
+    feats, report = _stored(study, n_rows, cfg)
+    by_fold = ({f: _stored(_held_out(study, f), n_rows, cfg)[0].withColumn(
+        "split", F.when(F.col("split") == "val", "train").otherwise(F.col("split"))) for f in range(cfg.n_folds)}
+        if cfg.fit_scope == "fold" else {})
     counts = fold_class_counts(feats)
     # decided once per study; the medians are exact either way
     cfg.wide = frozenset(FE.wide_columns(feats.filter("split = 'train'"), STRUCTURED))
     jobs = [(fs, m, f) for fs in cfg.feature_sets for m in cfg.models for f in [*range(cfg.n_folds), -1]]
     with ThreadPoolExecutor(max_workers=max(1, cfg.threads)) as pool:
-        fits = list(pool.map(lambda j: (j[0], j[1], run_fit(spark, feats, j[0], j[1], j[2], cfg, out_dir,
-                                                                    save_models, counts, study)), jobs))
-    worst: dict = {}
-    for fs, m, st_ in fits:
-        if worst.get((fs, m), "ok") == "ok":
-            worst[(fs, m)] = st_
-    status = [(fs, m, st_) for (fs, m), st_ in worst.items()]
+        fits = list(pool.map(lambda j: (j[0], j[1], *run_fit(spark, by_fold.get(j[2], feats), *j, cfg, out_dir,
+                                                             save_models, counts)), jobs))
+    # a (set, model) is as good as its worst fit; its notes are those of all fits
+    status = []
+    for fs, m in {(fs, m): None for fs, m, *_ in fits}:
+        of = [(st_, note) for f, n, st_, note in fits if (f, n) == (fs, m)]
+        status.append((fs, m, next((st_ for st_, _ in of if st_ != "ok"), "ok"),
+                       "; ".join(dict.fromkeys(note for _, note in of if note))))
     preds = spark.read.option("basePath", f"{out_dir}/predictions").parquet(f"{out_dir}/predictions")
     # partition values were made path-safe; map them back to the set names
     names = F.create_map(*[x for fs in cfg.feature_sets for x in (F.lit(_safe(fs)), F.lit(fs))])
@@ -263,7 +284,7 @@ def run_study(spark: SparkSession, study: DataFrame, cfg: StudyConfig, save_mode
     cv = EV.cv_aggregate(fold_metrics.filter("split = 'train'"))
     test = EV.evaluate(preds.filter("split = 'test'"), ["feature_set", "model"])
     grid = EV.run_grid(cfg.feature_sets, cfg.models)
-    st = spark.createDataFrame(status, "feature_set string, model string, status string")
+    st = spark.createDataFrame(status, "feature_set string, model string, status string, note string")
     return {"predictions": preds, "fold_metrics": fold_metrics,
             "cv_results": EV.with_status(grid, cv).drop("status").join(st, ["feature_set", "model"]),
             "test_results": EV.with_status(grid, test).drop("status").join(st, ["feature_set", "model"]),

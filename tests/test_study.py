@@ -15,6 +15,8 @@ def test_tiny_study_end_to_end(spark):
     test = res["test_results"].collect()
     assert len(test) == 4 and all(r.status == "ok" for r in test)
     assert all(0.0 <= r.AUC <= 1.0 for r in test if r.AUC is not None)
+    # text sets are rebalanced only with more than k minority rows; what was left as it is shows in the note
+    assert {r.feature_set: "not rebalanced" in r.note for r in test} == {"a-x": False, "y": True}
     preds = res["predictions"]
     n_train = tab.filter("split = 'train'").count()
     n_test = tab.filter("split = 'test'").count()
