@@ -172,6 +172,24 @@ def q_read_na_tokens(spark, sf_dir):
     return clean.read_na_tokens(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
+# Cells of documents that hold a missing-value token: one document in eight by id.
+_NA_CELLS = ("N/A", "", " ", "NULL", "nan", "None", "n/a", "-")
+
+
+_NA_CELLS_SQL = ("SELECT doc_id, CASE doc_id % 64 " + " ".join(f"WHEN {8 * i} THEN {O.lit(t)}" for i, t in enumerate(_NA_CELLS))
+                 + " ELSE text END AS text, lang FROM documents")
+
+
+@register("read_na_tokens_hits", f"SELECT doc_id, {_na_sql('text')} AS text, {_na_sql('lang')} AS lang FROM ({_NA_CELLS_SQL})")
+def q_read_na_tokens_hits(spark, sf_dir):
+    """The token rule on cells where it applies."""
+    text = F.col("text")
+    for i, token in enumerate(_NA_CELLS):
+        text = F.when(F.col("doc_id") % 64 == 8 * i, token).otherwise(text)
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), "lang")
+    return clean.read_na_tokens(docs)
+
+
 @register("drop_columns_if_present", "SELECT * EXCLUDE (l_shipdate) FROM lineitem")
 def q_drop_columns(spark, sf_dir):
     return clean.drop_columns_if_present(table(spark, sf_dir, "lineitem"), LI.drop)
@@ -414,6 +432,62 @@ def q_association_test(spark, sf_dir):
     return rounded(s.select("variable", "p_value", "test_type"))
 
 
+# --- a cohort where the rules fire: documents by quality -------------------------
+# Capitals and marks differ between the classes, `empty` has no value, and `odd`
+# has so few rows that a cell of its 2 x 2 table falls below five.
+
+
+DOCS_COHORT = CohortSpec(label="outcome", positive="Y", negative="N", numeric=("n_chars", "capitals", "empty"),
+                         categorical=("lang", "toxic", "marked", "odd"), id_col="doc_id")
+_DOCS_NUMERIC = list(DOCS_COHORT.numeric)
+_DOCS_SQL = """SELECT doc_id, n_chars::DOUBLE AS n_chars, NULL::DOUBLE AS empty, lang, toxic,
+    len(regexp_replace(text, '[^A-Z]', '', 'g'))::DOUBLE / nullif(len(text), 0) AS capitals,
+    contains(text, '!')::INTEGER AS marked, (doc_id % 61 = 0)::INTEGER AS odd,
+    CASE WHEN quality = 1 THEN 'Y' ELSE 'N' END AS outcome FROM documents JOIN labels USING (doc_id)"""
+_DOCS_SCREEN_SQL = f"WITH dc AS ({_DOCS_SQL}), {O.screen_ctes(DOCS_COHORT, 'dc', DOCS_COHORT.variables, _DOCS_NUMERIC)}"
+
+
+def docs_cohort(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return docs.select("doc_id", F.col("n_chars").cast("double"), F.lit(None).cast("double").alias("empty"), "lang", "toxic",
+                       F.try_divide(F.length(F.regexp_replace("text", "[^A-Z]", "")), F.length("text")).alias("capitals"),
+                       F.contains("text", F.lit("!")).cast("int").alias("marked"),
+                       (F.col("doc_id") % 61 == 0).cast("int").alias("odd"),
+                       F.when(F.col("quality") == 1, "Y").otherwise("N").alias("outcome"))
+
+
+@register("association_screen_documents", O.rounded(f"{_DOCS_SCREEN_SQL} SELECT * FROM screen", ["p_value"]))
+def q_screen_documents(spark, sf_dir):
+    return rounded(assoc.association_screen(docs_cohort(spark, sf_dir), DOCS_COHORT))
+
+
+@register("significant_variables_documents", O.rounded(
+    f"{_DOCS_SCREEN_SQL} SELECT variable, p_value, significance_level, test_type FROM screen WHERE significant", ["p_value"]))
+def q_significant_documents(spark, sf_dir):
+    return rounded(assoc.significant_variables(assoc.association_screen(docs_cohort(spark, sf_dir), DOCS_COHORT)))
+
+
+@register("null_guard_documents", f"""WITH dc AS ({_DOCS_SQL}), p AS ({O.profile_sql(DOCS_COHORT, 'dc', _DOCS_NUMERIC, DOCS_COHORT.variables)})
+    SELECT variable FROM p WHERE grp = 'all' AND count > 0""")
+def q_null_guard_documents(spark, sf_dir):
+    prof = profile.describe_by_group(docs_cohort(spark, sf_dir), DOCS_COHORT)
+    return prof.filter((F.col("grp") == profile.ALL_GROUP) & (F.col("count") > 0)).select("variable")
+
+
+@register("left_join_with_default_documents", O.rounded(f"""{_DOCS_SCREEN_SQL}
+    SELECT v.variable, coalesce(s.p_value, 1.0) AS p_value, coalesce(s.test_type, 'untested') AS test_type
+    FROM (VALUES {', '.join(f"({O.lit(v)})" for v in DOCS_COHORT.variables)}) v(variable) LEFT JOIN screen s USING (variable)""",
+    ["p_value"]))
+def q_left_join_documents(spark, sf_dir):
+    """Variables without any value have no test and take the defaults."""
+    df = docs_cohort(spark, sf_dir)
+    names = profile.describe_by_group(df, DOCS_COHORT).select("variable").distinct()
+    tests = assoc.association_screen(df, DOCS_COHORT)  # one row per variable: bounded broadcast
+    return rounded(names.join(F.broadcast(tests), "variable", "left").select(
+        "variable", F.coalesce("p_value", F.lit(1.0)).alias("p_value"),
+        F.coalesce("test_type", F.lit("untested")).alias("test_type")))
+
+
 @register("sex_crosstab_report", O.rounded(f"""WITH li AS ({LI_CLEAN_SQL}), {O.screen_ctes(LI, 'li', ['l_returnflag'], [])},
     xt AS (SELECT l_returnflag AS value, l_linestatus AS label, count(*)::BIGINT AS n,
                   count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY l_returnflag) AS pct
@@ -913,6 +987,29 @@ def q_importance_comparison(spark, sf_dir):
     return rounded(IM.importance_table(lineitem_cohort(spark, sf_dir), LI, LI_NUMERIC))
 
 
+def fitted_forest(df):
+    """(forest, feature names) on the imputed measurements of the lineitem cohort."""
+    imp, kept = FE.fit_median_imputer(df, LI_NUMERIC)
+    x = FE.assembler(kept).transform(imp.transform(df)).withColumn(
+        "label", (F.col(LI.label) == LI.positive).cast("double"))
+    return RandomForestClassifier(numTrees=50, maxDepth=10, featureSubsetStrategy="sqrt", seed=42).fit(x), kept
+
+
+@register("importance_comparison_forest", O.rounded(f"""WITH mi AS ({_mi_sql()}), fs AS ({_f_sql()}), co AS ({_corr_sql()})
+    SELECT variable, mutual_information, f_statistic, correlation, f_p_value, corr_p_value,
+           true AS rf_within_0_1, 1.0::DOUBLE AS rf_total
+    FROM mi LEFT JOIN fs USING (variable) LEFT JOIN co USING (variable)""",
+    ["mutual_information", "f_statistic", "correlation", "f_p_value", "corr_p_value"]))
+def q_importance_comparison_forest(spark, sf_dir):
+    """All four measures; the forest's column is shown by what holds for any forest (each share within 0..1, sum 1)."""
+    df = lineitem_cohort(spark, sf_dir)
+    forest, kept = fitted_forest(df)
+    shares = IM.random_forest_importance(forest, kept)
+    out = IM.importance_table(df, LI, LI_NUMERIC, rf=shares)
+    return rounded(out.withColumn("rf_within_0_1", F.col("rf_importance").between(0, 1) & (F.col("rf_importance") > 0))
+                   .withColumn("rf_total", F.sum("rf_importance").over(Window.partitionBy())).drop("rf_importance"))
+
+
 @register("rank_features", O.rounded(f"""SELECT variable, mutual_information,
     (row_number() OVER (ORDER BY mutual_information DESC, variable))::INTEGER AS rank FROM ({_mi_sql()})""", ["mutual_information"]))
 def q_rank_features(spark, sf_dir):
@@ -1037,12 +1134,8 @@ def q_batch_score(spark, sf_dir):
 
 @register("importance_random_forest")
 def q_rf_importance(spark, sf_dir):
-    df = lineitem_cohort(spark, sf_dir)
-    imp, kept = FE.fit_median_imputer(df, LI_NUMERIC)
-    x = FE.assembler(kept).transform(imp.transform(df)).withColumn(
-        "label", (F.col(LI.label) == LI.positive).cast("double"))
-    rf = RandomForestClassifier(numTrees=50, maxDepth=10, featureSubsetStrategy="sqrt", seed=42).fit(x)
-    return IM.random_forest_importance(rf, kept)
+    forest, kept = fitted_forest(lineitem_cohort(spark, sf_dir))
+    return IM.random_forest_importance(forest, kept)
 
 
 @register("pca_reduce")
