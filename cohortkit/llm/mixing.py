@@ -5,10 +5,11 @@ sorted by that key, token counts are summed as distributed prefix sums, and the
 source is cut where its budget is met. A budget above the source's size takes
 whole epochs first and cuts the remainder.
 
-The prefix sums never put a source into one task: the leading hex digits of the
-key cut each source into ranges of equal share, range totals (a small table)
-give each range its offset, and rows are ranked only inside (source, range).
-The number of digits follows the row count.
+The prefix sums never put a source into one task: the leading 32 bits of the key
+cut each source into ranges of equal share, range totals (a small table) give
+each range its offset, and rows are ranked only inside (source, range). There
+is one range per `ROWS_PER_RANGE` documents, so a source that holds all of them
+has ranges of about that size.
 
 Sizes are words; a null or empty text has size 0 and is never taken. A null
 source is a source of its own. Rows that repeat an id are separate rows (equal
@@ -72,8 +73,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
         F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
         F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key")),
         "mix-keys")
-    digits = max(1, math.ceil(math.log(max(keyed.count(), 1) / ROWS_PER_RANGE + 1, 16)) + 1)
-    keyed = keyed.withColumn("range", F.substring("key", 1, digits))
+    n_ranges = max(1, math.ceil(keyed.count() / ROWS_PER_RANGE))
+    lead = F.conv(F.substring("key", 1, 8), 16, 10).cast("double")
+    keyed = keyed.withColumn("range", F.floor(lead * (n_ranges / 2**32)))  # rises with the key
     ranges = keyed.groupBy("source", "range").agg(F.sum("size").alias("sum"))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, share, max_epochs)
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
