@@ -7,9 +7,9 @@ whole epochs first and cuts the remainder.
 
 The prefix sums never put a source into one task: the leading 32 bits of the key
 cut each source into ranges of equal share, range totals (a small table) give
-each range its offset, and rows are ranked only inside (source, range). There
-is one range per `ROWS_PER_RANGE` documents, so a source that holds all of them
-has ranges of about that size.
+each range its offset, and rows are ranked only inside (source, range). n
+documents get sqrt(n) ranges, so that neither the ranges of a source nor the
+rows of a range are more than about sqrt(n), even if one source holds them all.
 
 Sizes are words; a null or empty text has size 0 and is never taken. A null
 source is a source of its own. Rows that repeat an id are separate rows (equal
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from cohortkit.llm.common import pieces, stage
 
 SPACE = r"[\x20\x09-\x0D]+"
-ROWS_PER_RANGE = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -73,7 +72,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
         F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
         F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key")),
         "mix-keys")
-    n_ranges = max(1, math.ceil(keyed.count() / ROWS_PER_RANGE))
+    n_ranges = max(1, math.ceil(math.sqrt(keyed.count())))
     lead = F.conv(F.substring("key", 1, 8), 16, 10).cast("double")
     keyed = keyed.withColumn("range", F.floor(lead * (n_ranges / 2**32)))  # rises with the key
     ranges = keyed.groupBy("source", "range").agg(F.sum("size").alias("sum"))
