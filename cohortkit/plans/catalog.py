@@ -1046,10 +1046,14 @@ def _split_folds_sql(rel: str, label: str, key: str, k: int = 10, seed: int = 42
 _FITTED_SETS, _FITTED_MODELS = ["a-x"], ["LR"]
 
 
+def _fitted_config():
+    from cohortkit.plans.study import StudyConfig
+    return StudyConfig(variant="optimised", feature_sets=_FITTED_SETS, models=_FITTED_MODELS, tol=1e-12)
+
+
 def fitted_study(spark, sf_dir):
     from cohortkit.plans import study as ST
-    cfg = ST.StudyConfig(variant="optimised", feature_sets=_FITTED_SETS, models=_FITTED_MODELS, tol=1e-12)
-    return ST.run_study(spark, ST.document_study_table(spark, sf_dir), cfg)
+    return ST.run_study(spark, ST.document_study_table(spark, sf_dir), _fitted_config())
 
 
 def _fitted_sql() -> str:
@@ -1094,6 +1098,18 @@ def q_run_study(spark, sf_dir):
     return rounded(fitted_study(spark, sf_dir)["cv_results"].select("feature_set", "model", *_CV_COLS, "status"))
 
 
+@register("batch_score_reloaded", O.rounded(
+    f"SELECT row_id, label, pred, score FROM {_fitted_sql()} WHERE split = 'test'", ["score"], 4))
+def q_batch_score_reloaded(spark, sf_dir):
+    """The saved refit of the study, loaded again, on the test rows."""
+    from cohortkit.plans import study as ST
+    tab, cfg = ST.document_study_table(spark, sf_dir), _fitted_config()
+    feats, _, _ = ST.prepare_features(tab, cfg)
+    path = f"{ST.run_study(spark, tab, cfg)['out_dir']}/models/a_x_LR"
+    scored = ST.batch_score(spark, path, feats.filter("split = 'test'"))
+    return rounded(scored.select("row_id", "label", "pred", "score"), 4)
+
+
 # --- models, study, persistence (invariant checks only: no SQL oracle) --------
 
 
@@ -1154,6 +1170,21 @@ def q_explained_variance(spark, sf_dir):
                                  "feature string, n_components int, variance_ratio double, n_rows bigint")
 
 
+@register("pca_total_variance", O.rounded("""SELECT sum(v) AS total_variance, 0.0::DOUBLE AS largest_mean, max(n)::BIGINT AS n_rows
+    FROM (SELECT var_samp(x) AS v, count(*) AS n FROM (
+        SELECT unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY pos)""",
+    ["total_variance", "largest_mean"]))
+def q_pca_total_variance(spark, sf_dir):
+    """All components together keep the variance of the vectors, and each is centred."""
+    e = table(spark, sf_dir, "embeddings").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    width = len(e.first()["v"])
+    model, _ = RD.fit_pca(e, "v", "pca", width)
+    per = (model.transform(e).select(F.posexplode(vector_to_array("pca")).alias("component", "x")).groupBy("component")
+           .agg(F.var_samp("x").alias("v"), F.avg("x").alias("m"), F.count(F.lit(1)).alias("n")))
+    return rounded(per.agg(F.sum("v").alias("total_variance"), F.max(F.abs("m")).alias("largest_mean"),
+                           F.max("n").alias("n_rows")))
+
+
 @register("pca_report")
 def q_pca_report(spark, sf_dir):
     """PCA of both text columns of the study (fit on train, applied to both splits)."""
