@@ -63,3 +63,13 @@ def test_fold_scope_fits_without_the_held_out_fold(spark):
                           fit_scope="fold", text_width=64, threads=4, out_dir=out)
     res = ST.run_study(spark, tab, cfg2)
     assert res["cv_results"].first().status == "ok"
+
+
+def test_solver_limit_is_noted(spark):
+    tab = ST.document_study_table(spark, SF001, k=3)
+    cfg = ST.StudyConfig(feature_sets=["a-x"], svm_max_iter=1, rff_components=8)
+    feats, _, _ = ST.prepare_features(tab, cfg)
+    assert feats.columns == ["row_id", "split", "fold", "label", *ST.STRUCTURED]  # unused text columns are not encoded
+    notes = []
+    ST.fit_pipeline(feats.filter("split = 'train'"), "a-x", "SVM", cfg, notes=notes)
+    assert notes == ["LinearSVCModel stopped at 1 iterations"]
