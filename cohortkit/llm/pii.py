@@ -7,9 +7,14 @@ A term t discloses an entity c as far as
     PMI(c, t) / IC(c) = log(N n_ct / (n_c n_t)) / log(N / n_c)
 
 nears 1 (n: documents with the entity, the term, the term beside the entity).
-At `disclosure` or more the term's occurrences beside that entity get a span:
-`remove` if it gives the entity away entirely, else `generalise`. Pairs seen in
-fewer than `min_docs` documents have no reliable estimate and are left alone.
+That is 1 + log p(c|t) / IC(c). Every pair is rated, however rare: the share of
+the term's documents that hold the entity is estimated as
+
+    p(c|t) = (n_ct + smooth n_c / N) / (n_t + smooth)
+
+so a pair seen once counts for less than one seen often. At `disclosure` or
+more the term's occurrences beside that entity get a span: `remove` if the term
+never stands without the entity, else `generalise`.
 
 Null and empty texts have no spans. Rows that repeat an id are scanned each;
 an id counts once in the statistics.
@@ -84,7 +89,7 @@ def _beside(reach: int) -> Column:
     return F.transform("base", around)
 
 
-def find_personal_data(docs: DataFrame, disclosure: float = 0.9, min_docs: int = 3, reach: int = 60,
+def find_personal_data(docs: DataFrame, disclosure: float = 0.9, smooth: float = 0.5, reach: int = 60,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, base (pattern spans) and terms (disclosing terms), arrays of spans."""
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -103,7 +108,7 @@ def find_personal_data(docs: DataFrame, disclosure: float = 0.9, min_docs: int =
 
     total = scanned.select("_id").distinct().count()
     together = near.select("_id", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
-    together = stage(together.filter(F.col("n_ct") >= min_docs), "pii-pairs")
+    together = stage(together, "pii-pairs")
     entities = (scanned.select("_id", F.explode("contexts").alias("c")).select("_id", "c.entity").distinct()
                 .groupBy("entity").agg(F.count("*").alias("n_c")))
     words = texts.select("_id", F.explode(F.array_distinct(pieces(F.lower("_text"), r"[^\p{L}]+"))).alias("term"))
@@ -113,10 +118,10 @@ def find_personal_data(docs: DataFrame, disclosure: float = 0.9, min_docs: int =
     seen = words.groupBy("term").agg(F.count("*").alias("n_t"))
     rated = (together.join(entities, "entity").join(seen, "term")
              .withColumn("n_t", F.greatest("n_t", "n_ct"))
-             .withColumn("risk", F.try_divide(F.log(F.lit(float(total)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))),
-                                              F.log(F.lit(float(total)) / F.col("n_c"))))
-             .filter(F.col("risk") >= disclosure)
-             .select("entity", "term", F.when(F.col("risk") >= 1 - 1e-9, "remove").otherwise("generalise").alias("kind")))
+             .withColumn("prior", F.col("n_c") / F.lit(float(total)))
+             .withColumn("share", (F.col("n_ct") + smooth * F.col("prior")) / (F.col("n_t") + smooth))
+             .filter((F.col("prior") < 1) & (1 - F.try_divide(F.log("share"), F.log("prior")) >= disclosure))
+             .select("entity", "term", F.when(F.col("n_ct") == F.col("n_t"), "remove").otherwise("generalise").alias("kind")))
     rated = sized(stage(rated, "pii-risks"))
     # one span per place; a term that must go for one entity goes
     terms = (near.join(rated, ["entity", "term"]).groupBy("_id", "start", "end", "term").agg(F.max("kind").alias("kind"))

@@ -110,6 +110,18 @@ def test_disclosing_terms(spark):
     assert by_id(sanitise(docs, found))[0]["text"].startswith("patient   to [EMAIL]")
 
 
+def test_disclosing_term_of_a_rare_entity(spark):
+    """An address of one document gets its terms; so does one that stands in two."""
+    rows = [(i, "nothing but weather today and people about") for i in range(60)]
+    rows += [(100, "Quibbel wrote to sole@mail.org about weather"), (101, "weather Trommik pair@mail.org"),
+             (102, "weather Trommik pair@mail.org")]
+    found = by_id(find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")))
+    terms = {i: {(s["value"], s["kind"]) for s in r["terms"]} for i, r in found.items()}
+    assert ("quibbel", "remove") in terms[100] and "weather" not in {t for t, _ in terms[100]}
+    assert terms[101] == terms[102] == {("trommik", "remove")}
+    assert not any(terms[i] for i in range(60))
+
+
 def test_exact(docs, none):
     got = by_id(exact_dedup(docs))
     assert got[2]["keep_id"] == 1 and not got[2]["kept"] and got[1]["kept"] and got[1]["group_size"] == 2
