@@ -1,23 +1,28 @@
-"""Personal data: pattern spans, and information-theoretic sanitisation around them.
+"""Personal data: pattern spans, and information-theoretic sanitisation of their documents.
 
-Pattern spans (email, ip, card, phone) are the protected entities. Terms that
-stand within `reach` characters of an entity are counted over the whole corpus.
-A term t discloses an entity c as far as
+Pattern spans (email, ip, card, phone) are the protected entities. The terms of
+a document are its words and numbers outside these spans, wherever they stand. A
+term t discloses an entity c as far as
 
-    PMI(c, t) / IC(c) = log(N n_ct / (n_c n_t)) / log(N / n_c)
+    PMI(c, t) / IC(c) = log(N n_ct / (n_c n_t)) / log(N / n_c) = 1 + log p(c|t) / IC(c)
 
-nears 1 (n: documents with the entity, the term, the term beside the entity).
-That is 1 + log p(c|t) / IC(c). Every pair is rated, however rare: the share of
-the term's documents that hold the entity is estimated as
+nears 1 (n: documents with the entity, the term, both). Every pair is rated,
+however rare: the share of the term's documents that hold the entity is
+estimated as
 
     p(c|t) = (n_ct + smooth n_c / N) / (n_t + smooth)
 
-so a pair seen once counts for less than one seen often. At `disclosure` or
-more the term's occurrences beside that entity get a span: `remove` if the term
-never stands without the entity, else `generalise`.
+so a pair seen once counts for less than one seen often. As n_ct is at most n_c,
+a term of more than (n_c + smooth p) / p^(1 - disclosure) - smooth documents,
+p = n_c / N, cannot reach `disclosure`; its pairs need no count. At `disclosure`
+or more every occurrence of the term gets a span, in all documents: `remove` if
+the term never stands without the entity, else `generalise`.
 
-Null and empty texts have no spans. Rows that repeat an id are scanned each;
-an id counts once in the statistics.
+Lone digits and lower-case words of one or two letters are no terms. A run of
+letters without separators (Chinese, Japanese) is one term.
+
+Null and empty texts have no spans. Rows that repeat an id are scanned each and
+are one document in the statistics; rows without id are told apart by their text.
 """
 
 from __future__ import annotations
@@ -35,7 +40,8 @@ PATTERNS = (
     ("card", r"[0-9](?:[\x20-]?[0-9])++"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
-TERM = r"\p{L}{4,}"
+TERM, BETWEEN = r"[\p{L}\p{M}\p{N}]+", r"[^\p{L}\p{M}\p{N}]+"
+NO_TERM = r"^(\p{Ll}{1,2}|\p{N})$"
 SPAN = "array<struct<kind:string,rank:int,start:int,end:int,value:string>>"
 
 
@@ -73,63 +79,129 @@ def pattern_spans(text: Column) -> Column:
     return F.flatten(F.array(*[of(k, n, p) for n, (k, p) in enumerate(PATTERNS)])).cast(SPAN)
 
 
-def _beside(reach: int) -> Column:
-    """For every entity, the text on either side: struct<entity, sides: array<struct<at, cut_head, cut_tail, text>>>."""
-    def around(s):
-        head = F.greatest(s["start"] - reach, F.lit(0))
-        tail = F.least(s["end"] + reach, F.length("_text"))
-        name = F.concat_ws("|", s["kind"], F.when(s["kind"].isin("card", "phone"), _digits(s["value"]))
-                           .otherwise(F.lower(s["value"])))
-        side = lambda at, end, cut_head, cut_tail: F.struct(
-            at.alias("at"), cut_head.alias("cut_head"), cut_tail.alias("cut_tail"),
-            F.substring(F.col("_text"), at + 1, end - at).alias("text"))
-        return F.struct(name.alias("entity"), F.array(
-            side(head, s["start"], head > 0, F.lit(False)),
-            side(s["end"], tail, F.lit(False), tail < F.length("_text"))).alias("sides"))
-    return F.transform("base", around)
+def _masked(text: Column, base: Column) -> Column:
+    """The text with its pattern spans blanked out; every other character keeps its place."""
+    def step(acc, s):
+        begin, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(
+            F.substring(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), end - begin))).alias("out"))
+
+    spans = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    blank = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step,
+                        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(base) > 0, blank).otherwise(text)
+
+
+def _is_term(word: Column) -> Column:
+    return (F.length(word) > 2) | ~word.rlike(NO_TERM)
+
+
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.filter(pieces(text, BETWEEN), _is_term), F.lower))
+
+
+def _entities(base: Column) -> Column:
+    return F.array_distinct(F.transform(base, lambda s: F.concat_ws(
+        "|", s["kind"], F.when(s["kind"].isin("card", "phone"), _digits(s["value"])).otherwise(F.lower(s["value"])))))
+
+
+def _places(text: Column, gone: Column, soft: Column) -> Column:
+    """Spans of the given terms, in order; the accumulator grows by these only."""
+    found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    pairs = F.slice(F.zip_with(F.split(text, TERM, -1), found, lambda p, m: F.struct(p.alias("piece"), m.alias("value"))),
+                    F.lit(1), F.size(found))
+
+    def step(acc, x):
+        begin = acc["at"] + F.length(x["piece"])
+        end, term = begin + F.length(x["value"]), F.lower(x["value"])
+        kind = F.when(F.array_contains(gone, term), "remove").otherwise("generalise")
+        one = F.struct(kind.alias("kind"), F.lit(len(PATTERNS)).alias("rank"), begin.alias("start"), end.alias("end"),
+                       term.alias("value"))
+        hit = _is_term(x["value"]) & (F.array_contains(gone, term) | F.array_contains(soft, term))
+        return F.struct(end.alias("at"), F.when(hit, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+
+
+def _risk(n_ct: Column, n_c: Column, n_t: Column, total: int, smooth: float) -> Column:
+    prior = n_c / F.lit(float(total))
+    return F.when(prior < 1, 1 - F.try_divide(F.log((n_ct + smooth * prior) / (n_t + smooth)), F.log(prior)))
+
+
+def rate_pairs(scanned: DataFrame, texts: DataFrame, disclosure: float, smooth: float) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, n_c, n_t, n_ct, risk) of the pairs that disclose, and (_doc, term, n_t) that can, both staged."""
+    ids = scanned.groupBy("_doc").agg(F.count("*").alias("n"))
+    total, most = ids.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    repeated = stage(ids.filter("n > 1").select(F.col("_doc").alias("_again")), "pii-repeated") if most > 1 else None
+
+    def rows(df, how):
+        return df.join(sized(repeated), df["_doc"] == repeated["_again"], how)
+
+    def once(df):  # a document counts once, whatever the number of its rows
+        return df if repeated is None else rows(df, "left_anti").unionByName(rows(df, "left_semi").distinct())
+
+    # documents with a term: a count over all raw texts, less those that hold the term only inside a span
+    single, marked = (texts, scanned) if repeated is None else (rows(texts, "left_anti"), rows(scanned, "left_anti"))
+    words = (single.select(F.explode(_terms(F.col("_text"))).alias("term"), F.lit(1).alias("n"))
+             .unionByName(marked.select(F.explode("inside").alias("term"), F.lit(-1).alias("n"))))
+    if repeated is not None:
+        again = rows(texts, "left_semi")
+        again = again.select("_doc", F.explode(_terms(_masked(F.col("_text"), pattern_spans(F.col("_text"))))).alias("term"))
+        words = words.unionByName(again.distinct().select("term", F.lit(1).alias("n")))
+    seen = words.groupBy("term").agg(F.sum("n").alias("n_t"))
+
+    held = once(scanned.select("_doc", F.explode("entities").alias("entity")))
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_c"))
+    prior = F.col("n_c") / F.lit(float(total))
+    # a little room, so that rounding decides in the risk alone
+    entities = entities.withColumn("most", ((F.col("n_c") + smooth * prior) / F.pow(prior, F.lit(1 - disclosure)) - smooth)
+                                   * (1 + 1e-9))
+    entities = stage(entities, "pii-entities")
+    widest = entities.agg(F.coalesce(F.max("most"), F.lit(0.0))).first()[0]
+    near = once(scanned.select("_doc", F.explode("terms").alias("term"))).join(seen.filter(F.col("n_t") <= widest), "term")
+    near = stage(near.select("_doc", "term", "n_t"), "pii-terms")
+
+    pairs = (near.join(held.join(sized(entities), "entity"), "_doc").filter(F.col("n_t") <= F.col("most"))
+             .groupBy("entity", "term").agg(F.max("n_c").alias("n_c"), F.max("n_t").alias("n_t"), F.count("*").alias("n_ct"))
+             .withColumn("risk", _risk(F.col("n_ct"), F.col("n_c"), F.col("n_t"), total, smooth)))
+    return stage(pairs.filter(F.col("risk") >= disclosure), "pii-pairs"), near
 
 
-def find_personal_data(docs: DataFrame, disclosure: float = 0.9, smooth: float = 0.5, reach: int = 60,
+def find_personal_data(docs: DataFrame, disclosure: float = 0.9, smooth: float = 0.5,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, base (pattern spans) and terms (disclosing terms), arrays of spans."""
+    text, base = F.col("_text"), F.col("base")
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    scanned = stage(texts.withColumn("base", pattern_spans(F.col("_text")))
-                    .select("_id", "base", _beside(reach).alias("contexts")), "pii-spans")
-
-    # terms beside entities, with their places in the document
-    sides = (scanned.select("_id", F.explode("contexts").alias("c"))
-             .select("_id", "c.entity", F.explode("c.sides").alias("s")))
-    near = sides.select("_id", "entity", "s.*", F.explode(occurrences(F.col("s.text"), TERM)).alias("m"))
-    whole = ~((F.col("cut_head") & (F.col("m.start") == 0)) | (F.col("cut_tail") & (F.col("m.end") == F.length("text"))))
-    near = near.filter(whole).select(
-        "_id", "entity", F.lower("m.value").alias("term"), (F.col("at") + F.col("m.start")).alias("start"),
-        (F.col("at") + F.col("m.end")).alias("end"))
-    near = stage(near, "pii-terms")
-
-    total = scanned.select("_id").distinct().count()
-    together = near.select("_id", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
-    together = stage(together, "pii-pairs")
-    entities = (scanned.select("_id", F.explode("contexts").alias("c")).select("_id", "c.entity").distinct()
-                .groupBy("entity").agg(F.count("*").alias("n_c")))
-    words = texts.select("_id", F.explode(F.array_distinct(pieces(F.lower("_text"), r"[^\p{L}]+"))).alias("term"))
-    words = words.filter(F.length("term") >= 4)
-    # every term is counted: map-side sums leave one row per term and task. A semi-join with the
-    # terms of the pairs would be moved ahead of the count, onto every word of the corpus.
-    seen = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    rated = (together.join(entities, "entity").join(seen, "term")
-             .withColumn("n_t", F.greatest("n_t", "n_ct"))
-             .withColumn("prior", F.col("n_c") / F.lit(float(total)))
-             .withColumn("share", (F.col("n_ct") + smooth * F.col("prior")) / (F.col("n_t") + smooth))
-             .filter((F.col("prior") < 1) & (1 - F.try_divide(F.log("share"), F.log("prior")) >= disclosure))
-             .select("entity", "term", F.when(F.col("n_ct") == F.col("n_t"), "remove").otherwise("generalise").alias("kind")))
-    rated = sized(stage(rated, "pii-risks"))
-    # one span per place; a term that must go for one entity goes
-    terms = (near.join(rated, ["entity", "term"]).groupBy("_id", "start", "end", "term").agg(F.max("kind").alias("kind"))
-             .groupBy("_id").agg(F.array_sort(F.collect_list(F.struct(
-                 "kind", F.lit(len(PATTERNS)).alias("rank"), "start", "end", F.col("term").alias("value")))).alias("terms")))
-    terms = sized(stage(terms.withColumnRenamed("_id", "_doc"), "pii-found"))
-    out = scanned.join(terms, scanned["_id"].eqNullSafe(terms["_doc"]), "left")
-    return out.select(F.col("_id").alias(id_col), "base", F.coalesce("terms", F.array().cast(SPAN)).cast(SPAN).alias("terms"))
+    texts = texts.withColumn("_doc", F.coalesce(F.concat(F.lit("id "), F.col("_id").cast("string")),
+                                                F.concat(F.lit("text "), F.md5(text.cast("binary")))))
+    # terms are kept for rows with an entity only
+    some, none = F.size(base) > 0, F.array().cast("array<string>")
+    scanned = (texts.withColumn("base", pattern_spans(text))
+               .withColumn("terms", F.when(some, _terms(_masked(text, base))).otherwise(none))
+               .withColumn("inside", F.when(some, F.array_except(_terms(text), "terms")).otherwise(none)))
+    scanned = stage(scanned.select("_id", "_doc", "base", _entities(base).alias("entities"), "terms", "inside"), "pii-spans")
+
+    pairs, near = rate_pairs(scanned, texts, disclosure, smooth)
+    # a term that must go for one entity goes
+    rated = pairs.groupBy("term").agg(F.max(F.when(F.col("n_ct") == F.col("n_t"), "remove").otherwise("generalise")).alias("kind"),
+                                      F.max("n_t").alias("n_t"))
+    beside = near.groupBy("term").agg(F.count("*").alias("n_in"))
+    rated = stage(rated.join(beside, "term").select("term", "kind", (F.col("n_t") > F.col("n_in")).alias("elsewhere")), "pii-risks")
+    # documents with an entity are known by term; the others are read only for the terms that they can hold
+    found = near.select("_doc", "term").join(sized(rated), "term").select("_doc", "term", "kind")
+    elsewhere = stage(rated.filter("elsewhere").select("term", "kind"), "pii-elsewhere")
+    others = texts.select("_doc", F.explode(_terms(text)).alias("term")).join(sized(elsewhere), "term")
+    found = found.unionByName(others.select("_doc", "term", "kind")).groupBy("_doc").agg(
+        F.collect_set(F.when(F.col("kind") == "remove", F.col("term"))).alias("gone"),
+        F.collect_set(F.when(F.col("kind") != "remove", F.col("term"))).alias("soft"))
+    found = sized(stage(found.withColumnRenamed("_doc", "_hit"), "pii-found"))
+    hit = F.col("_doc") == F.col("_hit")
+    placed = (texts.join(found, hit).withColumn("base", pattern_spans(text)).withColumn("_text", _masked(text, base))
+              .select("_id", "base", _places(text, F.col("gone"), F.col("soft")).alias("terms")))
+    rest = scanned.join(found, hit, "left_anti").select("_id", "base", F.array().cast(SPAN).alias("terms"))
+    return placed.unionByName(rest).withColumnRenamed("_id", id_col)
 
 
 def sanitise(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

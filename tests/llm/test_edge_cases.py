@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns, for every operator."""
 
 import hashlib
+import math
 import re
 
 import pytest
@@ -122,6 +123,58 @@ def test_disclosing_term_of_a_rare_entity(spark):
     assert not any(terms[i] for i in range(60))
 
 
+def brute_terms(rows, disclosure=0.9, smooth=0.5):
+    """Spans of disclosing terms of every row, in plain Python (ids are unique or null)."""
+    spans, tokens = [], []
+    for _, t in rows:
+        t = t or ""
+        found = [tuple(x.split(":")) for x in brute_spans(t).split(",") if x]
+        spans.append({(k, re.sub("[^0-9]", "", v) if k in ("card", "phone") else v.lower())
+                      for k, a, b in found for v in [t[int(a):int(b)]]})
+        for _, a, b in found:
+            t = t[:int(a)] + " " * (int(b) - int(a)) + t[int(b):]
+        tokens.append([(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", t)
+                       if len(m[0]) > 2 or not (m[0].isalpha() and m[0].islower() or m[0] in "0123456789")])
+    sets, kinds = [{w for _, _, w in ts} for ts in tokens], {}
+    for c in set().union(*spans):
+        inside = [s for e, s in zip(spans, sets) if c in e]
+        p = len(inside) / len(rows)
+        for w in set().union(*inside):
+            n_t, n_ct = sum(w in s for s in sets), sum(w in s for s in inside)
+            if p < 1 and 1 - math.log((n_ct + smooth * p) / (n_t + smooth)) / math.log(p) >= disclosure:
+                kinds[w] = max(kinds.get(w, ""), "remove" if n_ct == n_t else "generalise")
+    return [[(kinds[w], a, b) for a, b, w in ts if w in kinds] for ts in tokens]
+
+
+def test_disclosing_terms_of_whole_documents(spark):
+    """A name far from the address, short, CJK and numbered terms, and a term's places in other documents."""
+    far = " weather about people" * 12
+    names = ["Quibbel", "Bo Li", "王小明", "ward K7 bed 4711", "Trommik", "Jörg ﬁn x2"]
+    rows = [(i, f"{n}{far} zed{i}@mail.org\n{n} again, +1 (234) 555-67{i:02d} {i}") for i, n in enumerate(names)]
+    rows += [(20 + i, f"Zorbax{far} zorb@mail.org mail {'weather ' * i}Zorbax") for i in range(8)]
+    rows += [(40, f"no address but Zorbax and zed{far}"), (41, None), (42, ""), (None, "Nobody nul@mail.org"),
+             (None, "people nul2@mail.org")]
+    rows += [(50 + i, "nothing but weather again and people about") for i in range(200)]
+    got = find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_terms(rows)
+    texts = {i: w for (i, _), w in zip(rows, want) if i is not None}
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: [tuple(s)[:1] + tuple(s)[2:4] for s in r["terms"]] for r in got if r["doc_id"] is not None} == texts
+    terms = {i: {(s["value"], s["kind"]) for s in r["terms"]} for r in got for i in [r["doc_id"]]}
+    assert {("bo", "remove"), ("li", "remove")} <= terms[1] and ("王小明", "remove") in terms[2]
+    assert {("k7", "remove"), ("4711", "remove")} <= terms[3] and terms[40] >= {("zorbax", "generalise")}
+    assert len(texts[0]) == 2 and [k for k, *_ in texts[20]].count("generalise") == 2  # both places, 250 characters apart
+
+
+def test_disclosing_terms_of_repeated_ids(spark):
+    """Rows of an id are one document of the statistics; each row's own places are marked."""
+    rows = [(1, "Quibbel one@mail.org"), (1, "weather Quibbel"), (1, "weather Quibbel")]
+    rows += [(10 + i, "nothing but weather today and people") for i in range(80)]
+    got = find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id = 1").collect()
+    assert sorted([(s["kind"], s["start"], s["end"]) for s in r["terms"]] for r in got) == [
+        [("remove", 0, 7)], [("remove", 8, 15)], [("remove", 8, 15)]]
+
+
 def test_exact(docs, none):
     got = by_id(exact_dedup(docs))
     assert got[2]["keep_id"] == 1 and not got[2]["kept"] and got[1]["kept"] and got[1]["group_size"] == 2
