@@ -70,7 +70,8 @@ STAGES = [
     ("mix", mix_stage),
 ]
 
-#: A fitted classifier and MinHash candidates have no SQL twin; tests/llm checks every stage by brute force.
+#: A fitted classifier and MinHash candidates have no SQL twin. tests/llm checks every stage's columns, that its ids are
+#: a subset and empty input, and the exact stage's ids; no other stage, nor `run`, is held against a brute-force result.
 ORACLE_SQL = None
 
 
