@@ -127,3 +127,80 @@ least_of AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_i
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id,
        coalesce(component_id, d.doc_id) = d.doc_id AS kept
 FROM words d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of USING (doc_id)"""
+
+
+SUBSTRING_DEDUP = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS seq
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words)),
+hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY seq) AS first FROM windows)
+         WHERE first < doc_id),
+gone AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM hits)
+         GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(w[p], ' ' ORDER BY p) AS kept
+         FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM words)
+         ANTI JOIN (SELECT doc_id, unnest(gone) AS p FROM gone) USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+SOURCE_AUDIT = f"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+              FROM documents),
+words AS (SELECT d, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 10),
+lang_sums AS (SELECT lang, (SELECT count(*) FROM kept k WHERE k.lang = l.lang) AS v,
+                (SELECT coalesce(sum(n), 0) FROM kept k WHERE k.lang = l.lang) AS total
+              FROM (SELECT DISTINCT lang FROM docs) l),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+group_sums AS (SELECT lang, source, coalesce(sum(n), 0) AS total
+               FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+shares AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+             1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.total + 2 * s.v)::HUGEINT AS p,
+             1 + (1000000000::HUGEINT * (k.n + 2)) // (s.total + 2 * s.v)::HUGEINT AS q
+           FROM group_sums g JOIN lang_sums s USING (lang) JOIN kept k USING (lang)
+           LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+            (SELECT 0)::BIGINT + coalesce(sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)), 0)::BIGINT AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source
+          LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+          WHERE x.term IS NULL OR y.term IS NOT NULL GROUP BY ALL),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value
+          FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, r::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r
+      FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+WHERE part = 'pair' OR r <= 10"""
+
+
+def clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    """Plain arithmetic on one row a component; every round is a table of centroids."""
+    text = ["""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+flat AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS j, unnest(v) AS x FROM kept),
+c0 AS MATERIALIZED (
+  SELECT c, unnest(range(1, 65)) AS j, unnest(v) AS x
+  FROM (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM kept)
+  WHERE c < %d)""" % k]
+    for i in range(rounds + 1):
+        text.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT r, arg_min(c, d * {k} + c) AS c, min(d) AS d
+  FROM (SELECT r, c, sum((flat.x - c{i}.x) * (flat.x - c{i}.x))::BIGINT AS d FROM flat JOIN c{i} USING (j) GROUP BY r, c)
+  GROUP BY r)""")
+        if i < rounds:
+            text.append(f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT c, j, coalesce(m.x, c{i}.x) AS x FROM c{i} LEFT JOIN
+    (SELECT a{i}.c, j, (sum(flat.x) - ((sum(flat.x) % count(*)) + count(*)) % count(*))::BIGINT // count(*) AS x
+     FROM flat JOIN a{i} USING (r) GROUP BY a{i}.c, j) m USING (c, j))""")
+    return ",".join(text) + f"""
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (r)
+JOIN (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY c) USING (c)"""

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortkit.llm import oracle
+from cohortkit.llm.clustering import cluster_vectors
 from cohortkit.llm.common import read
 from cohortkit.llm.decontaminate import decontaminate
 from cohortkit.llm.exact_dedup import exact_dedup
@@ -19,6 +20,8 @@ from cohortkit.llm.near_dedup import near_duplicates
 from cohortkit.llm.pii import find_personal_data, personal_digest
 from cohortkit.llm.quality import fit_cotraining, score_quality
 from cohortkit.llm.secret_scan import scan_secrets, secret_digest
+from cohortkit.llm.source_audit import audit_sources
+from cohortkit.llm.substring_dedup import remove_repeats
 from cohortkit.llm.toxicity import fit_chain, score_toxicity
 from cohortkit.llm.url_filter import judge_urls
 
@@ -73,9 +76,21 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), k=2)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"), output="sha256").drop("spans")
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(read(spark, sf_dir, "documents"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(read(spark, sf_dir, "embeddings"))[0]
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_url_filter, op3_toxicity, op4_personal_data, op5_language, op6_decontaminate, op7_mix,
-    op8_exact_dedup, op9_quality, op10_near_dedup)}
+    op8_exact_dedup, op9_quality, op10_near_dedup, op11_substring_dedup, op12_source_audit, op13_clusters)}
 
 ORACLE = {
     "op1_secret_scan": oracle.secret_scan_sql(),
@@ -84,4 +99,7 @@ ORACLE = {
     "op7_mix": oracle.MIX,
     "op8_exact_dedup": oracle.EXACT_DEDUP,
     "op10_near_dedup": oracle.NEAR_DEDUP,
+    "op11_substring_dedup": oracle.SUBSTRING_DEDUP,
+    "op12_source_audit": oracle.SOURCE_AUDIT,
+    "op13_clusters": oracle.clusters_sql(),
 }
