@@ -156,10 +156,10 @@ def screen_ctes(spec: CohortSpec, rel: str, variables, numeric_vars, alpha: floa
                       WHEN p_value < 0.05 THEN '*' ELSE 'ns' END AS significance_level FROM tests)"""
 
 
-def logistic_ctes(study: str, features, folds: int, steps: int = 15) -> str:
+def logistic_ctes(study: str, features, folds: int, steps: int = 10) -> str:
     """CTEs ending in `scored` (fit, split, fold, row_id, label, score): one weighted ridge
     logistic regression per held-out fold (fit = fold) and one on the whole training split
-    (fit = -1), by Newton steps with a Cholesky solve.
+    (fit = -1), by Newton steps with a Cholesky solve; one recursive body holds the step.
 
     Features are standardised on the fit's own training rows, classes weigh n / (2 n_c), and
     the penalty is 1/(2n) on the weights (not on the intercept). `study` has row_id, label,
@@ -175,32 +175,33 @@ def logistic_ctes(study: str, features, folds: int, steps: int = 15) -> str:
     hess = ", ".join(f"sum(w * p * (1 - p) * {xs[i]} * {xs[j]}) / sum(w){penalty(j, '1.0') if i == j else ''} AS h{i}_{j}"
                      for i in range(d + 1) for j in range(i + 1))
     keep = ", ".join(f"max(b{j}) AS b{j}" for j in range(d + 1))
-    solve = []  # lateral aliases: L L' = H, L u = g, L' v = u
+    # L L' = H, L u = g, L' v = u, one column a subquery
+    solved = (f"(SELECT step, fit, {keep}, {grad}, {hess} FROM (SELECT *, 1 / (1 + exp(-({odds}))) AS p FROM zt "
+              f"JOIN newton USING (fit) WHERE step < {steps}) GROUP BY step, fit)")
     for j in range(d + 1):
-        for i in range(j, d + 1):
-            rest = "".join(f" - l{i}_{k} * l{j}_{k}" for k in range(j))
-            solve.append(f"sqrt(h{j}_{j}{rest}) AS l{j}_{j}" if i == j else f"(h{i}_{j}{rest}) / l{j}_{j} AS l{i}_{j}")
-    solve += [f"(g{j}{''.join(f' - l{j}_{k} * u{k}' for k in range(j))}) / l{j}_{j} AS u{j}" for j in range(d + 1)]
-    solve += [f"(u{j}{''.join(f' - l{k}_{j} * v{k}' for k in range(j + 1, d + 1))}) / l{j}_{j} AS v{j}"
-              for j in range(d, -1, -1)]
+        def rest(i):
+            return "".join(f" - l{i}_{k} * l{j}_{k}" for k in range(j))
+        below = "".join(f", (h{i}_{j}{rest(i)}) / l{j}_{j} AS l{i}_{j}" for i in range(j + 1, d + 1))
+        solved = f"(SELECT *, sqrt(h{j}_{j}{rest(j)}) AS l{j}_{j} FROM {solved})"
+        solved = (f"(SELECT *, (g{j}{''.join(f' - l{j}_{k} * u{k}' for k in range(j))}) / l{j}_{j} AS u{j}{below} "
+                  f"FROM {solved})")
+    for j in range(d, -1, -1):
+        solved = (f"(SELECT *, (u{j}{''.join(f' - l{k}_{j} * v{k}' for k in range(j + 1, d + 1))}) / l{j}_{j} AS v{j} "
+                  f"FROM {solved})")
     ctes = [
-        f"study AS MATERIALIZED (SELECT * FROM {study})",
+        f"RECURSIVE study AS MATERIALIZED (SELECT * FROM {study})",
         f"fits AS (SELECT range::INTEGER AS fit FROM range(-1, {folds}))",
         "tr AS (SELECT fit, s.* FROM study s, fits WHERE s.split = 'train' AND s.fold <> fit)",
         f"sc AS MATERIALIZED (SELECT fit, {scale} FROM tr GROUP BY fit)",
         f"zt AS MATERIALIZED (SELECT t.fit, t.label, {z}, count(*) OVER (PARTITION BY t.fit)::DOUBLE AS n, "
         "count(*) OVER (PARTITION BY t.fit) / (2.0 * count(*) OVER (PARTITION BY t.fit, t.label)) AS w "
         "FROM tr t JOIN sc USING (fit))",
-        f"w0 AS (SELECT fit, {', '.join(f'0.0::DOUBLE AS b{j}' for j in range(d + 1))} FROM fits)"]
-    for i in range(steps):
-        ctes += [
-            f"q{i} AS MATERIALIZED (SELECT fit, {keep}, {grad}, {hess} FROM "
-            f"(SELECT *, 1 / (1 + exp(-({odds}))) AS p FROM zt JOIN w{i} USING (fit)) GROUP BY fit)",
-            f"w{i + 1} AS MATERIALIZED (SELECT fit, {', '.join(f'b{j} - v{j} AS b{j}' for j in range(d + 1))} FROM "
-            f"(SELECT *, {', '.join(solve)} FROM q{i}))"]
+        f"newton AS (SELECT 0 AS step, fit, {', '.join(f'0.0::DOUBLE AS b{j}' for j in range(d + 1))} FROM fits UNION ALL "
+        f"SELECT step + 1, fit, {', '.join(f'b{j} - v{j}' for j in range(d + 1))} FROM {solved})",
+        f"fitted AS MATERIALIZED (SELECT * FROM newton WHERE step = {steps})"]
     ctes.append(
         f"scored AS MATERIALIZED (SELECT fit, split, fold, row_id, label, 1 / (1 + exp(-({odds}))) AS score FROM "
         f"(SELECT fits.fit, t.split, t.fold, t.row_id, t.label, {z} FROM study t JOIN fits "
         "ON (t.split = 'train' AND t.fold = fits.fit) OR (t.split = 'test' AND fits.fit = -1) "
-        f"JOIN sc ON sc.fit = fits.fit) JOIN w{steps} USING (fit))")
+        f"JOIN sc ON sc.fit = fits.fit) JOIN fitted USING (fit))")
     return ", ".join(ctes)
