@@ -10,7 +10,9 @@ Data flow
    table of its own, fitted without the held-out rows; with ``'train'`` (the
    reference's choice) one table is fitted on the whole training split. Each
    table is written once and read by all (feature set, model) jobs.
-3. Each (feature set, model) job fits k fold models plus a refit; the fold
+3. The linear models (LR, SGD) of a set are fitted for all folds and the refit
+   together, one pass over the rows a Newton step (``operators.foldfit``). Every
+   other (feature set, model) job fits k fold models plus a refit; the fold
    pipeline holds the median imputer fitted on the fold's training rows only.
    Jobs run concurrently from a small driver thread pool; every fit writes its
    predictions to its own folder, so a rerun skips finished work (resume) and
@@ -21,12 +23,12 @@ Data flow
 from __future__ import annotations
 
 import math
-import os
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +36,13 @@ from pyspark.sql import functions as F
 from cohortkit.operators import balance as BA
 from cohortkit.operators import evaluate as EV
 from cohortkit.operators import features as FE
+from cohortkit.operators import foldfit as FF
 from cohortkit.operators import reduce as RD
 from cohortkit.operators import split as S
 from cohortkit.operators import text as TX
-from cohortkit.operators.models import RFF_COMPONENTS, SVM_MAX_ITER, make_model, score_column, unconverged
-from cohortkit.session import stage_path
+from cohortkit.operators.models import (BASE, OPTIMISED, RFF_COMPONENTS, SVM_MAX_ITER, make_model, score_column,
+                                         unconverged)
+from cohortkit.session import checkpoint_dir, stage_path
 
 STRUCTURED = ["n_chars", "n_words", "n_lines", "quality"]
 TEXT_COLUMNS = {"chief": "chief_x", "diagnosis": "diagnosis_x"}
@@ -62,6 +66,7 @@ class StudyConfig:
     tol: float | None = None           # solver tolerance; None: the default of each family
     svm_max_iter: int = SVM_MAX_ITER
     rff_components: int = RFF_COMPONENTS
+    batched: bool = True               # linear models of all folds in common passes; False: one solver run a fit
 
 
 def document_study_table(spark: SparkSession, sf_dir: str, seed: int = 42, k: int = 10) -> DataFrame:
@@ -252,23 +257,133 @@ def run_fit(spark: SparkSession, feats: DataFrame, feature_set: str, model: str,
         return f"failed: {type(e).__name__}: {str(e)[:200]}", "; ".join(notes)
 
 
+def _batches(cfg: StudyConfig, feature_set: str, model: str) -> bool:
+    """Whether the fits of a (set, model) run together: linear models whose rows are not resampled."""
+    resampled = cfg.use_smote and cfg.variant == "optimised" and feature_set in FE.TEXT_ONLY_SETS
+    return cfg.batched and model in ("LR", "SGD") and not resampled
+
+
+def _shared(cfg: StudyConfig, feature_set: str) -> bool:
+    """Whether all fits of the set can read the same rows and differ by fill, centre and scale only."""
+    return cfg.fit_scope == "train" or feature_set == "a-x"
+
+
+def _batched_rows(study: DataFrame, feats, by_fold: dict, feature_set: str, cfg: StudyConfig, fits) -> tuple:
+    """(rows of foldfit, maps, width) of a feature set, written once for all passes."""
+    cols = FE.feature_set_columns(feature_set, STRUCTURED, TEXT_COLUMNS)
+    struct = [c for c in cols if c in STRUCTURED]
+    width = _width(feature_set, len(struct), cfg)
+    base = ["row_id", F.col("label").cast("double").alias("label"), "split", "fold"]
+
+    def assembled(df: DataFrame, fit) -> DataFrame:
+        parts = [F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in struct])] if struct else []
+        parts += [vector_to_array(c) for c in cols if c not in STRUCTURED]
+        return df.select(*base, F.lit(fit).cast("int").alias("fit"), F.concat(*parts).alias("x"))
+
+    if _shared(cfg, feature_set):
+        raw = study if cfg.fit_scope == "fold" else feats
+        train = raw.filter("split = 'train'")
+
+        def medians(f: int, columns) -> dict:
+            found = FE.exact_quantiles(train.filter(F.col("fold") != f), columns, [0.5], cfg.wide & set(columns))
+            return {c: v and v[0] for c, v in found.items()}
+
+        maps = FF.fold_maps(train, struct, fits, scaled=cfg.fit_scope == "train", medians=medians)
+        rows = assembled(raw, None)
+    else:
+        made = []
+        for f in fits:
+            df = by_fold[f] if f >= 0 else feats
+            if struct:
+                imputer, kept = FE.fit_median_imputer(df.filter("split = 'train'").filter(F.col("fold") != f), struct,
+                                                      wide=cfg.wide)
+                df = imputer.transform(df)
+                for c in set(struct) - set(kept):
+                    df = df.withColumn(c, F.lit(0.0))
+            # the fit's training rows and those it will score
+            made.append(assembled(df, f).filter(F.col("split") == "train") if f >= 0 else assembled(df, f))
+        rows, maps = made[0], {}
+        for df in made[1:]:
+            rows = rows.unionByName(df)
+    return rows, maps, width
+
+
+def run_batched(spark: SparkSession, study: DataFrame, feats, by_fold: dict, feature_set: str, models, cfg: StudyConfig,
+                out_dir: str, counts: dict, save_models: bool) -> list:
+    """All folds and the refit of the linear models of one set; [(set, model, fold, status, note)]."""
+    fits = [*range(cfg.n_folds), -1]
+    todo = [m for m in models if not _done(spark, f"{out_dir}/predictions/feature_set={_safe(feature_set)}/model={m}")]
+    out = [(feature_set, m, f, "ok", "") for m in models if m not in todo for f in fits]
+    if not todo:
+        return out
+    rows, maps, width = _batched_rows(study, feats, by_fold, feature_set, cfg, fits)
+    n_rows = sum(counts[-1].values()) * (1 if _shared(cfg, feature_set) else len(fits))
+    rows = rows.repartition(max(1, math.ceil(n_rows / 100_000)), "row_id").checkpoint()
+    for m in todo:
+        try:
+            hp = (OPTIMISED if cfg.variant == "optimised" else BASE)[m]
+            n = {f: sum(counts[f].values()) for f in fits}
+            weight = {f: {c: n[f] / (len(counts[f]) * counts[f][c]) if hp.get("balanced") and counts[f].get(c) else 1.0
+                          for c in (0.0, 1.0)} for f in fits}
+            reg = {f: hp["alpha"] if m == "SGD" else 1.0 / (hp["C"] * max(n[f], 1)) for f in fits}
+            beta, passes = FF.fit_folds(rows, fits, width, maps, weight, reg)
+            path = f"{out_dir}/predictions/feature_set={_safe(feature_set)}/model={m}"
+            FF.score_folds(rows, beta, maps).write.mode("overwrite").partitionBy("fold").parquet(path)
+            if save_models:
+                _save_linear(feats if feats is not None else study, beta[-1], maps.get(-1), feature_set, m, cfg, out_dir)
+            out += [(feature_set, m, f, "ok", f"{m} stopped at {FF.MAX_PASSES} passes"
+                     if passes[f] >= FF.MAX_PASSES else "") for f in fits]
+        except Exception as e:  # noqa: BLE001  a failing run keeps a row with status 'failed'
+            out += [(feature_set, m, f, f"failed: {type(e).__name__}: {str(e)[:200]}", "") for f in fits]
+    return out
+
+
+def _save_linear(rows: DataFrame, beta, fold_map, feature_set: str, model: str, cfg: StudyConfig, out_dir: str) -> None:
+    """The refit as a pipeline over prepared features: imputer, assembler, weights."""
+    cols = FE.feature_set_columns(feature_set, STRUCTURED, TEXT_COLUMNS)
+    struct = [c for c in cols if c in STRUCTURED]
+    stages = []
+    if struct and fold_map is not None:  # the shared form: the median as it is after scaling
+        fills = ", ".join(f"coalesce(CAST(`{c}` AS DOUBLE), CAST({float((v - m) / s)!r} AS DOUBLE)) AS `{c}`" for c, v, m, s in
+                          zip(struct, fold_map.fill, fold_map.centre, fold_map.scale))
+        names = ", ".join(f"`{c}`" for c in struct)
+        stages.append(SQLTransformer(statement=f"SELECT * EXCEPT ({names}), {fills} FROM __THIS__"))
+    elif struct:
+        stages.append(FE.fit_median_imputer(rows.filter("split = 'train'"), struct, wide=cfg.wide)[0])
+    scorer = FF.LinearScorer(featuresCol="features", coefficients=[float(b) for b in beta[:-1]], intercept=float(beta[-1]))
+    PipelineModel(stages=[*stages, FE.assembler(cols, "features"), scorer]).write().overwrite().save(
+        f"{out_dir}/models/{_safe(feature_set)}_{model}")
+
+
 def run_study(spark: SparkSession, study: DataFrame, cfg: StudyConfig, save_models: bool = True) -> dict:
     """Run every (feature set, model) job; return result tables."""
     out_dir = cfg.out_dir or stage_path(spark, "study", f"{cfg.variant}-{uuid.uuid4().hex[:8]}")
+    checkpoint_dir(spark)
+    study = study.checkpoint()
     n_rows = study.count()
-    if cfg.fit_scope == "fold":
-        study = study.checkpoint()
-    feats, report = _stored(study, n_rows, cfg)
-    by_fold = ({f: _stored(_held_out(study, f), n_rows, cfg)[0].withColumn(
-        "split", F.when(F.col("split") == "val", "train").otherwise(F.col("split"))) for f in range(cfg.n_folds)}
-        if cfg.fit_scope == "fold" else {})
-    counts = fold_class_counts(feats)
+    folds = range(cfg.n_folds)
+    single = [(fs, m, f) for fs in cfg.feature_sets for m in cfg.models if not _batches(cfg, fs, m) for f in [*folds, -1]]
+    batched = {fs: ms for fs in cfg.feature_sets if (ms := [m for m in cfg.models if _batches(cfg, fs, m)])}
+    # feature tables are made for the sets that read them
+    tables = dict.fromkeys([fs for fs, *_ in single] + [fs for fs in batched if fs != "a-x" or cfg.fit_scope == "train"])
+    feats, report, by_fold = None, [], {}
+    if tables:
+        used = replace(cfg, feature_sets=list(tables))
+        feats, report = _stored(study, n_rows, used)
+        if cfg.fit_scope == "fold":
+            by_fold = {f: _stored(_held_out(study, f), n_rows, used)[0].withColumn(
+                "split", F.when(F.col("split") == "val", "train").otherwise(F.col("split"))) for f in folds}
+    counts = fold_class_counts(study)
     # decided once per study; the medians are exact either way
-    cfg.wide = frozenset(FE.wide_columns(feats.filter("split = 'train'"), STRUCTURED))
-    jobs = [(fs, m, f) for fs in cfg.feature_sets for m in cfg.models for f in [*range(cfg.n_folds), -1]]
+    cfg.wide = frozenset(FE.wide_columns(study.filter("split = 'train'"), STRUCTURED))
     with ThreadPoolExecutor(max_workers=max(1, cfg.threads)) as pool:
-        fits = list(pool.map(lambda j: (j[0], j[1], *run_fit(spark, by_fold.get(j[2], feats), *j, cfg, out_dir,
-                                                             save_models, counts)), jobs))
+        # sets wait for one another only where the pool is full
+        together = [pool.submit(run_batched, spark, study, feats, by_fold, fs, ms, cfg, out_dir, counts, save_models)
+                    for fs, ms in batched.items()]
+        fits = list(pool.map(lambda j: (*j, *run_fit(spark, by_fold.get(j[2], feats), *j, cfg, out_dir,
+                                                     save_models, counts)), single))
+        fits += [fit for job in together for fit in job.result()]
+    fits = [(fs, m, st_, note) for fs, m, _, st_, note in fits]
     # a (set, model) is as good as its worst fit; its notes are those of all fits
     status = []
     for fs, m in {(fs, m): None for fs, m, *_ in fits}:
@@ -299,8 +414,3 @@ def batch_score(spark: SparkSession, model_path: str, rows: DataFrame) -> DataFr
     model = PipelineModel.load(model_path)
     return score_column(model.transform(rows))
 
-
-def write_result_tables(results: dict, out_dir: str) -> None:
-    """One Parquet table per logical sheet."""
-    for name in ("cv_results", "test_results", "best_cv", "best_test", "fold_metrics"):
-        results[name].write.mode("overwrite").parquet(os.path.join(out_dir, name))
