@@ -25,6 +25,7 @@ from cohortkit.operators import clean, profile
 from cohortkit.operators import evaluate as EV
 from cohortkit.operators import features as FE
 from cohortkit.operators import importance as IM
+from cohortkit.operators import network as NN
 from cohortkit.operators import reduce as RD
 from cohortkit.operators import split as S
 from cohortkit.operators import text as TX
@@ -1136,6 +1137,64 @@ for _m in EV.MODEL_ORDER:
     register(f"model_{_m.lower()}")(_model_query(_m))
 
 
+# --- networks: the first pass recomputed in SQL, and a whole training -------------
+
+_NET_LAYERS, _NET_ALPHA = (64, 8, 1), 0.001
+
+
+def network_rows(spark, sf_dir):
+    """One fit on all vectors: label 0 against the rest."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("row_id"), F.lit(None).cast("int").alias("fit"), F.lit(0).alias("fold"),
+        F.lit("train").alias("split"), (F.col("label") == 0).cast("double").alias("label"),
+        F.col("embedding").cast("array<double>").alias("x"))
+
+
+def _first_step_sql() -> str:
+    d, h, _ = _NET_LAYERS
+
+    def u(layer, i, j):
+        return f"(2 * {uniform_sql(42, O.lit('w'), layer, i, j)} - 1) * sqrt(6.0::DOUBLE / ({(d + h, h + 1)[int(layer)]}))"
+    return f"""WITH e AS MATERIALIZED (SELECT vec_id, (label = 0)::INTEGER AS y, embedding::DOUBLE[] || [1.0::DOUBLE] AS x
+        FROM embeddings WHERE {uniform_sql(42, O.lit('val'), 'vec_id')} >= 0.1),
+      w AS MATERIALIZED (SELECT i, j, {u('0', 'i', 'j')} AS w FROM range({d + 1}) a(i), range({h}) b(j)),
+      v AS MATERIALIZED (SELECT i, {u('1', 'i', '0')} AS v FROM range({h + 1}) a(i)),
+      flat AS MATERIALIZED (SELECT vec_id, unnest(range({d + 1})) AS i, unnest(x) AS x FROM e),
+      hid AS MATERIALIZED (SELECT vec_id, j, sum(x * w) AS h FROM flat JOIN w USING (i) GROUP BY vec_id, j),
+      outp AS MATERIALIZED (SELECT vec_id, y, z, 1 / (1 + exp(-z)) - y AS delta FROM e JOIN (
+        SELECT vec_id, sum(greatest(h, 0) * v) + (SELECT v FROM v WHERE i = {h}) AS z
+        FROM hid JOIN v ON v.i = hid.j GROUP BY vec_id) USING (vec_id)),
+      n AS (SELECT count(*)::DOUBLE AS n FROM e),
+      loss AS (SELECT avg(ln(1 + exp(z)) - y * z) + {_NET_ALPHA} / (2 * max(n.n)) * (
+        (SELECT sum(w * w) FROM w WHERE i < {d}) + (SELECT sum(v * v) FROM v WHERE i < {h})) AS loss FROM outp, n),
+      g AS (SELECT 0 AS layer, flat.i AS i, hid.j AS j, sum(delta * v.v * (h > 0)::INTEGER * x) AS g
+            FROM flat JOIN hid USING (vec_id) JOIN outp USING (vec_id) JOIN v ON v.i = hid.j GROUP BY flat.i, hid.j
+            UNION ALL
+            SELECT 1, j, 0, sum(delta * greatest(h, 0)) FROM hid JOIN outp USING (vec_id) GROUP BY j
+            UNION ALL SELECT 1, {h}, 0, sum(delta) FROM outp)
+      SELECT g.layer::INTEGER AS layer, g.i::INTEGER AS "row", g.j::INTEGER AS "column", loss,
+             (g.g + CASE WHEN g.layer = 0 AND g.i < {d} THEN {_NET_ALPHA} * w.w
+                         WHEN g.layer = 1 AND g.i < {h} THEN {_NET_ALPHA} * v.v ELSE 0 END) / n.n AS gradient
+      FROM g CROSS JOIN loss CROSS JOIN n LEFT JOIN w ON g.layer = 0 AND w.i = g.i AND w.j = g.j
+      LEFT JOIN v ON g.layer = 1 AND v.i = g.i"""
+
+
+@register("network_first_step", O.rounded(_first_step_sql(), ["loss", "gradient"]))
+def q_network_first_step(spark, sf_dir):
+    """Loss and gradient of a network at its starting weights, back-propagated over all vectors."""
+    loss, gradient = NN.first_step(network_rows(spark, sf_dir), list(_NET_LAYERS), _NET_ALPHA)
+    return rounded(spark.createDataFrame([(*at, loss, g) for at, g in gradient.items()],
+                                         "layer int, row int, column int, loss double, gradient double"))
+
+
+@register("network_training")
+def q_network_training(spark, sf_dir):
+    """Training of the same network until its validation share stops gaining."""
+    net = NN.fit_networks(network_rows(spark, sf_dir), [-1], list(_NET_LAYERS), {}, _NET_ALPHA, 300)[-1]
+    rows = [(i, float(loss), float(score), i == net.best_epoch) for i, (loss, score) in enumerate(net.curve)]
+    return rounded(spark.createDataFrame(rows, "epoch int, loss double, validation_accuracy double, kept boolean"))
+
+
 @register("batch_score")
 def q_batch_score(spark, sf_dir):
     """Fit, save, load and score: the loaded pipeline must reproduce the scores."""

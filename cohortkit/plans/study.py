@@ -10,8 +10,9 @@ Data flow
    table of its own, fitted without the held-out rows; with ``'train'`` (the
    reference's choice) one table is fitted on the whole training split. Each
    table is written once and read by all (feature set, model) jobs.
-3. The linear models (LR, SGD) of a set are fitted for all folds and the refit
-   together, one pass over the rows a Newton step (``operators.foldfit``). Every
+3. The linear models (LR, SGD) and the networks (ANN, NN) of a set are fitted for
+   all folds and the refit together, one pass over the rows a step
+   (``operators.foldfit``, ``operators.network``). Every
    other (feature set, model) job fits k fold models plus a refit; the fold
    pipeline holds the median imputer fitted on the fold's training rows only.
    Jobs run concurrently from a small driver thread pool; every fit writes its
@@ -37,6 +38,7 @@ from cohortkit.operators import balance as BA
 from cohortkit.operators import evaluate as EV
 from cohortkit.operators import features as FE
 from cohortkit.operators import foldfit as FF
+from cohortkit.operators import network as NN
 from cohortkit.operators import reduce as RD
 from cohortkit.operators import split as S
 from cohortkit.operators import text as TX
@@ -258,9 +260,9 @@ def run_fit(spark: SparkSession, feats: DataFrame, feature_set: str, model: str,
 
 
 def _batches(cfg: StudyConfig, feature_set: str, model: str) -> bool:
-    """Whether the fits of a (set, model) run together: linear models whose rows are not resampled."""
+    """Whether the fits of a (set, model) run together: linear models and networks whose rows are not resampled."""
     resampled = cfg.use_smote and cfg.variant == "optimised" and feature_set in FE.TEXT_ONLY_SETS
-    return cfg.batched and model in ("LR", "SGD") and not resampled
+    return cfg.batched and model in ("LR", "SGD", "ANN", "NN") and not resampled
 
 
 def _shared(cfg: StudyConfig, feature_set: str) -> bool:
@@ -310,7 +312,7 @@ def _batched_rows(study: DataFrame, feats, by_fold: dict, feature_set: str, cfg:
 
 def run_batched(spark: SparkSession, study: DataFrame, feats, by_fold: dict, feature_set: str, models, cfg: StudyConfig,
                 out_dir: str, counts: dict, save_models: bool) -> list:
-    """All folds and the refit of the linear models of one set; [(set, model, fold, status, note)]."""
+    """All folds and the refit of one set's linear models and networks; [(set, model, fold, status, note)]."""
     fits = [*range(cfg.n_folds), -1]
     todo = [m for m in models if not _done(spark, f"{out_dir}/predictions/feature_set={_safe(feature_set)}/model={m}")]
     out = [(feature_set, m, f, "ok", "") for m in models if m not in todo for f in fits]
@@ -322,24 +324,34 @@ def run_batched(spark: SparkSession, study: DataFrame, feats, by_fold: dict, fea
     for m in todo:
         try:
             hp = (OPTIMISED if cfg.variant == "optimised" else BASE)[m]
-            n = {f: sum(counts[f].values()) for f in fits}
-            weight = {f: {c: n[f] / (len(counts[f]) * counts[f][c]) if hp.get("balanced") and counts[f].get(c) else 1.0
-                          for c in (0.0, 1.0)} for f in fits}
-            reg = {f: hp["alpha"] if m == "SGD" else 1.0 / (hp["C"] * max(n[f], 1)) for f in fits}
-            beta, passes = FF.fit_folds(rows, fits, width, maps, weight, reg)
             path = f"{out_dir}/predictions/feature_set={_safe(feature_set)}/model={m}"
-            FF.score_folds(rows, beta, maps).write.mode("overwrite").partitionBy("fold").parquet(path)
+            limit = ""
+            if m in ("ANN", "NN"):
+                layers = [width, *hp["hidden"], 1]
+                nets = NN.fit_networks(rows, fits, layers, maps, hp["alpha"], hp["max_iter"], cfg.seed)
+                scored = NN.score_networks(rows, {f: n.best for f, n in nets.items()}, layers, maps)
+                last = NN.NetworkModel(featuresCol="features", layers=layers, weights=[float(w) for w in nets[-1].best])
+            else:
+                n = {f: sum(counts[f].values()) for f in fits}
+                weight = {f: {c: n[f] / (len(counts[f]) * counts[f][c]) if hp.get("balanced") and counts[f].get(c) else 1.0
+                              for c in (0.0, 1.0)} for f in fits}
+                reg = {f: hp["alpha"] if m == "SGD" else 1.0 / (hp["C"] * max(n[f], 1)) for f in fits}
+                beta, passes = FF.fit_folds(rows, fits, width, maps, weight, reg)
+                limit = f"{m} stopped at {FF.MAX_PASSES} passes" if max(passes.values()) >= FF.MAX_PASSES else ""
+                scored = FF.score_folds(rows, beta, maps)
+                last = FF.LinearScorer(featuresCol="features", coefficients=[float(b) for b in beta[-1][:-1]],
+                                       intercept=float(beta[-1][-1]))
+            scored.write.mode("overwrite").partitionBy("fold").parquet(path)
             if save_models:
-                _save_linear(feats if feats is not None else study, beta[-1], maps.get(-1), feature_set, m, cfg, out_dir)
-            out += [(feature_set, m, f, "ok", f"{m} stopped at {FF.MAX_PASSES} passes"
-                     if passes[f] >= FF.MAX_PASSES else "") for f in fits]
+                _save_refit(feats if feats is not None else study, last, maps.get(-1), feature_set, m, cfg, out_dir)
+            out += [(feature_set, m, f, "ok", limit) for f in fits]
         except Exception as e:  # noqa: BLE001  a failing run keeps a row with status 'failed'
             out += [(feature_set, m, f, f"failed: {type(e).__name__}: {str(e)[:200]}", "") for f in fits]
     return out
 
 
-def _save_linear(rows: DataFrame, beta, fold_map, feature_set: str, model: str, cfg: StudyConfig, out_dir: str) -> None:
-    """The refit as a pipeline over prepared features: imputer, assembler, weights."""
+def _save_refit(rows: DataFrame, last, fold_map, feature_set: str, model: str, cfg: StudyConfig, out_dir: str) -> None:
+    """The refit as a pipeline over prepared features: imputer, assembler, model."""
     cols = FE.feature_set_columns(feature_set, STRUCTURED, TEXT_COLUMNS)
     struct = [c for c in cols if c in STRUCTURED]
     stages = []
@@ -350,8 +362,7 @@ def _save_linear(rows: DataFrame, beta, fold_map, feature_set: str, model: str,
         stages.append(SQLTransformer(statement=f"SELECT * EXCEPT ({names}), {fills} FROM __THIS__"))
     elif struct:
         stages.append(FE.fit_median_imputer(rows.filter("split = 'train'"), struct, wide=cfg.wide)[0])
-    scorer = FF.LinearScorer(featuresCol="features", coefficients=[float(b) for b in beta[:-1]], intercept=float(beta[-1]))
-    PipelineModel(stages=[*stages, FE.assembler(cols, "features"), scorer]).write().overwrite().save(
+    PipelineModel(stages=[*stages, FE.assembler(cols, "features"), last]).write().overwrite().save(
         f"{out_dir}/models/{_safe(feature_set)}_{model}")
 
 
