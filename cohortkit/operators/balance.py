@@ -1,128 +1,22 @@
-"""Class rebalancing: exact k-nearest neighbours, SMOTE, Tomek links, class weights.
-
-k-NN is exact and blocked: rows are hashed into B blocks of about
-``block_rows``; each (query block, reference block) pair is one cogroup whose
-distances are computed with NumPy in an Arrow UDF, keeping only the k best per
-query row, then the B partial lists are merged per row. Only k candidates per
-(row, block) ever leave a task, never the pair list. Work is O(n^2 d) as for
-any exact k-NN in high dimension; the LSH path (opt-in, approximate) trades
-recall for scale.
-
-All random choices are md5(seed | ...) so SMOTE builds the same synthetic
-rows on any partitioning and in the DuckDB oracle.
+"""Class rebalancing: SMOTE, Tomek links, class weights.
+
+Neighbours come from ``operators.neighbours`` (exact, without all pairs). All
+random choices are md5(seed | ...) so SMOTE builds the same synthetic rows on any
+partitioning and in the DuckDB oracle.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortkit.functions.hashing import hash_hex, uniform
+from cohortkit.operators.neighbours import as_double_array, knn
 from cohortkit.operators.split import hashed_rank
 from cohortkit.session import checkpoint_dir
 
 # Fixed value: neighbours used by SMOTE.
 SMOTE_K = 5
-#: Bytes of one k-NN block of vectors, and numbers held at a time while its distances are computed.
-BLOCK_BYTES, CHUNK = 16_000_000, 4_000_000
-
-
-def _as_double_array(df: DataFrame, vec_col: str) -> DataFrame:
-    dt = df.schema[vec_col].dataType
-    if dt.typeName() == "vector":
-        from pyspark.ml.functions import vector_to_array
-        return df.withColumn(vec_col, vector_to_array(F.col(vec_col)))
-    return df.withColumn(vec_col, F.col(vec_col).cast("array<double>"))
-
-
-def knn(df: DataFrame, id_col: str, vec_col: str, k: int, reference: DataFrame | None = None,
-        block_rows: int | None = None, exclude_self: bool = True) -> DataFrame:
-    """Exact k nearest neighbours (squared Euclidean) of every row of ``df``
-    among ``reference`` (default: ``df`` itself).
-
-    ``block_rows`` defaults to what fits ``BLOCK_BYTES`` at the vectors' width
-    (a quarter of a small input, so that it too is dealt to several tasks): a
-    task holds two such blocks and a chunk of distances, whatever the row count.
-    Inside a task a matrix product finds the rows that can be among the k
-    nearest; only their distances are computed term by term, so the result does
-    not depend on the blocks.
-    Schema: id, nn_id, dist, nn_rank (1..k; ties by neighbour id).
-    """
-    ref = reference if reference is not None else df
-    q = _as_double_array(df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), "v")
-    r = _as_double_array(ref.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), "v")
-    n, width = r.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    n = max(n, n if reference is None else q.count())
-    if not block_rows:
-        block_rows = max(1, min(BLOCK_BYTES // (8 * max(1, width or 1)), max(256, -(-n // 4))))
-    nb = max(1, int(math.ceil(n / block_rows)))
-    blocks = F.sequence(F.lit(0), F.lit(nb - 1))
-    qx = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nb))).withColumn("rb", F.explode(blocks))
-    rx = r.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(nb))).withColumn("qb", F.explode(blocks))
-
-    def block_knn(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        if qpdf.empty or rpdf.empty:
-            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "nn_id": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
-        qv = np.stack(qpdf["v"].to_numpy()).astype(np.float64)
-        rv = np.stack(rpdf["v"].to_numpy()).astype(np.float64)
-        qid = qpdf["id"].to_numpy()
-        rid = rpdf["id"].to_numpy()
-        whole_q, whole_r = np.isfinite(qv).all(axis=1), np.isfinite(rv).all(axis=1)  # others have no distance
-        qv, qid, rv, rid = qv[whole_q], qid[whole_q], rv[whole_r], rid[whole_r]
-        if not len(qid) or not len(rid):
-            return block_knn(qpdf[:0], rpdf[:0])
-        kk =min(k + (1 if exclude_self else 0), len(rid))
-        out_id, out_nn, out_d = [], [], []
-        q2, r2 = np.einsum("ij,ij->i", qv, qv), np.einsum("ij,ij->i", rv, rv)
-        step = max(1, CHUNK // len(rid))
-        piece = max(1, CHUNK // max(1, rv.shape[1]))
-        for s in range(0, len(qid), step):
-            near = q2[s:s + step, None] + r2[None, :] - 2 * (qv[s:s + step] @ rv.T)
-            # the product rounds: everything within its error of the kk-th stays a candidate
-            slack = 1e-9 * (q2[s:s + step] + r2.max())
-            bound = np.partition(near, kk - 1, axis=1)[:, kk - 1] + slack
-            qi, ri = np.nonzero(near <= bound[:, None])
-            d = np.concatenate([np.einsum("ij,ij->i", x, x) for x in (
-                qv[s + qi[a:a + piece]] - rv[ri[a:a + piece]] for a in range(0, len(qi), piece))])
-            if exclude_self:
-                other = qid[s + qi] != rid[ri]
-                qi, ri, d = qi[other], ri[other], d[other]
-            # order by (row, distance, neighbour id) and keep the first kk of each row
-            order = np.lexsort((rid[ri], d, qi))
-            qi, ri, d = qi[order], ri[order], d[order]
-            keep = (np.arange(len(qi)) - np.searchsorted(qi, qi)) < kk
-            out_id.append(qid[s + qi[keep]])
-            out_nn.append(rid[ri[keep]])
-            out_d.append(d[keep])
-        return pd.DataFrame({"id": np.concatenate(out_id).astype("int64"),
-                             "nn_id": np.concatenate(out_nn).astype("int64"),
-                             "dist": np.concatenate(out_d)})
-
-    part = (qx.groupBy("qb", "rb").cogroup(rx.groupBy("qb", "rb"))
-            .applyInPandas(block_knn, "id long, nn_id long, dist double"))
-    w = Window.partitionBy("id").orderBy("dist", "nn_id")  # <= nb * (k+1) rows per id
-    return (part.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k))
-
-
-def knn_lsh(df: DataFrame, id_col: str, vec_col: str, k: int, bucket_length: float = 2.0,
-            num_tables: int = 3, threshold: float = float("inf")) -> DataFrame:
-    """Approximate k-NN with random-projection LSH (opt-in for very large inputs;
-    recall depends on ``bucket_length``/``num_tables``)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    x = df.select(F.col(id_col).alias("id"), array_to_vector(F.col(vec_col).cast("array<double>")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=42).fit(x)
-    pairs = model.approxSimilarityJoin(x, x, threshold, "d").select(
-        F.col("datasetA.id").alias("id"), F.col("datasetB.id").alias("nn_id"), (F.col("d") ** 2).alias("dist"))
-    pairs = pairs.filter(F.col("id") != F.col("nn_id"))
-    w = Window.partitionBy("id").orderBy("dist", "nn_id")
-    return pairs.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
 
 
 def smote_oversample(df: DataFrame, id_col: str, vec_col: str, label_col: str, minority=1,
@@ -142,7 +36,7 @@ def smote_oversample(df: DataFrame, id_col: str, vec_col: str, label_col: str, m
         return df.select(id_col, vec_col, label_col)
     if n_min <= k:
         raise ValueError(f"SMOTE needs more than k={k} minority rows, got {n_min}")
-    mino = _as_double_array(df.filter(F.col(label_col) == minority).select(id_col, vec_col), vec_col)
+    mino = as_double_array(df.filter(F.col(label_col) == minority).select(id_col, vec_col), vec_col)
     checkpoint_dir(df.sparkSession)
     mino = mino.checkpoint()
     nn = knn(mino, id_col, vec_col, k).select(F.col("id").alias("base_id"), "nn_id", "nn_rank")
@@ -167,7 +61,7 @@ def smote_oversample(df: DataFrame, id_col: str, vec_col: str, label_col: str, m
 def smote_resample(df: DataFrame, id_col: str, vec_col: str, label_col: str, minority=1,
                    k: int = SMOTE_K, seed: int = 42) -> DataFrame:
     """Original rows plus SMOTE rows (id, vector, label)."""
-    orig = _as_double_array(df.select(id_col, vec_col, label_col), vec_col)
+    orig = as_double_array(df.select(id_col, vec_col, label_col), vec_col)
     syn = smote_oversample(df, id_col, vec_col, label_col, minority, k, seed)
     return orig.unionByName(syn.select(id_col, vec_col, label_col))
 

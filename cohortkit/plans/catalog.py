@@ -25,6 +25,7 @@ from cohortkit.operators import clean, profile
 from cohortkit.operators import evaluate as EV
 from cohortkit.operators import features as FE
 from cohortkit.operators import importance as IM
+from cohortkit.operators import neighbours as NB
 from cohortkit.operators import network as NN
 from cohortkit.operators import reduce as RD
 from cohortkit.operators import split as S
@@ -875,6 +876,18 @@ def q_knn(spark, sf_dir):
     return BA.knn(m, "id", "v", BA.SMOTE_K).select("id", "nn_id", "nn_rank")
 
 
+@register("knn_cells", "SELECT id, nn_id, nn_rank::INTEGER AS nn_rank FROM " + _knn_sql(_EMB_SQL, BA.SMOTE_K))
+def q_knn_cells(spark, sf_dir):
+    """Neighbours of all vectors, with cells of about 64 rows."""
+    return BA.knn(embeddings_binary(spark, sf_dir), "id", "v", BA.SMOTE_K, cell_rows=64).select("id", "nn_id", "nn_rank")
+
+
+@register("knn_work")
+def q_knn_work(spark, sf_dir):
+    """Share of the full comparison that cells of about 64 rows leave."""
+    return NB.knn_work(embeddings_binary(spark, sf_dir), "id", "v", 1, cell_rows=64)
+
+
 def _tomek_ctes(rel: str) -> str:
     """Every distance is computed once; ties of the nearest go to the smallest id."""
     return f"""d AS MATERIALIZED (SELECT a.id, b.id AS other, list_distance(a.v, b.v) AS dist

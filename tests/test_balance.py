@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cohortkit.operators import balance as BA
+from cohortkit.operators import neighbours as NB
 
 
 def _points(spark, n=60, d=4, seed=1):
@@ -36,6 +37,24 @@ def test_knn_does_not_depend_on_blocks_with_copies_and_bad_vectors(spark):
         (i, k + 1): j for i in range(90) for k, j in enumerate(np.lexsort((np.arange(90), d[i]))[:4])}
 
 
+def test_cells_prune_clustered_vectors_and_lose_no_neighbour(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 16)) * 10
+    x = np.vstack([centres[i % 20] + rng.normal(size=16) for i in range(1500)])
+    x[700:760] = x[3]  # copies of one vector
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, r + 1): j for i in range(len(x)) for r, j in enumerate(np.lexsort((np.arange(len(x)), d[i]))[:3])}
+    for cell_rows, block_rows in ((30, 50), (2, None), (10_000, 400)):
+        got = BA.knn(df, "id", "v", 3, cell_rows=cell_rows, block_rows=block_rows).collect()
+        assert {(r.id, r.nn_rank): r.nn_id for r in got} == want
+    assert NB.knn_work(df, "id", "v", 3, cell_rows=30).first()["share"] < 0.3
+    # queries apart from the references, also with fewer references than k
+    few = BA.knn(df.filter("id < 40"), "id", "v", 3, reference=df.filter("id in (1, 50)"), cell_rows=1).collect()
+    assert len(few) == 39 * 2 + 1 and BA.knn(df.limit(0), "id", "v", 3).count() == 0
+
+
 def test_smote_levels_classes_and_interpolates(spark):
     df, x, y = _points(spark)
     syn = BA.smote_oversample(df, "id", "v", "y", minority=1, k=5).collect()

@@ -2,7 +2,6 @@ import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from cohortkit.operators import balance as BA
 from cohortkit.operators import reduce as RD
 from cohortkit.operators import text as TX
 
@@ -40,11 +39,3 @@ def test_pca_shapes_centering_and_sign(spark):
     pc = model.stages[1].pc.toArray() * np.array(model.stages[2].getScalingVec().toArray())
     assert all(pc[np.argmax(np.abs(pc[:, j])), j] > 0 for j in range(3))  # sign rule
 
-
-def test_lsh_knn_option_runs(spark):
-    rng = np.random.default_rng(1)
-    rows = [(i, rng.normal(size=4).tolist()) for i in range(80)]
-    df = spark.createDataFrame(rows, "id long, v array<double>")
-    out = BA.knn_lsh(df, "id", "v", 3, bucket_length=4.0, num_tables=4)
-    got = out.groupBy("id").agg(F.max("nn_rank").alias("m")).collect()
-    assert got and all(r.m <= 3 for r in got)
