@@ -6,7 +6,8 @@ differs from the single-machine one the mapping is stated:
 DT   DecisionTreeClassifier(maxDepth 10, gini, maxBins 256); binned splits
 SVM  RBF kernel approximated by random Fourier features (Rahimi & Recht 2007)
      with gamma = 1 / (d * var X), then LinearSVC(regParam = 1 / (C n)); the
-     score is the decision value (no Platt scaling)
+     score is a probability, by a sigmoid on out-of-fold decision values
+     (``operators.calibration``), the class that of the decision value
 RF   RandomForestClassifier(numTrees 50 | 100, maxDepth 10 | 15, sqrt features)
 ANN  NetworkClassifier (``operators.network``) [d, 50, 1] | [d, 100, 50, 1]: ReLU
      units, L2 term, early stopping on a tenth of the rows; full-batch steps
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from cohortkit.operators.calibration import CalibratedClassifier
 from cohortkit.operators.evaluate import MODEL_ORDER
 from cohortkit.operators.network import NetworkClassifier
 
@@ -168,7 +170,7 @@ def make_model(name: str, n_features: int, n_rows: float, variant: str = "base",
                     maxIter=svm_max_iter, tol=tol or TOL["SVM"])
     if wcol:
         svc.setWeightCol(wcol)
-    return Pipeline(stages=[rff, svc])
+    return CalibratedClassifier(Pipeline(stages=[rff, svc]), label=label, seed=seed)
 
 
 def unconverged(fitted) -> list[str]:

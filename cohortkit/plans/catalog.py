@@ -30,6 +30,7 @@ from cohortkit.operators import network as NN
 from cohortkit.operators import reduce as RD
 from cohortkit.operators import split as S
 from cohortkit.operators import text as TX
+from cohortkit.operators.calibration import fit_sigmoid
 from cohortkit.operators.features import FEATURE_SETS
 from cohortkit.plans import oracle as O
 from cohortkit.plans.cohort import categorical_report, cohort_summary
@@ -1208,6 +1209,17 @@ def q_network_training(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, "epoch int, loss double, validation_accuracy double, kept boolean"))
 
 
+@register("sigmoid_calibration", O.rounded(O.sigmoid_sql(
+    "(SELECT embedding[1]::DOUBLE * 6 - embedding[2]::DOUBLE * 3 - 1 AS f, (label < 3)::INTEGER AS y FROM embeddings)"),
+    ["a", "b"]))
+def q_sigmoid_calibration(spark, sf_dir):
+    """The two parameters of the sigmoid for decision values of a fixed plane."""
+    v = F.col("embedding").cast("array<double>")
+    margins = table(spark, sf_dir, "embeddings").select((v[0] * 6 - v[1] * 3 - 1).alias("margin"),
+                                                        (F.col("label") < 3).cast("int").alias("label"))
+    return rounded(spark.createDataFrame([fit_sigmoid(margins)], "a double, b double"))
+
+
 @register("batch_score")
 def q_batch_score(spark, sf_dir):
     """Fit, save, load and score: the loaded pipeline must reproduce the scores."""

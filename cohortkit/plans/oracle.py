@@ -205,3 +205,17 @@ def logistic_ctes(study: str, features, folds: int, steps: int = 10) -> str:
         "ON (t.split = 'train' AND t.fold = fits.fit) OR (t.split = 'test' AND fits.fit = -1) "
         f"JOIN sc ON sc.fit = fits.fit) JOIN fitted USING (fit))")
     return ", ".join(ctes)
+
+
+def sigmoid_sql(margins: str, steps: int = 12) -> str:
+    """Rows (a, b) of the sigmoid fitted on `margins` (f, y) by Newton steps in one recursive body."""
+    return f"""WITH RECURSIVE m AS MATERIALIZED (SELECT f, CASE WHEN y = 1 THEN (n1 + 1.0) / (n1 + 2.0) ELSE 1.0 / (n0 + 2.0) END AS t, n0, n1
+        FROM (SELECT f, y, sum((y = 1)::INTEGER) OVER ()::DOUBLE AS n1, sum((y <> 1)::INTEGER) OVER ()::DOUBLE AS n0 FROM {margins})),
+      s AS (SELECT 0 AS step, 0.0::DOUBLE AS a, ln((max(n0) + 1) / (max(n1) + 1)) AS b FROM m
+        UNION ALL
+        SELECT step + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+        FROM (SELECT step, a, b, avg(f * (t - p)) AS ga, avg(t - p) AS gb, avg(f * f * p * (1 - p)) AS haa,
+                     avg(f * p * (1 - p)) AS hab, avg(p * (1 - p)) AS hbb
+              FROM (SELECT step, a, b, f, t, 1 / (1 + exp(a * f + b)) AS p FROM m CROSS JOIN s WHERE step < {steps})
+              GROUP BY step, a, b))
+      SELECT a, b FROM s WHERE step = {steps}"""
