@@ -9,11 +9,6 @@ def sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
 
 
-def logit(p):
-    p = np.clip(p, 1e-9, 1 - 1e-9)
-    return np.log(p / (1 - p))
-
-
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
     """Weights and, last, the intercept: penalised Newton steps; the intercept has no penalty.
 
@@ -39,3 +34,58 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 
 def predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return sigmoid(x @ w[:-1] + w[-1])
+
+
+class SparseRows:
+    """Rows of zeros and ones by their (row, column) places, and a few dense columns behind them."""
+
+    def __init__(self, n: int, width: int, row: np.ndarray, column: np.ndarray, dense: np.ndarray | None = None):
+        self.n, self.width, self.row, self.column = n, width, row, column
+        self.dense = np.empty((n, 0)) if dense is None else dense
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        """Margins for weights of the places, the dense columns and, last, an intercept."""
+        sums = np.bincount(self.row, weights=w[self.column], minlength=self.n) if len(self.row) else np.zeros(self.n)
+        return sums + self.dense @ w[self.width:-1] + w[-1]
+
+    def back(self, u: np.ndarray) -> np.ndarray:
+        """The transpose of `dot` applied to u."""
+        sums = np.bincount(self.column, weights=u[self.row], minlength=self.width) if len(self.row) else np.zeros(self.width)
+        return np.concatenate([sums, self.dense.T @ u, [u.sum()]])
+
+    def part(self, rows: np.ndarray) -> SparseRows:
+        keep = rows[self.row]
+        place = np.cumsum(rows) - 1
+        return SparseRows(int(rows.sum()), self.width, place[self.row[keep]], self.column[keep], self.dense[rows])
+
+    def with_column(self, values: np.ndarray) -> SparseRows:
+        return SparseRows(self.n, self.width, self.row, self.column, np.column_stack([self.dense, values]))
+
+
+def fit_sparse_logistic(x: SparseRows, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
+    """The weights of `fit_logistic`; each Newton step is solved by conjugate gradients, so no matrix is formed."""
+    w = np.zeros(x.width + x.dense.shape[1] + 1)
+    rate = (y.sum() + 0.5) / (x.n + 1)
+    w[-1] = np.log(rate / (1 - rate))
+    if not 0 < y.sum() < x.n:
+        return w
+    penalty = np.append(np.full(len(w) - 1, ridge), 1e-8)
+    for _ in range(steps):
+        p = sigmoid(x.dot(w))
+        v = np.maximum(p * (1 - p), 1e-6)
+        gradient = x.back(p - y) + penalty * w
+        move, rest = np.zeros(len(w)), gradient.copy()
+        way, left = rest.copy(), float(rest @ rest)
+        for _ in range(10 * len(w)):
+            if left <= 1e-20 * max(1.0, float(gradient @ gradient)):
+                break
+            turned = x.back(v * x.dot(way)) + penalty * way
+            length = left / float(way @ turned)
+            move += length * way
+            rest -= length * turned
+            left, before = float(rest @ rest), left
+            way = rest + left / before * way
+        w = w - move
+        if np.abs(move).max() < 1e-4:
+            break
+    return w

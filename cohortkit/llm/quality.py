@@ -3,15 +3,18 @@
 Two views of a document: the text (what its words and characters are like) and
 the page metadata (declared language, source and length, and the layout of its
 lines). A logistic model per view starts from labelled rows. In every round
-each view labels the unlabelled rows it is sure of, as many good as bad up to a
-bound, and the other view trains on them too. Labelled rows kept out of the
-training calibrate the two views' log-odds, and one model over both gives the
-probability of good quality. All documents are scored where they lie.
-
-The labelled and the unlabelled sample hold at most `max_train` rows each,
-drawn by hash of the id. A null text reads as empty; null metadata is a value
-of its own. Conflicting labels of one id count by majority. With labels of one
-kind only, or none, every document is kept.
+both views score all unlabelled rows of the corpus; each hands the rows it is
+most sure of, as many good as bad up to `per_round`, to the other view, which
+trains on them too. Labelled rows kept out of the training calibrate the two
+views' log-odds, and one model over both gives the probability of good quality.
+All documents are scored where they lie.
+
+At most `max_train` labelled ids, drawn by hash, are trained on; one row of an
+id that repeats stands for it, the first by a hash of its content. Means and
+scales, and the rows that views exchange, come from all documents. A null text
+reads as empty; null metadata is a value of its own. Conflicting labels of one id
+count by majority. With labels of one kind only, or none, every document is kept.
+Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -24,10 +27,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.llm.linear import fit_logistic, predict
+from cohortkit.llm.common import stage
+from cohortkit.llm.linear import fit_logistic
 
 MAX_TRAIN = 10_000
 ROUNDS, PER_ROUND, SURE = 5, 400, 0.95
@@ -73,6 +79,15 @@ def features(text: Column, n_chars: Column, lang: Column, source: Column) -> Col
     return views(text, n_chars, lang, source)
 
 
+def _log_odds(views: Column, weights: np.ndarray, first: int, mean: np.ndarray, scale: np.ndarray) -> Column:
+    """Log-odds of the model of one view, whose features begin at `first`."""
+    part = slice(first, first + len(weights) - 1)
+    w = weights[:-1] / scale[part]
+    b = float(weights[-1] - (w * mean[part]).sum())
+    terms = F.zip_with(F.slice(views, first + 1, len(w)), F.array(*[F.lit(float(v)) for v in w]), lambda x, y: x * y)
+    return F.aggregate(terms, F.lit(b), lambda acc, t: acc + t)
+
+
 @dataclass(frozen=True)
 class CoTrained:
     """Standardisation, the two view models, and the combination of their log-odds."""
@@ -84,11 +99,7 @@ class CoTrained:
     both: np.ndarray
 
     def _dot(self, views: Column, weights: np.ndarray, first: int) -> Column:
-        part = slice(first, first + len(weights) - 1)
-        w = weights[:-1] / self.scale[part]
-        b = float(weights[-1] - (w * self.mean[part]).sum())
-        terms = F.zip_with(F.slice(views, first + 1, len(w)), F.array(*[F.lit(float(v)) for v in w]), lambda x, y: x * y)
-        z = F.aggregate(terms, F.lit(b), lambda acc, t: acc + t)
+        z = _log_odds(views, weights, first, self.mean, self.scale)
         return F.greatest(F.lit(-MOST_ODDS), F.least(F.lit(MOST_ODDS), z))
 
     def score(self, views: Column) -> Column:
@@ -101,48 +112,58 @@ class CoTrained:
 
 
 
-def fit_cotraining(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id",
-                   text_col: str = "text", label_col: str = "quality") -> CoTrained:
-    known = (labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("y")).dropna()
-             .groupBy("_id").agg(F.avg("y").alias("y")))
-    h = F.xxhash64("_id")
-    ids = docs.select(F.col(id_col).alias("_id")).dropna()
-    some = (known.orderBy(h, "_id").limit(max_train)
-            .unionByName(ids.join(known, "_id", "left_anti").orderBy(h, "_id").limit(max_train)
-                         .withColumn("y", F.lit(None).cast("double"))))
+def fit_cotraining(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, rounds: int = ROUNDS,
+                   per_round: int = PER_ROUND, id_col: str = "doc_id", text_col: str = "text",
+                   label_col: str = "quality") -> CoTrained:
+    known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).dropna()
+             .groupBy("id").agg(F.avg("y").alias("y")))
     view = features(F.col(text_col), F.col("n_chars"), F.col("lang"), F.col("source"))
-    rows = (docs.withColumnRenamed(id_col, "_id").select("_id", text_col, "n_chars", "lang", "source")
-            .join(F.broadcast(some), "_id")  # at most 2 x max_train rows
-            .select("_id", "y", view.alias("views")).toPandas().sort_values("_id", kind="stable"))
+    rows = stage(docs.select(F.col(id_col).alias("id"), view.alias("views")), "quality-views")
+    # one row an id, so that at most max_train rows reach the driver
+    some = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(max_train))
+    chosen = (rows.join(some, "id").groupBy("id").agg(F.min_by("views", F.struct(F.xxhash64("views"), "views")).alias("views"),
+                                                      F.first("y").alias("y")).toPandas().sort_values("id", kind="stable"))
     width = TEXT_FEATURES + META_FEATURES
-    x = np.array(rows["views"].tolist(), float).reshape(len(rows), width)
-    y = rows["y"].to_numpy(float)
-    given = ~np.isnan(y)
-    good = (y >= 0.5).astype(float)
-    if len(set(good[given])) < 2:
+    x = np.array(chosen["views"].tolist(), float).reshape(len(chosen), width)
+    good = (chosen["y"].to_numpy(float) >= 0.5).astype(float)
+    if len(set(good)) < 2:
         always = np.zeros(TEXT_FEATURES + 1), np.zeros(META_FEATURES + 1)
         return CoTrained(np.zeros(width), np.ones(width), *always, np.array([0.0, 0.0, MOST_ODDS]))
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    moments = rows.select(Summarizer.metrics("mean", "std").summary(array_to_vector("views")).alias("s")).first()["s"]
+    mean, scale = moments["mean"].toArray(), np.maximum(moments["std"].toArray(), 1e-6)
     x = (x - mean) / scale
-    turn = np.cumsum(given)
-    train, calibrate, pool = given & (turn % 4 != 0), given & (turn % 4 == 0), ~given
-    parts = (x[:, :TEXT_FEATURES], x[:, TEXT_FEATURES:])
-    pseudo = [np.full(len(x), np.nan), np.full(len(x), np.nan)]  # what the other view has said
+    turn = np.arange(1, len(x) + 1)
+    train, calibrate = turn % 4 != 0, turn % 4 == 0
+    spans = (slice(0, TEXT_FEATURES), slice(TEXT_FEATURES, width))
+    parts = [x[:, s] for s in spans]
+    # unlabelled rows, and what either view has been told of them: {row: (features, label)}
+    pool = rows.join(known.select("id"), "id", "left_anti").withColumn("row", F.xxhash64("id", "views"))
+    told: list[dict] = [{}, {}]
 
     def fit(v: int) -> np.ndarray:
-        use = train | ~np.isnan(pseudo[v])
-        return fit_logistic(parts[v][use], np.where(train, good, pseudo[v])[use])
+        extra = np.array([f[spans[v]] for f, _ in told[v].values()], float).reshape(-1, parts[v].shape[1])
+        return fit_logistic(np.vstack([parts[v][train], (extra - mean[spans[v]]) / scale[spans[v]]]),
+                            np.append(good[train], [label for _, label in told[v].values()]))
 
     models = [fit(0), fit(1)]
-    for _ in range(ROUNDS):
+    sure = math.log(SURE / (1 - SURE))
+    for _ in range(rounds):
+        # the surest rows of every view and side, enough to pass over those told before: one scan
+        asks = []
+        for v in (0, 1):
+            z = _log_odds(F.col("views"), models[v], spans[v].start, mean, scale)
+            for sign in (1, -1):
+                asks.append(pool.select(F.lit(v).alias("view"), F.lit(sign).alias("sign"), (z * sign).alias("z"), "row", "views")
+                            .filter(F.col("z") >= sure).orderBy(F.desc("z"), "row").limit(per_round + len(told[1 - v])))
+        found = asks[0].union(asks[1]).union(asks[2]).union(asks[3]).collect()
         for v in (0, 1):
-            p = predict(parts[v], models[v])
-            free = np.flatnonzero(pool & np.isnan(pseudo[1 - v]))
-            sure_good = free[p[free] >= SURE]
-            sure_bad = free[p[free] <= 1 - SURE]
-            take = min(PER_ROUND, len(sure_good), len(sure_bad))
-            pseudo[1 - v][sure_good[np.argsort(-p[sure_good], kind="stable")[:take]]] = 1.0
-            pseudo[1 - v][sure_bad[np.argsort(p[sure_bad], kind="stable")[:take]]] = 0.0
+            new = {sign: [r for r in sorted((r for r in found if r["view"] == v and r["sign"] == sign),
+                                            key=lambda r: (-r["z"], r["row"])) if r["row"] not in told[1 - v]]
+                   for sign in (1, -1)}
+            new = {sign: list({r["row"]: r for r in of}.values()) for sign, of in new.items()}  # equal rows once
+            take = min(per_round, len(new[1]), len(new[-1]))
+            for sign, label in ((1, 1.0), (-1, 0.0)):
+                told[1 - v].update({r["row"]: (np.array(r["views"], float), label) for r in new[sign][:take]})
         models = [fit(0), fit(1)]
     # each view's log-odds are calibrated on rows that neither view trained on, then combined
     scaled = []

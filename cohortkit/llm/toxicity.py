@@ -5,10 +5,11 @@ reads the term features and the probabilities of all earlier categories; in
 training those are out-of-fold predictions, so a later model sees earlier
 probabilities as uncertain as they are on new text.
 
-Features are the presence of words and word beginnings (4 and 5 letters), of
-which each category keeps the ones that its labels bear out (score test). The
-models are fitted on at most `max_train` labelled rows, drawn by hash of the
-id. Every whole text is scored.
+Features are the presence of words and word beginnings (4 and 5 letters); all that
+the labels of a category bear out (score test) are kept, however many, as sparse
+rows. The models are fitted on at most `max_train` labelled ids, drawn by hash; one
+row of an id that repeats stands for it, the first by a hash of its text. Every
+whole text is scored.
 
 A null or empty text has no features and gets the base rates. Labels that are
 null or belong to no document are not used; conflicting labels of one id count
@@ -27,11 +28,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.llm.linear import fit_logistic, predict
+from cohortkit.llm.linear import SparseRows, fit_sparse_logistic, sigmoid
 
 MAX_TRAIN = 12_000
 BUCKETS = 1 << 20
-TERMS_PER_CATEGORY = 100
 MIN_SCORE = 4.5
 MIN_DOCS = 5
 FOLDS = 3
@@ -54,7 +54,7 @@ class Chain:
 
     def score(self, texts: pd.Series) -> np.ndarray:
         """Probabilities of all categories, one row per text."""
-        x = np.zeros((len(texts), len(self.columns)))
+        rows, columns = [], []
         memo: dict[str, tuple[int, ...]] = {}
         for r, text in enumerate(texts):
             for word in set(_WORD.findall(text.lower())) if text else ():
@@ -63,11 +63,14 @@ class Chain:
                     if len(memo) >= MEMO:
                         memo.clear()
                     hit = memo[word] = tuple(self.columns[b] for b in term_buckets(word) if b in self.columns)
-                if hit:
-                    x[r, list(hit)] = 1.0
+                rows += [r] * len(hit)
+                columns += hit
+        # a bucket of two words of a text counts once
+        pairs = np.unique(np.array([rows, columns], np.int64).reshape(2, -1), axis=1)
+        x = SparseRows(len(texts), len(self.columns), *pairs)
         for w in self.weights:
-            x = np.column_stack([x, predict(x, w)])
-        return x[:, len(self.columns):]
+            x = x.with_column(sigmoid(x.dot(w)))
+        return x.dense
 
 
 def _sample(docs: DataFrame, labels: DataFrame, names: Sequence[str], max_train: int, id_col: str, text_col: str):
@@ -80,7 +83,9 @@ def _sample(docs: DataFrame, labels: DataFrame, names: Sequence[str], max_train:
         return texts.map(lambda t: sorted({b for w in set(_WORD.findall(t.lower())) for b in term_buckets(w)}) if t else [])
 
     rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-            .join(F.broadcast(some), "_id")  # at most max_train rows
+            .join(F.broadcast(some), "_id")  # at most max_train ids, one row each
+            .groupBy("_id").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text"),
+                                *[F.first(n).alias(n) for n in names])
             .select("_id", buckets("_text").alias("terms"), *names).toArrow().sort_by("_id"))
     terms = rows.column("terms").combine_chunks()
     flat = terms.flatten().to_numpy(zero_copy_only=False)
@@ -103,23 +108,21 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
         with_both = np.bincount(flat, weights=y[row, k], minlength=BUCKETS)
         spread = np.sqrt(np.maximum(docs_with * rate * (1 - rate), 1e-12))
         z = np.where(docs_with >= MIN_DOCS, (with_both - docs_with * rate) / spread, 0)
-        order = np.argsort(-np.abs(z), kind="stable")[:TERMS_PER_CATEGORY]
-        chosen |= {int(b) for b in order if abs(z[b]) >= MIN_SCORE}
+        chosen |= set(np.flatnonzero(np.abs(z) >= MIN_SCORE).tolist())
     columns = {b: i for i, b in enumerate(sorted(chosen))}
     place = np.full(BUCKETS, -1)
     place[list(columns)] = list(columns.values())
-    x = np.zeros((n, len(columns)))
     on = place[flat] >= 0
-    x[row[on], place[flat][on]] = 1.0
+    x = SparseRows(n, len(columns), row[on], place[flat][on])
 
     weights, fold = [], np.arange(n) % FOLDS
     for k in range(len(names)):
         held = np.zeros(n)
         for f in range(FOLDS):
             if (fold == f).any() and (fold != f).any():
-                held[fold == f] = predict(x[fold == f], fit_logistic(x[fold != f], y[fold != f, k], RIDGE))
-        weights.append(fit_logistic(x, y[:, k], RIDGE))
-        x = np.column_stack([x, held])
+                held[fold == f] = sigmoid(x.part(fold == f).dot(fit_sparse_logistic(x.part(fold != f), y[fold != f, k], RIDGE)))
+        weights.append(fit_sparse_logistic(x, y[:, k], RIDGE))
+        x = x.with_column(held)
     return Chain(names, columns, tuple(weights))
 
 
