@@ -8,7 +8,10 @@ against. Texts never move through a shuffle.
 
 Equal: identical after replacing each run of white space by one space. A null
 text counts as empty. Rows with the same id are one document for keep_id; each
-counts in group_size.
+counts in group_size. A row without id stays only where no equal text has an id;
+such rows all stay, as no id tells them apart (a caller who must keep one of them
+passes a key of its own as id_col, of any type that has an order). Texts of any
+length are read whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
