@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+
 import corpus_pipeline as P
 from cohortkit.llm.quality import fit_cotraining, score_quality
 
@@ -123,7 +124,7 @@ def test_run(spark, tmp_path, monkeypatch):
 def labelled(rnd, n):
     rows, labels = [], []
     for i in range(n):
-        good = i // 2 % 2 if i % 3 else i % 2
+        good = int(rnd.random() < 0.5)
         text = prose(rnd, 40).capitalize() + "." if good else "!!! BUY | NOW | " * 12
         rows.append((i, text))
         labels.append((i, good))
