@@ -1,19 +1,27 @@
 """Tests of association between each variable and the binary outcome.
 
 Sufficient statistics are Spark aggregates (per-group count/mean/variance for
-Welch; value x label counts for chi-square and Fisher). Only the final tail
-probability is evaluated in an Arrow UDF, on a table of at most one row per
-variable.
+Welch; value x label counts for chi-square and Fisher). Tail probabilities are
+evaluated last, on one row per variable.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
+from cohortkit.functions.columns import qcol
 from cohortkit.functions.formatting import significance_stars
-from cohortkit.functions.special import chi2_sf_udf, fisher_udf, t_two_sided_udf
+from cohortkit.functions.special import (chi2_sf, chi2_sf_udf, fisher_two_sided, fisher_udf, t_two_sided,
+                                         t_two_sided_udf)
 from cohortkit.operators.profile import ALL_GROUP, describe_by_group, long_values  # noqa: F401
+from cohortkit.session import checkpoint_dir
 from cohortkit.spec import CATEGORICAL_MAX_DISTINCT, CohortSpec
 
 TEST_T = "t-test"
@@ -128,21 +136,81 @@ def welch_t_test(df: DataFrame, spec: CohortSpec, variables=None) -> DataFrame:
 
 PROFILE_SCHEMA = ("grp string, variable string, min double, max double, mean double, std double, "
                   "count bigint, missing bigint, missing_ratio double")
+SCREEN_SCHEMA = "variable string, p_value double, test_type string, significant boolean, significance_level string"
+
+
+def local_profile(df: DataFrame, spec: CohortSpec, variables=None) -> DataFrame:
+    """The grouped profile as a small local table: 3 x p rows reach the driver, and no later use scans again."""
+    rows = describe_by_group(df, spec, variables).collect()
+    return df.sparkSession.createDataFrame([tuple(r) for r in rows], PROFILE_SCHEMA)
 
 
-def profile_and_distinct(df: DataFrame, spec: CohortSpec, variables=None):
-    """One scan: the grouped profile (as a small local table) and the
-    approximate distinct count of every variable. Only the profile's
-    3 x p rows reach the driver."""
-    from cohortkit.operators.profile import describe_with_distinct
-    rows = describe_with_distinct(df, spec, variables).collect()
-    approx = {r["variable"]: r["approx_distinct"] for r in rows if r["grp"] == ALL_GROUP}
-    prof = df.sparkSession.createDataFrame([tuple(r)[:-1] for r in rows], PROFILE_SCHEMA)
-    return prof, approx
+def small_tables(df: DataFrame, spec: CohortSpec, variables, limit: int = CATEGORICAL_MAX_DISTINCT) -> dict:
+    """{variable: {(value, label): n}} of variables with at most ``limit`` distinct values, exact; None for others.
+
+    One scan. A task counts a variable's (value, label) cells until it has seen
+    more than ``limit`` values, then says so and counts it no further; so at most
+    (limit + 1) values a variable leave a task, however many there are. Labels other
+    than the two outcomes are one label, None; they count as values, not in tests.
+    """
+    variables = list(variables)
+    outcome = F.when(qcol(spec.label).isin(spec.positive, spec.negative), qcol(spec.label).cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: dict = {i: Counter() for i in range(len(variables))}
+        wide = set()
+        for batch in batches:
+            for i in [i for i in cells if i not in wide]:
+                pairs = pa.table([batch.column(i + 1), batch.column(0)], names=["value", "label"])
+                pairs = pairs.filter(pc.is_valid(pairs.column("value")))
+                for r in pairs.group_by(["value", "label"]).aggregate([([], "count_all")]).slice(0, 3 * limit + 4).to_pylist():
+                    cells[i][str(r["value"]), r["label"]] += r["count_all"]
+                if len({v for v, _ in cells[i]}) > limit:
+                    wide.add(i)
+                    cells[i].clear()
+        rows = [(i, None, None, 0) for i in wide] + [(i, v, g, n) for i, of in cells.items() for (v, g), n in of.items()]
+        yield pa.RecordBatch.from_pylist([dict(zip(("ord", "value", "label", "n"), r)) for r in rows], pa.schema(
+            [("ord", pa.int32()), ("value", pa.string()), ("label", pa.string()), ("n", pa.int64())]))
+
+    checkpoint_dir(df.sparkSession)
+    # numbers travel as they are; only a table's few values become text, and only to be told apart
+    plain = [qcol(c) if isinstance(df.schema[c].dataType, (NumericType, StringType)) else qcol(c).cast("string") for c in variables]
+    counted = df.select(outcome.alias("label"), *[x.alias(f"v{i}") for i, x in enumerate(plain)])
+    merged = (counted.mapInArrow(run, "ord int, value string, label string, n bigint")
+              .groupBy("ord", "value", "label").agg(F.sum("n").alias("n")).checkpoint())
+    # a marker has no value; tables of several tasks can pass the limit together
+    sizes = merged.groupBy("ord").agg(F.count_if(F.col("value").isNull()).alias("wide"), F.count_distinct("value").alias("k"))
+    small = [r["ord"] for r in sizes.collect() if not r["wide"] and r["k"] <= limit]
+    kept = {variables[i]: {} for i in small}
+    for r in merged.filter(F.col("ord").isin(small)).collect() if small else []:  # at most 3 x limit cells a variable
+        kept[variables[r["ord"]]][r["value"], r["label"]] = r["n"]
+    return kept
+
+
+def contingency_test(cells: dict) -> tuple[float, str] | None:
+    """(p, test) of one small table {(value, label): n}: Fisher for a 2 x 2 table with a cell below 5, else chi-square."""
+    cells = {at: n for at, n in cells.items() if at[1] is not None}
+    if not cells:
+        return None
+    values, labels = sorted({v for v, _ in cells}), sorted({g for _, g in cells})
+    full = [[cells.get((v, g), 0) for g in labels] for v in values]
+    n = float(sum(map(sum, full)))
+    rows, columns = [sum(r) for r in full], [sum(c) for c in zip(*full)]
+    dof = (len(values) - 1) * (len(labels) - 1)
+    if len(values) == len(labels) == 2 and min(map(min, full)) < FISHER_MIN_CELL:
+        return fisher_two_sided(*full[0], *full[1]), TEST_FISHER
+    if dof == 0:
+        statistic = 0.0
+    elif dof == 1:
+        off = abs(full[0][0] - rows[0] * columns[0] / n)
+        statistic = max(off - 0.5, 0.0) ** 2 * n**3 / (float(rows[0]) * rows[1] * columns[0] * columns[1])
+    else:
+        statistic = sum(float(x) * x / (r * c / n) for row, r in zip(full, rows) for x, c in zip(row, columns)) - n
+    return chi2_sf(max(statistic, 0.0), float(dof)), TEST_CHI2
 
 
 def association_screen(df: DataFrame, spec: CohortSpec, alpha: float = 0.05, variables=None,
-                       profile: DataFrame | None = None, approx_distinct: dict | None = None) -> DataFrame:
+                       profile: DataFrame | None = None) -> DataFrame:
     """Test every structured variable and rank by p (NULLs last, then name).
 
     Dispatch: forced-categorical or 2..10 distinct values -> contingency test
@@ -150,65 +218,44 @@ def association_screen(df: DataFrame, spec: CohortSpec, alpha: float = 0.05, var
     chi-square); other numeric columns -> Welch t-test; remaining columns ->
     chi-square. Variables without any value are skipped.
 
-    Scans: the grouped profile, which also carries mergeable HyperLogLog
-    sketches (skipped when ``profile`` and ``approx_distinct`` are given), and
-    one grouped (variable, value, label) count for the low-cardinality /
-    non-numeric candidates, which also yields their exact distinct counts.
-    Only per-variable numbers reach the driver.
+    Scans: the grouped profile (skipped when ``profile`` is given), and
+    ``small_tables``, which tells exactly which variables have few values and
+    holds their counts. Variables with many values that are categorical all the
+    same are counted and tested as Spark aggregates. Per-variable numbers and the
+    cells of small tables reach the driver.
     Schema: variable, p_value, test_type, significant, significance_level.
     """
-    from pyspark.sql.types import NumericType
     variables = list(variables or spec.variables)
-    limit = 2 * CATEGORICAL_MAX_DISTINCT
-    if profile is None or approx_distinct is None:
-        prof_local, approx = profile_and_distinct(df, spec, variables)
-        profile = profile if profile is not None else prof_local
-    else:
-        approx = approx_distinct
-    present_rows = profile.filter((F.col("grp") == ALL_GROUP) & (F.col("count") > 0)).select("variable").collect()
-    present = {r["variable"] for r in present_rows}  # one row per variable
+    spark = df.sparkSession
+    if profile is None:
+        profile = local_profile(df, spec, variables)
+    by_group: dict = {}
+    for r in profile.collect():  # three rows a variable
+        by_group.setdefault(r["variable"], {})[r["grp"]] = r
+    present = [v for v in variables if v in by_group and ALL_GROUP in by_group[v] and by_group[v][ALL_GROUP]["count"] > 0]
     numeric = {v for v in variables if isinstance(df.schema[v].dataType, NumericType)}
-    forced = set(spec.categorical)
-    candidates = [v for v in variables if v in present and
-                  (v in forced or v not in numeric or (approx.get(v) or 0) <= 2 * limit)]
-    kinds = {v: "numeric" for v in present if v not in candidates}
-    cont = None
-    if candidates:
-        lv = long_values(df, candidates, extra=(spec.label,))
-        cont_all = lv.groupBy("variable", "value", F.col(spec.label).alias("label")) \
-            .agg(F.count(F.lit(1)).cast("bigint").alias("n")).cache()  # bounded by candidate values x labels
-        nd = {r["variable"]: r["k"] for r in cont_all.groupBy("variable")
-              .agg(F.count_distinct("value").alias("k")).collect()}  # one row per candidate
-        for v in candidates:
-            k = nd.get(v, 0)
-            if v in forced or 2 <= k <= CATEGORICAL_MAX_DISTINCT:
-                kinds[v] = "categorical"
-            else:
-                kinds[v] = "numeric" if v in numeric else "other"
-        cont = cont_all.filter(F.col("label").isin(spec.positive, spec.negative))
-    t_vars = [v for v in variables if kinds.get(v) == "numeric"]
-    c_vars = [v for v in variables if kinds.get(v) in ("categorical", "other")]
-    parts = []
-    if t_vars:
-        w = welch_from_profile(profile.filter(F.col("variable").isin(t_vars)), spec)
-        parts.append(w.select("variable", "p_value", F.lit(TEST_T).alias("test_type")))
-    if c_vars:
-        shape = _table_shape(cont.filter(F.col("variable").isin(c_vars)))
+    tables = small_tables(df, spec, present) if present else {}
+    found, wide = [], []
+    for v in present:
+        few = v in tables and (v in spec.categorical or len({x for x, _ in tables[v]}) >= 2)
+        if few or (v in tables and v not in numeric):
+            test = contingency_test(tables[v])
+            if test is not None:
+                found.append((v, *test))
+        elif v in spec.categorical or v not in numeric:
+            wide.append(v)
+        else:
+            found.append((v, _welch_p(by_group[v].get(spec.positive), by_group[v].get(spec.negative)), TEST_T))
+    res = spark.createDataFrame(found, "variable string, p_value double, test_type string")
+    if wide:
+        shape = _table_shape(contingency(df.filter(qcol(spec.label).isin(spec.positive, spec.negative)), spec, wide))
         use_fisher = (F.col("min_cell") < FISHER_MIN_CELL) & (F.col("r") == 2) & (F.col("c") == 2)
-        tested = shape.select(
-            "variable",
-            F.when(use_fisher, fisher_udf(F.col("a").cast("double"), F.col("b").cast("double"),
-                                          F.col("c_").cast("double"), F.col("d").cast("double")))
-             .otherwise(chi2_sf_udf(F.col("statistic"), F.col("dof").cast("double"))).alias("p_value"),
-            F.when(use_fisher, F.lit(TEST_FISHER)).otherwise(F.lit(TEST_CHI2)).alias("test_type"))
-        parts.append(tested)
-    spark = df.sparkSession
-    if not parts:
-        return spark.createDataFrame([], "variable string, p_value double, test_type string, "
-                                         "significant boolean, significance_level string")
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
+        # Python UDFs run for every row whatever the condition around them: rows not asked for get no input
+        exact = [F.when(use_fisher, F.col(c).cast("double")) for c in ("a", "b", "c_", "d")]
+        usual = F.when(~use_fisher, F.col("statistic"))
+        res = res.unionByName(shape.select(
+            "variable", F.when(use_fisher, fisher_udf(*exact)).otherwise(chi2_sf_udf(usual, F.col("dof").cast("double"))).alias("p_value"),
+            F.when(use_fisher, TEST_FISHER).otherwise(TEST_CHI2).alias("test_type")))
     p = F.col("p_value")
     return (res.select("variable", p.alias("p_value"), "test_type",
                        F.coalesce(p < alpha, F.lit(False)).alias("significant"),
@@ -216,6 +263,17 @@ def association_screen(df: DataFrame, spec: CohortSpec, alpha: float = 0.05, var
             .orderBy(p.asc_nulls_last(), "variable"))
 
 
+def _welch_p(one, other) -> float | None:
+    """Welch's p from two profile rows; None when a group is empty or a variance undefined."""
+    if one is None or other is None or not one["count"] or not other["count"] or None in (one["std"], other["std"]):
+        return None
+    v1, v2 = one["std"] ** 2 / one["count"], other["std"] ** 2 / other["count"]
+    if v1 + v2 <= 0:
+        return None
+    parts = sum(v * v / (r["count"] - 1) for v, r in ((v1, one), (v2, other)) if r["count"] > 1)
+    return t_two_sided((one["mean"] - other["mean"]) / (v1 + v2) ** 0.5, (v1 + v2) ** 2 / parts) if parts > 0 else None
+
+
 def significant_variables(screen: DataFrame) -> DataFrame:
     """The significant rows of a screen, by p."""
     return screen.filter("significant").select("variable", "p_value", "significance_level", "test_type") \

@@ -3,7 +3,8 @@
 Base / optimised hyper-parameters follow the study; where Spark's estimator
 differs from the single-machine one the mapping is stated:
 
-DT   DecisionTreeClassifier(maxDepth 10, gini, maxBins 256); binned splits
+DT   DecisionTreeClassifier(maxDepth 10, gini, maxBins 256); binned splits, or with
+     exact_trees ExactTreeClassifier: all distinct values, no bins
 SVM  RBF kernel approximated by random Fourier features (Rahimi & Recht 2007)
      with gamma = 1 / (d * var X), then LinearSVC(regParam = 1 / (C n)); the
      score is a probability, by a sigmoid on out-of-fold decision values
@@ -37,6 +38,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from cohortkit.operators.calibration import CalibratedClassifier
 from cohortkit.operators.evaluate import MODEL_ORDER
+from cohortkit.operators.exact_tree import ExactTreeClassifier
 from cohortkit.operators.network import NetworkClassifier
 
 # Hyper-parameters of the base and the optimised study.
@@ -129,7 +131,8 @@ class RandomFourierFeatures(Estimator, _RFFParams, DefaultParamsReadable, Defaul
 
 def make_model(name: str, n_features: int, n_rows: float, variant: str = "base", seed: int = 42,
                features: str = "features", label: str = "label", weight: str | None = "weight",
-               tol: float | None = None, svm_max_iter: int = SVM_MAX_ITER, rff_components: int = RFF_COMPONENTS):
+               tol: float | None = None, svm_max_iter: int = SVM_MAX_ITER, rff_components: int = RFF_COMPONENTS,
+               exact_trees: bool = False):
     """Estimator for one family; ``weight`` is used only where the optimised
     study asks for balanced class weights (and the estimator supports it).
     ``tol`` replaces the family's stopping tolerance."""
@@ -138,6 +141,8 @@ def make_model(name: str, n_features: int, n_rows: float, variant: str = "base",
     hp = (OPTIMISED if variant == "optimised" else BASE)[name]
     wcol = weight if (hp.get("balanced") and weight) else None
     common = {"featuresCol": features, "labelCol": label}
+    if name == "DT" and exact_trees:
+        return ExactTreeClassifier(maxDepth=hp["max_depth"], weightCol=wcol, **common)
     if name == "DT":
         est = DecisionTreeClassifier(maxDepth=hp["max_depth"], impurity="gini", maxBins=256, seed=seed, **common)
         if wcol:

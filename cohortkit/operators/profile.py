@@ -73,17 +73,10 @@ def describe_by_group(df: DataFrame, spec: CohortSpec, variables=None) -> DataFr
     is merged from the per-label sufficient statistics (count, mean, M2 with
     the parallel-variance formula) on the tiny grouped table.
     """
-    return _grouped_profile(df, spec, variables, sketches=False)
+    return _grouped_profile(df, spec, variables)
 
 
-def describe_with_distinct(df: DataFrame, spec: CohortSpec, variables=None) -> DataFrame:
-    """``describe_by_group`` plus ``approx_distinct`` on the 'all' rows, from the
-    same scan: per-label HLL sketches of each variable are merged across labels
-    in the window stage (mergeable sketches, fixed size per variable)."""
-    return _grouped_profile(df, spec, variables, sketches=True)
-
-
-def _grouped_profile(df: DataFrame, spec: CohortSpec, variables=None, sketches: bool = False) -> DataFrame:
+def _grouped_profile(df: DataFrame, spec: CohortSpec, variables=None) -> DataFrame:
     variables = list(variables or spec.variables)
     numeric = [_is_numeric(df, c) for c in variables]
     aggs = [F.count(F.lit(1)).alias("__n")]
@@ -93,8 +86,6 @@ def _grouped_profile(df: DataFrame, spec: CohortSpec, variables=None, sketches:
         if numeric[i]:
             aggs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"), F.avg(x).alias(f"av{i}"),
                      (F.var_pop(x) * F.count(x)).alias(f"m2{i}")]
-        if sketches:
-            aggs.append(F.hll_sketch_agg(F.xxhash64(qcol(c))).alias(f"hs{i}"))
     per_label = df.groupBy(qcol(spec.label).alias("__label")).agg(*aggs)
     # per_label has one row per label value (a binary outcome plus NULL): the
     # windows below run on that tiny table, in the same pipeline as the scan
@@ -103,8 +94,6 @@ def _grouped_profile(df: DataFrame, spec: CohortSpec, variables=None, sketches:
              F.sum("__n").over(everything).alias("__tn")]
     for i, _ in enumerate(variables):
         first.append(F.sum(f"ct{i}").over(everything).alias(f"tct{i}"))
-        if sketches:
-            first.append(F.hll_sketch_estimate(F.hll_union_agg(f"hs{i}").over(everything)).alias(f"thd{i}"))
         if numeric[i]:
             first += [F.try_divide(F.sum(F.col(f"ct{i}") * F.col(f"av{i}")).over(everything),
                                    F.sum(f"ct{i}").over(everything).cast("double")).alias(f"tav{i}"),
@@ -126,8 +115,6 @@ def _grouped_profile(df: DataFrame, spec: CohortSpec, variables=None, sketches:
                   mn.alias("min"), mx.alias("max"), av.alias("mean"), sd.alias("std"),
                   ct.cast("bigint").alias("count"), (n - ct).cast("bigint").alias("missing"),
                   F.try_divide((n - ct) * 100.0, n.cast("double")).alias("missing_ratio")]
-        if sketches:
-            fields.append((F.col(f"thd{i}") if p == "t" else F.lit(None)).cast("bigint").alias("approx_distinct"))
         return F.struct(*fields)
 
     own = [row(0, i, c, "") for i, c in enumerate(variables)]
@@ -137,7 +124,7 @@ def _grouped_profile(df: DataFrame, spec: CohortSpec, variables=None, sketches:
                    | ((F.col("kind") == 1) & (F.col("__rn") == 1))))
     grp = F.when(F.col("kind") == 1, F.lit(ALL_GROUP)).otherwise(F.col("__label"))
     out = out.select(grp.alias("grp"), "ord", "variable", "min", "max", "mean", "std", "count", "missing",
-                     "missing_ratio", *(["approx_distinct"] if sketches else []))
+                     "missing_ratio")
     order = F.when(F.col("grp") == ALL_GROUP, 0).when(F.col("grp") == spec.positive, 1).otherwise(2)
     return out.orderBy(order, "ord").drop("ord")
 

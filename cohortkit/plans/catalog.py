@@ -23,6 +23,7 @@ from cohortkit.operators import association as assoc
 from cohortkit.operators import balance as BA
 from cohortkit.operators import clean, profile
 from cohortkit.operators import evaluate as EV
+from cohortkit.operators import exact_tree as ET
 from cohortkit.operators import features as FE
 from cohortkit.operators import importance as IM
 from cohortkit.operators import neighbours as NB
@@ -157,8 +158,8 @@ def _summary_sql() -> str:
 @register("cohort_summary", O.rounded(_summary_sql(), ["p_value"]))
 def q_cohort_summary(spark, sf_dir):
     df = lineitem_cohort(spark, sf_dir)
-    prof, approx = assoc.profile_and_distinct(df, LI)  # one scan; 3 x p rows to the driver
-    screen = assoc.association_screen(df, LI, profile=prof, approx_distinct=approx)
+    prof = assoc.local_profile(df, LI)  # one scan; 3 x p rows to the driver
+    screen = assoc.association_screen(df, LI, profile=prof)
     return rounded(cohort_summary(prof, screen, LI))
 
 
@@ -1209,6 +1210,58 @@ def q_network_training(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, "epoch int, loss double, validation_accuracy double, kept boolean"))
 
 
+# --- trees over all distinct values: the first levels searched again in SQL -------
+
+_TREE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _tree_sql() -> str:
+    rows = "SELECT (l_linestatus = 'F')::INTEGER AS y, " + ", ".join(_TREE_COLUMNS) + " FROM lineitem"
+    pick = " ".join(f'WHEN {j} THEN {c}' for j, c in enumerate(_TREE_COLUMNS))
+
+    def level(name: str, source: str) -> str:
+        side = "coalesce(({0} * {0} + {1} * {1}) / nullif({0} + {1}, 0), 0)".format
+        return f"""{name} AS MATERIALIZED (
+          SELECT node, arg_min("column", (-gain, "column", cut)) AS "column", arg_min(cut, (-gain, "column", cut)) AS cut,
+                 max(gain) AS gain, max(t0 + t1) AS n
+          FROM (SELECT *, value / 2 + next / 2 AS cut, {side('l0', 'l1')} + {side('(t0 - l0)', '(t1 - l1)')} AS gain
+                FROM (SELECT node, "column", value, lead(value) OVER w AS next, sum(n0) OVER (w ROWS UNBOUNDED PRECEDING) AS l0,
+                             sum(n1) OVER (w ROWS UNBOUNDED PRECEDING) AS l1, sum(n0) OVER (PARTITION BY node, "column") AS t0,
+                             sum(n1) OVER (PARTITION BY node, "column") AS t1
+                      FROM (SELECT node, "column", value, sum(1 - y)::DOUBLE AS n0, sum(y)::DOUBLE AS n1
+                            FROM (SELECT node, y, unnest([{', '.join(str(j) for j in range(len(_TREE_COLUMNS)))}]) AS "column",
+                                         unnest([{', '.join(c + '::DOUBLE' for c in _TREE_COLUMNS)}]) AS value FROM {source})
+                            GROUP BY ALL)
+                      WINDOW w AS (PARTITION BY node, "column" ORDER BY value))
+                WHERE next IS NOT NULL) GROUP BY node)"""
+    return f"""WITH r0 AS (SELECT 0 AS node, * FROM ({rows})), {level('s0', 'r0')},
+      r1 AS (SELECT CASE WHEN (CASE "column" {pick} END) <= cut THEN 1 ELSE 2 END AS node, y, {', '.join(_TREE_COLUMNS)}
+             FROM r0 JOIN s0 USING (node)), {level('s1', 'r1')}
+      SELECT node::INTEGER AS node, "column"::INTEGER AS "column", cut, 1 - gain / n AS gini
+      FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1)"""
+
+
+@register("exact_tree_levels", O.rounded(_tree_sql(), ["cut", "gini"], 9))
+def q_exact_tree_levels(spark, sf_dir):
+    """Column, cut and gini of the first two levels of a tree on lineitem."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.array(*[F.col(c).cast("double") for c in _TREE_COLUMNS]).alias("x"),
+        (F.col("l_linestatus") == "F").cast("double").alias("label"), F.lit(1.0).alias("weight"))
+    t = ET.grow_tree(rows, 2)
+    found = [(n, c, t.cut[n], 1 - t.gain[n] / (t.zero[n] + t.one[n])) for n, c in enumerate(t.column) if c >= 0]
+    return rounded(spark.createDataFrame(found, "node int, column int, cut double, gini double"), 9)
+
+
+@register("model_dt_exact")
+def q_model_dt_exact(spark, sf_dir):
+    """The study's tree without bins, on the structured set; scores of the test rows."""
+    from cohortkit.plans import study as ST
+    cfg = ST.StudyConfig(variant="optimised", feature_sets=["a-x"], exact_trees=True)
+    feats, _, _ = ST.prepare_features(ST.document_study_table(spark, sf_dir), cfg)
+    m = ST.fit_pipeline(feats.filter("split = 'train'"), "a-x", "DT", cfg)
+    return ST._predict(m, feats.filter("split = 'test'"), "a-x", "DT", "test", -1)
+
+
 @register("sigmoid_calibration", O.rounded(O.sigmoid_sql(
     "(SELECT embedding[1]::DOUBLE * 6 - embedding[2]::DOUBLE * 3 - 1 AS f, (label < 3)::INTEGER AS y FROM embeddings)"),
     ["a", "b"]))

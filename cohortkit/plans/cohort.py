@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit.functions.formatting import NO_DATA, NOT_TESTED, format_mean_sd, format_p_value
-from cohortkit.operators.association import association_screen
+from cohortkit.operators.association import association_screen, local_profile
 from cohortkit.operators.profile import ALL_GROUP, cohort_basic_info, describe_by_group
 from cohortkit.spec import CohortSpec
 
@@ -45,14 +45,6 @@ def cohort_summary(profile: DataFrame, screen: DataFrame, spec: CohortSpec) -> D
     ).orderBy(_variable_order(spec))
 
 
-def cohort_summary_for(df: DataFrame, spec: CohortSpec, alpha: float = 0.05) -> DataFrame:
-    """Convenience: profile + screen + summary from the cleaned cohort table."""
-    from cohortkit.operators.association import profile_and_distinct
-    prof, approx = profile_and_distinct(df, spec)
-    screen = association_screen(df, spec, alpha, profile=prof, approx_distinct=approx)
-    return cohort_summary(prof, screen, spec)
-
-
 def cohort_report(df: DataFrame, spec: CohortSpec, alpha: float = 0.05) -> dict:
     """Everything the cohort description produces.
 
@@ -63,9 +55,8 @@ def cohort_report(df: DataFrame, spec: CohortSpec, alpha: float = 0.05) -> dict:
     Keys: basic_info, overall_stats, case_stats, control_stats, screen, summary,
     significant (formatted p for display).
     """
-    from cohortkit.operators.association import profile_and_distinct
-    prof, approx = profile_and_distinct(df, spec)  # one scan; 3 x p rows to the driver
-    screen = association_screen(df, spec, alpha, profile=prof, approx_distinct=approx).cache()
+    prof = local_profile(df, spec)  # one scan; 3 x p rows to the driver
+    screen = association_screen(df, spec, alpha, profile=prof)
     return {
         "basic_info": cohort_basic_info(df, spec),
         "overall_stats": prof.filter(F.col("grp") == ALL_GROUP),

@@ -68,6 +68,7 @@ class StudyConfig:
     tol: float | None = None           # solver tolerance; None: the default of each family
     svm_max_iter: int = SVM_MAX_ITER
     rff_components: int = RFF_COMPONENTS
+    exact_trees: bool = False          # DT with splits over all distinct values instead of 256 bins
     batched: bool = True               # linear models of all folds in common passes; False: one solver run a fit
 
 
@@ -172,7 +173,7 @@ def fit_pipeline(train: DataFrame, feature_set: str, model: str, cfg: StudyConfi
     counted = _weights(prepared, counts).repartition(parts).persist()
     try:
         est = make_model(model, _width(feature_set, len(kept), cfg), n_rows, cfg.variant, cfg.seed, tol=cfg.tol,
-                         svm_max_iter=cfg.svm_max_iter, rff_components=cfg.rff_components)
+                         svm_max_iter=cfg.svm_max_iter, rff_components=cfg.rff_components, exact_trees=cfg.exact_trees)
         fitted = est.fit(counted)
         notes.extend(unconverged(fitted))
     finally:
