@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from cohortkit.llm.common import stage
 
 #: Neighbouring rows of a slice, bytes of text hashed at a time, and bytes of text that a bucket's share comes from.
-SLICE_ROWS, PIECE, BUCKET = 256, 4 * 2**20, 32 * 2**20
+SLICE_ROWS, PIECE, BUCKET = 256, 4 * 2**20, 8 * 2**20
 _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
