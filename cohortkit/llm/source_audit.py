@@ -35,12 +35,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortkit.llm.common import stage
+from cohortkit.llm.common import sized, stage
 
 #: Bytes of text in a shard; one longer text is a shard of its own.
 SHARD = 16 * 2**20
@@ -171,7 +172,7 @@ def count_shard(lang: list[str], source: list[str], texts: pa.Array) -> pa.Recor
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        size = np.cumsum(pa.compute.binary_length(batch.column(2)).to_numpy(zero_copy_only=False))
+        size = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False))
         begin = 0
         while begin < len(batch):
             upto = (size[begin - 1] if begin else 0) + SHARD
@@ -224,6 +225,7 @@ def audit_sources(docs: DataFrame, min_docs: int = 10, top: int = 10, lang_col:
              .na.fill(0, ["v", "all_lang"])
              .withColumn("t_blocks", F.ceil(F.greatest(F.col("v"), F.lit(1)) / TERMS))
              .withColumn("s_blocks", F.ceil(F.col("n_sources") / SOURCES)))
+    langs = sized(stage(langs, "languages"))  # one row a language
     mine = cells.select("lang", "source", "term", "n").join(kept, ["lang", "term"])
     mine = stage(mine, "kept-counts")
     totals = mine.groupBy("lang", "source").agg(F.sum("n").alias("all_source"))
