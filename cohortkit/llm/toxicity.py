@@ -118,10 +118,11 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     weights, fold = [], np.arange(n) % FOLDS
     for k in range(len(names)):
         held = np.zeros(n)
-        for f in range(FOLDS):
-            if (fold == f).any() and (fold != f).any():
-                held[fold == f] = sigmoid(x.part(fold == f).dot(fit_sparse_logistic(x.part(fold != f), y[fold != f, k], RIDGE)))
         weights.append(fit_sparse_logistic(x, y[:, k], RIDGE))
+        for f in range(FOLDS):  # each from the weights of all rows, which are near its own
+            if (fold == f).any() and (fold != f).any():
+                apart = fit_sparse_logistic(x.part(fold != f), y[fold != f, k], RIDGE, start=weights[-1])
+                held[fold == f] = sigmoid(x.part(fold == f).dot(apart))
         x = x.with_column(held)
     return Chain(names, columns, tuple(weights))
 
