@@ -20,6 +20,7 @@ import math
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from cohortkit.functions.columns import qcol
 from cohortkit.functions.hashing import hash_hex
@@ -178,7 +179,7 @@ def temporal_split(df: DataFrame, ts: str, test_size: float = 1 / 3, split_col:
 
 
 def _orderable(df: DataFrame, col: str) -> Column:
-    """Numeric image of a column that preserves order (timestamps as micros).
+    """Numeric image of a column that preserves order: integers and timestamps (micros) as longs, the rest as doubles.
 
     Wall-clock timestamps (NTZ) are rebuilt as UTC instants from their fields,
     so the session time zone (and its DST gaps) cannot reorder them.
@@ -188,10 +189,10 @@ def _orderable(df: DataFrame, col: str) -> Column:
     if dt == "timestamp_ntz":
         utc = F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
                                F.date_part(F.lit("SECOND"), c), F.lit("UTC"))
-        return F.unix_micros(utc).cast("double")
+        return F.unix_micros(utc)
     if dt == "timestamp":
-        return F.unix_micros(c).cast("double")
-    return c.cast("double")
+        return F.unix_micros(c)
+    return c.cast("long") if isinstance(df.schema[col].dataType, IntegralType) else c.cast("double")
 
 
 def kth_smallest(df: DataFrame, col: str, k: int, bins: int = 4096, small: int = 10_000):
@@ -199,7 +200,8 @@ def kth_smallest(df: DataFrame, col: str, k: int, bins: int = 4096, small: int =
 
     Each round is one aggregate of ``bins`` counters; only the bin holding the
     k-th value is refined, until it holds a single value or few rows, which are
-    then ranked. Nothing but counts and one small bin reach the driver.
+    then ranked. Nothing but counts and one small bin reach the driver. Longs are
+    cut by whole numbers, so that values beyond 2^53 keep their order.
     """
     x = _orderable(df, col)
     cur = df.select(x.alias("__x")).filter(F.col("__x").isNotNull())
@@ -213,8 +215,12 @@ def kth_smallest(df: DataFrame, col: str, k: int, bins: int = 4096, small: int =
                 .limit(k).select("__x").collect()  # at most `small` values by construction
             value = vals[k - 1][0] if lo != hi else lo
             break
-        width = (hi - lo) / bins
-        b = F.least(F.floor((F.col("__x") - lo) / width), F.lit(bins - 1)).cast("int")
+        if isinstance(lo, int):
+            width = (hi - lo) // bins + 1
+            b = F.expr(f"(CAST(__x AS DECIMAL(20,0)) - ({lo})) DIV CAST({width} AS DECIMAL(20,0))").cast("int")
+        else:
+            width = (hi - lo) / bins
+            b = F.least(F.floor((F.col("__x") - lo) / width), F.lit(bins - 1)).cast("int")
         hist = sorted(cur.filter((F.col("__x") >= lo) & (F.col("__x") <= hi))
                       .groupBy(b.alias("b")).count().collect())
         acc = 0

@@ -55,6 +55,15 @@ def test_kth_smallest_exact(spark):
     assert [S.kth_smallest(df, "x", k, bins=2, small=2) for k in range(1, 8)] == [1, 2, 3, 3, 5, 7, 9]
 
 
+def test_kth_smallest_of_longs_beyond_double(spark):
+    values = [2**62 + i for i in range(9)] + [-2**63, 2**63 - 1, 0, None]
+    df = spark.createDataFrame([(v,) for v in values], "x long")
+    want = sorted(v for v in values if v is not None)
+    assert [S.kth_smallest(df, "x", k, bins=3, small=1) for k in range(1, 13)] == want
+    split = S.temporal_split(df, "x", 0.25).filter("split = 'test'").collect()
+    assert sorted(r.x for r in split) == want[-3:]
+
+
 def test_temporal_split_ntz_independent_of_session_zone(spark):
     import datetime as dt
     rows = [(i, dt.datetime(2024, 3, 10, 1, 30) + dt.timedelta(minutes=20 * i)) for i in range(9)]
