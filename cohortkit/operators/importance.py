@@ -5,8 +5,9 @@ aggregates (one or two scans for all variables together); only the p-values
 use the Arrow tail UDFs on one row per variable. Random-forest importance
 comes from a fitted Spark ML forest.
 
-The mutual-information estimator is the binned plug-in estimate: each
-variable is cut into 10 equal-width bins over its observed range.
+The mutual-information estimator is the binned plug-in estimate: each variable
+is cut into 10 bins, of equal width over its observed range or, with
+``cut_at='quantile'``, between its exact quantiles.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.functions.columns import qcol
 from cohortkit.functions.special import f_sf_udf, t_two_sided_udf
+from cohortkit.operators.features import exact_quantiles
 from cohortkit.operators.profile import describe_by_group
 from cohortkit.spec import CohortSpec
 
@@ -26,10 +28,23 @@ def _binary(spec: CohortSpec) -> F.Column:
     return F.when(qcol(spec.label) == spec.positive, 1.0).when(qcol(spec.label) == spec.negative, 0.0)
 
 
-def mutual_information(df: DataFrame, spec: CohortSpec, variables, bins: int = MI_BINS) -> DataFrame:
-    """I(X; Y) in nats from equal-width bins, per variable (rows with X and Y present)."""
+def mutual_information(df: DataFrame, spec: CohortSpec, variables, bins: int = MI_BINS, cut_at: str = "width") -> DataFrame:
+    """I(X; Y) in nats from bins, per variable (rows with X and Y present).
+
+    ``cut_at='quantile'``: a value's bin is the number of quantiles (1/bins, 2/bins, ...) below it, so that ties stay
+    together and a variable of few values has fewer bins. The quantiles are exact at any size.
+    """
     variables = list(variables)
     lab = df.filter(qcol(spec.label).isin(spec.positive, spec.negative))
+    if cut_at == "quantile":
+        cuts = exact_quantiles(lab, variables, [j / bins for j in range(1, bins)])
+        pairs = []
+        for v in variables:
+            x, below = qcol(v).cast("double"), F.lit(0)
+            for c in sorted(set(cuts[v] or [])):
+                below = below + (x > F.lit(float(c))).cast("int")
+            pairs.append(F.struct(F.lit(v).alias("variable"), F.when(x.isNotNull(), below).alias("bin")))
+        return _information(lab, spec, variables, pairs)
     rng = lab.agg(*[F.min(qcol(v).cast("double")).alias(f"lo{i}") for i, v in enumerate(variables)],
                   *[F.max(qcol(v).cast("double")).alias(f"hi{i}") for i, v in enumerate(variables)]).first()
     pairs = []
@@ -45,6 +60,11 @@ def mutual_information(df: DataFrame, spec: CohortSpec, variables, bins: int = M
             b = F.when(x.isNotNull(),
                        F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * bins), F.lit(bins - 1)).cast("int"))
         pairs.append(F.struct(F.lit(v).alias("variable"), b.alias("bin")))
+    return _information(lab, spec, variables, pairs)
+
+
+def _information(lab: DataFrame, spec: CohortSpec, variables, pairs) -> DataFrame:
+    """Mutual information from one (variable, bin) struct a variable."""
     cells = (lab.select(qcol(spec.label).alias("y"), F.inline(F.array(*pairs)))
              .filter(F.col("bin").isNotNull())
              .groupBy("variable", "bin", "y").agg(F.count(F.lit(1)).alias("n")))
@@ -55,7 +75,7 @@ def mutual_information(df: DataFrame, spec: CohortSpec, variables, bins: int = M
          .withColumn("ny", F.sum("n").over(Window.partitionBy("variable", "y"))))
     term = (F.col("n") / F.col("tot")) * F.log((F.col("n").cast("double") * F.col("tot")) / (F.col("nb").cast("double") * F.col("ny")))
     out = c.groupBy("variable").agg(F.sum(term).alias("mutual_information"))
-    names = df.sparkSession.createDataFrame([(v,) for v in variables], "variable string")
+    names = lab.sparkSession.createDataFrame([(v,) for v in variables], "variable string")
     return names.join(out, "variable", "left").select(
         "variable", F.coalesce("mutual_information", F.lit(0.0)).alias("mutual_information"))
 

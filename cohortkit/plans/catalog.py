@@ -961,6 +961,24 @@ def q_mi(spark, sf_dir):
     return rounded(IM.mutual_information(lineitem_cohort(spark, sf_dir), LI, LI_NUMERIC))
 
 
+def _mi_quantile_sql() -> str:
+    at = ", ".join(f"{j / 10}" for j in range(1, 10))
+    parts = " UNION ALL ".join(f"""SELECT '{v}' AS variable, l_linestatus AS y,
+        len(list_filter(list_distinct(q.c{i}), lambda c: c < {v}::DOUBLE)) AS bin FROM li, q WHERE {v} IS NOT NULL"""
+                               for i, v in enumerate(LI_NUMERIC))
+    cuts = ", ".join(f"quantile_cont({v}::DOUBLE, [{at}]) AS c{i}" for i, v in enumerate(LI_NUMERIC))
+    return f"""WITH li AS (SELECT * FROM ({LI_CLEAN_SQL}) WHERE l_linestatus IN ('F', 'O')),
+      q AS (SELECT {cuts} FROM li), cells AS (SELECT variable, bin, y, count(*) AS n FROM ({parts}) GROUP BY ALL),
+      c AS (SELECT *, sum(n) OVER (PARTITION BY variable) AS nn, sum(n) OVER (PARTITION BY variable, bin) AS nb,
+                   sum(n) OVER (PARTITION BY variable, y) AS ny FROM cells)
+    SELECT variable, sum((n / nn) * ln((n * nn) / (nb * ny))) AS mutual_information FROM c GROUP BY variable"""
+
+
+@register("importance_mutual_information_quantile", O.rounded(_mi_quantile_sql(), ["mutual_information"]))
+def q_mi_quantile(spark, sf_dir):
+    return rounded(IM.mutual_information(lineitem_cohort(spark, sf_dir), LI, LI_NUMERIC, cut_at="quantile"))
+
+
 def _f_sql() -> str:
     return f"""WITH li AS ({LI_CLEAN_SQL}), gs AS ({O.group_stats_sql(LI, 'li', LI_NUMERIC)}),
       f AS (SELECT variable, n1 + n2 AS n,
