@@ -13,7 +13,6 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import PCA, ElementwiseProduct, SQLTransformer, StandardScaler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # Components kept per text column in the optimised study.
 PCA_COMPONENTS = 30
@@ -57,12 +56,3 @@ def pca_report(results: list) -> DataFrame:
              r["train"].count(), r["test"].count()) for r in results]
     return spark.createDataFrame(rows, "feature string, n_components int, variance_ratio double, n_train bigint, n_test bigint")
 
-
-def explained_variance(model: PipelineModel) -> float:
-    return float(np.sum(model.stages[1].explainedVariance.toArray()))
-
-
-def pca_frame(df: DataFrame, col: str) -> DataFrame:
-    """Vector column -> array<double> for storage."""
-    from pyspark.ml.functions import vector_to_array
-    return df.withColumn(col, vector_to_array(F.col(col)))

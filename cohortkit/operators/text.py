@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 # Text vector width of the study.
@@ -73,10 +72,3 @@ def embed_with_batch_encoder(df: DataFrame, text_col: str, output_col: str,
 
     return df.mapInPandas(run, out_schema)
 
-
-def null_text_is_zero(df: DataFrame, text_col: str, vec_col: str) -> DataFrame:
-    """Rows with NULL text and whether their vector is all zeros (invariant check)."""
-    from pyspark.ml.functions import vector_to_array
-    arr = vector_to_array(F.col(vec_col))
-    return df.filter(F.col(text_col).isNull()).select(
-        F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + F.abs(x)).alias("l1"))

@@ -36,7 +36,8 @@ from cohortkit.operators.features import FEATURE_SETS
 from cohortkit.plans import oracle as O
 from cohortkit.plans.cohort import categorical_report, cohort_summary
 from cohortkit.session import checkpoint_dir, stage_path
-from cohortkit.sources import read_feature_table, write_feature_table
+from cohortkit.sources import (read_feature_table, write_csv_report, write_feature_table, write_labels,
+                               write_result_tables)
 from cohortkit.spec import DEFAULT_NA_TOKENS, SHEET_NA_TOKENS, CohortSpec
 from cohortkit.spec import LINEITEM_COHORT as LI
 
@@ -465,6 +466,24 @@ def q_screen_documents(spark, sf_dir):
     return rounded(assoc.association_screen(docs_cohort(spark, sf_dir), DOCS_COHORT))
 
 
+@register("filter_significant_documents", O.rounded(f"{_DOCS_SCREEN_SQL} SELECT * FROM screen WHERE significant", ["p_value"]))
+def q_filter_significant_documents(spark, sf_dir):
+    return rounded(assoc.association_screen(docs_cohort(spark, sf_dir), DOCS_COHORT).filter("significant"))
+
+
+@register("sort_nulls_last", O.rounded(f"""{_DOCS_SCREEN_SQL} SELECT variable, p_value,
+    (row_number() OVER (ORDER BY p_value ASC NULLS LAST, variable))::INTEGER AS position
+    FROM (SELECT variable, p_value FROM screen UNION ALL SELECT 'empty', NULL)""", ["p_value"]))
+def q_sort_nulls_last(spark, sf_dir):
+    """The screen's order as a column, with a variable that could not be tested."""
+    df = docs_cohort(spark, sf_dir)
+    prof = assoc.local_profile(df, DOCS_COHORT)
+    names = prof.select("variable").distinct()
+    p = names.join(F.broadcast(assoc.association_screen(df, DOCS_COHORT, profile=prof)), "variable", "left")  # one row a variable
+    order = Window.orderBy(F.col("p_value").asc_nulls_last(), "variable")
+    return rounded(p.select("variable", "p_value", F.row_number().over(order).alias("position")))
+
+
 @register("significant_variables_documents", O.rounded(
     f"{_DOCS_SCREEN_SQL} SELECT variable, p_value, significance_level, test_type FROM screen WHERE significant", ["p_value"]))
 def q_significant_documents(spark, sf_dir):
@@ -582,6 +601,35 @@ def q_label_encode(spark, sf_dir):
     return S.label_encode(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), model)
 
 
+@register("write_labels", """SELECT o_orderkey, o_orderstatus AS label, code FROM orders JOIN
+    (SELECT o_orderstatus, (row_number() OVER (ORDER BY o_orderstatus) - 1)::INTEGER AS code
+     FROM (SELECT DISTINCT o_orderstatus FROM orders)) USING (o_orderstatus)""")
+def q_write_labels(spark, sf_dir):
+    """Labels encoded by an encoder that was written and loaded again, next to the written codes; rows where both agree."""
+    from pyspark.ml.feature import StringIndexerModel
+    sp = orders_split(spark, sf_dir)
+    model = S.label_encoder(sp.filter("split = 'train'"), sp.filter("split = 'test'"), "o_orderstatus")
+    path = stage_path(spark, "queries", "labels", uuid.uuid4().hex[:8])
+    write_labels(S.label_encode(sp.select("o_orderkey", "o_orderstatus"), model), model, path)
+    written = spark.read.parquet(f"{path}/labels").withColumnRenamed("label_code", "code")
+    again = S.label_encode(written, StringIndexerModel.load(f"{path}/encoder"))
+    return again.filter(F.col("label_code") == F.col("code")).select("o_orderkey", F.col("o_orderstatus").alias("label"), "code")
+
+
+@register("write_result_tables", """SELECT kind, o_orderstatus AS label, count(*)::BIGINT AS n
+    FROM orders, (VALUES ('parquet'), ('csv')) k(kind) GROUP BY ALL""")
+def q_write_result_tables(spark, sf_dir):
+    """A result table written as a Parquet sheet and as a one-file CSV report, both read back."""
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    path = stage_path(spark, "queries", "results", uuid.uuid4().hex[:8])
+    write_result_tables({"class_ratio": counts, "not_a_table": None}, path)
+    write_csv_report(counts, f"{path}/report")
+    report = spark.read.option("header", True).schema("label string, n bigint").csv(f"{path}/report")
+    sheets = [(k, df) for k, df in (("parquet", spark.read.parquet(f"{path}/class_ratio")), ("csv", report))]
+    both = [df.select(F.lit(k).alias("kind"), "label", "n") for k, df in sheets]
+    return both[0].unionByName(both[1])
+
+
 @register("label_map", "SELECT o_orderstatus AS label, (row_number() OVER (ORDER BY o_orderstatus) - 1)::INTEGER AS code FROM (SELECT DISTINCT o_orderstatus FROM orders)")
 def q_label_map(spark, sf_dir):
     sp = orders_split(spark, sf_dir)
