@@ -16,6 +16,7 @@ data so buckets stay around a million rows.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,7 @@ from pyspark.sql.types import IntegralType
 
 from cohortkit.functions.columns import qcol
 from cohortkit.functions.hashing import hash_hex
+from cohortkit.session import stage_path
 
 BROADCAST_PREFIX_ROWS = 2_000_000  # bound on the broadcast prefix table
 
@@ -165,19 +167,51 @@ def label_encode(df: DataFrame, model, output: str = "label_code") -> DataFrame:
 def temporal_split(df: DataFrame, ts: str, test_size: float = 1 / 3, split_col: str = "split") -> DataFrame:
     """Strict time split: the latest ``test_size`` share of rows is test.
 
-    The cut is the exact order statistic of ``ts`` (histogram refinement, no
-    global sort): rows strictly before the cut are train, the rest test, so
+    The cut is the exact order statistic of ``ts`` (two scans, no global
+    sort): rows strictly before the cut are train, the rest test, so
     ties at the cut all go to test. Sizes count rows with a time; rows without
-    one are train (nothing says that they are late).
+    one are train (nothing says that they are late). NaN is later than all else.
     """
-    n = df.filter(qcol(ts).isNotNull()).count()
-    n_test = int(math.ceil(n * test_size))
-    if n_test <= 0:
+    cut = order_statistic(df, ts, 1 - test_size, lambda n: n - int(math.ceil(n * test_size)) + 1)
+    if cut is None:  # no row has a time, or no row is asked for
         return df.withColumn(split_col, F.lit("train"))
-    cut = kth_smallest(df, ts, n - n_test + 1)
     return df.withColumn(split_col, F.when(_orderable(df, ts) >= F.lit(cut), "test").otherwise("train"))
 
 
+def order_statistic(df: DataFrame, col: str, share: float, position, accuracy: int = 100_000):
+    """Exact ``position(n)``-th smallest of the n non-null values, in two scans whatever their spread.
+
+    The first scan counts the rows and brackets the position, which lies near ``share`` of
+    them, by a quantile sketch. The second counts the rows below the bracket and
+    groups those inside by value, some 4 / ``accuracy`` of all rows. The value is then
+    found in that small table. Sketches round longs to doubles and may be off: a bracket that the
+    counts refute is opened on that side and counted again, so the sketch never decides.
+    """
+    cur = df.select(_orderable(df, col).alias("__x")).filter(F.col("__x").isNotNull())
+    whole = isinstance(cur.schema["__x"].dataType, IntegralType)
+    ends = [max(0.0, share - 2 / accuracy), min(1.0, share + 2 / accuracy)]
+    n, ends = cur.agg(F.count(F.lit(1)), F.percentile_approx(F.col("__x").cast("double"), ends, accuracy)).first()
+    k = position(n)
+    if k < 1 or k > n:
+        return None
+    low, high = ends
+    if whole:  # room for the rounding to doubles
+        low, high = (int(end) + way * (int(math.ulp(end)) + 1) for end, way in zip(ends, (-1, 1)))
+        low, high = max(low, -2 ** 63), min(high, 2 ** 63 - 1)
+    while True:
+        inside = cur if high is None else cur.filter(F.col("__x") <= F.lit(high))
+        value = F.col("__x") if low is None else F.when(F.col("__x") >= F.lit(low), F.col("__x"))
+        path = stage_path(df.sparkSession, "order-statistic", uuid.uuid4().hex)
+        inside.groupBy(value.alias("__x")).agg(F.count(F.lit(1)).alias("__n")).write.parquet(path)
+        held = df.sparkSession.read.parquet(path)
+        below, kept = held.agg(F.sum(F.when(F.col("__x").isNull(), F.col("__n"))),
+                               F.sum(F.when(F.col("__x").isNotNull(), F.col("__n")))).first()
+        below, kept = below or 0, kept or 0
+        if below < k <= below + kept:
+            return _kth_weighted(held.filter(F.col("__x").isNotNull()), k - below)
+        low, high = (None, high) if k <= below else (low, None)
+
+
 def _orderable(df: DataFrame, col: str) -> Column:
     """Numeric image of a column that preserves order: integers and timestamps (micros) as longs, the rest as doubles.
 
@@ -196,46 +230,58 @@ def _orderable(df: DataFrame, col: str) -> Column:
 
 
 def kth_smallest(df: DataFrame, col: str, k: int, bins: int = 4096, small: int = 10_000):
-    """Exact k-th smallest non-null value (1-based) by histogram refinement.
+    """Exact k-th smallest non-null value (1-based) by histogram refinement; see ``_kth_weighted``."""
+    x = _orderable(df, col)
+    return _kth_weighted(df.select(x.alias("__x"), F.lit(1).alias("__n")).filter(F.col("__x").isNotNull()), k, bins, small)
+
+
+def _kth_weighted(cur: DataFrame, k: int, bins: int = 4096, small: int = 10_000):
+    """The value at position k of (__x, __n), each value standing there __n times.
 
     Each round is one aggregate of ``bins`` counters; only the bin holding the
     k-th value is refined, until it holds a single value or few rows, which are
     then ranked. Nothing but counts and one small bin reach the driver. Longs are
-    cut by whole numbers, so that values beyond 2^53 keep their order.
+    cut by whole numbers, so that values beyond 2^53 keep their order. Infinities and
+    NaN (later than all else) are counted by themselves.
     """
-    x = _orderable(df, col)
-    cur = df.select(x.alias("__x")).filter(F.col("__x").isNotNull())
-    lo_hi = cur.agg(F.min("__x"), F.max("__x"), F.count(F.lit(1))).first()
-    lo, hi, cnt = lo_hi
-    if cnt is None or k < 1 or k > cnt:
+    if not isinstance(cur.schema["__x"].dataType, IntegralType):
+        odd = [F.when(F.col("__x") == F.lit(float(name)), name) for name in ("-inf", "inf", "nan")]
+        kind = F.coalesce(*odd, F.lit("finite"))
+        total = {r["kind"]: r["n"] for r in cur.groupBy(kind.alias("kind")).agg(F.sum("__n").alias("n")).collect()}
+        for name in ("-inf", "finite", "inf", "nan"):
+            if 1 <= k <= total.get(name, 0):
+                if name != "finite":
+                    return float(name)
+                break
+            k -= total.get(name, 0)
+        cur = cur.filter(kind == "finite")
+    lo, hi, rows, total = cur.agg(F.min("__x"), F.max("__x"), F.count(F.lit(1)), F.sum("__n")).first()
+    if not rows or k < 1 or k > total:
         return None
     while True:
-        if lo == hi or cnt <= small:
-            vals = cur.filter((F.col("__x") >= lo) & (F.col("__x") <= hi)).orderBy("__x") \
-                .limit(k).select("__x").collect()  # at most `small` values by construction
-            value = vals[k - 1][0] if lo != hi else lo
-            break
+        here = cur.filter((F.col("__x") >= F.lit(lo)) & (F.col("__x") <= F.lit(hi)))
+        if lo == hi:
+            return lo
+        if rows <= small:
+            for x, n in sorted(here.select("__x", "__n").collect()):  # at most `small` rows
+                k -= n
+                if k <= 0:
+                    return x
         if isinstance(lo, int):
             width = (hi - lo) // bins + 1
             b = F.expr(f"(CAST(__x AS DECIMAL(20,0)) - ({lo})) DIV CAST({width} AS DECIMAL(20,0))").cast("int")
         else:
-            width = (hi - lo) / bins
-            b = F.least(F.floor((F.col("__x") - lo) / width), F.lit(bins - 1)).cast("int")
-        hist = sorted(cur.filter((F.col("__x") >= lo) & (F.col("__x") <= hi))
-                      .groupBy(b.alias("b")).count().collect())
-        acc = 0
+            half = 0.5 if math.isinf(hi - lo) else 1.0  # the spread of doubles can exceed the largest double
+            width = (hi * half - lo * half) / bins or math.ulp(0.0)
+            b = F.least(F.floor((F.col("__x") * half - lo * half) / width), F.lit(bins - 1)).cast("int")
+        hist = sorted(here.groupBy(b.alias("b")).agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("rows"),
+                                                     F.min("__x").alias("lo"), F.max("__x").alias("hi")).collect())
         for row in hist:
-            if acc + row["count"] >= k:
-                k -= acc
-                cnt = row["count"]
+            if row["n"] >= k:
                 # keep by the expression that counted; bin edges recomputed from it may round otherwise
-                sub = cur.filter((F.col("__x") >= lo) & (F.col("__x") <= hi) & (b == row["b"]))
-                mm = sub.agg(F.min("__x"), F.max("__x")).first()
-                lo, hi = mm[0], mm[1]
-                cur = sub
+                lo, hi, rows, cur = row["lo"], row["hi"], row["rows"], here.filter(b == row["b"])
                 break
-            acc += row["count"]
-    return value
+            k -= row["n"]
 
 
 def split_and_folds(df: DataFrame, label: str, key: str, test_size: float = 1 / 3, k: int = 10, seed: int = 42,
