@@ -2,8 +2,9 @@
 
 Centre (Spark's PCA does not), project on the top-k principal axes, then fix
 the sign of each axis so its largest-magnitude loading is positive, which
-makes the projection deterministic. The d x d covariance is formed on the
-driver by Spark ML (d = 768 is small); rows stay distributed.
+makes the projection deterministic. Up to ``WIDE`` columns Spark ML forms the d x d
+covariance on the driver; wider vectors take ``wide_pca``, whose driver holds a
+few d x k blocks. Rows stay distributed in both.
 """
 
 from __future__ import annotations
@@ -14,15 +15,22 @@ from pyspark.ml.feature import PCA, ElementwiseProduct, SQLTransformer, Standard
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 
+from cohortkit.operators.wide_pca import pca_model, principal_axes
+
 # Components kept per text column in the optimised study.
 PCA_COMPONENTS = 30
 
+WIDE = 4096  # columns up to which the covariance matrix (128 MB) is formed
+
 
-def fit_pca(train: DataFrame, input_col: str, output_col: str, k: int = PCA_COMPONENTS):
+def fit_pca(train: DataFrame, input_col: str, output_col: str, k: int = PCA_COMPONENTS, wide: int = WIDE):
     """Return (PipelineModel, explained variance ratio of the kept components)."""
     tmp_c, tmp_p = f"__{output_col}_c", f"__{output_col}_p"
     centre = StandardScaler(inputCol=input_col, outputCol=tmp_c, withMean=True, withStd=False).fit(train)
-    pca = PCA(k=k, inputCol=tmp_c, outputCol=tmp_p).fit(centre.transform(train))
+    if centre.mean.size > wide:
+        pca = pca_model(train.sparkSession, principal_axes(train, input_col, k), tmp_c, tmp_p)
+    else:
+        pca = PCA(k=k, inputCol=tmp_c, outputCol=tmp_p).fit(centre.transform(train))
     pc = pca.pc.toArray()  # d x k on the driver
     idx = np.argmax(np.abs(pc), axis=0)
     signs = np.sign(pc[idx, np.arange(pc.shape[1])])

@@ -1388,6 +1388,34 @@ def q_pca_total_variance(spark, sf_dir):
                            F.max("n").alias("n_rows")))
 
 
+WIDE_PCA_K = 8
+
+
+@register("pca_wide", O.rounded(f"""SELECT c.component, t.n_rows, t.total_variance, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS residual
+    FROM (SELECT unnest(range({WIDE_PCA_K}))::INTEGER AS component) c, (SELECT sum(v) AS total_variance, max(n)::BIGINT AS n_rows
+        FROM (SELECT var_samp(x) AS v, count(*) AS n FROM (
+            SELECT unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)
+            GROUP BY pos)) t""", ["total_variance", "mean", "residual"]))
+def q_pca_wide(spark, sf_dir):
+    """Axes fitted without the covariance matrix, held against it: each projection is centred, and its
+    covariances with the columns are its variance times its axis (residual against the largest variance)."""
+    e = table(spark, sf_dir, "embeddings").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    model, _ = RD.fit_pca(e, "v", "pca", WIDE_PCA_K, wide=0)
+    axes = model.stages[1].pc.toArray() * model.stages[2].getScalingVec().toArray()
+    of = F.array(*[F.array(*[F.lit(float(x)) for x in axes[:, j]]) for j in range(WIDE_PCA_K)])
+    both = (model.transform(e).select(vector_to_array("v").alias("v"), F.posexplode(vector_to_array("pca")).alias("component", "p"))
+            .select("component", "p", F.posexplode("v").alias("pos", "x")))
+    cells = both.groupBy("component", "pos").agg(
+        F.covar_samp("x", "p").alias("c"), F.var_samp("p").alias("variance"), F.var_samp("x").alias("spread"),
+        F.avg("p").alias("mean"), F.count(F.lit(1)).alias("n"))  # components x columns
+    off = F.col("c") - F.col("variance") * of[F.col("component")][F.col("pos")]
+    per = cells.groupBy("component").agg(
+        F.max("n").alias("n_rows"), F.sum("spread").alias("total_variance"), F.max("mean").alias("mean"),
+        F.sqrt(F.sum(off * off)).alias("off"))
+    largest = float(model.stages[1].explainedVariance[0]) * F.col("total_variance")
+    return rounded(per.select("component", "n_rows", "total_variance", "mean", (F.col("off") / largest).alias("residual")))
+
+
 @register("pca_report")
 def q_pca_report(spark, sf_dir):
     """PCA of both text columns of the study (fit on train, applied to both splits)."""
