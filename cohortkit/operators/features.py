@@ -191,8 +191,8 @@ def assemble_features(blocks: dict, key: str, output: str = "features", input_or
     """Join feature blocks stored as separate tables on ``key`` and assemble them.
 
     The reference aligns matrices by position; here every block carries the
-    stable key and blocks meet in one equi-join (co-partition or bucket the
-    stage tables on the key to avoid repeated shuffles).
+    stable key and blocks meet in one equi-join; blocks written by
+    ``sources.write_bucketed`` meet without a shuffle.
     """
     names = list(blocks)
     df = blocks[names[0]]

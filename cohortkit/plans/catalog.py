@@ -36,8 +36,8 @@ from cohortkit.operators.features import FEATURE_SETS
 from cohortkit.plans import oracle as O
 from cohortkit.plans.cohort import categorical_report, cohort_summary
 from cohortkit.session import checkpoint_dir, stage_path
-from cohortkit.sources import (read_feature_table, write_csv_report, write_feature_table, write_labels,
-                               write_result_tables)
+from cohortkit.sources import (bucket_count, read_bucketed, read_feature_table, write_bucketed, write_csv_report,
+                               write_feature_table, write_labels, write_result_tables)
 from cohortkit.spec import DEFAULT_NA_TOKENS, SHEET_NA_TOKENS, CohortSpec
 from cohortkit.spec import LINEITEM_COHORT as LI
 
@@ -715,9 +715,12 @@ def q_has_missing(spark, sf_dir):
     return spark.createDataFrame(rows, "split string, has_missing boolean")
 
 
-@register("assemble_features", O.rounded("""SELECT doc_id, pos, value FROM (
+_ASSEMBLE_SQL = O.rounded("""SELECT doc_id, pos, value FROM (
     SELECT l.doc_id, unnest([l.quality::DOUBLE, l.toxic::DOUBLE, d.n_chars::DOUBLE]) AS value,
-           unnest([0, 1, 2]) AS pos FROM labels l JOIN documents d USING (doc_id))""", ["value"]))
+           unnest([0, 1, 2]) AS pos FROM labels l JOIN documents d USING (doc_id))""", ["value"])
+
+
+@register("assemble_features", _ASSEMBLE_SQL)
 def q_assemble(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double"), F.col("toxic").cast("double"))
     doc = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double"))
@@ -725,6 +728,19 @@ def q_assemble(spark, sf_dir):
     return rounded(out.select("doc_id", F.posexplode(vector_to_array("features")).alias("pos", "value")))
 
 
+@register("assemble_features_bucketed", _ASSEMBLE_SQL)
+def q_assemble_bucketed(spark, sf_dir):
+    """The same blocks as bucketed stage tables, which meet without a shuffle."""
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double"), F.col("toxic").cast("double"))
+    doc = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double"))
+    blocks, run, buckets = {}, uuid.uuid4().hex[:8], bucket_count(doc.count())
+    for name, block in (("labels", lab), ("documents", doc)):
+        write_bucketed(block, f"block_{name}_{run}", "doc_id", buckets)
+        blocks[name] = read_bucketed(spark, f"block_{name}_{run}", ["doc_id"])
+    out = FE.assemble_features(blocks, "doc_id", "features", ["quality", "toxic", "n_chars"])
+    return rounded(out.select("doc_id", F.posexplode(vector_to_array("features")).alias("pos", "value")))
+
+
 @register("left_join_with_default", O.rounded(f"""WITH li AS ({LI_CLEAN_SQL}), {O.screen_ctes(LI, 'li', LI_VARS, LI_NUMERIC)},
     prof AS ({O.profile_sql(LI, 'li', LI_NUMERIC, LI_VARS)})
     SELECT p.variable, coalesce(s.p_value, 1.0) AS p_value, coalesce(s.test_type, 'untested') AS test_type

@@ -7,10 +7,13 @@ training rows prunes the test partition.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
 from cohortkit.operators.clean import read_na_tokens
+from cohortkit.session import stage_path
 
 
 def read_sheet(spark: SparkSession, path: str, columns=None, fmt: str = "csv", header: bool = True,
@@ -60,6 +63,36 @@ def read_feature_table(spark: SparkSession, path: str, required=()) -> DataFrame
     return df
 
 
+def bucket_count(rows: int, rows_a_bucket: int = 1_000_000) -> int:
+    """Buckets of the blocks of a study of so many rows; lower ``rows_a_bucket`` for wide vectors."""
+    return max(1, -(-rows // rows_a_bucket))
+
+
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+    """Write a feature block as a table bucketed and sorted by key, one file a bucket.
+
+    Blocks of one study take the same number of buckets: joins of them on the key
+    then read bucket against bucket, without a shuffle, as often as they are joined.
+    The files lie below the shared stage folder, the catalog keeps the name and the buckets. A bucket is
+    read by one task, so choose ``buckets`` by the widest block (see ``bucket_count``). A key
+    that many rows share lands in one bucket: blocks hold one row a key.
+    """
+    path = stage_path(df.sparkSession, "blocks", f"{table}-{uuid.uuid4().hex}")
+    (df.repartition(buckets, key).write.mode("overwrite").format("parquet").option("path", path)
+     .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
+
+
+def read_bucketed(spark: SparkSession, table: str, required=()) -> DataFrame:
+    """Read a bucketed block; a missing table or column fails with a clear message."""
+    if not spark.catalog.tableExists(table):
+        raise FileNotFoundError(f"feature block missing: {table}")
+    df = spark.table(table)
+    missing = [c for c in required if c not in df.columns]
+    if missing:
+        raise FileNotFoundError(f"feature block {table} lacks columns {missing}")
+    return df
+
+
 def write_labels(labels: DataFrame, encoder, path: str) -> None:
     """Encoded labels (Parquet) plus the fitted label encoder (ML persistence)."""
     labels.write.mode("overwrite").parquet(f"{path}/labels")
