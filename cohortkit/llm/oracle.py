@@ -65,10 +65,20 @@ grams AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram
 hits AS (SELECT doc_id, item_id, i, windows.n FROM grams JOIN windows USING (n, gram)),
 hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit
               FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
-hit_items AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hits GROUP BY doc_id)
+hit_items AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hits GROUP BY doc_id),
+-- proximity: the two rarest places of a window stand within 5 words of their places, but not at them
+tokens AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM docs),
+places AS (SELECT gram, unnest(string_split(gram, ' ')) AS term, unnest(range(n)) AS off FROM (SELECT DISTINCT gram, n FROM windows)),
+rarest AS (SELECT gram, term, off, row_number() OVER (PARTITION BY gram ORDER BY coalesce(df, 0), off) AS rank
+           FROM places LEFT JOIN (SELECT term, count(*) AS df FROM tokens GROUP BY term) USING (term) QUALIFY rank <= 2),
+starts AS (SELECT doc_id, gram, rank, pos - 1 - off AS s FROM tokens JOIN rarest USING (term) WHERE pos - 1 - off >= 0),
+met AS (SELECT a.doc_id, a.gram, a.s, min(abs(a.s - b.s)) AS gap FROM starts a JOIN starts b
+        ON a.doc_id = b.doc_id AND a.gram = b.gram AND a.rank = 1 AND b.rank = 2 GROUP BY ALL),
+near AS (SELECT doc_id, count(DISTINCT gram) AS n_near FROM met WHERE gap BETWEEN 1 AND 5 GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
-       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)"""
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(n_near, 0) AS n_near
+FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id) LEFT JOIN near USING (doc_id)"""
 
 MIX = r"""
 WITH RECURSIVE docs AS (
