@@ -1,18 +1,18 @@
 """Exact k nearest neighbours without all pairs: pivot cells and the triangle inequality.
 
 Reference rows belong to the cell of their nearest pivot (rows drawn by a hash;
-about ``cell_rows`` rows a cell). Each cell keeps its smallest and largest pivot
-distance. Then
-
-1. a row looks into the nearest cells that together hold more than k rows, which
-   gives it k candidates and the distance t of the k-th;
-2. it visits another cell j only if that can hold a row within t: its distance to
-   pivot j lies within t of the cell's range of pivot distances, and its distance
-   to the plane between its own pivot and pivot j is at most t. In the cell it is
-   compared only with rows whose pivot distance is within t of its own.
-
-Both bounds are exact, so the result is that of a full comparison. A large cell is
-compared in blocks of bounded bytes; only k candidates a row and block leave a
+about ``cell_rows`` rows a cell). Neighbouring cells are packed into blocks of
+bounded bytes, a large cell is cut into several. Then
+
+1. a row is compared in the block of its own cell, which gives it k candidates and
+   the distance t of the k-th;
+2. it visits another block only if a cell in there can hold a row within t: its distance
+   to the cell's pivot lies within t of the cell's range of pivot distances, and its
+   distance to the plane between its own pivot and that pivot is at most t. In the
+   block, rows of one cell are compared only with rows that pass the same bounds.
+
+Both bounds are exact, so the result is that of a full comparison. What travels is a
+row once a block it visits, never once a cell; only k candidates a row and block leave a
 task. In a task a matrix product finds the rows that can be among the k nearest;
 only their distances are computed term by term, so results do not depend on cells
 or blocks.
@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 
 from cohortkit.session import checkpoint_dir
 
-#: Rows of a cell, pivots at most, bytes of a block of vectors, numbers held at a time while distances are computed.
-CELL_ROWS, MAX_PIVOTS, BLOCK_BYTES, CHUNK = 4096, 4096, 16_000_000, 4_000_000
-#: Queries that share one range of pivot distances.
-QUERIES = 256
+#: Rows of a cell, pivots at most, bytes of a block of vectors (and of the pivots), numbers held at a time while distances
+#: are computed.
+CELL_ROWS, MAX_PIVOTS, BLOCK_BYTES, CHUNK = 4096, 4096, 16_000_000, 2_000_000
+#: Queries that are compared together at most, and blocks that the rows are dealt to at least.
+QUERIES, BLOCKS = 256, 16
 
 
 def as_double_array(df: DataFrame, vec_col: str) -> DataFrame:
@@ -45,6 +46,8 @@ def as_double_array(df: DataFrame, vec_col: str) -> DataFrame:
 
 
 def _pivot_distances(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    centre = pivots.mean(axis=0)
+    v, pivots = v - centre, pivots - centre
     square = (v**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None, :] - 2 * (v @ pivots.T)
     return np.sqrt(np.maximum(square, 0.0))
 
@@ -53,54 +56,126 @@ def _stack(col: pd.Series, width: int) -> np.ndarray:
     return np.stack(col.to_numpy()).astype(np.float64) if len(col) else np.zeros((0, width))
 
 
-def best_of_block(qpdf: pd.DataFrame, rpdf: pd.DataFrame, kk: int, exclude_self: bool) -> pd.DataFrame:
-    """The kk nearest of one block for each query: id, nn_id, dist, and in a query's first row the rows compared.
+def _pieces(rows: int, width: int) -> Iterator[slice]:
+    """Slices of the rows that hold CHUNK numbers of that width at most."""
+    step = max(1, CHUNK // max(1, width))
+    return (slice(s, min(s + step, rows)) for s in range(0, rows, step))
 
-    Queries: id, v, away (pivot distance), within (rows further from that are of no use). References: id, v, away.
+
+def _near_first(pivots: np.ndarray) -> np.ndarray:
+    """The pivots in an order that keeps neighbours together: halved again and again along the widest column."""
+    if len(pivots) < 3:
+        return pivots
+    order = np.argsort(pivots[:, np.ptp(pivots, axis=0).argmax()], kind="stable")
+    half = len(pivots) // 2
+    return np.vstack([_near_first(pivots[order[:half]]), _near_first(pivots[order[half:]])])
+
+
+def _packed(sizes: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The first block of each cell, the number of blocks that it is cut into, and the number of blocks."""
+    first, parts, block, held = np.zeros(len(sizes), int), np.ones(len(sizes), int), 0, 0
+    for c, n in enumerate(sizes):
+        if held and held + n > block_rows:
+            block, held = block + 1, 0
+        first[c], parts[c] = block, max(1, math.ceil(n / block_rows))
+        if parts[c] > 1:
+            block, held = block + parts[c], 0
+        else:
+            held += n
+    return first, parts, int((first + parts).max())
+
+
+def _reaches(away: np.ndarray, home: np.ndarray, between: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(t with room for rounding, whether the plane towards a cell's pivot lies within it), queries x cells."""
+    t = t[:, None] + 1e-7 * (t[:, None] + away + home[:, None] + 1.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plane = np.nan_to_num((away**2 - home[:, None] ** 2) / (2 * between), nan=0.0, posinf=0.0, neginf=0.0)
+    return t, plane <= t
+
+
+def best_of_block(qpdf: pd.DataFrame, rpdf: pd.DataFrame, k: int, exclude_self: bool, pivots: np.ndarray) -> pd.DataFrame:
+    """The k nearest of one block for each query: id, nn_id, dist, and in a query's first row the rows compared.
+
+    Queries: id, v, cell, away (pivot distance), within (rows further from that are of no use). References: id, v, cell, away.
     """
     none = pd.DataFrame({"id": pd.Series([], dtype="int64"), "nn_id": pd.Series([], dtype="int64"),
                          "dist": pd.Series([], dtype="float64"), "work": pd.Series([], dtype="int64")})
     if qpdf.empty or rpdf.empty:
         return none
-    rpdf, qpdf = rpdf.sort_values(["away", "id"]), qpdf.sort_values(["away", "id"])
+    rpdf, qpdf = (x.sort_values(["cell", "away", "id"]) for x in (rpdf, qpdf))
     qv, rv = _stack(qpdf["v"], 0), _stack(rpdf["v"], 0)
     qid, rid = qpdf["id"].to_numpy(), rpdf["id"].to_numpy()
-    away, within, r_away = qpdf["away"].to_numpy(), qpdf["within"].to_numpy(), rpdf["away"].to_numpy()
-    q2, r2 = np.einsum("ij,ij->i", qv, qv), np.einsum("ij,ij->i", rv, rv)
-    error = 1e-9 * (q2 + r2.max())  # of the matrix product, and of pivot distances
-    reach = within + 1e-7 * (within + away + 1.0)
-    piece = max(1, CHUNK // max(1, rv.shape[1]))
+    home, within, r_away = qpdf["away"].to_numpy(), qpdf["within"].to_numpy(), rpdf["away"].to_numpy()
+    cells, at, sizes = np.unique(rpdf["cell"].to_numpy(), return_inverse=True, return_counts=True)
+    centre = pivots.mean(axis=0)
+    # a product with the queries and 1 gives the squared distance less the query's own square
+    flat = np.column_stack([-2 * (rv - centre), ((rv - centre) ** 2).sum(axis=1)])
     step = max(1, min(QUERIES, CHUNK // len(rid)))
+    qc = qpdf["cell"].to_numpy()
+    runs = [*np.flatnonzero(np.r_[True, qc[1:] != qc[:-1]]), len(qc)]
     out = []
-    for s in range(0, len(qid), step):
-        here = slice(s, s + step)
-        a = np.searchsorted(r_away, (away[here] - reach[here]).min(), "left")
-        b = np.searchsorted(r_away, (away[here] + reach[here]).max(), "right")
-        if a >= b:
+    for s, e in ((s, min(s + step, b)) for a, b in zip(runs, runs[1:]) for s in range(a, b, step)):
+        q = qv[s:e] - centre
+        q2 = (q**2).sum(axis=1)
+        q = np.column_stack([q, np.ones(e - s)])
+        error = 1e-9 * (q2 + flat[:, -1].max())  # of the matrix product, and of pivot distances
+        away = _pivot_distances(qv[s:e], pivots[cells])
+        between = _pivot_distances(pivots[qc[s]][None, :], pivots[cells])
+        own = np.isin(rid, qid[s:e]) if exclude_self else np.zeros(len(rid), bool)
+
+        def products(rows: np.ndarray) -> np.ndarray:
+            near = q @ (flat if len(rows) == len(flat) else flat[rows]).T
+            here = np.flatnonzero(own[rows])
+            near[:, here] = np.where(qid[s:e, None] == rid[rows[here]][None, :], np.inf, near[:, here])
+            return near
+
+        def kth(near: np.ndarray) -> np.ndarray:
+            if near.shape[1] < k:
+                return np.full(e - s, np.inf)
+            return np.partition(near, k - 1, axis=1)[:, k - 1]
+
+        t = within[s:e]
+        if np.isinf(t).any():  # a first bound, from the nearest cells that hold more than k rows
+            order = np.argsort(away.min(axis=0), kind="stable")
+            some = np.zeros(len(cells), bool)
+            some[order[:np.searchsorted(np.cumsum(sizes[order]), k + 1) + 1]] = True
+            t = np.minimum(t, np.sqrt(np.maximum(kth(products(np.flatnonzero(some[at]))) + q2 + error, 0.0)))
+        reach, can = _reaches(away, home[s:e], between, t)
+        low = np.where(can, away - reach, np.inf).min(axis=0)[at]
+        high = np.where(can, away + reach, -np.inf).max(axis=0)[at]
+        rows = np.flatnonzero((r_away >= low) & (r_away <= high))
+        if not len(rows):
             continue
-        near = q2[here, None] + r2[None, a:b] - 2 * (qv[here] @ rv[a:b].T)
-        top = min(kk, b - a)
-        bound = np.partition(near, top - 1, axis=1)[:, top - 1] + error[here]
-        qi, ri = np.nonzero(near <= bound[:, None])
-        d = np.concatenate([np.einsum("ij,ij->i", x, x) for x in (
-            qv[s + qi[i:i + piece]] - rv[a + ri[i:i + piece]] for i in range(0, len(qi), piece))])
+        near = products(rows)
+        limit = t * t * (1 + 1e-9) - q2 + error
+        hit = ~(near > limit[:, None])
+        if np.count_nonzero(hit) > 8 * k * (e - s):
+            hit = ~(near > np.minimum(limit, kth(near) + 2 * error)[:, None])
         if exclude_self:
-            other = qid[s + qi] != rid[a + ri]
-            qi, ri, d = qi[other], ri[other], d[other]
-        # order by (query, distance, neighbour id) and keep the first kk of each query
-        order = np.lexsort((rid[a + ri], d, qi))
+            here = np.flatnonzero(own[rows])
+            hit[:, here] &= qid[s:e, None] != rid[rows[here]][None, :]
+        qi, ri = np.nonzero(hit)
+        if not len(qi):
+            out.append(none)
+            continue
+        ri = rows[ri]
+        d = np.concatenate([np.einsum("ij,ij->i", x, x) for x in (
+            qv[s + qi[p]] - rv[ri[p]] for p in _pieces(len(qi), rv.shape[1]))])
+        # order by (query, distance, neighbour id) and keep the first k of each query
+        order = np.lexsort((rid[ri], d, qi))
         qi, ri, d = qi[order], ri[order], d[order]
         place = np.arange(len(qi)) - np.searchsorted(qi, qi)
-        keep = place < kk
-        out.append(pd.DataFrame({"id": qid[s + qi[keep]], "nn_id": rid[a + ri[keep]], "dist": d[keep],
-                                 "work": np.where(place[keep] == 0, b - a, 0)}))
+        keep = place < k
+        out.append(pd.DataFrame({"id": qid[s + qi[keep]], "nn_id": rid[ri[keep]], "dist": d[keep],
+                                 "work": np.where(place[keep] == 0, len(rows), 0)}))
     return pd.concat(out) if out else none
 
 
 def knn_parts(df: DataFrame, id_col: str, vec_col: str, k: int, reference: DataFrame | None = None,
               block_rows: int | None = None, exclude_self: bool = True, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Candidates (id, nn_id, dist, work) that hold the k nearest of every row; work: rows compared, once a row and block."""
-    checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
 
     def plain(rows: DataFrame) -> DataFrame:
         v = as_double_array(rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), "v")
@@ -111,18 +186,19 @@ def knn_parts(df: DataFrame, id_col: str, vec_col: str, k: int, reference: DataF
     n, width = r.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     schema = "id long, nn_id long, dist double, work long"
     if not n:
-        return df.sparkSession.createDataFrame([], schema)
+        return spark.createDataFrame([], schema)
+    most = max(1, BLOCK_BYTES // (8 * max(1, width)))
     if not block_rows:
-        block_rows = max(1, min(BLOCK_BYTES // (8 * max(1, width)), max(256, -(-n // 4))))
-    count = min(MAX_PIVOTS, max(1, math.ceil(n / cell_rows)))
+        block_rows = min(most, max(256, math.ceil(n / BLOCKS)))
+    count = min(MAX_PIVOTS, most, max(1, math.ceil(n / cell_rows)))
     drawn = r.orderBy(F.md5(F.col("id").cast("string")), "id").limit(count).collect()
-    pivots = np.unique(np.array([x["v"] for x in drawn]), axis=0)
-    between = _pivot_distances(pivots, pivots)
+    pivots = _near_first(np.unique(np.array([x["v"] for x in drawn]), axis=0))
 
     @F.pandas_udf("cell int, away double")
     def home(col: pd.Series) -> pd.DataFrame:
         v = _stack(col, width)
-        cell = _pivot_distances(v, pivots).argmin(axis=1) if len(v) else np.empty(0, int)
+        cell = np.concatenate([np.empty(0, int), *(_pivot_distances(v[p], pivots).argmin(axis=1)
+                                                   for p in _pieces(len(v), len(pivots)))])
         return pd.DataFrame({"cell": cell, "away": np.sqrt(((v - pivots[cell]) ** 2).sum(axis=1))})
 
     def placed(rows: DataFrame) -> DataFrame:
@@ -138,60 +214,56 @@ def knn_parts(df: DataFrame, id_col: str, vec_col: str, k: int, reference: DataF
     else:
         for x in q.groupBy("cell").count().collect():
             asked[x["cell"]] = x["count"]
-    kk = k + (1 if exclude_self else 0)
-
-    def first_cells(order: np.ndarray) -> np.ndarray:
-        """How many of a row's nearest cells hold more than k rows together."""
-        return (np.cumsum(held[order], axis=1) < kk).sum(axis=1) + 1
-
-    @F.pandas_udf("array<struct<cell:int,away:double>>")
-    def opening(col: pd.Series) -> pd.Series:
-        away = _pivot_distances(_stack(col, width), pivots)
-        order = np.argsort(away, axis=1, kind="stable")
-        return pd.Series([[{"cell": int(c), "away": float(away[i, c])} for c in order[i, :n]]
-                          for i, n in enumerate(first_cells(order))])
-
-    @F.pandas_udf("array<struct<cell:int,away:double>>")
-    def others(col: pd.Series, within: pd.Series) -> pd.Series:
-        away, t = _pivot_distances(_stack(col, width), pivots), within.to_numpy()[:, None]
-        order = np.argsort(away, axis=1, kind="stable")
-        mine = order[:, 0]
-        least = away[np.arange(len(away)), mine][:, None]
-        t = t + 1e-7 * (t + away + 1.0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = np.nan_to_num((away**2 - least**2) / (2 * between[mine]), nan=0.0, posinf=0.0)
-        can = (held > 0) & (away - high <= t) & (low - away <= t) & (plane <= t)
-        for i, n in enumerate(first_cells(order)):
-            can[i, order[i, :n]] = False
-        return pd.Series([[{"cell": int(c), "away": float(away[i, c])} for c in np.flatnonzero(can[i])]
-                          for i in range(len(away))])
-
-    def blocks(of: np.ndarray, cell: Column) -> Column:
-        return F.element_at(F.array(*[F.lit(max(1, math.ceil(x / block_rows))) for x in of]), cell + 1)
+    first, parts, n_blocks = _packed(held, block_rows)
+    q_first, q_parts, _ = _packed(asked, block_rows)
+    # one row per cell: a bounded broadcast
+    cells = F.broadcast(spark.createDataFrame(
+        [(c, *map(int, x)) for c, x in enumerate(zip(first, parts, q_first, q_parts))],
+        "cell int, first long, parts long, q_first long, q_parts long"))
+
+    def block(of: str, cut: str) -> Column:
+        return F.col(of) + F.pmod(F.xxhash64("id"), F.col(cut))
+
+    r = r.join(cells, "cell").select("id", "v", "cell", "away", block("first", "parts").alias("rb"))
+    q = q.join(cells, "cell").select("id", "v", "cell", "away", block("q_first", "q_parts").alias("qb"),
+                                     block("first", "parts").alias("rb"))
 
     def compared(visits: DataFrame) -> DataFrame:
-        left = (visits.withColumn("qb", F.pmod(F.xxhash64("id"), blocks(asked, F.col("cell"))))
-                .withColumn("rb", F.explode(F.sequence(F.lit(0), blocks(held, F.col("cell")) - 1))))
-        right = (r.withColumn("rb", F.pmod(F.xxhash64("id"), blocks(held, F.col("cell"))))
-                 .withColumn("qb", F.explode(F.sequence(F.lit(0), blocks(asked, F.col("cell")) - 1)))
-                 .withColumn("qb", F.col("qb").cast("bigint")))
-        keys = ["cell", "qb", "rb"]
-        # both sides may come from one table: columns of their own
-        left, right = (d.select(*[(F.col(c).cast("bigint") if c in keys else F.col(c)).alias(c) for c in d.columns])
-                       for d in (left, right))
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-            lambda a, b: best_of_block(a, b, kk, exclude_self), schema)
-
-    opened = q.select("id", "v", F.explode(opening("v")).alias("to")).select("id", "v", "to.*")
-    near = compared(opened.withColumn("within", F.lit(float("inf"))))
-    if len(pivots) == 1:
+        met = [tuple(x) for x in visits.select("qb", "rb").distinct().collect()]  # pairs of blocks
+        # bounded broadcast; both sides may come from one table: columns of their own
+        pairs = F.broadcast(spark.createDataFrame(met, "to_qb long, to_rb long"))
+        left = visits.select(*[F.col(c).alias(c) for c in ("id", "v", "cell", "away", "within", "qb", "rb")])
+        right = r.join(pairs, r["rb"] == pairs["to_rb"]).select(
+            *[F.col(c).alias(c) for c in ("id", "v", "cell", "away")], F.col("to_qb").alias("qb"), F.col("to_rb").alias("rb"))
+        return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(
+            lambda a, b: best_of_block(a, b, k, exclude_self, pivots), schema)
+
+    near = compared(q.withColumn("within", F.lit(float("inf"))))
+    if n_blocks == 1:
         return near
     near = near.checkpoint()
-    kth = near.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("dist")), 1, k).alias("d"))  # k a visited block
+    kth = near.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("dist")), 1, k).alias("d"))  # k a row
     kth = kth.select("id", F.when(F.size("d") == k, F.sqrt(F.element_at("d", -1))).otherwise(float("inf")).alias("within"))
-    rest = q.select("id", "v").join(kth, "id", "left").withColumn("within", F.coalesce("within", F.lit(float("inf"))))
-    rest = rest.select("id", "v", "within", F.explode(others("v", "within")).alias("to")).select("id", "v", "within", "to.*")
-    return near.unionByName(compared(rest))
+    inside = np.zeros((len(pivots), n_blocks), np.float32)
+    for c in range(len(pivots)):
+        inside[c, first[c]:first[c] + parts[c]] = 1
+
+    @F.pandas_udf("array<long>")
+    def others(col: pd.Series, cell: pd.Series, home: pd.Series, within: pd.Series, seen: pd.Series) -> pd.Series:
+        v, out = _stack(col, width), []
+        cell, home, within, seen = (x.to_numpy() for x in (cell, home, within, seen))
+        for p in _pieces(len(v), len(pivots)):
+            away = _pivot_distances(v[p], pivots)
+            t, can = _reaches(away, home[p], _pivot_distances(pivots[cell[p]], pivots), within[p])
+            can &= (held > 0) & (away - high <= t) & (low - away <= t)
+            visit = can.astype(np.float32) @ inside > 0
+            visit[np.arange(len(visit)), seen[p]] = False
+            out += [np.flatnonzero(x).tolist() for x in visit]
+        return pd.Series(out, dtype=object)
+
+    rest = q.join(kth, "id", "left").withColumn("within", F.coalesce("within", F.lit(float("inf"))))
+    rest = rest.withColumn("to", others("v", "cell", "away", "within", "rb")).drop("rb").checkpoint()
+    return near.unionByName(compared(rest.withColumn("rb", F.explode("to"))))
 
 
 def knn(df: DataFrame, id_col: str, vec_col: str, k: int, reference: DataFrame | None = None,
@@ -202,7 +274,7 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int, reference: DataFrame |
     infinite number have no neighbours and are none.
     """
     parts = knn_parts(df, id_col, vec_col, k, reference, block_rows, exclude_self, cell_rows).drop("work")
-    w = Window.partitionBy("id").orderBy("dist", "nn_id")  # at most k + 1 rows a visited block
+    w = Window.partitionBy("id").orderBy("dist", "nn_id")  # at most k rows a visited block
     return parts.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
 
 

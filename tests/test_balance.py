@@ -78,3 +78,14 @@ def test_class_weights(spark):
     df = spark.createDataFrame([(1,), (0,), (0,), (0,)], "y int")
     w = {r.y: r.weight for r in BA.class_weight_balanced(df, "y").collect()}
     assert w == {1: 2.0, 0: 4 / 6}
+
+
+def test_a_row_visits_blocks_and_not_each_cell(spark):
+    """Many small cells and no structure: k candidates a row and block, however many cells are visited."""
+    df, x, _ = _points(spark, n=600, d=24, seed=5)
+    parts = NB.knn_parts(df, "id", "v", 3, cell_rows=4)
+    assert parts.count() <= 600 * 3 * 3  # three blocks of 256 rows at most
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, r + 1): j for i in range(len(x)) for r, j in enumerate(np.lexsort((np.arange(len(x)), d[i]))[:3])}
+    assert {(r.id, r.nn_rank): r.nn_id for r in BA.knn(df, "id", "v", 3, cell_rows=4).collect()} == want
