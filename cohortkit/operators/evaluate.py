@@ -11,20 +11,28 @@ AUC = sum over positives of (#negatives scored lower + 0.5 * #negatives tied)
 per very large group, its distinct scores are cut into order-preserving
 buckets (global approximate quantiles; the cut points only balance work,
 exactness does not depend on them), bucket totals are prefix-summed on a
-small table, and the window runs inside a (group, bucket) only.
+small table, and the window runs inside a (group, bucket) only. Unless no group
+can be that large, the counts per score are written once and measured, so that the
+predictions are read in one pass.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortkit.functions.formatting import format_metric_pm
+from cohortkit.operators.features import FEATURE_SETS
+from cohortkit.session import stage_path
 
 # Model families in report order, and the metrics reported.
 MODEL_ORDER = ("DT", "SVM", "RF", "ANN", "LR", "NN", "SGD")
 METRICS = ("AUC", "precision", "recall", "f1")
 GROUP = ("feature_set", "model", "split", "fold")
+#: Group values that are counted under a number; others are counted under their text.
+LEVELS = {"feature_set": tuple(FEATURE_SETS), "model": MODEL_ORDER, "split": ("train", "test")}
 
 
 def confusion(pred: DataFrame, group_cols=GROUP, label: str = "label", pred_col: str = "pred") -> DataFrame:
@@ -59,22 +67,42 @@ def roc_auc(pred: DataFrame, group_cols=GROUP, label: str = "label", score: str
             max_group_scores: int | None = None, bucket_rows: int = 100_000) -> DataFrame:
     """Exact ROC AUC per group (NULL when a group has a single class).
 
-    ``max_group_scores``: largest number of distinct scores in one group, when
-    known (otherwise one aggregate job measures it). Groups up to
+    ``max_group_scores``: a bound of the number of distinct scores in one group, when
+    known; where it is not, or allows more than ``bucket_rows``, the number is measured. Groups up to
     ``bucket_rows`` distinct scores use one window partition each; larger ones
     are split into order-preserving buckets.
     """
     g = list(group_cols)
-    dist = pred.groupBy(*g, F.col(score).cast("double").alias("__s")).agg(
-        F.count_if(F.col(label) == 1).alias("__pos"), F.count_if(F.col(label) == 0).alias("__neg"))
+    dist = _score_counts(pred, g, score, {"__pos": F.col(label) == 1, "__neg": F.col(label) == 0})
     return _auc_of_scores(dist, g, max_group_scores, bucket_rows).select(*g, "AUC")
 
 
+def _score_counts(pred: DataFrame, g: list, score: str, cells: dict) -> DataFrame:
+    """Rows of each cell per (group, score). Text of LEVELS is grouped as one number: a short key for every row."""
+    coded = [c for c in g if c in LEVELS and pred.schema[c].dataType.typeName() == "string"]
+    code, known = F.lit(0), F.lit(True)
+    for i, c in enumerate(coded):
+        at = F.coalesce(F.array_position(F.array(*[F.lit(v) for v in LEVELS[c]]), F.col(c)), F.lit(0)).cast("int")
+        code, known = code.bitwiseOR(F.shiftleft(at, 8 * i)), known & (at > 0)
+    plain = [c for c in g if c not in coded]
+    keys = [*plain, F.col(score).cast("double").alias("__s")]
+    if coded:
+        keys += [code.alias("__code"), F.when(~known, F.struct(*coded)).alias("__other")]
+    counts = pred.groupBy(*keys).agg(*[F.count_if(x).alias(c) for c, x in cells.items()])
+    back = {c: F.when(F.col("__other").isNotNull(), F.col("__other")[c]).otherwise(
+        F.get(F.array(*[F.lit(v) for v in LEVELS[c]]), F.shiftright("__code", 8 * i).bitwiseAND(255) - 1))
+        for i, c in enumerate(coded)}
+    return counts.select(*[back[c].alias(c) if c in back else c for c in g], "__s", *cells)
+
+
 def _auc_of_scores(dist: DataFrame, g: list, max_group_scores: int | None, bucket_rows: int = 100_000,
                    sums=()) -> DataFrame:
     """AUC per group, and the totals of ``sums``, from one row per (group, score) with __s, __pos, __neg."""
     n_groups = None
-    if max_group_scores is None:
+    if max_group_scores is None or max_group_scores > bucket_rows:
+        path = stage_path(dist.sparkSession, "score-counts", uuid.uuid4().hex)
+        dist.write.parquet(path)
+        dist = dist.sparkSession.read.parquet(path)
         sizes = dist.groupBy(*g).count().agg(F.max("count"), F.count(F.lit(1))).first()  # reduced to one row
         max_group_scores, n_groups = int(sizes[0] or 0), int(sizes[1] or 0)
     n_buckets = int(max(1, -(-max_group_scores // bucket_rows)))
@@ -113,9 +141,7 @@ def evaluate(pred: DataFrame, group_cols=GROUP, max_group_scores: int | None = N
     g = list(group_cols)
     y, p = F.col("label"), F.col("pred")
     cells = {"tp": (p == 1) & (y == 1), "fp": (p == 1) & (y == 0), "fn": (p == 0) & (y == 1), "tn": (p == 0) & (y == 0)}
-    dist = pred.groupBy(*g, F.col("score").cast("double").alias("__s")).agg(
-        F.count_if(y == 1).alias("__pos"), F.count_if(y == 0).alias("__neg"),
-        *[F.count_if(c).alias(n) for n, c in cells.items()])
+    dist = _score_counts(pred, g, "score", {"__pos": y == 1, "__neg": y == 0, **cells})
     out = _auc_of_scores(dist, g, max_group_scores, sums=tuple(cells))
     return out.select(*g, "AUC", *_rates(*[F.col(c) for c in cells]))
 

@@ -116,3 +116,26 @@ def test_evaluate_in_one_pass_equals_its_parts(spark):
     both, rates = EV.evaluate(df).first(), EV.classification_metrics(df).first()
     assert both.AUC == EV.roc_auc(df).first().AUC
     assert [both[c] for c in ("precision", "recall", "f1", "accuracy")] == [rates[c] for c in ("precision", "recall", "f1", "accuracy")]
+
+
+def test_loose_bound_of_scores_reads_the_predictions_once_and_keeps_all_groups(spark):
+    """Few distinct scores under a large bound; group values beyond the known ones and null are groups too."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(x):
+        read.add(1)
+        return x
+
+    rows = [(fs, m, "train", f, float((i * 7) % 5), i % 2, int((i * 7) % 5 > 2))
+            for fs in ("x", "mine", None) for m in ("DT", "own") for f in (0, 1) for i in range(20 + f)]
+    df = spark.createDataFrame(rows, "feature_set string, model string, split string, fold int, score double, label int, pred int")
+    got = EV.evaluate(df.withColumn("label", counted("label")), max_group_scores=1_000_000).collect()
+    assert read.value == len(rows)
+    assert {(r.feature_set, r.model, r.split, r.fold) for r in got} == {r[:4] for r in rows} and len(got) == 12
+    for r in got:
+        of = [x for x in rows if x[:4] == (r.feature_set, r.model, r.split, r.fold)]
+        pos, neg = [x[4] for x in of if x[5] == 1], [x[4] for x in of if x[5] == 0]
+        auc = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+        assert abs(r.AUC - auc) < 1e-12
+        assert abs(r.accuracy - sum(x[5] == x[6] for x in of) / len(of)) < 1e-12
