@@ -110,6 +110,7 @@ def best_of_block(qpdf: pd.DataFrame, rpdf: pd.DataFrame, k: int, exclude_self:
     centre = pivots.mean(axis=0)
     # a product with the queries and 1 gives the squared distance less the query's own square
     flat = np.column_stack([-2 * (rv - centre), ((rv - centre) ** 2).sum(axis=1)])
+    kk = k + (1 if exclude_self else 0)
     step = max(1, min(QUERIES, CHUNK // len(rid)))
     qc = qpdf["cell"].to_numpy()
     runs = [*np.flatnonzero(np.r_[True, qc[1:] != qc[:-1]]), len(qc)]
@@ -124,21 +125,18 @@ def best_of_block(qpdf: pd.DataFrame, rpdf: pd.DataFrame, k: int, exclude_self:
         own = np.isin(rid, qid[s:e]) if exclude_self else np.zeros(len(rid), bool)
 
         def products(rows: np.ndarray) -> np.ndarray:
-            near = q @ (flat if len(rows) == len(flat) else flat[rows]).T
-            here = np.flatnonzero(own[rows])
-            near[:, here] = np.where(qid[s:e, None] == rid[rows[here]][None, :], np.inf, near[:, here])
-            return near
+            return q @ (flat if len(rows) == len(flat) else flat[rows]).T
 
         def kth(near: np.ndarray) -> np.ndarray:
-            if near.shape[1] < k:
+            if near.shape[1] < kk:
                 return np.full(e - s, np.inf)
-            return np.partition(near, k - 1, axis=1)[:, k - 1]
+            return np.partition(near, kk - 1, axis=1)[:, kk - 1]
 
         t = within[s:e]
         if np.isinf(t).any():  # a first bound, from the nearest cells that hold more than k rows
             order = np.argsort(away.min(axis=0), kind="stable")
             some = np.zeros(len(cells), bool)
-            some[order[:np.searchsorted(np.cumsum(sizes[order]), k + 1) + 1]] = True
+            some[order[:np.searchsorted(np.cumsum(sizes[order]), kk) + 1]] = True
             t = np.minimum(t, np.sqrt(np.maximum(kth(products(np.flatnonzero(some[at]))) + q2 + error, 0.0)))
         reach, can = _reaches(away, home[s:e], between, t)
         low = np.where(can, away - reach, np.inf).min(axis=0)[at]
@@ -149,7 +147,7 @@ def best_of_block(qpdf: pd.DataFrame, rpdf: pd.DataFrame, k: int, exclude_self:
         near = products(rows)
         limit = t * t * (1 + 1e-9) - q2 + error
         hit = ~(near > limit[:, None])
-        if np.count_nonzero(hit) > 8 * k * (e - s):
+        if np.count_nonzero(hit) > 8 * kk * (e - s):
             hit = ~(near > np.minimum(limit, kth(near) + 2 * error)[:, None])
         if exclude_self:
             here = np.flatnonzero(own[rows])
