@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +24,7 @@ from cohortkit.operators import clean, profile
 from cohortkit.operators import evaluate as EV
 from cohortkit.operators import exact_tree as ET
 from cohortkit.operators import features as FE
+from cohortkit.operators import forest as FO
 from cohortkit.operators import importance as IM
 from cohortkit.operators import neighbours as NB
 from cohortkit.operators import network as NN
@@ -1087,10 +1087,10 @@ def q_importance_comparison(spark, sf_dir):
 
 def fitted_forest(df):
     """(forest, feature names) on the imputed measurements of the lineitem cohort."""
-    imp, kept = FE.fit_median_imputer(df, LI_NUMERIC)
-    x = FE.assembler(kept).transform(imp.transform(df)).withColumn(
-        "label", (F.col(LI.label) == LI.positive).cast("double"))
-    return RandomForestClassifier(numTrees=50, maxDepth=10, featureSubsetStrategy="sqrt", seed=42).fit(x), kept
+    wide = FE.wide_columns(df, LI_NUMERIC)
+    imp, kept = FE.fit_median_imputer(df, LI_NUMERIC, wide)
+    x = imp.transform(df).withColumn("label", (F.col(LI.label) == LI.positive).cast("double"))
+    return FO.fit_cell_forest(x, kept, n_trees=50, max_depth=10, seed=42, wide=wide), kept
 
 
 @register("importance_comparison_forest", O.rounded(f"""WITH mi AS ({_mi_sql()}), fs AS ({_f_sql()}), co AS ({_corr_sql()})
