@@ -24,6 +24,9 @@ from cohortkit.session import checkpoint_dir
 
 # Fixed value: folds whose margins the sigmoid is fitted on.
 CALIBRATION_FOLDS = 5
+# Fixed value: bytes that the solvers of fold models may hold at a time. Rows beyond it are fitted fold by fold, as
+# solvers whose rows do not fit in memory read them from disk at every step.
+FITS_BYTES = 4_000_000_000
 
 
 def fit_sigmoid(margins: DataFrame, margin: str = "margin", label: str = "label", max_steps: int = 100,
@@ -88,11 +91,17 @@ class SigmoidModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         return df.withColumn("probability", array_to_vector(F.array(F.lit(1.0) - p, p)))
 
 
+def fits_at_once(fits: int, n_rows: int, row_bytes: int) -> int:
+    """How many of the fits run at a time, so that their rows stay in memory; the results do not depend on it."""
+    return max(1, min(fits, FITS_BYTES // max(1, n_rows * row_bytes)))
+
+
 def out_of_fold_margins(estimator: Estimator, rows: DataFrame, label: str, id_col: str, seed: int,
-                        folds: int = CALIBRATION_FOLDS) -> DataFrame:
+                        folds: int = CALIBRATION_FOLDS, row_bytes: int = 0) -> DataFrame:
     """(margin, label) of every row by a model fitted without its fold; folds are drawn by a hash of the id.
 
-    A fold whose other rows lack a class is left out.
+    A fold whose other rows lack a class is left out. ``row_bytes``: what a solver holds a row; it says how many
+    folds are fitted at a time.
     """
     checkpoint_dir(rows.sparkSession)
     dealt = rows.withColumn("__fold", F.floor(uniform(seed, F.lit("cal"), F.col(id_col)) * folds).cast("int")).checkpoint()
@@ -109,7 +118,7 @@ def out_of_fold_margins(estimator: Estimator, rows: DataFrame, label: str, id_co
 
     if not usable:
         return rows.sparkSession.createDataFrame([], "margin double, label double")
-    with ThreadPoolExecutor(max_workers=len(usable)) as pool:
+    with ThreadPoolExecutor(max_workers=fits_at_once(len(usable), sum(total.values()), row_bytes)) as pool:
         parts = list(pool.map(inheritable_thread_target(rows.sparkSession)(one), usable))
     out = parts[0]
     for p in parts[1:]:
@@ -121,11 +130,13 @@ class CalibratedClassifier(Estimator):
     """An estimator with decision values, plus the sigmoid that turns them into probabilities."""
 
     def __init__(self, estimator: Estimator, label: str = "label", id_col: str = "row_id", seed: int = 42,
-                 folds: int = CALIBRATION_FOLDS):
+                 folds: int = CALIBRATION_FOLDS, row_bytes: int = 0):
         super().__init__()
         self.estimator, self.label, self.id_col, self.seed, self.folds = estimator, label, id_col, seed, folds
+        self.row_bytes = row_bytes
 
     def _fit(self, df: DataFrame) -> PipelineModel:
         model = self.estimator.fit(df)
-        a, b = fit_sigmoid(out_of_fold_margins(self.estimator, df, self.label, self.id_col, self.seed, self.folds))
+        a, b = fit_sigmoid(out_of_fold_margins(self.estimator, df, self.label, self.id_col, self.seed, self.folds,
+                                               self.row_bytes))
         return PipelineModel(stages=[*getattr(model, "stages", [model]), SigmoidModel(a=a, b=b)])

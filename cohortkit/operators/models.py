@@ -62,6 +62,7 @@ OPTIMISED = {
 }
 RFF_COMPONENTS = 512
 SVM_MAX_ITER = 200
+SVM_PARTITION = 64 * 2**20  # bytes of random features a task scans at a step
 # Stopping tolerances of the reference's library defaults
 # (logistic regression and MLP 1e-4, SGD and SVC 1e-3).
 TOL = {"LR": 1e-4, "ANN": 1e-4, "NN": 1e-4, "SGD": 1e-3, "SVM": 1e-3}
@@ -175,7 +176,12 @@ def make_model(name: str, n_features: int, n_rows: float, variant: str = "base",
                     maxIter=svm_max_iter, tol=tol or TOL["SVM"])
     if wcol:
         svc.setWeightCol(wcol)
-    return CalibratedClassifier(Pipeline(stages=[rff, svc]), label=label, seed=seed)
+    return CalibratedClassifier(Pipeline(stages=[rff, svc]), label=label, seed=seed, row_bytes=8 * rff_components)
+
+
+def partition_rows(name: str, rff_components: int = RFF_COMPONENTS) -> int:
+    """Rows a partition for a family's solver: 100,000, or as many as fill ``SVM_PARTITION`` as random features."""
+    return max(1, min(100_000, SVM_PARTITION // (8 * rff_components))) if name == "SVM" else 100_000
 
 
 def unconverged(fitted) -> list[str]:

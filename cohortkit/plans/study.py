@@ -42,8 +42,8 @@ from cohortkit.operators import network as NN
 from cohortkit.operators import reduce as RD
 from cohortkit.operators import split as S
 from cohortkit.operators import text as TX
-from cohortkit.operators.models import (BASE, OPTIMISED, RFF_COMPONENTS, SVM_MAX_ITER, make_model, score_column,
-                                         unconverged)
+from cohortkit.operators.models import (BASE, OPTIMISED, RFF_COMPONENTS, SVM_MAX_ITER, make_model, partition_rows,
+                                         score_column, unconverged)
 from cohortkit.session import checkpoint_dir, stage_path
 
 STRUCTURED = ["n_chars", "n_words", "n_lines", "quality"]
@@ -168,8 +168,8 @@ def fit_pipeline(train: DataFrame, feature_set: str, model: str, cfg: StudyConfi
         counts = {float(r[0]): int(r[1]) for r in prepared.groupBy("label").count().collect()}
     n_rows = float(sum(counts.values()))
     # iterative solvers rescan the training rows every step: persist them in
-    # partitions sized by volume (~100k rows each), not one per core
-    parts = max(1, math.ceil(n_rows / 100_000))
+    # partitions sized by the volume that the solver scans, not one per core
+    parts = max(1, math.ceil(n_rows / partition_rows(model, cfg.rff_components)))
     counted = _weights(prepared, counts).repartition(parts).persist()
     try:
         est = make_model(model, _width(feature_set, len(kept), cfg), n_rows, cfg.variant, cfg.seed, tol=cfg.tol,

@@ -5,8 +5,8 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from cohortkit.operators.calibration import SigmoidModel, fit_sigmoid, out_of_fold_margins
-from cohortkit.operators.models import make_model, score_column
+from cohortkit.operators.calibration import SigmoidModel, fit_sigmoid, fits_at_once, out_of_fold_margins
+from cohortkit.operators.models import make_model, partition_rows, score_column
 
 
 def test_parameters_minimise_the_smoothed_loss(spark):
@@ -53,3 +53,14 @@ def test_svm_gives_probabilities_monotone_in_the_margin(spark, tmp_path):
     lone = df.withColumn("label", (F.col("row_id") == 0).cast("double"))
     est = make_model("SVM", 2, 160, svm_max_iter=2, rff_components=4)
     assert out_of_fold_margins(est.estimator, lone, "label", "row_id", 42).count() < 160
+
+
+def test_solver_rows_stay_in_memory_and_are_dealt_out(spark):
+    # five fold fits of 512 random features a row: all at a time while they fit in memory, then one after the other
+    assert [fits_at_once(5, n, 8 * 512) for n in (10_000, 150_000, 400_000, 1_000_000, 10**9)] == [5, 5, 2, 1, 1]
+    assert fits_at_once(5, 10**9, 0) == 5
+    # a task scans as much of them at a step whatever their number
+    assert partition_rows("SVM", 512) * 512 * 8 == 64 * 2**20 and partition_rows("SVM", 8) == 100_000
+    assert partition_rows("RF") == 100_000
+    est = make_model("SVM", 2, 160, rff_components=64)
+    assert est.row_bytes == 8 * 64
