@@ -9,7 +9,8 @@ SVM  RBF kernel approximated by random Fourier features (Rahimi & Recht 2007)
      with gamma = 1 / (d * var X), then LinearSVC(regParam = 1 / (C n)); the
      score is a probability, by a sigmoid on out-of-fold decision values
      (``operators.calibration``), the class that of the decision value
-RF   RandomForestClassifier(numTrees 50 | 100, maxDepth 10 | 15, sqrt features)
+RF   RowForestClassifier (``operators.row_forest``), Spark's forest with small nodes finished
+     in one task each (numTrees 50 | 100, maxDepth 10 | 15, sqrt features, maxBins 256)
 ANN  NetworkClassifier (``operators.network``) [d, 50, 1] | [d, 100, 50, 1]: ReLU
      units, L2 term, early stopping on a tenth of the rows; full-batch steps
 LR   LogisticRegression(regParam = 1 / (C * sum w), no standardisation)
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LinearSVCModel, LogisticRegression,
-                                       LogisticRegressionModel, RandomForestClassifier)
+                                       LogisticRegressionModel)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -40,6 +41,7 @@ from cohortkit.operators.calibration import CalibratedClassifier
 from cohortkit.operators.evaluate import MODEL_ORDER
 from cohortkit.operators.exact_tree import ExactTreeClassifier
 from cohortkit.operators.network import NetworkClassifier
+from cohortkit.operators.row_forest import RowForestClassifier
 
 # Hyper-parameters of the base and the optimised study.
 BASE = {
@@ -150,11 +152,7 @@ def make_model(name: str, n_features: int, n_rows: float, variant: str = "base",
             est.setWeightCol(wcol)
         return est
     if name == "RF":
-        est = RandomForestClassifier(numTrees=hp["n_trees"], maxDepth=hp["max_depth"], featureSubsetStrategy="sqrt",
-                                     maxBins=256, seed=seed, **common)
-        if wcol:
-            est.setWeightCol(wcol)
-        return est
+        return RowForestClassifier(numTrees=hp["n_trees"], maxDepth=hp["max_depth"], maxBins=256, seed=seed, weightCol=wcol, **common)
     if name in ("ANN", "NN"):
         return NetworkClassifier(layers=[n_features, *hp["hidden"], 1], alpha=hp["alpha"], maxIter=hp["max_iter"],
                                  tol=tol or TOL[name], seed=seed, **common)
