@@ -280,5 +280,6 @@ def knn_work(df: DataFrame, id_col: str, vec_col: str, k: int, cell_rows: int =
     """(rows, pairs_all, pairs_compared, share): how much of the full comparison the cells leave."""
     n = df.count()
     done = knn_parts(df, id_col, vec_col, k, cell_rows=cell_rows).agg(F.coalesce(F.sum("work"), F.lit(0)).alias("pairs_compared"))
-    return done.select(F.lit(n).alias("rows"), (F.lit(n) * F.lit(n)).alias("pairs_all"), "pairs_compared",
+    many = F.lit(n).cast("long")  # the square of 46,341 rows does not fit an integer
+    return done.select(F.lit(n).alias("rows"), (many * many).alias("pairs_all"), "pairs_compared",
                        F.try_divide(F.col("pairs_compared").cast("double"), F.lit(float(n) * n)).alias("share"))

@@ -89,3 +89,10 @@ def test_a_row_visits_blocks_and_not_each_cell(spark):
     np.fill_diagonal(d, np.inf)
     want = {(i, r + 1): j for i in range(len(x)) for r, j in enumerate(np.lexsort((np.arange(len(x)), d[i]))[:3])}
     assert {(r.id, r.nn_rank): r.nn_id for r in BA.knn(df, "id", "v", 3, cell_rows=4).collect()} == want
+
+
+def test_knn_work_counts_pairs_beyond_an_integer(spark):
+    df = spark.range(46_400).select("id", F.array(F.col("id").cast("double")).alias("v"))
+    r = NB.knn_work(df, "id", "v", 1, cell_rows=500).first()
+    assert (r["rows"], r["pairs_all"]) == (46_400, 46_400**2) and 0 < r["pairs_compared"] < r["pairs_all"]
+    assert r["share"] == r["pairs_compared"] / r["pairs_all"]
