@@ -10,18 +10,22 @@ bounded bytes, a large cell is cut into several. Then
    to the cell's pivot lies within t of the cell's range of pivot distances, and its
    distance to the plane between its own pivot and that pivot is at most t. In the
    block, rows of one cell are compared only with rows that pass the same bounds.
+   Where the rows would make half of all visits or more, as where vectors have no structure, blocks
+   meet whole instead, and a distance serves both of its rows.
 
 Both bounds are exact, so the result is that of a full comparison. What travels is a
 row once a block it visits, never once a cell; only k candidates a row and block leave a
 task. In a task a matrix product finds the rows that can be among the k nearest;
 only their distances are computed term by term, so results do not depend on cells
-or blocks.
+or blocks. Where blocks meet whole, the product is one of single precision, less all that
+rounding can add.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +39,9 @@ from cohortkit.session import checkpoint_dir
 CELL_ROWS, MAX_PIVOTS, BLOCK_BYTES, CHUNK = 4096, 4096, 16_000_000, 2_000_000
 #: Queries that are compared together at most, and blocks that the rows are dealt to at least.
 QUERIES, BLOCKS = 256, 16
+#: Where blocks meet whole: share of all visits from which on they do, bytes of the vectors of a stripe of blocks at most,
+#: stripes that the blocks are dealt to at least if there are as many, rows of the two sides of a tile, candidates held.
+WHOLE, STRIPE_BYTES, STRIPES, TILE, HELD = 0.5, 64_000_000, 12, (512, 2048), 2_000_000
 
 
 def as_double_array(df: DataFrame, vec_col: str) -> DataFrame:
@@ -169,9 +176,168 @@ def best_of_block(qpdf: pd.DataFrame, rpdf: pd.DataFrame, k: int, exclude_self:
     return pd.concat(out) if out else none
 
 
+class _Block:
+    """Rows of one block that meets others: what is nearest to them so far, and the bound that a nearer row keeps."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, within: np.ndarray, k: int):
+        self.ids, self.v, self.k, self.bound = ids, v, k, within**2 * (1 + 1e-9)
+        self.found = [(np.empty(0, int), np.empty(0, np.int64), np.empty(0))]
+        self.held = 0
+
+    def shape(self, centre: np.ndarray, scale: float) -> None:
+        """Factors of the product: first @ second is at most the squared distance over scale**2, however it is rounded."""
+        x = (self.v - centre) / scale
+        square = (x**2).sum(axis=1)
+        self.slack = 3 * (x.shape[1] + 6) * 2.0**-24 * square
+        one = np.ones(len(x))
+        self.first = np.column_stack([-2 * x, square - self.slack, one]).astype(np.float32)
+        self.second = np.ascontiguousarray(np.column_stack([x, one, square - self.slack]).astype(np.float32).T)
+        self.scale = scale
+        self.blur = 1e-24 * x.shape[1] * (np.sqrt((centre**2).sum()) / scale + 1.0) ** 2  # by taking the centre off
+        self.limit()
+
+    def limit(self) -> None:
+        with np.errstate(all="ignore"):
+            top = self.bound / self.scale**2 * (1 + 1e-6) + self.blur
+            self.top = np.nextafter(top.astype(np.float32), np.float32(np.inf))
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
+        keep = d <= self.bound[rows]
+        self.found.append((rows[keep], ids[keep], d[keep]))
+        self.held += np.count_nonzero(keep)
+        if self.held > HELD:
+            self.best()
+
+    def best(self) -> None:
+        """Keeps the k nearest of each row (ties by id) and lowers the bounds."""
+        rows, ids, d = (np.concatenate(x) for x in zip(*self.found))
+        order = np.lexsort((ids, d, rows))
+        rows, ids, d = rows[order], ids[order], d[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        last = place == self.k - 1
+        self.bound[rows[last]] = np.minimum(self.bound[rows[last]], d[last])
+        self.limit()
+        keep = place < self.k
+        self.found, self.held = [(rows[keep], ids[keep], d[keep])], np.count_nonzero(keep) // 2
+
+
+def _meet(a: _Block, b: _Block) -> int:
+    """Compares each row of one block with each of the other, once for both; the number of pairs.
+
+    A block may meet itself if no id comes twice in it.
+    """
+    k, apart = a.k + (a is b), a is b or not len(np.intersect1d(a.ids, b.ids))
+    tile = np.empty(TILE, np.float32)
+    for s in range(0, len(a.ids), TILE[0]):
+        rows = slice(s, min(s + TILE[0], len(a.ids)))
+        for u in range(0, len(b.ids), TILE[1]):
+            cols = slice(u, min(u + TILE[1], len(b.ids)))
+            near = tile[:rows.stop - s, :cols.stop - u]
+            np.matmul(a.first[rows], b.second[:, cols], out=near)
+            for own, other, x, y, grid in ((a, b, rows, cols, near), (b, a, cols, rows, near.T))[:1 if a is b else 2]:
+                some = np.flatnonzero(~(grid.min(axis=1) > own.top[x]))  # what is not a number is looked at as well
+                if not len(some):
+                    continue
+                if apart and grid.shape[1] >= k and np.isinf(own.bound[x.start + some]).any():
+                    # no bound yet: the k-th of this tile, with all that rounding can take
+                    kth = np.partition(grid[some], k - 1, axis=1)[:, k - 1].astype(float)
+                    kth += 3 * (own.slack[x.start + some] + other.slack[y].max())
+                    kth = (kth * (1 + 1e-6) + own.blur) * own.scale**2
+                    own.bound[x.start + some] = np.fmin(own.bound[x.start + some], kth)
+                    own.limit()
+                i, j = np.nonzero(~(grid[some] > own.top[x.start + some][:, None]))
+                i, j = x.start + some[i], y.start + j
+                if a is b or not apart:
+                    other_id = own.ids[i] != other.ids[j]
+                    i, j = i[other_id], j[other_id]
+                for p in _pieces(len(i), own.v.shape[1]):
+                    z = own.v[i[p]] - other.v[j[p]]
+                    own.add(i[p], other.ids[j[p]], np.einsum("ij,ij->i", z, z))
+    a.best()
+    b.best()
+    return len(a.ids) * len(b.ids)
+
+
+def best_of_stripes(pdf: pd.DataFrame, k: int, width: int) -> pd.DataFrame:
+    """The k nearest in other blocks for each row: id, nn_id, dist, and in the first row the pairs compared.
+
+    Packed pieces of one stripe or two: stripe, block, ids, v, within. Blocks of one stripe meet only where it comes alone.
+    """
+    blocks = {}
+    for (stripe, block), x in pdf.groupby(["stripe", "block"]):
+        ids, v, within = (np.concatenate([np.frombuffer(y, t) for y in x[c]])
+                          for c, t in (("ids", np.int64), ("v", np.float64), ("within", np.float64)))
+        order = np.argsort(ids, kind="stable")
+        blocks[stripe, block] = _Block(ids[order], v.reshape(len(ids), width)[order], within[order], k)
+    alone = pdf["stripe"].nunique() == 1
+    met = [(a, b) for a in blocks for b in blocks if a[1] < b[1] and (alone or a[0] != b[0])]
+    centre = sum(x.v.sum(axis=0) for x in blocks.values()) / sum(len(x.ids) for x in blocks.values())
+    scale = max(np.sqrt(((x.v - centre) ** 2).sum(axis=1).max()) for x in blocks.values()) or 1.0
+    for x in blocks.values():
+        x.shape(centre, scale)
+    return _kept(blocks.values(), sum(_meet(blocks[a], blocks[b]) for a, b in met))
+
+
+def best_within(pdf: pd.DataFrame, k: int, width: int) -> pd.DataFrame:
+    """The k nearest of each row (id, v) among the others of one block, in which no id comes twice: id, nn_id, dist, work."""
+    pdf = pdf.sort_values("id")
+    ids, v = pdf["id"].to_numpy(np.int64), _stack(pdf["v"], width)
+    centre = v.mean(axis=0)
+    scale = np.sqrt(((v - centre) ** 2).sum(axis=1).max()) or 1.0
+    parts = [_Block(ids[s:s + TILE[1]], v[s:s + TILE[1]], np.full(len(ids[s:s + TILE[1]]), np.inf), k)
+             for s in range(0, len(ids), TILE[1])]
+    for x in parts:
+        x.shape(centre, scale)
+    work = sum(_meet(x, x) for x in parts) + sum(_meet(x, y) for x, y in itertools.combinations(parts, 2))
+    return _kept(parts, work)
+
+
+def _kept(blocks: Iterable[_Block], work: int) -> pd.DataFrame:
+    out = pd.concat([pd.DataFrame({"id": x.ids[rows], "nn_id": ids, "dist": d, "work": 0})
+                     for x in blocks for rows, ids, d in x.found])
+    out["work"] = np.r_[work, np.zeros(len(out), int)][:len(out)]
+    return out
+
+
+def _stripes(sizes: np.ndarray, width: int) -> np.ndarray:
+    """The stripe of each block: blocks that follow one another, of bounded bytes."""
+    rows = min(max(1, STRIPE_BYTES // (8 * max(1, width))), math.ceil(sizes.sum() / STRIPES))
+    first, parts, _ = _packed(sizes, rows)
+    return np.unique(first + parts - 1, return_inverse=True)[1]
+
+
+def met_whole(rows: DataFrame, sizes: np.ndarray, k: int, width: int, schema: str) -> DataFrame:
+    """The k nearest of every row (id, v, within, rb) in the blocks other than its own, from each pair of blocks once."""
+    spark = rows.sparkSession
+    stripe = _stripes(sizes, width)
+    last = int(stripe.max()) + 1
+    met = [(a, b) for a in range(last) for b in range(a + 1, last)]
+    met += [(a, a) for a in range(last) if np.count_nonzero(stripe == a) > 1]
+    # one task a pair of stripes: keys that the hash deals to partitions of their own
+    keys = {x["p"]: x["key"] for x in spark.range(1000 + 20 * len(met)).groupBy(
+        F.pmod(F.hash("id"), F.lit(len(met))).alias("p")).agg(F.min("id").alias("key")).collect()}
+    pairs = [(x, keys.get(p, -1 - p)) for p, ab in enumerate(met) for x in sorted(set(ab))]
+    pairs = F.broadcast(spark.createDataFrame(pairs, "of int, task long"))  # bounded: pairs of stripes
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(int(stripe[b]), int(b), x["id"].to_numpy(np.int64).tobytes(), _stack(x["v"], width).tobytes(),
+                      x["within"].to_numpy(np.float64).tobytes()) for b, x in pdf.groupby("rb")]
+            yield pd.DataFrame(found, columns=["stripe", "block", "ids", "v", "within"])
+
+    pieces = rows.select("id", "v", "within", "rb").mapInPandas(
+        packed, "stripe int, block long, ids binary, v binary, within binary")
+    dealt = pieces.join(pairs, pieces["stripe"] == pairs["of"]).drop("of").repartition(len(met), "task")
+    return dealt.groupBy("task").applyInPandas(lambda pdf: best_of_stripes(pdf, k, width), schema).checkpoint()
+
+
 def knn_parts(df: DataFrame, id_col: str, vec_col: str, k: int, reference: DataFrame | None = None,
-              block_rows: int | None = None, exclude_self: bool = True, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Candidates (id, nn_id, dist, work) that hold the k nearest of every row; work: rows compared, once a row and block."""
+              block_rows: int | None = None, exclude_self: bool = True, cell_rows: int = CELL_ROWS,
+              whole: float = WHOLE) -> DataFrame:
+    """Candidates (id, nn_id, dist, work) that hold the k nearest of every row; work: rows compared, once a row and block.
+
+    From a share ``whole`` of all visits on, blocks of one table meet whole; work then has a task's pairs of rows.
+    """
     spark = df.sparkSession
     checkpoint_dir(spark)
 
@@ -181,10 +347,11 @@ def knn_parts(df: DataFrame, id_col: str, vec_col: str, k: int, reference: DataF
         return v.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
 
     r = plain(reference if reference is not None else df)
-    n, width = r.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    n, n_ids, width = r.agg(F.count(F.lit(1)), F.count("id"), F.max(F.size("v"))).first()
     schema = "id long, nn_id long, dist double, work long"
     if not n:
         return spark.createDataFrame([], schema)
+    once = reference is None and exclude_self and n_ids == n and width > 0 and whole < math.inf  # a pair serves both rows
     most = max(1, BLOCK_BYTES // (8 * max(1, width)))
     if not block_rows:
         block_rows = min(most, max(256, math.ceil(n / BLOCKS)))
@@ -236,7 +403,16 @@ def knn_parts(df: DataFrame, id_col: str, vec_col: str, k: int, reference: DataF
         return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(
             lambda a, b: best_of_block(a, b, k, exclude_self, pivots), schema)
 
-    near = compared(q.withColumn("within", F.lit(float("inf"))))
+    def own_block(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["id"].is_unique:
+            return best_within(rows, k, width)
+        rows = rows.assign(within=np.inf)
+        return best_of_block(rows, rows, k, exclude_self, pivots)
+
+    if once:
+        near = r.groupBy("rb").applyInPandas(own_block, schema)
+    else:
+        near = compared(q.withColumn("within", F.lit(float("inf"))))
     if n_blocks == 1:
         return near
     near = near.checkpoint()
@@ -260,7 +436,14 @@ def knn_parts(df: DataFrame, id_col: str, vec_col: str, k: int, reference: DataF
         return pd.Series(out, dtype=object)
 
     rest = q.join(kth, "id", "left").withColumn("within", F.coalesce("within", F.lit(float("inf"))))
-    rest = rest.withColumn("to", others("v", "cell", "away", "within", "rb")).drop("rb").checkpoint()
+    rest = rest.withColumn("to", others("v", "cell", "away", "within", "rb")).checkpoint()
+    if once:
+        sizes, visits = np.zeros(n_blocks), 0
+        for x in rest.groupBy("rb").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("to")).alias("to")).collect():
+            sizes[x["rb"]], visits = x["n"], visits + x["to"]
+        if visits >= whole * (n_blocks - 1) * sizes.sum():
+            return near.unionByName(met_whole(rest, sizes, k, width, schema))
+    rest = rest.drop("rb")
     return near.unionByName(compared(rest.withColumn("rb", F.explode("to"))))
 
 
@@ -277,9 +460,10 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int, reference: DataFrame |
 
 
 def knn_work(df: DataFrame, id_col: str, vec_col: str, k: int, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(rows, pairs_all, pairs_compared, share): how much of the full comparison the cells leave."""
+    """(rows, pairs_all, pairs_compared, share): how much of the full comparison the cells leave where no block meets whole."""
     n = df.count()
-    done = knn_parts(df, id_col, vec_col, k, cell_rows=cell_rows).agg(F.coalesce(F.sum("work"), F.lit(0)).alias("pairs_compared"))
+    done = knn_parts(df, id_col, vec_col, k, cell_rows=cell_rows, whole=math.inf)
+    done = done.agg(F.coalesce(F.sum("work"), F.lit(0)).alias("pairs_compared"))
     many = F.lit(n).cast("long")  # the square of 46,341 rows does not fit an integer
     return done.select(F.lit(n).alias("rows"), (many * many).alias("pairs_all"), "pairs_compared",
                        F.try_divide(F.col("pairs_compared").cast("double"), F.lit(float(n) * n)).alias("share"))

@@ -96,3 +96,54 @@ def test_knn_work_counts_pairs_beyond_an_integer(spark):
     r = NB.knn_work(df, "id", "v", 1, cell_rows=500).first()
     assert (r["rows"], r["pairs_all"]) == (46_400, 46_400**2) and 0 < r["pairs_compared"] < r["pairs_all"]
     assert r["share"] == r["pairs_compared"] / r["pairs_all"]
+
+
+def _ranked(parts, k):
+    best = {}
+    for r in parts.collect():
+        best.setdefault(r["id"], set()).add((r["dist"], r["nn_id"]))
+    return {i: sorted(x, key=lambda y: (y[0], y[1] is not None, y[1]))[:k] for i, x in best.items()}
+
+
+def test_blocks_of_vectors_without_structure_meet_once_for_both(spark):
+    """Half of the full comparison, the blocks' own included, and the neighbours of the full comparison."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(700, 24))
+    x[500:520] = x[3]  # copies of one vector, in many blocks
+    x[520:540] = x[:20] + 1e-9 * rng.normal(size=(20, 24))  # nearer than single precision tells
+    n = len(x)
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    for shift, k in ((0.0, 1), (0.0, 4), (-1e4, 2)):
+        v = x + shift
+        df = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(v)], "id long, v array<double>")
+        parts = NB.knn_parts(df, "id", "v", k, block_rows=50, cell_rows=20).cache()
+        # every pair is counted, and once but for those of one block
+        assert n * (n - 1) / 2 <= parts.agg(F.sum("work")).first()[0] < 0.6 * n * n
+        got = _ranked(parts, k)
+        dd = d if not shift else ((v[:, None, :] - v[None, :, :]) ** 2).sum(-1) + np.diag(np.full(n, np.inf))
+        for i in range(n):
+            assert [j for _, j in got[i]] == np.lexsort((np.arange(n), dd[i]))[:k].tolist()
+
+
+def test_whole_blocks_give_what_visits_give_with_repeated_and_missing_ids(spark):
+    rng = np.random.default_rng(13)
+    x = np.round(rng.normal(size=(400, 3)), 1)  # many exact ties
+    rows = [(i % 330, v.tolist()) for i, v in enumerate(x)]
+    rows += rows[:30]  # with the same vector, too
+    for more in ([], [(None, [0.5, 0.5, 0.5]), (None, [9.0, 9.0, 9.0])]):
+        df = spark.createDataFrame(rows + more, "id long, v array<double>")
+        some = {whole: _ranked(NB.knn_parts(df, "id", "v", 3, block_rows=40, cell_rows=20, whole=whole), 3)
+                for whole in (0.0, np.inf)}
+        assert some[0.0] == some[np.inf] and len(some[0.0]) == 330 + bool(more)
+
+
+def test_whole_blocks_of_any_size_of_numbers(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(120, 5))
+    for factor in (1e-30, 1e25):  # their squares do not fit single precision
+        v = x * factor
+        df = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(v)], "id long, v array<double>")
+        got = _ranked(NB.knn_parts(df, "id", "v", 2, block_rows=20, cell_rows=10, whole=0.0), 2)
+        d = ((v[:, None, :] - v[None, :, :]) ** 2).sum(-1) + np.diag(np.full(len(v), np.inf))
+        assert all([j for _, j in got[i]] == np.argsort(d[i])[:2].tolist() for i in range(len(v)))
